@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import simhash, substring_dedup
 
 QUERIES = {
+    "op1_simhash": simhash.op1_query,
     "op2_substring_dedup": substring_dedup.op2_query,
 }
 
