@@ -47,7 +47,12 @@ def buckets(spark: SparkSession) -> int:
 # ---- row identity --------------------------------------------------------------------------
 
 def text_only(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id bigint, text string) whatever else the input holds."""
+    """(id bigint, text string) whatever else the input holds.
+
+    Rows of text are large, so the session's Arrow batches are held to 16 MB: a Python worker has a
+    few hundred MB of its own.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
@@ -123,7 +128,7 @@ def xxhash64_long(values: np.ndarray, seed: int = 42) -> np.ndarray:
 class WordHash(dict):
     """XXH64 of each word, kept for the words seen; emptied when it grows past a bound."""
 
-    def __init__(self, seed: int = 0, most: int = 1 << 20):
+    def __init__(self, seed: int = 0, most: int = 1 << 18):
         self.seed, self.most = seed, most
 
     def __missing__(self, word: bytes) -> int:

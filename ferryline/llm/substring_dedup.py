@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import U64, WordHash, bounds, buckets, covered, deltas, gathered, longs, pack, ranges, raw, slide, text_only, unpack, with_tags, xxhash64_long
 
 #: Bytes of text whose edges a task holds at once.
-CHUNK = 12 << 20
+CHUNK = 5 << 20
 _BLOB = pa.schema([("q", pa.int32()), ("blob", pa.binary())])
 _BACK = pa.schema([("blk", pa.int32()), ("blob", pa.binary())])
 
