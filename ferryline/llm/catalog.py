@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import simhash, substring_dedup
+from . import decontamination, line_dedup, quality, secret_scan, simhash, substring_dedup
 
 QUERIES = {
     "op1_simhash": simhash.op1_query,
     "op2_substring_dedup": substring_dedup.op2_query,
+    "op4_secret_scan": secret_scan.op4_query,
+    "op5_line_dedup": line_dedup.op5_query,
+    "op8_quality": quality.op8_query,
+    "op10_decontamination": decontamination.op10_query,
 }
 
 SQL = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
+    "op5_line_dedup": line_dedup.OP5_SQL,
+    "op10_decontamination": decontamination.OP10_SQL,
 }
