@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, quality, secret_scan, simhash, substring_dedup
+from . import decontamination, line_dedup, packing, quality, secret_scan, simhash, substring_dedup, vector_search, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_query,
     "op2_substring_dedup": substring_dedup.op2_query,
+    "op3_packing": packing.op3_query,
     "op4_secret_scan": secret_scan.op4_query,
     "op5_line_dedup": line_dedup.op5_query,
+    "op6_vector_search": vector_search.op6_query,
+    "op7_warc": warc.op7_query,
     "op8_quality": quality.op8_query,
     "op10_decontamination": decontamination.op10_query,
 }
@@ -16,5 +19,6 @@ QUERIES = {
 SQL = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
+    "op7_warc": warc.OP7_SQL,
     "op10_decontamination": decontamination.OP10_SQL,
 }
