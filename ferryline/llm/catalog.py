@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, packing, quality, secret_scan, simhash, substring_dedup, vector_search, warc
+from . import decontamination, line_dedup, packing, quality, secret_scan, simhash, substring_dedup, suffix_dedup, vector_search, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_vector_search": vector_search.op6_query,
     "op7_warc": warc.op7_query,
     "op8_quality": quality.op8_query,
+    "op9_suffix_dedup": suffix_dedup.op9_query,
     "op10_decontamination": decontamination.op10_query,
 }
 
@@ -20,5 +21,6 @@ SQL = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op7_warc": warc.OP7_SQL,
+    "op9_suffix_dedup": suffix_dedup.OP9_SQL,
     "op10_decontamination": decontamination.OP10_SQL,
 }

@@ -37,7 +37,7 @@ def suffix_array(t: np.ndarray, bits: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for j in range(h):
         key <<= bits
-        key[: n - j] |= t[j:].astype(np.int64)
+        key[: max(0, n - j)] |= t[j:].astype(np.int64)
     while True:
         order = np.argsort(key)
         k = key[order]
