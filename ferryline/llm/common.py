@@ -46,14 +46,14 @@ def buckets(spark: SparkSession) -> int:
 
 # ---- row identity --------------------------------------------------------------------------
 
-def text_only(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id bigint, text string) whatever else the input holds.
+def text_only(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """(id bigint, text string, and the columns named) whatever else the input holds.
 
     Rows of text are large, so the session's Arrow batches are held to 16 MB: a Python worker has a
     few hundred MB of its own.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
-    return df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *more)
 
 
 def with_tags(docs: DataFrame) -> DataFrame:

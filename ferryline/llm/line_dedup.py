@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import buckets, gathered, raw, shared_path, text_only
 
@@ -118,9 +119,6 @@ class LineRuns:
         return out if out is not None else self.spark.createDataFrame([], "h1 bigint, h2 bigint")
 
 
-_OUT = pa.schema([("id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string())])
-
-
 def _drop_lines(docs: pa.Table, keys: pa.Table) -> pa.Table:
     h = np.stack([keys.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("h1", "h2")], 1)
     gone = {x.tobytes() for x in h}
@@ -135,20 +133,21 @@ def _drop_lines(docs: pa.Table, keys: pa.Table) -> pa.Table:
         rows.append((i, len(lines), len(lines) - len(keep), b"\n".join(keep)))
     cols = list(zip(*rows)) if rows else ([],) * 4
     kept = pa.array(cols[3], pa.binary()).view(pa.string())
-    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), kept], schema=_OUT)
+    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), kept, docs.column("__rest")], ["id", "n_lines", "n_dropped", "kept", "rest"])
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 10, least_chars: int = 1, batches: int = 4) -> DataFrame:
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 10, least_chars: int = 1, batches: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
     """Drop the lines whose key is found in at least ``threshold`` documents.
 
-    Returns one row for each input row: the id (bigint), n_lines before dropping, n_dropped and kept (the
-    other lines joined by a newline).  A key is the line without ASCII white space at both ends and with
+    Returns one row for each input row: the id (bigint), n_lines before dropping, n_dropped, kept (the
+    other lines joined by a newline) and, as a struct named rest, the columns that ``carry`` names.  A key is the line without ASCII white space at both ends and with
     A-Z lower-cased; keys of fewer than ``least_chars`` code points stay.  Null or empty text is one empty
     line.  Each row counts as a document, repeated rows and ids too; an empty table gives an empty result;
     other columns are not read.  Keys are told apart by 128-bit hashes.
     """
     spark, n = df.sparkSession, buckets(df.sparkSession)
-    docs = text_only(df, id_col, text_col).withColumn("blk", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("int")
+    docs = text_only(df.select("*", rest.alias("__rest")), id_col, text_col, "__rest").withColumn("blk", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
     counted = docs.select("text", "blk").mapInArrow(_counts(least_chars), "blk int, h1 bigint, h2 bigint, n bigint")
     counted.withColumn("batch", F.pmod("blk", F.lit(batches))).write.partitionBy("batch").parquet(path := shared_path(spark, "lines"))
     found = spark.read.schema("blk int, h1 bigint, h2 bigint, n bigint, batch int").parquet(path)
@@ -156,8 +155,15 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     for b in range(batches):
         runs.add(found.filter(F.col("batch") == b).select("h1", "h2", "n"))
     keys = found.select("blk", "h1", "h2").join(runs.frequent(), ["h1", "h2"]).distinct()
-    out = docs.groupBy("blk").cogroup(keys.groupBy("blk")).applyInArrow(_drop_lines, "id bigint, n_lines bigint, n_dropped bigint, kept string")
-    return out.withColumnRenamed("id", id_col)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("rest", docs.schema["__rest"].dataType)])
+    out = docs.groupBy("blk").cogroup(keys.groupBy("blk")).applyInArrow(_drop_lines, schema)
+    return (out if carry else out.drop("rest")).withColumnRenamed("id", id_col)
+
+
+def without_common_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The input's rows, all columns in their order, with the text that :func:`line_dedup` keeps."""
+    out = line_dedup(df, id_col, text_col, carry=tuple(df.columns), **options)
+    return out.select(*[F.col("kept").alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in df.columns])
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from .graph import components
 
 #: Fingerprints to a side of a tile, and wanted to a bucket at most on average.
 TILE, BUCKET = 4096, 1024
-_PRINTS = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
+_PRINTS = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("fp", pa.int64())])
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -49,7 +49,7 @@ def _prints(shingle: int):
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in raw(b.column("text"))], U64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp)], schema=_PRINTS)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(fp)], schema=_PRINTS)
 
     return run
 
@@ -190,8 +190,14 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     other.  Repeated rows and ids give a row each; an empty table gives an empty result; other columns
     are not read.
     """
-    spark = df.sparkSession
-    prints = checkpointed(text_only(df, id_col, text_col).mapInArrow(_prints(shingle), "id bigint, fp bigint"))
+    prints, labels = _labelled(text_only(df, id_col, text_col), shingle, radius)
+    out = prints.join(labels, "fp")
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _labelled(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(id, th, fp) by row, and (fp, root, component_id) by fingerprint; th is the text's hash."""
+    prints = checkpointed(docs.withColumn("th", F.xxhash64("text")).mapInArrow(_prints(shingle), "id bigint, th bigint, fp bigint"))
     reps = checkpointed(prints.groupBy("fp").agg(F.min("id").alias("least")))
     masks = tables(reps.count(), radius)
     entries = reps.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])).alias("e")).select("e.t", "e.key", "fp")
@@ -204,17 +210,19 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stars = components(tiles.mapInArrow(_tiles(radius), "u bigint, v bigint"))
     rooted = reps.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = checkpointed(rooted.join(least, "root").select("fp", "component_id"))
-    out = prints.join(labels, "fp")
-    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints, checkpointed(rooted.join(least, "root").select("fp", "root", "component_id"))
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The input's rows, all columns, that are their component's smallest id (of equal rows, one stays)."""
-    found = simhash_components(df, id_col, text_col, shingle, radius)
-    firsts = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__component_first")).distinct()
-    out = df.join(firsts, F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("__component_first")), "left_semi")
-    return out.dropDuplicates([id_col])
+    """One row of each component, all columns: that with the smallest id (then the smallest text hash); a null
+    id only stays if its component has no other."""
+    prints, labels = _labelled(text_only(df, id_col, text_col), shingle, radius)
+    known = prints.join(labels, "fp")
+    firsts = known.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("f")).select(F.col("f.id").alias("__first_id"), F.col("f.th").alias("__first_th"))
+    same = F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("__first_id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("__first_th"))
+    out = df.join(firsts, same, "left_semi")
+    twice = prints.groupBy("id", "th").count().filter("count > 1").limit(1).count()
+    return out.dropDuplicates([id_col, text_col]) if twice else out
 
 
 def op1_query(spark, sf_dir: str) -> DataFrame:
