@@ -11,6 +11,8 @@ their new gap class; new sequences open only when no gap is large enough.  Every
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -31,35 +33,69 @@ CHUNK = 4 << 20
 class Tokens:
     """Token ids by word, kept in one flat table: the tokenizer only sees each new word once.
 
-    The tokenizer parts at white space and drops it, so a text's ids are its words' ids in a row.
+    The tokenizer lower-cases, drops white space and parts text into letters, single digits and runs of
+    other characters before it merges.  What a pattern can part alike without doubt (ASCII and Latin-1
+    letters, digits, ASCII marks that touch nothing else) is looked up part by part; anything else, up to
+    the next white space, goes to the tokenizer as it is.  Texts that may hold a special token go whole.
     """
 
-    def __init__(self, path: str, most: int = 1 << 18):
+    #: Parts: letters, a digit, or marks, not touching an apostrophe or any other character; or the rest to white space.
+    PARTS = re.compile(rb"(?>(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)(?![\x00-\x08\x0e-\x1f\x7f-\xff'])|[0-9]|[!-&(-/:-@\[-`{-~]++(?![\x00-\x08\x0e-\x1f\x7f-\xff'])|[^\t-\r ]+")
+    SIMPLE = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+
+    def __init__(self, path: str, most: int = 1 << 19):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has."""
+        got = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum())), sizes
+
     def learn(self, words: set[bytes]) -> None:
-        if len(self.number) > self.most:
+        if len(self.number) + len(words) > self.most:
             self.clear()
         new = [w for w in words if w not in self.number]
-        if not new:
-            return
-        got = [x.ids for x in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        simple = [w for w in new if self.SIMPLE.fullmatch(w)]
+        for some in (simple[at : at + 4096] for at in range(0, len(simple), 4096)):
+            # each is one part to the tokenizer too, so its ids end where a word's end does
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, np.uint32)
+            sizes = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+            self._add(some, *((ids, sizes) if len(sizes) == len(some) and sizes.sum() == len(ids) else self._encoded(some)))
+        rest = [w for w in new if not self.SIMPLE.fullmatch(w)]
+        if rest:
+            self._add(rest, *self._encoded(rest))
+
+    def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
         self.starts = np.append(self.starts, len(self.flat) + np.cumsum(sizes) - sizes)
         self.sizes = np.append(self.sizes, sizes)
-        self.flat = np.append(self.flat, np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum())))
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        n = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        return self.flat[ranges(self.starts[n], self.sizes[n])]
+        self.flat = np.append(self.flat, ids)
+
+    def encoded(self, texts: list[bytes]):
+        """The ids of each text."""
+        parts = []
+        for text in texts:
+            low = text.lower()
+            parts.append(None if b"<|" in low else self.PARTS.findall(low))
+        self.learn(set().union(*(x for x in parts if x)))
+        for text, x in zip(texts, parts):
+            if x is None:
+                yield self._encoded([text])[0]
+            else:
+                n = np.fromiter(map(self.number.__getitem__, x), np.int64, len(x))
+                yield self.flat[ranges(self.starts[n], self.sizes[n])]
 
 
 _KEPT: dict[str, Tokens] = {}
@@ -70,11 +106,10 @@ def _pieces(path: str, capacity: int, last: int, with_ids: bool):
     def run(batches):
         tokens = _KEPT.get(path) or _KEPT.setdefault(path, Tokens(path))
         for table in gathered(batches, CHUNK):
-            lists = [(x or b"").split() for x in raw(table.column("text").combine_chunks())]
-            tokens.learn(set().union(*lists) if lists else set())
+            texts = [x or b"" for x in raw(table.column("text").combine_chunks())]
             rows: list[list] = [[], [], [], [], [], []]
-            for i, words in zip(table.column("id").to_pylist(), lists):
-                ids = np.append(tokens.ids(words), np.uint32(last)).astype("<u4")
+            for i, ids in zip(table.column("id").to_pylist(), tokens.encoded(texts)):
+                ids = np.append(ids, np.uint32(last)).astype("<u4")
                 for p, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     for col, x in zip(rows, (i, p, at, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32) if with_ids else None)):
