@@ -12,7 +12,6 @@ their new gap class; new sequences open only when no gap is large enough.  Every
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -25,77 +24,160 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import checkpointed, gathered, ranges, raw, text_only
+from .common import U64, checkpointed, gathered, ranges, raw, text_only
+from .suffix_dedup import Prints
 
-CHUNK = 4 << 20
+CHUNK = 3 << 20
+
+
+class WordTable:
+    """Numbers of words by their 64-bit hashes: an open-addressing table, looked up in bulk."""
+
+    def __init__(self, bits: int):
+        self.bits, self.keys, self.values, self.n = bits, np.zeros(1 << bits, U64), np.zeros(1 << bits, np.int32), 0
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return (h >> U64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 for a new one."""
+        out, slot, left = np.full(len(h), -1, np.int64), self._slots(h), np.arange(len(h))
+        while len(left):
+            k = self.keys[slot]
+            same = k == h[left]
+            out[left[same]] = self.values[slot[same]]
+            on = ~same & (k != 0)
+            left, slot = left[on], (slot[on] + 1) & (len(self.keys) - 1)
+        return out
+
+    def add(self, h: np.ndarray) -> np.ndarray:
+        """New, different words; returns their numbers, which follow on."""
+        number = np.arange(self.n, self.n + len(h))
+        slot, left = self._slots(h), np.arange(len(h))
+        while len(left):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[left[free]]
+            got = free & (self.keys[slot] == h[left])
+            self.values[slot[got]] = number[left[got]]
+            left, slot = left[~got], (slot[~got] + 1) & (len(self.keys) - 1)
+        self.n += len(h)
+        return number
+
+
+#: Classes of bytes of a lower-cased text: white space, letters, digits, marks, anything else.
+_WHITE, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
+_CLASS = np.array([_WHITE if c == 32 or 9 <= c <= 13 else _LETTER if 97 <= c <= 122 else _DIGIT if 48 <= c <= 57 else _MARK if 33 <= c <= 126 and c != 39 else _OTHER for c in range(256)], np.uint8)
+#: Second bytes of the Latin-1 letters whose first is 0xC3 (all but the signs for times and divided by).
+_LATIN = np.array([0x80 <= c <= 0xBF and c not in (0x97, 0xB7) for c in range(256)])
+
+
+def text_parts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, simple) of the parts of a lower-cased buffer that ends in white space.
+
+    Simple parts are a run of ASCII and Latin-1 letters, one digit, or a run of ASCII marks.  A run of letters
+    or marks that touches an apostrophe or any other character after it, and such a character itself, begin a
+    part that goes on to the next white space.
+    """
+    kind = _CLASS[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[_LATIN[data[lead + 1]]]
+    kind[lead] = kind[lead + 1] = _LETTER
+    new = np.ones(len(kind), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    start = np.flatnonzero(new)
+    end, kind = np.append(start[1:], len(data)), kind[start]
+    keep, simple = kind != _WHITE, kind != _OTHER
+    other = np.flatnonzero(kind == _OTHER)
+    if len(other):
+        white = np.flatnonzero(kind == _WHITE)
+        chunk = np.cumsum(kind == _WHITE)  # between two stretches of white space
+        other = other[np.diff(chunk[other], prepend=-1) != 0]
+        touched = (other > 0) & np.isin(kind[other - 1], (_LETTER, _MARK))
+        first = other - touched
+        from_ = np.full(len(white) + 1, len(kind))
+        from_[chunk[other]] = first
+        keep &= np.arange(len(kind)) <= from_[chunk]
+        end[first] = start[white[chunk[other]]]
+        simple[first] = False
+    return start[keep], end[keep], simple[keep]
 
 
 class Tokens:
-    """Token ids by word, kept in one flat table: the tokenizer only sees each new word once.
+    """Token ids of texts, in bulk: the tokenizer itself only sees each new part of a word once.
 
     The tokenizer lower-cases, drops white space and parts text into letters, single digits and runs of
-    other characters before it merges.  What a pattern can part alike without doubt (ASCII and Latin-1
-    letters, digits, ASCII marks that touch nothing else) is looked up part by part; anything else, up to
-    the next white space, goes to the tokenizer as it is.  Texts that may hold a special token go whole.
+    other characters before it merges.  What can be parted alike without doubt (see text_parts) is looked up
+    part by part; the rest goes to the tokenizer as it is.  Texts that may hold a special token go whole.
     """
 
-    #: Parts: letters, a digit, or marks, not touching an apostrophe or any other character; or the rest to white space.
-    PARTS = re.compile(rb"(?>(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)(?![\x00-\x08\x0e-\x1f\x7f-\xff'])|[0-9]|[!-&(-/:-@\[-`{-~]++(?![\x00-\x08\x0e-\x1f\x7f-\xff'])|[^\t-\r ]+")
-    SIMPLE = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
-
-    def __init__(self, path: str, most: int = 1 << 19):
+    def __init__(self, path: str, bits: int = 22):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.bits = Tokenizer.from_file(path), bits
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.table = WordTable(self.bits)
+        self.flat, self.starts, self.sizes = np.zeros(0, np.uint16 if len(self.last) < 1 << 16 else np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def whole(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, and how many each has."""
         got = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         return np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum())), sizes
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.number) + len(words) > self.most:
-            self.clear()
-        new = [w for w in words if w not in self.number]
-        simple = [w for w in new if self.SIMPLE.fullmatch(w)]
-        for some in (simple[at : at + 4096] for at in range(0, len(simple), 4096)):
-            # each is one part to the tokenizer too, so its ids end where a word's end does
-            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, np.uint32)
-            sizes = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
-            self._add(some, *((ids, sizes) if len(sizes) == len(some) and sizes.sum() == len(ids) else self._encoded(some)))
-        rest = [w for w in new if not self.SIMPLE.fullmatch(w)]
-        if rest:
-            self._add(rest, *self._encoded(rest))
-
-    def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+    def joined(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for simple parts: each is one part to the tokenizer too, so its ids end where a word's end does."""
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, np.uint32)
+        sizes = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+        return (ids, sizes) if len(sizes) == len(words) and sizes.sum() == len(ids) else self.whole(words)
+
+    def _learn(self, data: bytes, start: np.ndarray, end: np.ndarray, simple: np.ndarray, h: np.ndarray) -> None:
+        ids, sizes = [], []
+        order = np.argsort(~simple, kind="stable")
+        n = int(simple.sum())
+        words = [data[a:b] for a, b in zip(start[order].tolist(), end[order].tolist())]
+        for encode, part in [(self.joined, words[at : min(at + 4096, n)]) for at in range(0, n, 4096)] + ([(self.whole, words[n:])] if n < len(words) else []):
+            i, s = encode(part)
+            ids.append(i.astype(self.flat.dtype))
+            sizes.append(s.astype(np.int32))
+        self.table.add(h[order])
+        sizes = np.concatenate(sizes)
         self.starts = np.append(self.starts, len(self.flat) + np.cumsum(sizes) - sizes)
-        self.sizes = np.append(self.sizes, sizes)
-        self.flat = np.append(self.flat, ids)
+        self.sizes, self.flat = np.append(self.sizes, sizes), np.concatenate([self.flat, *ids])
 
     def encoded(self, texts: list[bytes]):
         """The ids of each text."""
-        parts = []
-        for text in texts:
-            low = text.lower()
-            parts.append(None if b"<|" in low else self.PARTS.findall(low))
-        self.learn(set().union(*(x for x in parts if x)))
-        for text, x in zip(texts, parts):
-            if x is None:
-                yield self._encoded([text])[0]
-            else:
-                n = np.fromiter(map(self.number.__getitem__, x), np.int64, len(x))
-                yield self.flat[ranges(self.starts[n], self.sizes[n])]
+        low = [text.lower() for text in texts]
+        special = {i for i, text in enumerate(low) if b"<|" in text}
+        data = b"\n".join([b"" if i in special else text for i, text in enumerate(low)] + [b""])
+        stops = np.cumsum([0 if i in special else len(text) for i, text in enumerate(low)]) + np.arange(len(low))
+        del low
+        buffer = np.frombuffer(data, np.uint8)
+        start, end, simple = text_parts(buffer)
+        h = Prints(buffer).of(start, end - start)
+        h[h == 0] = 1
+        number = self.table.find(h)
+        if (number < 0).any():
+            if self.table.n + (number < 0).sum() > len(self.table.keys) // 2:
+                self.clear()
+                number[:] = -1
+            new = np.flatnonzero(number < 0)
+            _, at = np.unique(h[new], return_index=True)
+            at = new[at]
+            self._learn(data, start[at], end[at], simple[at], h[at])
+            number[new] = self.table.find(h[new])
+        sizes = self.sizes[number].astype(np.int64)
+        ids = self.flat[ranges(self.starts[number], sizes)]
+        cut = np.append(0, np.cumsum(sizes))[np.searchsorted(start, stops, side="left")]
+        first = 0
+        for i, (text, stop) in enumerate(zip(texts, cut.tolist())):
+            yield self.whole([text])[0] if i in special else ids[first:stop]
+            first = stop
 
 
 _KEPT: dict[str, Tokens] = {}
