@@ -154,7 +154,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     runs = LineRuns(spark, threshold)
     for b in range(batches):
         runs.add(found.filter(F.col("batch") == b).select("h1", "h2", "n"))
-    keys = found.select("blk", "h1", "h2").join(runs.frequent(), ["h1", "h2"]).distinct()
+    keys = found.select("blk", "h1", "h2").distinct().join(runs.frequent(), ["h1", "h2"])
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("rest", docs.schema["__rest"].dataType)])
     out = docs.groupBy("blk").cogroup(keys.groupBy("blk")).applyInArrow(_drop_lines, schema)
     return (out if carry else out.drop("rest")).withColumnRenamed("id", id_col)
