@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, raw, text_only
 
-#: Shrinkage towards the pooled covariance, then towards the mean variance.
+#: Least shrinkage towards the pooled covariance, then towards the mean variance; few rows shrink more.
 TO_POOLED, TO_SPHERE = 0.1, 0.05
 _SYMBOLS = np.array([c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'\"-()?"])
 _MARKS = np.frombuffer(b".,;:'\"-()?", np.uint8)
@@ -99,8 +99,9 @@ class QuadraticDiscriminant:
         pooled = (count[0] * covs[0] + count[1] * covs[1]) / count.sum()
         factors, logs = [], []
         for c in (0, 1):
-            s = (1 - TO_POOLED) * covs[c] + TO_POOLED * pooled
-            s = (1 - TO_SPHERE) * s + TO_SPHERE * max(np.trace(s) / DIM, 1e-6) * np.eye(DIM)
+            a, b = max(TO_POOLED, DIM / (DIM + count[c])), max(TO_SPHERE, DIM / (DIM + count.sum()))
+            s = (1 - a) * covs[c] + a * pooled
+            s = (1 - b) * s + b * max(np.trace(s) / DIM, 1e-6) * np.eye(DIM)
             chol = np.linalg.cholesky(s)
             factors.append(np.linalg.inv(chol))
             logs.append(np.log(count[c] / count.sum()) - np.log(np.diag(chol)).sum())
