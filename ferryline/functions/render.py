@@ -20,8 +20,8 @@ _HEX_TEXT = r"^\\x([0-9A-Fa-f]{2})+$"
 
 
 def plain_number(text: Column) -> Column:
-    """Decimal text without trailing zeros; minus zero is zero."""
-    short = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    """Decimal text without trailing zeros after its point; minus zero is zero."""
+    short = F.when(F.instr(text, ".") > 0, F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(text)
     return F.when(short == "-0", "0").otherwise(short)
 
 
@@ -41,8 +41,12 @@ def array_literal(c: Column, element: T.DataType) -> Column:
 def _utc_text(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.TimestampType):
         c = F.to_utc_timestamp(c, F.current_timezone())
-    micros = F.date_format(c, "SSSSSS")
-    return F.concat(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros)))
+    s = c.cast("string")  # leaves out a fraction of zero, and a fraction's trailing zeros
+    return F.when(F.instr(s, ".") > 0, F.concat(F.substring_index(s, ".", 1), F.lit("."), F.rpad(F.substring_index(s, ".", -1), 6, "0"))).otherwise(s)
+
+
+def _hex_text(c: Column) -> Column:
+    return F.startswith(c, F.lit("\\x")) & c.rlike(_HEX_TEXT)
 
 
 def render(c: Column, kind: T.DataType, scale: int | None = None) -> Column:
@@ -56,13 +60,13 @@ def render(c: Column, kind: T.DataType, scale: int | None = None) -> Column:
         out = F.coalesce(plain_number(exact.cast("string")), c.cast("string"))
     elif isinstance(kind, T.BinaryType):
         text = c.cast("string")
-        out = F.concat(F.lit(BINARY_TAG), F.when(text.rlike(_HEX_TEXT), F.lower(F.substring(text, 3, 1 << 30))).otherwise(F.lower(F.hex(c))))
+        out = F.concat(F.lit(BINARY_TAG), F.when(_hex_text(text), F.lower(F.substring(text, 3, 1 << 30))).otherwise(F.lower(F.hex(c))))
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         out = F.concat(F.lit(TIME_TAG), _utc_text(c, kind))
     elif isinstance(kind, T.ArrayType):
         out = array_literal(c, kind.elementType)
     elif isinstance(kind, T.StringType):
-        out = F.when(c.rlike(_HEX_TEXT), F.concat(F.lit(BINARY_TAG), F.lower(F.substring(c, 3, 1 << 30)))).otherwise(c)
+        out = F.when(_hex_text(c), F.concat(F.lit(BINARY_TAG), F.lower(F.substring(c, 3, 1 << 30)))).otherwise(c)
     else:
         out = c.cast("string")
     return F.coalesce(out, F.lit(NULL_TEXT))

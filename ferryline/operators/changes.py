@@ -130,8 +130,8 @@ def fold_with_moves(stored: DataFrame, changes: DataFrame, keys: Sequence[str])
     """The stored table after a stream that also moves rows to other keys.
 
     ``changes``: ord, kind, the keys, old (struct of the keys before a move, else null), and structs as for
-    fold.  Keys that moves link, directly or by a chain, form small groups; each is replayed in order, with its
-    stored rows.  All other keys go through fold.  Replaying a batch on the version it started from gives
+    fold.  Keys that moves link, directly or by a chain, form small groups; each group lies whole in one bucket,
+    and a bucket is replayed in order with its stored rows.  All other keys go through fold.  Replaying a batch on the version it started from gives
     the same result, which is how a retried batch is made safe (see streaming.versions).
     """
     rest = [c for c in stored.columns if c not in keys]
@@ -144,8 +144,9 @@ def fold_with_moves(stored: DataFrame, changes: DataFrame, keys: Sequence[str])
     plain = fold(s.filter("root IS NULL").drop("root"), c.filter("root IS NULL AND kind <> 'keymove'"), keys)
     kept = [f.name for f in stored.schema.fields]
     schema = stored.schema
-    moved_rows = s.filter("root IS NOT NULL").select("root", F.lit(-1).cast("bigint").alias("ord"), F.lit("stored").alias("kind"), F.struct(*keys).alias("key"), F.struct(*keys).alias("old"), *[F.struct(F.col(x)).alias(f"c_{x}") for x in rest])
-    moved_changes = c.filter("root IS NOT NULL").select("root", "ord", "kind", F.struct(*keys).alias("key"), F.coalesce("old", F.struct(*keys)).alias("old"), *[F.col(x).alias(f"c_{x}") for x in rest])
+    bucket = F.pmod(F.xxhash64("root"), F.lit(4 * int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions")))).alias("bucket")
+    moved_rows = s.filter("root IS NOT NULL").select(bucket, F.lit(-1).cast("bigint").alias("ord"), F.lit("stored").alias("kind"), F.struct(*keys).alias("key"), F.struct(*keys).alias("old"), *[F.struct(F.col(x)).alias(f"c_{x}") for x in rest])
+    moved_changes = c.filter("root IS NOT NULL").select(bucket, "ord", "kind", F.struct(*keys).alias("key"), F.coalesce("old", F.struct(*keys)).alias("old"), *[F.col(x).alias(f"c_{x}") for x in rest])
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         rows, todo = {}, []
@@ -158,7 +159,7 @@ def fold_with_moves(stored: DataFrame, changes: DataFrame, keys: Sequence[str])
         out = replay(rows, todo, kept, keys)
         return pd.DataFrame(list(out.values()), columns=kept)
 
-    moved = moved_rows.unionByName(moved_changes).groupBy("root").applyInPandas(one, schema)
+    moved = moved_rows.unionByName(moved_changes).groupBy("bucket").applyInPandas(one, schema)
     return plain.select(*kept).unionByName(moved)
 
 

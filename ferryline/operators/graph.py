@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,6 @@ def linked(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     Each round takes the least label among a node and its neighbours, then the label of that label, so chains
     shorten by half; it ends when nothing changes.  Sized for the key moves of a batch.
     """
-    spark = edges.sparkSession
     both = _cut(edges.select("u", "v").union(edges.select("v", "u")).distinct())
     label = _cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root")).withColumnRenamed("u", "node"))
     for _ in range(most_rounds):
@@ -26,9 +27,12 @@ def linked(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
             break
     else:
         raise RuntimeError(f"key moves still link after {most_rounds} rounds")
-    return label if label is not None else spark.createDataFrame([], "node string, root string")
+    return label
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint where a folder is set; small batches without one just recompute."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+    """A reliable checkpoint in the folder that the cluster names, or in one of our own where it names none."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='ferryline-')}")
+    return df.checkpoint()
