@@ -39,9 +39,45 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def buckets(spark: SparkSession) -> int:
-    """Logical buckets for blobs: four to each shuffle partition, so that hashing evens out."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of input, as the planner knows it, to a bucket at most; an estimate beyond the last bound is no estimate.
+BUCKET_BYTES, UNKNOWN_BYTES = 16 << 20, 1 << 52
+
+
+def buckets(df: DataFrame) -> int:
+    """Logical buckets for blobs and blocks of rows: four to each shuffle partition, so that hashing evens out, and
+    more where the input is so large that a bucket would not fit a task."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, size // BUCKET_BYTES) if size < UNKNOWN_BYTES else least
+
+
+#: A key is spread over all buckets if it holds over this many times a bucket's mean share; and how often a
+#: chunk must have it to report it.
+SPREAD_FROM, REPORT_FROM = 2.0, 4
+
+
+def counted_keys(keys: np.ndarray, least: int) -> pa.RecordBatch:
+    """A chunk's report: how many keys it has (under null), and those it has at least ``least`` times."""
+    found, n = np.unique(keys, return_counts=True)
+    often = n >= least
+    return pa.RecordBatch.from_arrays([pa.array([None, *found[often].view(np.int64).tolist()], pa.int64()), pa.array([len(keys), *n[often].tolist()], pa.int64())], ["key", "n"])
+
+
+def heavy_keys(reports: DataFrame, n_buckets: int, factor: float = SPREAD_FROM) -> np.ndarray:
+    """Keys with over ``factor`` times a bucket's mean share, from the reports of all chunks.
+
+    At most n_buckets / factor keys can have that share, however large the corpus: that bounds the list.
+    """
+    total = reports.filter("key IS NULL").agg(F.sum("n")).first()[0] or 0
+    rows = reports.filter("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > factor * total / n_buckets).select("key").collect()
+    return np.sort(np.array([r["key"] for r in rows], np.int64).view(U64))
+
+
+def among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which keys are in a sorted list."""
+    if not len(some):
+        return np.zeros(len(keys), bool)
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys
 
 
 # ---- row identity --------------------------------------------------------------------------

@@ -145,7 +145,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     line.  Each row counts as a document, repeated rows and ids too; an empty table gives an empty result;
     other columns are not read.  Keys are told apart by 128-bit hashes.
     """
-    spark, n = df.sparkSession, buckets(df.sparkSession)
+    spark, n = df.sparkSession, buckets(df)
     rest = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("int")
     docs = text_only(df.select("*", rest.alias("__rest")), id_col, text_col, "__rest").withColumn("blk", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
     counted = docs.select("text", "blk").mapInArrow(_counts(least_chars), "blk int, h1 bigint, h2 bigint, n bigint")

@@ -7,6 +7,10 @@ hashes).  Each partition finds the edges that repeat and compacts runs of remova
 each other in a source; a Spark join on the source's block then glues the runs of all partitions, and
 the source's own words at those coordinates decide what is cut.
 
+A minimizer that holds a large share of all edges (a passage that very many documents have, with other words
+around it) would fill one partition; its edges are dealt out by their own hashes instead.  A first pass over all
+texts finds such minimizers; there can only be a bounded number.
+
 An edge is known by its 64-bit seed and 48 bits of a second hash together (112 bits).  Repeats inside
 the documents that a task reads are resolved there, and only the smallest id's copy of an edge is sent.
 """
@@ -18,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHash, bounds, buckets, covered, deltas, gathered, longs, pack, ranges, raw, slide, text_only, unpack, with_tags, xxhash64_long
+from .common import REPORT_FROM, SPREAD_FROM, U64, WordHash, among, bounds, buckets, checkpointed, counted_keys, covered, deltas, gathered, heavy_keys, longs, pack, ranges, raw, slide, text_only, unpack, with_tags, xxhash64_long
 
 #: Bytes of text whose edges a task holds at once.
 CHUNK = 5 << 20
@@ -48,45 +52,69 @@ def _runs_of(flag: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at[starts], lengths
 
 
-def edge_runs(q_n: int, k: int, seed_k: int):
-    """mapInArrow: (id, tag, text) to blobs of edge runs by partition of their minimizer."""
+def _edges(table: pa.Table, words_of: WordHash, k: int, seed_k: int):
+    """The edges of a chunk: row, place in it, minimizer, and a function for their hashes; None without any."""
+    lists = [x.split() for x in raw(table.column("text").combine_chunks())]
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    total = int(counts.sum())
+    if total < k:
+        return None
+    h = words_of.array([w for x in lists for w in x], total)
+    del lists
+    doc = np.repeat(np.arange(len(counts)), counts)
+    n, seeds = total - k + 1, slide(h, seed_k, 0x9E3779B97F4A7C15)
+    low = seeds[:n].copy()
+    for j in range(1, k - seed_k + 1):
+        np.minimum(low, seeds[j : j + n], out=low)
+    at = np.flatnonzero(doc[:n] == doc[k - 1 :])
+    doc = doc[at]
+    return doc, at - (np.cumsum(counts) - counts)[doc], low[at], lambda: slide(h, k, 0xD6E8FEB86659FD93)[at]
+
+
+def seed_reports(k: int, seed_k: int, least: int):
+    """mapInArrow: how often minimizers hold a run of edges, by chunk."""
+
+    def run(batches):
+        words_of = WordHash()
+        for table in gathered(batches, CHUNK):
+            if (found := _edges(table, words_of, k, seed_k)) is not None and len(found[0]):
+                doc, _, low, _ = found
+                starts, _ = bounds((low != np.roll(low, 1)) | (doc != np.roll(doc, 1)))
+                yield counted_keys(low[starts], least)
+
+    return run
+
+
+def edge_runs(q_n: int, k: int, seed_k: int, heavy: np.ndarray):
+    """mapInArrow: (id, tag, text) to blobs of edge runs by partition: that of their minimizer, or of each edge
+    itself where the minimizer is a heavy one."""
 
     def run(batches):
-        words_of, span = WordHash(), k - seed_k + 1
+        words_of = WordHash()
         for table in gathered(batches, CHUNK):
             ids, tags = longs(table.column("id").combine_chunks()), longs(table.column("tag").combine_chunks())
-            lists = [x.split() for x in raw(table.column("text").combine_chunks())]
-            counts = np.fromiter(map(len, lists), np.int64, len(lists))
-            total = int(counts.sum())
-            if total < k:
+            found = _edges(table, words_of, k, seed_k)
+            if found is None:
                 continue
-            h = words_of.array([w for x in lists for w in x], total)
-            del lists
-            doc = np.repeat(np.arange(len(ids)), counts)
-            n = total - k + 1
-            seeds = slide(h, seed_k, 0x9E3779B97F4A7C15)
-            low = seeds[:n].copy()
-            for j in range(1, span):
-                np.minimum(low, seeds[j : j + n], out=low)
-            at = np.flatnonzero(doc[:n] == doc[k - 1 :])
-            edge, low, doc = slide(h, k, 0xD6E8FEB86659FD93)[at], low[at], doc[at]
-            pos = at - (np.cumsum(counts) - counts)[doc]
-            own = ids[doc]
+            doc, pos, low, hashes = found
+            edge, own = hashes(), ids[doc]
+            part = (low % U64(q_n)).astype(np.int64)
+            spread = among(low, heavy)
+            part[spread] = (edge[spread] % U64(q_n)).astype(np.int64)
             # an edge that a smaller id of this chunk has is removed here
             order = np.argsort(edge)
             e, s = edge[order], low[order]
             starts, lengths = bounds((e != np.roll(e, 1)) | (s != np.roll(s, 1)))
-            gone = np.zeros(len(at), bool)
-            if len(at):
+            gone = np.zeros(len(edge), bool)
+            if len(edge):
                 gone[order] = own[order] > np.repeat(np.minimum.reduceat(own[order], starts), lengths)
             del order, e, s
             follows = (np.diff(pos, prepend=-2) == 1) & (np.diff(doc, prepend=-1) == 0)
-            same = follows & (low == np.roll(low, 1))
+            same = follows & (low == np.roll(low, 1)) & (part == np.roll(part, 1))
             first, size = _runs_of(~gone, same)
             edge48 = np.ascontiguousarray((edge >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
             done_at, done_n = _runs_of(gone, follows)
-            todo = dict(_split((low[first] % U64(q_n)).astype(np.int64), q_n))
-            done = dict(_split((low[done_at] % U64(q_n)).astype(np.int64), q_n))
+            todo, done = dict(_split(part[first], q_n)), dict(_split(part[done_at], q_n))
             out_q, out = [], []
             none = np.zeros(0, np.int64)
             for q in sorted({*todo, *done}):
@@ -171,7 +199,7 @@ def _cut(k: int):
     return run
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, seed_k: int = 7) -> DataFrame:
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, seed_k: int = 7, spread: tuple[float, int] = (SPREAD_FROM, REPORT_FROM)) -> DataFrame:
     """Remove the words of every window of k words that also starts in a document with a smaller id.
 
     Returns one row for each input row: the id (under its own name, bigint), n_words, n_removed and
@@ -179,11 +207,13 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ASCII white space; windows are judged on the input.  Null text has no words; a row with a null id
     loses nothing and makes nothing removable; rows with equal ids never remove each other's words, and
     repeated rows get the same result.  An empty table gives an empty result.  Other columns are not read.
+    ``spread``: from which share on a minimizer's edges are dealt out one by one, see common.heavy_keys.
     """
-    spark = df.sparkSession
-    n = buckets(spark)
+    n = buckets(df)
     docs = with_tags(text_only(df, id_col, text_col))
-    blobs = docs.filter("id IS NOT NULL AND text IS NOT NULL").mapInArrow(edge_runs(n, k, seed_k), "q int, blob binary")
+    read = docs.filter("id IS NOT NULL AND text IS NOT NULL")
+    reports = checkpointed(read.select("text").mapInArrow(seed_reports(k, seed_k, spread[1]), "key bigint, n bigint"))
+    blobs = read.mapInArrow(edge_runs(n, k, seed_k, heavy_keys(reports, n, spread[0])), "q int, blob binary")
     back = blobs.groupBy("q").applyInArrow(repeated(n), "blk int, blob binary")
     block = F.pmod(F.coalesce(F.when(F.col("id").isNull(), F.xxhash64("text")), F.xxhash64("id")), F.lit(n)).cast("int")
     left = docs.withColumn("blk", block)

@@ -10,16 +10,22 @@ An index holds whole minimizer groups.  It builds the Burrows-Wheeler transform
 compresses it to runs, and samples text positions at the ends of the runs.  Matching statistics are
 streamed over the text: at a run's ends the match with the neighbouring suffix is measured, within a run it
 is one shorter than at the position before.  Windows that match for ``length`` bytes or more are marked.
+
+A minimizer that holds a large share of all stretches (a passage that very many documents have, with other
+bytes around it) would make one index too large for a task.  A first pass over all texts finds such minimizers,
+of which there can only be a bounded number; their stretches are dealt out one by one, and those that stay open
+are compared window by window, by 128-bit hashes dealt over all partitions.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bounds, buckets, checkpointed, covered, deltas, gathered, longs, mix, pack, ranges, raw, text_only, unpack
+from .common import REPORT_FROM, SPREAD_FROM, U64, among, bounds, buckets, checkpointed, counted_keys, covered, deltas, gathered, heavy_keys, longs, mix, pack, ranges, raw, text_only, unpack
 from .decontamination import suffix_array
 
 #: Bytes of text in a chunk; bytes in an index; windows in a stretch at most.
@@ -117,25 +123,39 @@ def _classes(seed: np.ndarray, print_: np.ndarray, size: np.ndarray):
     return order, *bounds((a != np.roll(a, 1)) | (b != np.roll(b, 1)) | (c != np.roll(c, 1)))
 
 
-def _send(q_n: int, length: int):
-    """mapInArrow: (key, text) to blobs of stretches by partition of their minimizer.
+def _chunks(batches, length: int):
+    """The stretches of each chunk, with the rows' keys, and which of equal ones leads and which have equals."""
+    for table in gathered(batches, CHUNK):
+        keys = longs(table.column("key").combine_chunks())
+        texts = [x or b"" for x in raw(table.column("text").combine_chunks())]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        seed, print_, doc, pos, size, again = stretches(np.frombuffer(b"".join(texts), np.uint8), sizes, length)
+        if len(seed):
+            order, starts, n = _classes(seed, print_, size)
+            many, lead = np.zeros(len(seed), bool), np.zeros(len(seed), bool)
+            many[order] = np.repeat(n > 1, n)
+            lead[order[starts]] = True
+            yield keys[doc], seed, print_, pos, size, again, many, lead
+
+
+def _reports(length: int, least: int):
+    """mapInArrow: how many different stretches minimizers hold, by chunk."""
+    def run(batches):
+        for _, seed, _, _, _, _, _, lead in _chunks(batches, length):
+            yield counted_keys(seed[lead], least)
+
+    return run
+
+
+def _send(q_n: int, length: int, heavy: np.ndarray):
+    """mapInArrow: (key, text) to blobs of stretches by partition: that of their minimizer, or of each stretch
+    itself where the minimizer is a heavy one.
 
     Stretches that repeat within the chunk are settled here, and one of them is sent as a double.
     """
     def run(batches):
-        for table in gathered(batches, CHUNK):
-            keys = longs(table.column("key").combine_chunks())
-            texts = [x or b"" for x in raw(table.column("text").combine_chunks())]
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            seed, print_, doc, pos, size, again = stretches(np.frombuffer(b"".join(texts), np.uint8), sizes, length)
-            if not len(seed):
-                continue
-            order, starts, n = _classes(seed, print_, size)
-            many = np.zeros(len(seed), bool)
-            many[order] = np.repeat(n > 1, n)
-            lead = np.zeros(len(seed), bool)
-            lead[order[starts]] = True
-            key, q = keys[doc], (seed % U64(q_n)).astype(np.int64)
+        for key, seed, print_, pos, size, again, many, lead in _chunks(batches, length):
+            q = (np.where(among(seed, heavy), mix(seed ^ print_), seed) % U64(q_n)).astype(np.int64)
             out_q, out = [], []
             for p, i in _by(q):
                 s, d = i[lead[i]], i[many[i] & ~lead[i]]
@@ -151,8 +171,11 @@ def _pack_runs(key: np.ndarray, pos: np.ndarray, size: np.ndarray) -> bytes:
     return pack(deltas(key[order]), pos[order].astype(np.int32), size[order].astype(np.int16))
 
 
-def _settle(blk_n: int):
-    """applyInArrow over one partition of minimizers: kind 0, runs of repeated windows; kind 1, stretches to index."""
+def _settle(blk_n: int, heavy: np.ndarray):
+    """applyInArrow over one partition of minimizers: kind 0, runs of repeated windows; kind 1, stretches to index.
+
+    What else a heavy minimizer holds is not known here, so that its stretches are all asked for.
+    """
     def run(table: pa.Table) -> pa.Table:
         got = [unpack(x) for x in raw(table.column("blob").combine_chunks())]
         seed, print_, key, pos, size, many, again, d_key, d_pos, d_size = (np.concatenate(x) for x in zip(*got))
@@ -161,6 +184,7 @@ def _settle(blk_n: int):
         lead = order[starts]
         g_start, g_n = bounds(seed[lead] != np.roll(seed[lead], 1))
         open_ = np.logical_or.reduceat(total == 1, g_start) & ((g_n > 1) | np.logical_or.reduceat((total == 1) & (again[lead] > 0), g_start))
+        open_ |= among(seed[lead[g_start]], heavy)
         ask = lead[np.repeat(open_, g_n)]
         role = (total == 1)[np.repeat(open_, g_n)]
         done = np.zeros(len(seed), bool)
@@ -189,8 +213,9 @@ def _by_any(key: np.ndarray):
         yield int(key[order[a]]), order[a : a + m]
 
 
-def _fetch(q_n: int, length: int):
-    """Cogroup of a block's documents with what is asked of them: the stretches' bytes, by partition."""
+def _fetch(q_n: int, length: int, heavy: np.ndarray):
+    """Cogroup of a block's documents with what is asked of them: the stretches' bytes, by partition of their
+    minimizer; of heavy minimizers, a 128-bit hash of each window, by partition of the hash."""
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
         rows: list = []
         if asked.num_rows:
@@ -201,9 +226,18 @@ def _fetch(q_n: int, length: int):
                 for j in where.pop(k, np.zeros(0, np.int64)).tolist():
                     a = int(pos[j])
                     piece[j] = text[a : a + int(size[j]) + length - 1]
+            spread = among(seed, heavy)
             for q, i in _by((mix(seed) % U64(q_n)).astype(np.int64)):
+                i = i[~spread[i]]
                 meta = pack(key[i], pos[i], size[i], seed[i], role[i])
-                rows.append((q, len(meta).to_bytes(4, "little") + meta + b"".join(piece[j] for j in i.tolist())))
+                rows.append((q, b"B" + len(meta).to_bytes(4, "little") + meta + b"".join(piece[j] for j in i.tolist())))
+            j = np.flatnonzero(spread)
+            if len(j):
+                h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(piece[x][w : w + length]) for x in j.tolist() for w in range(int(size[x]))), U64).reshape(-1, 2)
+                n = size[j].astype(np.int64)
+                own, at = np.repeat(j, n), ranges(pos[j].astype(np.int64), n)
+                for q, i in _by((h[:, 0] % U64(q_n)).astype(np.int64)):
+                    rows.append((q, b"H" + pack(h[i, 0], h[i, 1], key[own[i]], at[i].astype(np.int32), role[own[i]])))
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows) if rows else ([],) * 2, _BLOB.types)], schema=_BLOB)
 
     return run
@@ -252,49 +286,61 @@ class RunIndex:
 
 
 def _index(blk_n: int, length: int):
-    """applyInArrow over one partition of stretches: runs of repeated windows, by block."""
+    """applyInArrow over one partition of stretches and of single windows: runs of repeated windows, by block."""
     def run(table: pa.Table) -> pa.Table:
-        meta, body = [], []
-        for blob in raw(table.column("blob").combine_chunks()):
-            n = int.from_bytes(blob[:4], "little")
-            meta.append(unpack(blob[4 : 4 + n]))
-            body.append(np.frombuffer(blob, np.uint8, offset=4 + n))
-        key, pos, size, seed, role = (np.concatenate(x) for x in zip(*meta))
-        data = np.concatenate(body)
-        del body, meta
-        size = size.astype(np.int64)
-        wide = size + length - 1
-        start = np.cumsum(wide) - wide
-        order = np.argsort(seed, kind="stable")
-        group, n = bounds(seed[order] != np.roll(seed[order], 1))
-        bytes_ = np.add.reduceat(wide[order], group)
-        shard = (np.cumsum(bytes_) - 1) // INDEX
-        out: list = []
-        for s in np.unique(shard):
-            i = order[np.repeat(shard == s, n)]
-            places = ranges(start[i], wide[i] + 1)
-            last = np.zeros(len(places), bool)
-            last[np.cumsum(wide[i] + 1) - 1] = True
-            t = np.where(last, 0, data[np.minimum(places, len(data) - 1)].astype(np.int64) + 1)
-            matched = RunIndex(t).statistics()
-            head = np.cumsum(wide[i] + 1) - (wide[i] + 1)
-            mine = np.flatnonzero(role[i] == 1)
-            own, w = np.repeat(mine, size[i[mine]]), ranges(np.zeros(len(mine), np.int64), size[i[mine]])
-            hit = np.flatnonzero(matched[head[own] + w] >= length)
-            if len(hit):
-                first, m = bounds((np.diff(hit, prepend=-2) != 1) | (own[hit] != np.roll(own[hit], 1)))
-                j, a = i[own[hit[first]]], w[hit[first]]
-                out.append((key[j], pos[j] + a, m))
+        blobs = raw(table.column("blob").combine_chunks())
+        stretched, single = [x[1:] for x in blobs if x[:1] == b"B"], [unpack(x[1:]) for x in blobs if x[:1] == b"H"]
+        out = list(_indexed(stretched, length)) if stretched else []
+        if single:
+            h1, h2, key, pos, role = (np.concatenate(x) for x in zip(*single))
+            order = np.lexsort((h2, h1))
+            _, n = bounds((h1[order] != np.roll(h1[order], 1)) | (h2[order] != np.roll(h2[order], 1)))
+            hit = order[np.repeat(n > 1, n) & (role[order] == 1)]
+            out.append((key[hit], pos[hit], np.ones(len(hit), np.int64)))
         rows = []
         if out:
             k, p, m = (np.concatenate(x) for x in zip(*out))
-            for b, i in _by(np.mod(k, blk_n)):
+            for b, i in _by(np.mod(k, blk_n)) if len(k) else ():
                 rows.append((b, 0, _pack_runs(k[i], p[i], m[i])))
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows) if rows else ([],) * 3, _FOUND.types)], schema=_FOUND)
 
     return run
 
 
+def _indexed(blobs: list[bytes], length: int):
+    """(key, start, windows) of repeated windows, from run-length indexes over whole minimizer groups."""
+    meta, body = [], []
+    for blob in blobs:
+        n = int.from_bytes(blob[:4], "little")
+        meta.append(unpack(blob[4 : 4 + n]))
+        body.append(np.frombuffer(blob, np.uint8, offset=4 + n))
+    key, pos, size, seed, role = (np.concatenate(x) for x in zip(*meta))
+    data = np.concatenate(body)
+    del body, meta
+    if not len(key):
+        return
+    size = size.astype(np.int64)
+    wide = size + length - 1
+    start = np.cumsum(wide) - wide
+    order = np.argsort(seed, kind="stable")
+    group, n = bounds(seed[order] != np.roll(seed[order], 1))
+    shard = (np.cumsum(np.add.reduceat(wide[order], group)) - 1) // INDEX
+    for s in np.unique(shard):
+        i = order[np.repeat(shard == s, n)]
+        places = ranges(start[i], wide[i] + 1)
+        last = np.zeros(len(places), bool)
+        last[np.cumsum(wide[i] + 1) - 1] = True
+        matched = RunIndex(np.where(last, 0, data[np.minimum(places, len(data) - 1)].astype(np.int64) + 1)).statistics()
+        head = np.cumsum(wide[i] + 1) - (wide[i] + 1)
+        mine = np.flatnonzero(role[i] == 1)
+        own, w = np.repeat(mine, size[i[mine]]), ranges(np.zeros(len(mine), np.int64), size[i[mine]])
+        hit = np.flatnonzero(matched[head[own] + w] >= length)
+        if len(hit):
+            first, m = bounds((np.diff(hit, prepend=-2) != 1) | (own[hit] != np.roll(own[hit], 1)))
+            j = i[own[hit[first]]]
+            yield key[j], pos[j] + w[hit[first]], m
+
+
 _OUT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
 
@@ -320,21 +366,24 @@ def _cut(length: int):
     return run
 
 
-def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
+def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, spread: tuple[float, int] = (SPREAD_FROM, REPORT_FROM)) -> DataFrame:
     """Remove every byte covered by a string of ``length`` bytes that also starts anywhere else.
 
     Returns one row for each input row: the id (bigint), n_bytes, n_removed, n_spans (maximal removed runs) and
     kept (binary: the other bytes, which may part a character).  Matches never cross rows; both copies go, in one
     row or in two, so repeated rows of ``length`` bytes or more lose all.  Null text is empty; null ids are rows
     like others; an empty table gives an empty result; other columns are not read.  ``length`` is at least 64.
+    ``spread``: from which share on a minimizer's stretches are dealt out one by one, see common.heavy_keys.
     """
-    spark, n = df.sparkSession, buckets(df.sparkSession)
+    n = buckets(df)
     docs = text_only(df, id_col, text_col).withColumn("key", F.xxhash64("id", "text"))
-    sent = docs.select("key", "text").mapInArrow(_send(n, length), "q int, blob binary")
-    found = checkpointed(sent.groupBy("q").applyInArrow(_settle(n), "blk int, kind int, blob binary"))
+    reports = checkpointed(docs.select("key", "text").mapInArrow(_reports(length, spread[1]), "key bigint, n bigint"))
+    heavy = heavy_keys(reports, n, spread[0])
+    sent = docs.select("key", "text").mapInArrow(_send(n, length, heavy), "q int, blob binary")
+    found = checkpointed(sent.groupBy("q").applyInArrow(_settle(n, heavy), "blk int, kind int, blob binary"))
     docs = docs.withColumn("blk", F.pmod("key", F.lit(n)).cast("int"))
     asked = found.filter("kind = 1").select("blk", "blob")
-    fetched = docs.select("blk", "key", "text").groupBy("blk").cogroup(asked.groupBy("blk")).applyInArrow(_fetch(n, length), "q int, blob binary")
+    fetched = docs.select("blk", "key", "text").groupBy("blk").cogroup(asked.groupBy("blk")).applyInArrow(_fetch(n, length, heavy), "q int, blob binary")
     matched = checkpointed(fetched.groupBy("q").applyInArrow(_index(n, length), "blk int, kind int, blob binary"))
     runs = found.filter("kind = 0").union(matched).select("blk", "blob")
     out = docs.groupBy("blk").cogroup(runs.groupBy("blk")).applyInArrow(_cut(length), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")

@@ -139,11 +139,12 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_substring_dedup_random(spark, seed):
+@pytest.mark.parametrize("spread", [(2.0, 4), (0.0, 1), (0.05, 1)])
+@pytest.mark.parametrize("seed", range(2))
+def test_substring_dedup_random(spark, seed, spread):
     r = random.Random(seed)
     rows = [(r.randint(0, 9), " ".join(r.choice("ab") for _ in range(r.randint(0, 40)))) for _ in range(25)]
-    got = [(*x[:3], bytes(x[3])) for x in substring_dedup.substring_dedup(frame(spark, rows), k=6, seed_k=3).collect()]
+    got = [(*x[:3], bytes(x[3])) for x in substring_dedup.substring_dedup(frame(spark, rows), k=6, seed_k=3, spread=spread).collect()]
     assert srt(got) == srt(plain_substrings(rows, 6))
 
 
@@ -372,13 +373,14 @@ def test_suffix_dedup(docs, none):
     assert suffix_dedup.suffix_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("spread", [(2.0, 4), (0.0, 1), (0.5, 1)])
 @pytest.mark.parametrize("seed", range(4))
-def test_suffix_dedup_random(spark, seed):
+def test_suffix_dedup_random(spark, seed, spread):
     r = random.Random(seed)
     alphabet = ["a", "é", "\x00", "\n"][: seed + 1]
     blocks = ["".join(r.choice(alphabet) for _ in range(r.randint(30, 160))) for _ in range(6)]
     rows = [(i, "".join(r.choice(blocks) for _ in range(r.randint(0, 5))) + r.choice(["", "q", "zz"])) for i in range(30)]
-    assert binary(suffix_dedup.suffix_dedup(frame(spark, rows), length=70)) == srt(plain_repeats(rows, 70))
+    assert binary(suffix_dedup.suffix_dedup(frame(spark, rows), length=70, spread=spread)) == srt(plain_repeats(rows, 70))
 
 
 def test_run_index_statistics():
