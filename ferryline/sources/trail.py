@@ -121,6 +121,27 @@ class Trail:
             flush()
         return n
 
+    def append_frame(self, df: DataFrame, order: str) -> int:
+        """Write a table of records (op, table, key, after and others of the schema) in the order of a whole number.
+
+        Numbering and writing stay distributed; each file that Spark writes becomes a segment.  Returns how many.
+        """
+        from ..operators.ordered import running_sum
+
+        last, have = self.last_seq(), self.segments()
+        number = self._number(have[-1]) + 1 if have else 0
+        rows = running_sum(df, order, F.lit(1), "__n").withColumn("seq", F.col("__n") + last)
+        fields = [c for c in rows.columns if c not in (order, "__n")]
+        lines = rows.repartitionByRange("seq").sortWithinPartitions("seq").select(F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "true"}).alias("value"))
+        temp = f"{self.path}/.frame-{number:010d}"
+        lines.write.mode("overwrite").text(temp)
+        files = sorted(x.getPath().getName() for x in self._fs.listStatus(self._path(temp)) if x.getPath().getName().startswith("part-") and x.getLen())
+        for n, name in enumerate(files):
+            if not self._fs.rename(self._path(f"{temp}/{name}"), self._path(f"{self.path}/segment-{number + n:010d}.jsonl")):
+                raise OSError(f"segment {number + n} can't be put in place")
+        self._fs.delete(self._path(temp), True)
+        return self.last_seq() - last
+
     def _torn(self, segment: str) -> bool:
         """Whether a segment's last byte is no newline."""
         path = self._path(segment)
