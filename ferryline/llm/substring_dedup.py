@@ -30,8 +30,12 @@ _BLOB = pa.schema([("q", pa.int32()), ("blob", pa.binary())])
 _BACK = pa.schema([("blk", pa.int32()), ("blob", pa.binary())])
 
 
-def _blocks(ids: np.ndarray, n: int) -> np.ndarray:
-    return np.mod(xxhash64_long(ids), n).astype(np.int32)
+#: Parts the rows of a repeated id, by their tags, over the blocks.
+_TAG_STEP = 0x9E3779B1
+
+
+def _blocks(ids: np.ndarray, tags: np.ndarray, n: int) -> np.ndarray:
+    return np.mod(xxhash64_long(ids ^ (tags.astype(np.int64) * _TAG_STEP)), n).astype(np.int32)
 
 
 def _split(key: np.ndarray, n: int):
@@ -159,7 +163,7 @@ def repeated(blk_n: int):
             at = pos[r] + first - (np.cumsum(size) - size)[r]
             d_ids, d_tags, d_pos, d_n = (np.concatenate(x) for x in ((d_ids, ids[r]), (d_tags, tags[r]), (d_pos, at), (d_n, n)))
         out_b, out = [], []
-        for b, i in _split(_blocks(d_ids, blk_n), blk_n) if len(d_ids) else ():
+        for b, i in _split(_blocks(d_ids, d_tags, blk_n), blk_n) if len(d_ids) else ():
             i = i[np.lexsort((d_pos[i], d_tags[i], d_ids[i]))]
             out_b.append(b)
             out.append(pack(deltas(d_ids[i]), d_tags[i].astype(np.int32), deltas(d_pos[i]), d_n[i].astype(np.int32)))
@@ -215,7 +219,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reports = checkpointed(read.select("text").mapInArrow(seed_reports(k, seed_k, spread[1]), "key bigint, n bigint"))
     blobs = read.mapInArrow(edge_runs(n, k, seed_k, heavy_keys(reports, n, spread[0])), "q int, blob binary")
     back = blobs.groupBy("q").applyInArrow(repeated(n), "blk int, blob binary")
-    block = F.pmod(F.coalesce(F.when(F.col("id").isNull(), F.xxhash64("text")), F.xxhash64("id")), F.lit(n)).cast("int")
+    block = F.pmod(F.coalesce(F.when(F.col("id").isNull(), F.xxhash64("text")), F.xxhash64(F.col("id").bitwiseXOR(F.col("tag").cast("bigint") * F.lit(_TAG_STEP)))), F.lit(n)).cast("int")
     left = docs.withColumn("blk", block)
     out = left.groupBy("blk").cogroup(back.groupBy("blk")).applyInArrow(_cut(k), "id bigint, n_words bigint, n_removed bigint, kept binary")
     return out.withColumnRenamed("id", id_col)

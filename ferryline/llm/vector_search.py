@@ -194,7 +194,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.filter(F.col(f"`{id_col}`").isNotNull() & fine).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), v.alias("v"))
 
 
-def vector_search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, recall: float = 0.97) -> DataFrame:
+def vector_search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, recall: float = 0.97, sample_rows: int = SAMPLE, most_parts: int = PARTS) -> DataFrame:
     """The k nearest rows found for each query row, a query being a row whose id is divisible by ``every``.
 
     Returns query_id, rank (from 1), vec_id, score: the largest inner products in double precision, ties to
@@ -203,8 +203,9 @@ def vector_search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     length, take no part.  Rows that share a query's id are its own and no candidates; of queries that share
     an id the least vector asks.  An empty table gives an empty result; other columns are not read.
 
-    The index is fitted on at most SAMPLE rows (the least hashes of ids) and holds every row.  ``recall`` is
-    the recall wanted on the sample, where the number of parts to probe is settled.
+    The index is fitted on at most ``sample_rows`` rows (the least hashes of ids), in at most ``most_parts``
+    parts, and holds every row.  ``recall`` is the recall wanted on the sample, where the number of parts to
+    probe is settled.  Parts and their queries are cut into tiles, so that a hot part spreads over tasks.
     """
     spark = df.sparkSession
     rows = usable(df, id_col, vector_col)
@@ -214,8 +215,8 @@ def vector_search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     dim, n = common["d"], common["count"]
     rows = rows.filter(F.size("v") == dim).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
     queries = rows.filter(F.col("id") % every == 0).groupBy("id", "salt").agg(F.min("v").alias("v")).select("id", "v", "salt")
-    parts = int(min(PARTS, max(1, -(-n // PART))))
-    sample = np.array([r["v"] for r in rows.orderBy("salt", "id").limit(SAMPLE).collect()])
+    parts = int(min(most_parts, max(1, -(-n // PART))))
+    sample = np.array([r["v"] for r in rows.orderBy("salt", "id").limit(sample_rows).collect()])
     parts = 1 if len(sample) < 64 * parts else max(parts, min(8, len(sample) // 64))
     router, probes = fit(sample, parts, k, recall) if parts > 1 else (Router(sample, np.ones((len(sample), 1)), epochs=0), 1)
     sizes = lambda t, m: {r["part"]: -(-r["count"] // TILE) for r in t.mapInArrow(_routed(router, dim, m, None, None), "part int").groupBy("part").count().collect()}
