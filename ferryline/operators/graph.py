@@ -14,13 +14,13 @@ def linked(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     Each round takes the least label among a node and its neighbours, then the label of that label, so chains
     shorten by half; it ends when nothing changes.  Sized for the key moves of a batch.
     """
-    both = _cut(edges.select("u", "v").union(edges.select("v", "u")).distinct())
-    label = _cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root")).withColumnRenamed("u", "node"))
+    both = cut(edges.select("u", "v").union(edges.select("v", "u")).distinct())
+    label = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root")).withColumnRenamed("u", "node"))
     for _ in range(most_rounds):
         near = both.join(label, both["v"] == label["node"]).groupBy("u").agg(F.min("root").alias("near"))
         step = label.join(near, label["node"] == near["u"]).select("node", F.least("root", "near").alias("root"))
         up = step.select(F.col("node").alias("up_node"), F.col("root").alias("up"))
-        after = _cut(step.join(up, F.col("root") == F.col("up_node"), "left").select("node", F.coalesce("up", "root").alias("root")))
+        after = cut(step.join(up, F.col("root") == F.col("up_node"), "left").select("node", F.coalesce("up", "root").alias("root")))
         changed = after.join(label.withColumnRenamed("root", "was"), "node").filter("root <> was").limit(1).count()
         label = after
         if not changed:
@@ -30,7 +30,7 @@ def linked(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     return label
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder that the cluster names, or in one of our own where it names none."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

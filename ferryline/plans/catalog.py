@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions import render
 from ..operators import changes, chunks, compare, merge, ordered
 from ..sources.tables import table
-from . import ledger, rewrite
+from . import ledger, metadata_catalog, rewrite
 from .sqltwin import digest
 
 QUERIES: dict = {}
@@ -461,3 +461,7 @@ def json_canonical(spark, sf):
     keys = F.array_sort(F.map_keys(v))
     pairs = F.transform(keys, lambda k: F.concat(F.lit('"'), k, F.lit('":'), F.to_json(F.element_at(v, k))))
     return e.select("event_id", F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")).alias("canonical"))
+
+
+QUERIES |= metadata_catalog.QUERIES
+SQL |= metadata_catalog.SQL

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import cut
 from ..operators.ordered import ordinal_within, running_sum
 
 _LINE = re.compile(r"table (.+?): (INSERT|UPDATE|DELETE): ?(.*)", re.S)
@@ -129,9 +130,9 @@ def decode(lines: DataFrame, keys: dict[str, list[str]]) -> DataFrame:
     from ..functions.render import lsn as position
 
     upper = {k.upper(): v for k, v in keys.items()}
-    parsed = lines.select("ord", "lsn", "line").mapInPandas(_parse(upper), _PARSED)
+    parsed = cut(lines.select("ord", "lsn", "line").mapInPandas(_parse(upper), _PARSED))  # read several times below
     opened = running_sum(parsed, "ord", F.col("is_begin").cast("int"), "n_begin")
-    closed = running_sum(opened, "ord", F.col("is_commit").cast("int"), "n_commit")
+    closed = cut(running_sum(opened, "ord", F.col("is_commit").cast("int"), "n_commit"))
     begins = closed.filter("is_begin").select(F.col("n_begin").alias("b"), "xid")
     ends = closed.filter("is_commit").select(F.col("n_begin").alias("e")).distinct()
     rows = closed.filter("op IS NOT NULL").drop("xid", "is_begin", "is_commit")
