@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from .common import buckets, gathered, raw, shared_path, text_only
 
 CHUNK = 6 << 20
+#: Parts that the blocks of one frequent line are dealt over in the join with the frequent lines.
+SALTS = 16
 WHITE = b" \t\n\x0b\x0c\r"
 _KEYS = pa.schema([("blk", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64())])
 
@@ -154,7 +156,9 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     runs = LineRuns(spark, threshold)
     for b in range(batches):
         runs.add(found.filter(F.col("batch") == b).select("h1", "h2", "n"))
-    keys = found.select("blk", "h1", "h2").distinct().join(runs.frequent(), ["h1", "h2"])
+    salt = F.pmod("blk", F.lit(SALTS)).alias("salt")
+    frequent = runs.frequent().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keys = found.select("blk", "h1", "h2", salt).distinct().join(frequent, ["h1", "h2", "salt"]).select("blk", "h1", "h2")
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("rest", docs.schema["__rest"].dataType)])
     out = docs.groupBy("blk").cogroup(keys.groupBy("blk")).applyInArrow(_drop_lines, schema)
     return (out if carry else out.drop("rest")).withColumnRenamed("id", id_col)
