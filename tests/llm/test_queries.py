@@ -56,3 +56,16 @@ def test_pipeline(spark, data):
 def test_held_out_rule(spark, data):
     r = catalog.QUERIES["op8_quality"](spark, data).collect()
     assert all(x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0) for x in r)
+
+
+def test_stages_take_awkward_and_no_rows(spark, data):
+    """Nulls in any column, empty and repeated rows, clashing extra columns; and an empty table."""
+    rows = [(None, None, None, None, None, "x"), (1, "", "en", "s", 0, "x"), (1, "", "en", "s", 0, "x"), (2, "The cat sat.\nOn the mat.", None, None, None, None), (2, "Another text of id two.", "en", "s", 9, "y"), (3, "word " * 3000, "en", "s", 9, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, fp string")
+    for start in (docs, docs.filter("false")):
+        now = start
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, now, data)
+            assert out.count() <= max(now.count(), 1), name
+            now = out
+        assert (now.count() > 0) == (start is docs)
