@@ -56,8 +56,11 @@ def render(c: Column, kind: T.DataType, scale: int | None = None) -> Column:
     elif isinstance(kind, T.DecimalType):
         out = plain_number(c.cast("string"))
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
-        exact = c.cast(f"decimal(38,{scale})") if scale is not None else c.cast("string").try_cast("decimal(38,18)")
-        out = F.coalesce(plain_number(exact.cast("string")), c.cast("string"))
+        if scale is None:
+            exact = c.cast("string").try_cast("decimal(38,18)").cast("string")
+        else:  # up to 18 digits are plain longs
+            exact = F.coalesce(c.try_cast(f"decimal(18,{scale})").cast("string"), c.try_cast(f"decimal(38,{scale})").cast("string"))
+        out = F.coalesce(plain_number(exact), c.cast("string"))
     elif isinstance(kind, T.BinaryType):
         text = c.cast("string")
         out = F.concat(F.lit(BINARY_TAG), F.when(_hex_text(text), F.lower(F.substring(text, 3, 1 << 30))).otherwise(F.lower(F.hex(c))))
