@@ -17,8 +17,10 @@ from pyspark.sql import Window
 
 from .common import checkpointed
 
-#: Rows that the index is fitted on at most; rows or queries in a tile; rows wanted in a part; parts at most.
+#: Rows that the index is fitted on, if its parts need no more; rows or queries in a tile; rows wanted in a part; parts at most.
 SAMPLE, TILE, PART, PARTS = 8192, 4096, 4096, 256
+#: Sampled rows that a part needs.
+FIT = 64
 
 
 def nearest(q: np.ndarray, x: np.ndarray, k: int, own: np.ndarray | None = None) -> np.ndarray:
@@ -187,6 +189,13 @@ def _rerank(dim: int, k: int):
     return run
 
 
+def wanted(n: int, sample_rows: int | None = None, most_parts: int = PARTS, part_rows: int = PART) -> tuple[int, int]:
+    """Parts and sampled rows for a table of n rows; a sample that is bounded lowers the parts to what it supports."""
+    parts = min(most_parts, max(8, -(-n // part_rows)))
+    sample = min(n, max(SAMPLE, FIT * parts) if sample_rows is None else sample_rows)
+    return max(1, min(parts, sample // FIT)), sample
+
+
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id bigint, v array<double>) of the rows that take part: an id, and finite components that aren't all zero."""
     v = F.col(f"`{vector_col}`").cast("array<double>")
@@ -194,7 +203,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.filter(F.col(f"`{id_col}`").isNotNull() & fine).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), v.alias("v"))
 
 
-def vector_search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, recall: float = 0.97, sample_rows: int = SAMPLE, most_parts: int = PARTS) -> DataFrame:
+def vector_search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, recall: float = 0.97, sample_rows: int | None = None, most_parts: int = PARTS, part_rows: int = PART) -> DataFrame:
     """The k nearest rows found for each query row, a query being a row whose id is divisible by ``every``.
 
     Returns query_id, rank (from 1), vec_id, score: the largest inner products in double precision, ties to
@@ -203,9 +212,11 @@ def vector_search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     length, take no part.  Rows that share a query's id are its own and no candidates; of queries that share
     an id the least vector asks.  An empty table gives an empty result; other columns are not read.
 
-    The index is fitted on at most ``sample_rows`` rows (the least hashes of ids), in at most ``most_parts``
-    parts, and holds every row.  ``recall`` is the recall wanted on the sample, where the number of parts to
-    probe is settled.  Parts and their queries are cut into tiles, so that a hot part spreads over tasks.
+    The index has a part for every ``part_rows`` rows, 8 at least and ``most_parts`` at most, and holds every
+    row.  It is fitted on the rows with the least hashes of ids: SAMPLE, or FIT for each part if that is more;
+    ``sample_rows`` sets another number, and where that is under FIT for each part, there are fewer parts.
+    ``recall`` is the recall wanted on the sample, where the number of parts to probe is settled.  Parts and
+    their queries are cut into tiles, so that a hot part spreads over tasks.
     """
     spark = df.sparkSession
     rows = usable(df, id_col, vector_col)
@@ -215,9 +226,8 @@ def vector_search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     dim, n = common["d"], common["count"]
     rows = rows.filter(F.size("v") == dim).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
     queries = rows.filter(F.col("id") % every == 0).groupBy("id", "salt").agg(F.min("v").alias("v")).select("id", "v", "salt")
-    parts = int(min(most_parts, max(1, -(-n // PART))))
-    sample = np.array([r["v"] for r in rows.orderBy("salt", "id").limit(sample_rows).collect()])
-    parts = 1 if len(sample) < 64 * parts else max(parts, min(8, len(sample) // 64))
+    parts, take = wanted(n, sample_rows, most_parts, part_rows)
+    sample = np.array([r["v"] for r in rows.orderBy("salt", "id").limit(take).collect()])
     router, probes = fit(sample, parts, k, recall) if parts > 1 else (Router(sample, np.ones((len(sample), 1)), epochs=0), 1)
     sizes = lambda t, m: {r["part"]: -(-r["count"] // TILE) for r in t.mapInArrow(_routed(router, dim, m, None, None), "part int").groupBy("part").count().collect()}
     of_rows, of_asks = sizes(rows, 1), sizes(queries, probes)

@@ -274,6 +274,24 @@ def test_vector_search_recall(spark):
     assert all(abs(g["score"] - s[g["query_id"] // 20, g["vec_id"]]) < 1e-12 for g in got)
 
 
+def test_vector_search_keeps_its_parts_on_a_small_sample(spark, monkeypatch):
+    r = np.random.default_rng(0)
+    x = (r.normal(size=(40, 16))[r.integers(0, 40, 3000)] + 0.6 * r.normal(size=(3000, 16))).astype(np.float32)
+    fitted, fit = [], vector_search.fit
+    monkeypatch.setattr(vector_search, "fit", lambda sample, parts, *a: fitted.append((len(sample), parts)) or fit(sample, parts, *a))
+    got = vector_search.vector_search(vectors(spark, x), sample_rows=640, part_rows=100).collect()
+    assert fitted == [(640, 10)]
+    s = x.astype(float)[::20] @ x.astype(float).T
+    s[np.arange(150), np.arange(0, 3000, 20)] = -np.inf
+    want = {(20 * i, int(j)) for i, row in enumerate(np.argsort(-s, axis=1)[:, :20]) for j in row}
+    assert len({(g["query_id"], g["vec_id"]) for g in got} & want) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("n, parts, sample", [(40, 1, 40), (200, 3, 200), (51282, 13, 8192), (524_288, 128, 8192), (524_289, 129, 8256), (1_000_000, 245, 15680), (60_000_000, 256, 16384)])
+def test_vector_search_parts_grow_with_the_table(n, parts, sample):
+    assert vector_search.wanted(n) == (parts, sample)
+
+
 def test_vector_search_ties_and_odd_rows(spark):
     same, other = [1.0, 0.0], [0.0, 1.0]
     good = [(i, same) for i in range(0, 60)] + [(100, other)]
