@@ -252,6 +252,8 @@ class Project:
     def extract(self, name: str, version: str, tables: list[str] | None = None, refresh: bool = False) -> dict:
         """Capture rows whose version column is past the watermark (all, the first time) as updates.
 
+        Rows with a null version can't be told from changed ones: every run captures them, and applying them again
+        changes nothing.  While all versions of a table are null it has no watermark, so that each run is a first one.
         The set of tables is pinned by the first run; others are only reported, unless refreshed.  The trail is
         written before the watermark moves, so that a crash between them repeats changes but loses none.
         """
@@ -269,14 +271,16 @@ class Project:
                 continue
             mark = own["watermarks"].get(t.name)
             df = self.source_rows(t)
-            high = df.agg(F.max(version)).first()[0]
-            if high is None or high == mark:
+            high, nulls = df.agg(F.max(version), F.count_if(F.col(version).isNull())).first()
+            if not nulls and high in (None, mark):
                 continue
-            rows = df.filter((F.col(version) <= high) & (F.lit(True) if mark is None else F.col(version) > mark))
+            fresh = (F.lit(False) if high is None else F.col(version) <= high) & (F.lit(True) if mark is None else F.col(version) > mark)
+            rows = df.filter(F.col(version).isNull() | fresh)
             image = lambda cols: F.create_map(*[x for c in cols for x in (F.lit(c), F.col(f"`{c}`").cast("string"))])  # noqa: B023, E731
             records = rows.select(F.lit("U").alias("op"), F.lit(t.name).alias("table"), image(t.primary_key).alias("key"), image([c.name for c in t.columns]).alias("after"), F.col(version).cast("bigint").alias("scn"), F.monotonically_increasing_id().alias("ord"))
             captured += self.trail(name).append_frame(records, "ord")
-            own["watermarks"][t.name] = high
+            if high is not None:
+                own["watermarks"][t.name] = high
         own["tables"] = sorted(pinned)
         self._register(all_ | {name: own})
         return {"captured": captured, "tables": own["tables"], "not_adopted": sorted(set(new) - pinned), "skipped": skipped}

@@ -53,6 +53,24 @@ def test_capture_and_apply(project, spark):
     assert list(p.extracts()) == ["e"] and p.drop_extract("e") and not p.drop_extract("e")
 
 
+def test_rows_without_a_version_are_captured(project, spark):
+    _, p = project
+    put = lambda table, rows: spark.createDataFrame(rows, "id bigint, name string, v double, version bigint").write.mode("append").parquet(f"{p.config.source.path}/{table}.parquet")
+    p.config.source.keys["c"] = ["id"]
+    put("a", [(50, "no version", 1.0, None)])
+    put("c", [(1, "none", None, None), (2, "none", None, None)])
+    got = lambda table: {r["id"]: r["name"] for r in VersionedTable(spark, f"{p.config.target.path}/replica/{table}").read().collect()}
+    assert p.extract("e", "version", ["a", "c"])["captured"] == 23
+    p.replicat("e")
+    assert len(got("a")) == 21 and got("a")[50] == "no version" and got("c") == {1: "none", 2: "none"}
+    put("a", [(51, "late", 1.0, None)])
+    put("c", [(3, "first", None, 7)])
+    assert p.extract("e", "version", ["a", "c"])["captured"] == 2 + 3
+    p.replicat("e")
+    assert len(got("a")) == 22 and got("a")[51] == "late" and got("c") == {1: "none", 2: "none", 3: "first"}
+    assert p.extracts()["e"]["watermarks"] == {"a": 19, "c": 7} and p.extract("e", "version")["captured"] == 2 + 2
+
+
 def test_rpc(project):
     _, p = project
     call = lambda m, role="viewer", **params: service.handle(p, {"jsonrpc": "2.0", "id": 1, "method": m, "params": params}, role)
