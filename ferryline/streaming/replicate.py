@@ -45,13 +45,18 @@ def releasable(records: DataFrame) -> DataFrame:
     return with_hold(records, "txn_id", "txn_end", "seq").filter("NOT held").drop("held")
 
 
-def apply_batch(target: VersionedTable, records: DataFrame, keys: Sequence[str], batch: int, valid: Column | None = None, park: Callable[[DataFrame], None] | None = None, most_parked: int = 25) -> int:
-    """Apply one batch and return the cursor reached.  Key moves are never parked: they raise."""
+def apply_batch(target: VersionedTable, records: DataFrame, keys: Sequence[str], batch: int, valid: Column | None = None, park: Callable[[DataFrame], None] | None = None, most_parked: int = 25, table: str | None = None) -> int:
+    """Apply one batch and return the cursor reached.  Key moves are never parked: they raise.
+
+    ``records`` are those of all tables, as only they tell whether the last transaction has ended; ``table`` names
+    the one to apply.
+    """
     now = target.pointer()
     if batch <= now.batch:
         return now.cursor
     stored = target.read()
-    ready = releasable(records.filter(F.col("seq") > now.cursor)).persist()
+    ready = releasable(records.filter(F.col("seq") > now.cursor))
+    ready = (ready if table is None else ready.filter(F.lower("table") == table.lower())).persist()
     try:
         cursor = ready.agg(F.max("seq")).first()[0]
         if cursor is None:
@@ -78,8 +83,7 @@ def replicate(trail: Trail, target: VersionedTable, keys: Sequence[str], table:
         now = target.pointer()
         size = batch_records
         while True:
-            records = trail.read(now.cursor, size).filter(F.lower("table") == table.lower())
-            reached = apply_batch(target, records, keys, now.batch + 1, **options)
+            reached = apply_batch(target, trail.read(now.cursor, size), keys, now.batch + 1, table=table, **options)
             if reached > now.cursor or trail.last_seq() <= now.cursor + size:
                 break
             size *= 2

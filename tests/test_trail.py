@@ -90,6 +90,21 @@ def test_open_transactions_are_held_and_never_cut(spark, tmp_path, target):
     assert len(rows(target)) == 7
 
 
+@pytest.mark.parametrize("batch_records", [1, 10_000])
+def test_transactions_over_tables_are_released_whole(spark, tmp_path, target, batch_records):
+    other = VersionedTable(spark, str(tmp_path / "other"))
+    other.publish(target.read().limit(0), 0, 0)
+    u = lambda *a, **b: rec(*a, **b) | {"table": "U"}
+    both = lambda: (R.replicate(t, target, ["ID"], "T", batch_records), R.replicate(t, other, ["ID"], "U", batch_records))
+    t = TR.Trail(spark, str(tmp_path / "tr"))
+    t.append([rec("I", 1, 5, V="a"), u("I", 2, 5, V="a"), u("I", 3, 5, True, V="a")])
+    assert both() == (1, 3) and len(rows(target)) == 3 and len(rows(other)) == 2
+    t.append([u("I", 4, 6, V="b"), rec("I", 4, 6, V="b")])
+    assert both() == (1, 3) and len(rows(target)) == 3 and len(rows(other)) == 2
+    t.append([rec("D", 1, 6, True)])
+    assert both() == (6, 4) and rows(target) == [(4, "b"), (7, "old"), (8, "stays")] and rows(other) == [(2, "a"), (3, "a"), (4, "b")]
+
+
 def test_streaming_restart(spark, tmp_path, target):
     t = TR.Trail(spark, str(tmp_path / "tr"))
     for n, more in ((1, [rec("I", 1, 5, V="a")]), (2, [rec("I", 2, 5, True, V="b")])):
