@@ -122,11 +122,21 @@ def _vectors(column, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _routed(router: Router, dim: int, probes: int, rows: list | None, asks: list | None):
+def _probed(order: np.ndarray, probes: int, held: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, part) pairs: each query's first ``probes`` parts, and more till they hold ``need`` rows; all, if they don't."""
+    enough = (np.cumsum(held[order], axis=1) < need[:, None]).sum(1) + 1
+    n = np.minimum(np.maximum(enough, probes), order.shape[1])
+    at = np.repeat(np.arange(len(order)), n)
+    return at, order[at, np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)]
+
+
+def _routed(router: Router, dim: int, probes: int, held: np.ndarray | None, k: int, rows: list | None, asks: list | None):
     """Each vector with its part(s), and the tiles it is needed in; rows, asks: each part's number of tiles.
 
     Without them, the parts alone.  A row (the input then ends in a column named row) goes to its own tile of
     rows against every tile of queries; a query, to every tile of rows of its parts, in its own tile of queries.
+    ``held``, for queries only, is each part's number of rows: a query's parts hold k rows besides its own (the
+    column own counts them), or are all.
     """
 
     def run(batches):
@@ -135,8 +145,9 @@ def _routed(router: Router, dim: int, probes: int, rows: list | None, asks: list
                 continue
             ids, salt = b.column("id").to_numpy(zero_copy_only=False), b.column("salt").to_numpy(zero_copy_only=False)
             v = b.column("v")
-            part = router.order(_vectors(v, dim))[:, :probes].reshape(-1)
-            at = np.repeat(np.arange(len(ids)), probes)
+            order = router.order(_vectors(v, dim))
+            need = np.zeros(len(ids), np.int64) if held is None else b.column("own").to_numpy(zero_copy_only=False) + k
+            at, part = _probed(order, probes, np.zeros(order.shape[1], np.int64) + 1 if held is None else held, need)
             if rows is None:
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32())], ["part"])
                 continue
@@ -165,11 +176,18 @@ def _rerank(dim: int, k: int):
             order = np.lexsort((ids, *x.T[::-1]))
             x, ids = x[order], ids[order]
             first = np.flatnonzero(np.append(True, (x[1:] != x[:-1]).any(1)))
-            size = np.minimum(np.diff(np.append(first, len(x))), k + 1)
-            u = x[first]
-            for a in range(0, len(q), 256):
-                s = q[a : a + 256] @ u.T
-                m = min(k + 1, len(u))
+            u, copies = x[first], np.diff(np.append(first, len(x)))
+            # a query leaves out its own rows: usually one; if more, it is asked alone, for so many more
+            known, times = np.unique(ids, return_counts=True)
+            at = np.minimum(np.searchsorted(known, qids), len(known) - 1)
+            mine = np.where(known[at] == qids, times[at], 0)
+            order = np.argsort(mine > 1, kind="stable")
+            q, qids, mine = q[order], qids[order], mine[order]
+            usual = int((mine <= 1).sum())
+            for a, b in [*((a, min(a + 256, usual)) for a in range(0, usual, 256)), *((a, a + 1) for a in range(usual, len(q)))]:
+                s = q[a:b] @ u.T
+                most = k + max(1, int(mine[a:b].max()))
+                size, m = np.minimum(copies, most), min(most, len(u))
                 least = np.partition(s, len(u) - m, axis=1)[:, len(u) - m]
                 i, j = np.nonzero(s >= (least - 1e-9 * (1 + np.abs(least)))[:, None])
                 exact = (q[a + i] * u[j]).sum(1)
@@ -207,7 +225,7 @@ def vector_search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     """The k nearest rows found for each query row, a query being a row whose id is divisible by ``every``.
 
     Returns query_id, rank (from 1), vec_id, score: the largest inner products in double precision, ties to
-    the smaller id; all candidates if there are fewer than k in the parts probed.  Rows with a null id, or a
+    the smaller id; all candidates if there are fewer than k in the table.  Rows with a null id, or a
     vector that is null, empty, zero, holds null or non-finite components or isn't of the commonest
     length, take no part.  Rows that share a query's id are its own and no candidates; of queries that share
     an id the least vector asks.  An empty table gives an empty result; other columns are not read.
@@ -225,16 +243,18 @@ def vector_search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     dim, n = common["d"], common["count"]
     rows = rows.filter(F.size("v") == dim).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
-    queries = rows.filter(F.col("id") % every == 0).groupBy("id", "salt").agg(F.min("v").alias("v")).select("id", "v", "salt")
+    queries = rows.filter(F.col("id") % every == 0).groupBy("id", "salt").agg(F.min("v").alias("v"), F.count("*").alias("own")).select("id", "v", "salt", "own")
     parts, take = wanted(n, sample_rows, most_parts, part_rows)
     sample = np.array([r["v"] for r in rows.orderBy("salt", "id").limit(take).collect()])
     router, probes = fit(sample, parts, k, recall) if parts > 1 else (Router(sample, np.ones((len(sample), 1)), epochs=0), 1)
-    sizes = lambda t, m: {r["part"]: -(-r["count"] // TILE) for r in t.mapInArrow(_routed(router, dim, m, None, None), "part int").groupBy("part").count().collect()}
-    of_rows, of_asks = sizes(rows, 1), sizes(queries, probes)
-    r_tiles, a_tiles = ([d.get(p, 1) for p in range(parts)] for d in (of_rows, of_asks))
+    counts = lambda t, m, held: {r["part"]: r["count"] for r in t.mapInArrow(_routed(router, dim, m, held, k, None, None), "part int").groupBy("part").count().collect()}
+    of_rows = counts(rows, 1, None)
+    held = np.array([of_rows.get(p, 0) for p in range(parts)])
+    of_asks = counts(queries, probes, held)
+    r_tiles, a_tiles = ([max(1, -(-d.get(p, 0) // TILE)) for p in range(parts)] for d in (of_rows, of_asks))
     schema = "part int, r int, a int, id bigint, v array<double>"
-    left = rows.withColumn("row", F.lit(1)).mapInArrow(_routed(router, dim, 1, r_tiles, a_tiles), schema)
-    right = queries.mapInArrow(_routed(router, dim, probes, r_tiles, a_tiles), schema)
+    left = rows.withColumn("row", F.lit(1)).mapInArrow(_routed(router, dim, 1, None, k, r_tiles, a_tiles), schema)
+    right = queries.mapInArrow(_routed(router, dim, probes, held, k, r_tiles, a_tiles), schema)
     found = left.groupBy("part", "r", "a").cogroup(right.groupBy("part", "r", "a")).applyInArrow(_rerank(dim, k), "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -287,6 +287,22 @@ def test_vector_search_keeps_its_parts_on_a_small_sample(spark, monkeypatch):
     assert len({(g["query_id"], g["vec_id"]) for g in got} & want) >= 0.9 * len(want)
 
 
+def test_vector_search_fills_its_results(spark):
+    x = np.random.default_rng(1).normal(size=(600, 8)).astype(np.float32)
+    few = vector_search.vector_search(vectors(spark, x), k=100, recall=0.01, part_rows=60).groupBy("query_id").count().collect()
+    assert len(few) == 30 and {r["count"] for r in few} == {100}
+    every = vector_search.vector_search(vectors(spark, x), k=700, recall=0.01, part_rows=60).groupBy("query_id").count().collect()
+    assert len(every) == 30 and {r["count"] for r in every} == {599}
+    own = vector_search.vector_search(vectors(spark, np.ones((60, 2)), [0] * 30 + [*range(1, 31)])).filter("query_id = 0").collect()
+    assert sorted(r["vec_id"] for r in own) == list(range(1, 21))
+
+
+def test_probed_parts():
+    order, held = np.array([[0, 1, 2, 3], [3, 2, 1, 0]]), np.array([5, 0, 30, 9])
+    pairs = lambda probes, need: [list(p[a == i]) for a, p in [vector_search._probed(order, probes, held, np.array(need))] for i in (0, 1)]
+    assert pairs(1, [21, 21]) == [[0, 1, 2], [3, 2]] and pairs(3, [1, 1]) == [[0, 1, 2], [3, 2, 1]] and pairs(1, [99, 5]) == [[0, 1, 2, 3], [3]]
+
+
 @pytest.mark.parametrize("n, parts, sample", [(40, 1, 40), (200, 3, 200), (51282, 13, 8192), (524_288, 128, 8192), (524_289, 129, 8256), (1_000_000, 245, 15680), (60_000_000, 256, 16384)])
 def test_vector_search_parts_grow_with_the_table(n, parts, sample):
     assert vector_search.wanted(n) == (parts, sample)
