@@ -56,28 +56,52 @@ def buckets(df: DataFrame) -> int:
 SPREAD_FROM, REPORT_FROM = 2.0, 4
 
 
+def reported(total: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A chunk's report: how much it has in all (under null), and how often some keys."""
+    return pa.RecordBatch.from_arrays([pa.array([None, *keys.view(np.int64).tolist()], pa.int64()), pa.array([total, *n.tolist()], pa.int64())], ["key", "n"])
+
+
 def counted_keys(keys: np.ndarray, least: int) -> pa.RecordBatch:
-    """A chunk's report: how many keys it has (under null), and those it has at least ``least`` times."""
+    """A chunk's report of the keys that it has at least ``least`` times."""
     found, n = np.unique(keys, return_counts=True)
-    often = n >= least
-    return pa.RecordBatch.from_arrays([pa.array([None, *found[often].view(np.int64).tolist()], pa.int64()), pa.array([len(keys), *n[often].tolist()], pa.int64())], ["key", "n"])
+    return reported(len(keys), found[n >= least], n[n >= least])
 
 
 def heavy_keys(reports: DataFrame, n_buckets: int, factor: float = SPREAD_FROM) -> np.ndarray:
     """Keys with over ``factor`` times a bucket's mean share, from the reports of all chunks.
 
-    At most n_buckets / factor keys can have that share, however large the corpus: that bounds the list.
+    At most n_buckets / factor keys can have that share, however large the corpus, times the keys that one counted
+    thing has: that bounds the list.
     """
     total = reports.filter("key IS NULL").agg(F.sum("n")).first()[0] or 0
     rows = reports.filter("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > factor * total / n_buckets).select("key").collect()
     return np.sort(np.array([r["key"] for r in rows], np.int64).view(U64))
 
 
+class KeyList:
+    """A list of 64-bit keys; a small bitmap of their first bits keeps most lookups cheap."""
+
+    def __init__(self, keys: np.ndarray | None = None, bits: int = 20):
+        self.keys, self.shift = np.unique(np.zeros(0, U64) if keys is None else keys), U64(64 - bits)
+        self.some = np.zeros(1 << bits, bool)
+        self.some[(self.keys >> self.shift).astype(np.int64)] = True
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """Which keys are in the list."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool)
+        out = self.some[(keys >> self.shift).astype(np.int64)]
+        at = np.flatnonzero(out)
+        out[at] = self.keys[np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)] == keys[at]
+        return out
+
+
 def among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
     """Which keys are in a sorted list."""
-    if not len(some):
-        return np.zeros(len(keys), bool)
-    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys
+    return KeyList(some).has(keys)
 
 
 # ---- row identity --------------------------------------------------------------------------

@@ -3,7 +3,7 @@
 Every window of ``length`` bytes belongs to its minimizer, the least hash among its 64-byte seeds; maximal
 runs of windows with one minimizer make a stretch, and equal windows always share a minimizer.  Stretches
 travel as hashes.  Stretches that are equal throughout are repeated throughout; one whose minimizer occurs
-once and nowhere else has no repeated window.  Only the rest, a fringe around edits and the ends of copies, and one
+once and nowhere else has no repeated window.  The rest, a fringe around edits and the ends of copies, and one
 copy of each stretch that shares their minimizer, go to an index as bytes.
 
 An index holds whole minimizer groups.  It builds the Burrows-Wheeler transform of their stretches,
@@ -11,10 +11,11 @@ compresses it to runs, and samples text positions at the ends of the runs.  Matc
 streamed over the text: at a run's ends the match with the neighbouring suffix is measured, within a run it
 is one shorter than at the position before.  Windows that match for ``length`` bytes or more are marked.
 
-A minimizer that holds a large share of all stretches (a passage that very many documents have, with other
-bytes around it) would make one index too large for a task.  A first pass over all texts finds such minimizers,
-of which there can only be a bounded number; their stretches are dealt out one by one, and those that stay open
-are compared window by window, by 128-bit hashes dealt over all partitions.
+A passage that very many documents have, with other bytes around it, would give its seeds as many different
+stretches as it has surroundings.  A first pass over all texts finds the seeds that lie in so many different
+stretches of one minimizer (a bounded list), and a window takes its minimizer among its other seeds where it has
+one: across the passage's ends there is always a seed that few share.  Windows without such a seed lie within
+common text, so that their stretches have few different contents, and a task sends each of those at most twice.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import REPORT_FROM, SPREAD_FROM, U64, among, bounds, buckets, checkpointed, counted_keys, covered, deltas, gathered, heavy_keys, longs, mix, pack, ranges, raw, text_only, unpack
+from .common import REPORT_FROM, SPREAD_FROM, U64, KeyList, bounds, buckets, checkpointed, covered, deltas, gathered, heavy_keys, longs, mix, pack, ranges, raw, reported, text_only, unpack
 from .decontamination import suffix_array
 
 #: Bytes of text in a chunk; bytes in an index; windows in a stretch at most.
@@ -75,21 +76,25 @@ def window_min(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[:n], left[w - 1 : w - 1 + n])
 
 
-def stretches(data: np.ndarray, sizes: np.ndarray, length: int):
-    """The stretches of the documents in a buffer: minimizer, hash, document, start in it, windows, and whether
-    the minimizer occurs more than once in it (only then can a stretch repeat a window of its own)."""
+def stretches(data: np.ndarray, sizes: np.ndarray, length: int, common: KeyList):
+    """The stretches of the documents in a buffer: minimizer, hash, document, start in it, windows, whether the
+    minimizer occurs more than once in it (only then can a stretch repeat a window of its own), whether all its
+    seeds are common ones; and the hashes of all seeds, with each stretch's place and width among them."""
     first = np.cumsum(sizes) - sizes
     n = np.maximum(sizes - length + 1, 0)
     none = np.zeros(0, np.int64)
     if not n.sum():
-        return none.view(U64), none.view(U64), none, none, none, none.astype(bool)
+        return none.view(U64), none.view(U64), none, none, none, none.astype(bool), none.astype(bool), none.view(U64), none, none
     prints = Prints(data)
     grams, w = prints.grams(SEED), length - SEED + 1
-    low = window_min(grams, w)
     at = ranges(first, n)
     doc = np.repeat(np.arange(len(sizes)), n)
-    low = low[at]
-    starts, size = bounds((low != np.roll(low, 1)) | (doc != np.roll(doc, 1)))
+    low, bare = window_min(grams, w)[at], np.zeros(len(at), bool)
+    if len(common):
+        light = window_min(np.where(common.has(grams), ~U64(0), grams), w)[at]
+        bare = light == ~U64(0)
+        low = np.where(bare, low, light)
+    starts, size = bounds((low != np.roll(low, 1)) | (doc != np.roll(doc, 1)) | (bare != np.roll(bare, 1)))
     pieces = -(-size // STRETCH)
     k = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     size = np.minimum(np.repeat(size, pieces) - k * STRETCH, STRETCH)
@@ -101,7 +106,7 @@ def stretches(data: np.ndarray, sizes: np.ndarray, length: int):
         wide = size[b] + w - 1
         same = grams[ranges(place[b], wide)] == np.repeat(seed[b], wide)
         again[b] = np.add.reduceat(same, np.cumsum(wide) - wide, dtype=np.int64) > 1
-    return seed, prints.of(place, size + length - 1), doc, place - first[doc], size, again
+    return seed, prints.of(place, size + length - 1), doc, place - first[doc], size, again, bare[starts], grams, place, size + w - 1
 
 
 _BLOB = pa.schema([("q", pa.int32()), ("blob", pa.binary())])
@@ -123,43 +128,58 @@ def _classes(seed: np.ndarray, print_: np.ndarray, size: np.ndarray):
     return order, *bounds((a != np.roll(a, 1)) | (b != np.roll(b, 1)) | (c != np.roll(c, 1)))
 
 
-def _chunks(batches, length: int):
-    """The stretches of each chunk, with the rows' keys, and which of equal ones leads and which have equals."""
+def _chunks(batches, length: int, common: KeyList):
+    """Each chunk's rows' keys and stretches, and which of equal stretches leads and which have equals."""
     for table in gathered(batches, CHUNK):
         keys = longs(table.column("key").combine_chunks())
         texts = [x or b"" for x in raw(table.column("text").combine_chunks())]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        seed, print_, doc, pos, size, again = stretches(np.frombuffer(b"".join(texts), np.uint8), sizes, length)
+        found = stretches(np.frombuffer(b"".join(texts), np.uint8), sizes, length, common)
+        seed, print_, _, _, size = found[:5]
         if len(seed):
             order, starts, n = _classes(seed, print_, size)
             many, lead = np.zeros(len(seed), bool), np.zeros(len(seed), bool)
             many[order] = np.repeat(n > 1, n)
             lead[order[starts]] = True
-            yield keys[doc], seed, print_, pos, size, again, many, lead
+            yield keys, found, many, lead
 
 
-def _reports(length: int, least: int):
-    """mapInArrow: how many different stretches minimizers hold, by chunk."""
+def _reports(q_n: int, length: int, factor: float, least: int):
+    """mapInArrow: for each chunk how many different stretches it has, and the seeds that lie in many different
+    stretches of one minimizer: in half of what would make them common, were all chunks alike."""
     def run(batches):
-        for _, seed, _, _, _, _, _, lead in _chunks(batches, length):
-            yield counted_keys(seed[lead], least)
+        for _, (seed, _, _, _, _, _, _, grams, place, wide), _, lead in _chunks(batches, length, KeyList()):
+            own = seed[lead]
+            often = max(least, int(factor * len(own) / q_n / 2))
+            found, n = np.unique(own, return_counts=True)
+            i = np.flatnonzero(lead)[KeyList(found[n >= often]).has(own)]
+            found, n = np.unique(grams[ranges(place[i], wide[i])], return_counts=True)
+            yield reported(len(own), found[n >= often], n[n >= often])
 
     return run
 
 
-def _send(q_n: int, length: int, heavy: np.ndarray):
-    """mapInArrow: (key, text) to blobs of stretches by partition: that of their minimizer, or of each stretch
-    itself where the minimizer is a heavy one.
+def _send(q_n: int, length: int, common: KeyList):
+    """mapInArrow: (key, text) to blobs by partition: stretches to that of their minimizer, stretches that are
+    known to repeat to that of their row.
 
-    Stretches that repeat within the chunk are settled here, and one of them is sent as a double.
+    Of stretches that repeat within a chunk one is sent as a double and the others are settled; of those without
+    any but common seeds, what the task has sent twice is settled too.
     """
     def run(batches):
-        for key, seed, print_, pos, size, again, many, lead in _chunks(batches, length):
-            q = (np.where(among(seed, heavy), mix(seed ^ print_), seed) % U64(q_n)).astype(np.int64)
-            out_q, out = [], []
-            for p, i in _by(q):
-                s, d = i[lead[i]], i[many[i] & ~lead[i]]
-                out_q.append(p)
+        times: dict = {}
+        for keys, (seed, print_, doc, pos, size, again, bare, _, _, _), many, lead in _chunks(batches, length, common):
+            key, settled = keys[doc], many & ~lead
+            for i in np.flatnonzero(lead & bare).tolist():
+                own = (int(seed[i]), int(print_[i]), int(size[i]))
+                times[own] = times.get(own, 0) + 1
+                settled[i] = times[own] > 2
+            todo, done = np.flatnonzero(lead & ~settled), np.flatnonzero(settled)
+            by_seed, by_key = dict(_by((seed[todo] % U64(q_n)).astype(np.int64))), dict(_by(np.mod(key[done], q_n)))
+            out_q, out, none = [], [], np.zeros(0, np.int64)
+            for q in sorted({*by_seed, *by_key}):
+                s, d = todo[by_seed.get(q, none)], done[by_key.get(q, none)]
+                out_q.append(q)
                 out.append(pack(seed[s], print_[s], key[s], pos[s].astype(np.int32), size[s].astype(np.int16), many[s].astype(np.int8), again[s].astype(np.int8), key[d], pos[d].astype(np.int32), size[d].astype(np.int16)))
             yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int32()), pa.array(out, pa.binary())], schema=_BLOB)
 
@@ -171,11 +191,8 @@ def _pack_runs(key: np.ndarray, pos: np.ndarray, size: np.ndarray) -> bytes:
     return pack(deltas(key[order]), pos[order].astype(np.int32), size[order].astype(np.int16))
 
 
-def _settle(blk_n: int, heavy: np.ndarray):
-    """applyInArrow over one partition of minimizers: kind 0, runs of repeated windows; kind 1, stretches to index.
-
-    What else a heavy minimizer holds is not known here, so that its stretches are all asked for.
-    """
+def _settle(blk_n: int):
+    """applyInArrow over one partition of minimizers: kind 0, runs of repeated windows; kind 1, stretches to index."""
     def run(table: pa.Table) -> pa.Table:
         got = [unpack(x) for x in raw(table.column("blob").combine_chunks())]
         seed, print_, key, pos, size, many, again, d_key, d_pos, d_size = (np.concatenate(x) for x in zip(*got))
@@ -184,7 +201,6 @@ def _settle(blk_n: int, heavy: np.ndarray):
         lead = order[starts]
         g_start, g_n = bounds(seed[lead] != np.roll(seed[lead], 1))
         open_ = np.logical_or.reduceat(total == 1, g_start) & ((g_n > 1) | np.logical_or.reduceat((total == 1) & (again[lead] > 0), g_start))
-        open_ |= among(seed[lead[g_start]], heavy)
         ask = lead[np.repeat(open_, g_n)]
         role = (total == 1)[np.repeat(open_, g_n)]
         done = np.zeros(len(seed), bool)
@@ -203,19 +219,14 @@ def _settle(blk_n: int, heavy: np.ndarray):
 
 
 def _grouped(keys: np.ndarray) -> dict[int, np.ndarray]:
-    return dict(_by_any(keys))
+    order = np.argsort(keys, kind="stable")
+    starts, n = bounds(keys[order] != np.roll(keys[order], 1))
+    return {int(keys[order[a]]): order[a : a + m] for a, m in zip(starts, n)}
 
 
-def _by_any(key: np.ndarray):
-    order = np.argsort(key, kind="stable")
-    starts, n = bounds(key[order] != np.roll(key[order], 1))
-    for a, m in zip(starts, n):
-        yield int(key[order[a]]), order[a : a + m]
-
-
-def _fetch(q_n: int, length: int, heavy: np.ndarray):
+def _fetch(q_n: int, length: int):
     """Cogroup of a block's documents with what is asked of them: the stretches' bytes, by partition of their
-    minimizer; of heavy minimizers, a 128-bit hash of each window, by partition of the hash."""
+    minimizer."""
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
         rows: list = []
         if asked.num_rows:
@@ -226,77 +237,64 @@ def _fetch(q_n: int, length: int, heavy: np.ndarray):
                 for j in where.pop(k, np.zeros(0, np.int64)).tolist():
                     a = int(pos[j])
                     piece[j] = text[a : a + int(size[j]) + length - 1]
-            spread = among(seed, heavy)
             for q, i in _by((mix(seed) % U64(q_n)).astype(np.int64)):
-                i = i[~spread[i]]
                 meta = pack(key[i], pos[i], size[i], seed[i], role[i])
-                rows.append((q, b"B" + len(meta).to_bytes(4, "little") + meta + b"".join(piece[j] for j in i.tolist())))
-            j = np.flatnonzero(spread)
-            if len(j):
-                h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(piece[x][w : w + length]) for x in j.tolist() for w in range(int(size[x]))), U64).reshape(-1, 2)
-                n = size[j].astype(np.int64)
-                own, at = np.repeat(j, n), ranges(pos[j].astype(np.int64), n)
-                for q, i in _by((h[:, 0] % U64(q_n)).astype(np.int64)):
-                    rows.append((q, b"H" + pack(h[i, 0], h[i, 1], key[own[i]], at[i].astype(np.int32), role[own[i]])))
+                rows.append((q, len(meta).to_bytes(4, "little") + meta + b"".join(piece[j] for j in i.tolist())))
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows) if rows else ([],) * 2, _BLOB.types)], schema=_BLOB)
 
     return run
 
 
 class RunIndex:
-    """Run-length Burrows-Wheeler index of a text of symbols below 511, with samples at the ends of its runs."""
+    """Run-length Burrows-Wheeler index of texts (symbols from 1 to 256, each text ended by a 0).
 
-    #: Symbols of the longest match that is measured; stretches are shorter than half of it.
-    MOST = 1024
+    Rows whose symbol before is an end are runs of their own, as if all ends differed, so that no match goes past
+    one.  Only the text and the positions at the ends of runs are kept.
+    """
 
     def __init__(self, t: np.ndarray):
-        self.t = t = np.append(t + 1, 0)  # an end mark of its own
+        self.t = t = np.append(t + 1, 0)  # an end mark of its own; the ends of texts are 1
         sa = suffix_array(t, 9)
         bwt = t[sa - 1]
-        self.ends = np.flatnonzero(bwt[1:] != bwt[:-1]) + 1  # rows where a run begins
-        self.sample, self.before = sa[self.ends], sa[self.ends - 1]
-        self.sa = sa
-
-    def statistics(self) -> np.ndarray:
-        """For each text position, the length of its longest match with any other position."""
-        n, t = len(self.t), self.t
-        wide = np.concatenate([t, np.arange(600, 608)]).astype(np.int64)
-        pack6 = np.zeros(n, np.int64)
-        for j in range(6):
-            pack6 = (pack6 << 10) | wide[j : j + n]
-        match = np.zeros(len(self.ends), np.int64)
-        a, b, live = self.sample.copy(), self.before.copy(), np.arange(len(self.ends))
+        new = np.flatnonzero((bwt[1:] != bwt[:-1]) | (bwt[1:] == 1)) + 1  # rows where a run begins
+        self.sample, self.before = sa[new], sa[new - 1]
+
+    def _matches(self) -> np.ndarray:
+        """At each begin of a run, how far its suffix and the one before it agree, up to the end of a text."""
+        n, t, wide = len(self.t), self.t, 6
+        ahead = np.concatenate([t, np.zeros(wide, t.dtype)])
+        six, over = np.zeros(n, np.int64), np.zeros(n, bool)
+        for j in range(wide):
+            six = (six << 10) | ahead[j : j + n]
+            over |= ahead[j : j + n] <= 1
+        match = np.zeros(len(self.sample), np.int64)
+        a, b, live = self.sample.copy(), self.before.copy(), np.arange(len(match))
         while len(live):
-            inside = (np.maximum(a, b) + 6 < n) & (match[live] < self.MOST)
-            same = inside & (pack6[np.minimum(a, n - 1)] == pack6[np.minimum(b, n - 1)])
-            stop = live[~same]
-            x, y = a[~same], b[~same]
-            for _ in range(6):
-                ok = (np.maximum(x, y) < n) & (t[np.minimum(x, n - 1)] == t[np.minimum(y, n - 1)])
+            same = ~over[a] & (six[a] == six[b])
+            stop, x, y = live[~same], a[~same], b[~same]
+            for _ in range(wide):
+                ok = (t[x] == t[y]) & (t[x] > 1)
                 stop, x, y = stop[ok], x[ok] + 1, y[ok] + 1
                 match[stop] += 1
-            live, a, b = live[same], a[same] + 6, b[same] + 6
-            match[live] += 6
-        reach = np.arange(n)
-        reach[self.sample] = np.maximum(reach[self.sample], self.sample + match)
-        previous = np.maximum.accumulate(reach) - np.arange(n)  # with the suffix before, in suffix order
-        following = np.zeros(n, np.int64)
-        following[self.sa[:-1]] = previous[self.sa[1:]]
-        return np.maximum(previous, following)[: n - 1]
+            live, a, b = live[same], a[same] + wide, b[same] + wide
+            match[live] += wide
+        return match
+
+    def statistics(self) -> np.ndarray:
+        """For each text position, the length of its longest match with any other position."""
+        n, match = len(self.t), self._matches()
+        out = np.zeros(n, np.int64)
+        for samples in (self.sample, self.before):  # with the suffix before, then with the one after, in suffix order
+            reach = np.arange(n)
+            np.maximum.at(reach, samples, samples + match)
+            np.maximum(out, np.maximum.accumulate(reach) - np.arange(n), out=out)
+        return out[: n - 1]
 
 
 def _index(blk_n: int, length: int):
-    """applyInArrow over one partition of stretches and of single windows: runs of repeated windows, by block."""
+    """applyInArrow over one partition of stretches: runs of repeated windows, by block."""
     def run(table: pa.Table) -> pa.Table:
-        blobs = raw(table.column("blob").combine_chunks())
-        stretched, single = [x[1:] for x in blobs if x[:1] == b"B"], [unpack(x[1:]) for x in blobs if x[:1] == b"H"]
-        out = list(_indexed(stretched, length)) if stretched else []
-        if single:
-            h1, h2, key, pos, role = (np.concatenate(x) for x in zip(*single))
-            order = np.lexsort((h2, h1))
-            _, n = bounds((h1[order] != np.roll(h1[order], 1)) | (h2[order] != np.roll(h2[order], 1)))
-            hit = order[np.repeat(n > 1, n) & (role[order] == 1)]
-            out.append((key[hit], pos[hit], np.ones(len(hit), np.int64)))
+        out = list(_indexed(raw(table.column("blob").combine_chunks()), length))
         rows = []
         if out:
             k, p, m = (np.concatenate(x) for x in zip(*out))
@@ -307,8 +305,22 @@ def _index(blk_n: int, length: int):
     return run
 
 
-def _indexed(blobs: list[bytes], length: int):
-    """(key, start, windows) of repeated windows, from run-length indexes over whole minimizer groups."""
+def _hashed(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
+    """Which windows of some stretches are found more than once among them, by 128-bit hashes."""
+    text = data.tobytes()
+    h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[a : a + length]) for a in ranges(start, size).tolist()), U64).reshape(-1, 2)
+    order = np.lexsort((h[:, 1], h[:, 0]))
+    _, n = bounds((h[order] != np.roll(h[order], 1, axis=0)).any(1))
+    out = np.zeros(len(h), bool)
+    out[order] = np.repeat(n > 1, n)
+    return out
+
+
+def _indexed(blobs: list[bytes], length: int, most: int = 8 * INDEX):
+    """(key, start, windows) of repeated windows, from run-length indexes over whole minimizer groups.
+
+    A group of over ``most`` bytes would make an index too large for a task: its windows are compared by hash.
+    """
     meta, body = [], []
     for blob in blobs:
         n = int.from_bytes(blob[:4], "little")
@@ -324,17 +336,21 @@ def _indexed(blobs: list[bytes], length: int):
     start = np.cumsum(wide) - wide
     order = np.argsort(seed, kind="stable")
     group, n = bounds(seed[order] != np.roll(seed[order], 1))
-    shard = (np.cumsum(np.add.reduceat(wide[order], group)) - 1) // INDEX
+    held = np.add.reduceat(wide[order], group)
+    shard = (np.cumsum(held) - 1) // INDEX
     for s in np.unique(shard):
         i = order[np.repeat(shard == s, n)]
-        places = ranges(start[i], wide[i] + 1)
-        last = np.zeros(len(places), bool)
-        last[np.cumsum(wide[i] + 1) - 1] = True
-        matched = RunIndex(np.where(last, 0, data[np.minimum(places, len(data) - 1)].astype(np.int64) + 1)).statistics()
-        head = np.cumsum(wide[i] + 1) - (wide[i] + 1)
-        mine = np.flatnonzero(role[i] == 1)
-        own, w = np.repeat(mine, size[i[mine]]), ranges(np.zeros(len(mine), np.int64), size[i[mine]])
-        hit = np.flatnonzero(matched[head[own] + w] >= length)
+        if held[shard == s].max() > most:
+            hit = _hashed(data, start[i], size[i], length)
+        else:
+            places = ranges(start[i], wide[i] + 1)
+            last = np.zeros(len(places), bool)
+            last[np.cumsum(wide[i] + 1) - 1] = True
+            matched = RunIndex(np.where(last, 0, data[np.minimum(places, len(data) - 1)].astype(np.int64) + 1)).statistics()
+            head = np.cumsum(wide[i] + 1) - (wide[i] + 1)
+            hit = matched[ranges(head, size[i])] >= length
+        own, w = np.repeat(np.arange(len(i)), size[i]), ranges(np.zeros(len(i), np.int64), size[i])
+        hit = np.flatnonzero(hit & (role[i[own]] == 1))
         if len(hit):
             first, m = bounds((np.diff(hit, prepend=-2) != 1) | (own[hit] != np.roll(own[hit], 1)))
             j = i[own[hit[first]]]
@@ -373,17 +389,19 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept (binary: the other bytes, which may part a character).  Matches never cross rows; both copies go, in one
     row or in two, so repeated rows of ``length`` bytes or more lose all.  Null text is empty; null ids are rows
     like others; an empty table gives an empty result; other columns are not read.  ``length`` is at least 64.
-    ``spread``: from which share on a minimizer's stretches are dealt out one by one, see common.heavy_keys.
+    ``spread``: from which share of a partition's different stretches on a seed is common, see common.heavy_keys.
     """
+    if length < SEED:
+        raise ValueError(f"length is at least {SEED}")
     n = buckets(df)
     docs = text_only(df, id_col, text_col).withColumn("key", F.xxhash64("id", "text"))
-    reports = checkpointed(docs.select("key", "text").mapInArrow(_reports(length, spread[1]), "key bigint, n bigint"))
-    heavy = heavy_keys(reports, n, spread[0])
-    sent = docs.select("key", "text").mapInArrow(_send(n, length, heavy), "q int, blob binary")
-    found = checkpointed(sent.groupBy("q").applyInArrow(_settle(n, heavy), "blk int, kind int, blob binary"))
+    reports = checkpointed(docs.select("key", "text").mapInArrow(_reports(n, length, *spread), "key bigint, n bigint"))
+    common = KeyList(heavy_keys(reports, n, spread[0]))
+    sent = docs.select("key", "text").mapInArrow(_send(n, length, common), "q int, blob binary")
+    found = checkpointed(sent.groupBy("q").applyInArrow(_settle(n), "blk int, kind int, blob binary"))
     docs = docs.withColumn("blk", F.pmod("key", F.lit(n)).cast("int"))
     asked = found.filter("kind = 1").select("blk", "blob")
-    fetched = docs.select("blk", "key", "text").groupBy("blk").cogroup(asked.groupBy("blk")).applyInArrow(_fetch(n, length, heavy), "q int, blob binary")
+    fetched = docs.select("blk", "key", "text").groupBy("blk").cogroup(asked.groupBy("blk")).applyInArrow(_fetch(n, length), "q int, blob binary")
     matched = checkpointed(fetched.groupBy("q").applyInArrow(_index(n, length), "blk int, kind int, blob binary"))
     runs = found.filter("kind = 0").union(matched).select("blk", "blob")
     out = docs.groupBy("blk").cogroup(runs.groupBy("blk")).applyInArrow(_cut(length), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")

@@ -417,6 +417,41 @@ def test_suffix_dedup_random(spark, seed, spread):
     assert binary(suffix_dedup.suffix_dedup(frame(spark, rows), length=70, spread=spread)) == srt(plain_repeats(rows, 70))
 
 
+@pytest.mark.parametrize("length", [1000, 1200])
+def test_suffix_dedup_of_long_strings(spark, length):
+    r = random.Random(length)
+    shared = "".join(r.choice("abcdef") for _ in range(1500))
+    rows = [(1, "one" + shared + "uno"), (2, "two" + shared), (3, shared[: length - 1]), (4, "".join(r.choice("abcdef") for _ in range(3000)))]
+    want = plain_repeats(rows, length)
+    assert [x[2] for x in want] == [1500, 1500, 0, 0]
+    assert binary(suffix_dedup.suffix_dedup(frame(spark, rows), length=length)) == srt(want)
+    with pytest.raises(ValueError):
+        suffix_dedup.suffix_dedup(frame(spark, rows), length=63)
+
+
+@pytest.mark.parametrize("spread", [(2.0, 4), (0.05, 1)])
+def test_suffix_dedup_of_a_passage_in_every_document(spark, spread):
+    r = random.Random(5)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, copied = text(400), text(900)
+    rows = [(i, text(r.randint(0, 300)) + passage + text(r.randint(0, 300))) for i in range(80)]
+    for i in range(80, 160):  # near copies
+        at = r.randint(0, 880)
+        rows.append((i, copied[:at] + text(r.randint(1, 5)) + copied[at + 3 :]))
+    assert binary(suffix_dedup.suffix_dedup(frame(spark, rows), spread=spread)) == srt(plain_repeats(rows, 200))
+
+
+def test_an_index_of_a_group_too_large_compares_its_windows_by_hash(monkeypatch):
+    r, packed = random.Random(6), suffix_dedup.pack
+    body = [bytes(r.choice(b"ab") for _ in range(20)) for _ in range(3)]
+    body = [x + y for x in body for y in body]
+    n = np.arange(len(body))
+    meta = packed(n, n.astype(np.int32), np.full(len(n), 31, np.int16), np.zeros(len(n), np.uint64), np.ones(len(n), np.int8))
+    blob = len(meta).to_bytes(4, "little") + meta + b"".join(body)
+    places = lambda most: sorted((int(k), int(p) + j) for key, pos, m in suffix_dedup._indexed([blob], 10, most) for k, p, x in zip(key, pos, m) for j in range(x))
+    assert places(10) == places(1 << 20) and places(10)
+
+
 def test_run_index_statistics():
     r = np.random.default_rng(0)
     for n in (1, 2, 7, 60, 250):
@@ -428,7 +463,7 @@ def test_run_index_statistics():
             best = 0
             for q in range(n):
                 k = 0
-                while p != q and max(p, q) + k < n and t[p + k] == t[q + k]:
+                while p != q and max(p, q) + k < n and t[p + k] == t[q + k] != 0:  # a text ends at 0
                     k += 1
                 best = max(best, k)
             assert got[p] == best
