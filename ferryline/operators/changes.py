@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,9 +50,11 @@ def check_epoch(tail: tuple[int, int] | None, end: int | None) -> None:
 
 
 def transaction_ends(df: DataFrame, txn: str, order: str) -> DataFrame:
-    """Rows with is_last: the last of its transaction."""
-    last = df.groupBy(txn).agg(F.max(order).alias("__last"))
-    return df.join(last, txn).withColumn("is_last", F.col(order) == F.col("__last")).drop("__last")
+    """Rows with is_last: the last of its transaction.  Rows without a transaction end none."""
+    tagged = df.filter(F.col(txn).isNotNull())
+    last = tagged.groupBy(txn).agg(F.max(order).alias("__last"))
+    ends = tagged.join(last, txn).withColumn("is_last", F.col(order) == F.col("__last")).drop("__last").select(*df.columns, "is_last")
+    return ends.union(df.filter(F.col(txn).isNull()).withColumn("is_last", F.lit(False)))
 
 
 def with_hold(df: DataFrame, txn: str, end: str, order: str) -> DataFrame:
@@ -72,10 +74,11 @@ def apply_segments(df: DataFrame, txn: str, moved: str, order: str) -> DataFrame
     A tagged transaction without a key move is applied as one; everything else between such transactions
     makes one barrier segment.
     """
-    moves = df.filter(F.col(txn).isNotNull()).groupBy(txn).agg(F.max(F.col(moved).cast("int")).alias("__moves"))
-    out = df.join(moves, txn, "left").withColumn("mode", F.when(F.col("__moves") == 0, "atomic").otherwise("barrier"))
-    out = out.withColumn("__of", F.when(F.col("mode") == "atomic", F.col(txn)))
-    return runs(out, order, ["mode", "__of"], "segment_id").drop("__moves", "__of")
+    tagged, alone = df.filter(F.col(txn).isNotNull()), df.filter(F.col(txn).isNull())
+    moves = tagged.groupBy(txn).agg(F.max(F.col(moved).cast("int")).alias("__moves"))
+    known = tagged.join(moves, txn).withColumn("mode", F.when(F.col("__moves") == 0, "atomic").otherwise("barrier")).select(*df.columns, "mode")
+    out = known.union(alone.withColumn("mode", F.lit("barrier"))).withColumn("__of", F.when(F.col("mode") == "atomic", F.col(txn)))
+    return runs(out, order, ["mode", "__of"], "segment_id").drop("__of")
 
 
 def fold(stored: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -148,18 +151,18 @@ def fold_with_moves(stored: DataFrame, changes: DataFrame, keys: Sequence[str])
     moved_rows = s.filter("root IS NOT NULL").select(bucket, F.lit(-1).cast("bigint").alias("ord"), F.lit("stored").alias("kind"), F.struct(*keys).alias("key"), F.struct(*keys).alias("old"), *[F.struct(F.col(x)).alias(f"c_{x}") for x in rest])
     moved_changes = c.filter("root IS NOT NULL").select(bucket, "ord", "kind", F.struct(*keys).alias("key"), F.coalesce("old", F.struct(*keys)).alias("old"), *[F.col(x).alias(f"c_{x}") for x in rest])
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
+    def one(group: pa.Table) -> pa.Table:
         rows, todo = {}, []
-        for r in group.sort_values("ord", kind="stable").to_dict("records"):
+        kinds = {f.name: f.type for f in group.schema.field("key").type} | {x: group.schema.field(f"c_{x}").type.field(0).type for x in rest}
+        for r in group.sort_by("ord").to_pylist():
             image = {x: r[f"c_{x}"][x] for x in rest if r[f"c_{x}"] is not None} | r["key"]
             if r["kind"] == "stored":
                 rows[tuple(r["key"][k] for k in keys)] = image
             else:
                 todo.append({"kind": r["kind"], "key": r["key"], "before_key": r["old"], "after": image})
-        out = replay(rows, todo, kept, keys)
-        return pd.DataFrame(list(out.values()), columns=kept)
+        return pa.Table.from_pylist(list(replay(rows, todo, kept, keys).values()), pa.schema([(x, kinds[x]) for x in kept]))
 
-    moved = moved_rows.unionByName(moved_changes).groupBy("bucket").applyInPandas(one, schema)
+    moved = moved_rows.unionByName(moved_changes).groupBy("bucket").applyInArrow(one, schema)
     return plain.select(*kept).unionByName(moved)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,9 +30,21 @@ def linked(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     return label
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it; where it names none, one of our own if all
+    runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='ferryline-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster names, or in one of our own where it names none."""
+    """A reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='ferryline-')}")
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint()

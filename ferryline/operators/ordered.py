@@ -1,7 +1,8 @@
 """Order-dependent operators over one long stream, without a window that takes it all into one task.
 
-The order column (a whole number) is cut into equal ranges.  Within a range a window does the work; what
-crosses ranges, a running total or the last row before, comes from one row a range.
+The order column (a whole number) is cut into ranges that hold about as many rows each, at approximate quantiles, however
+its values cluster.  Within a range a window does the work; what crosses ranges, a running total or the last row
+before, comes from one row a range.
 """
 
 from __future__ import annotations
@@ -12,41 +13,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-SEGMENTS = 64
 _SEG = "__segment"
 
 
-def segmented(df: DataFrame, order: str, segments: int = SEGMENTS) -> DataFrame:
-    """Rows with their range of the order column."""
-    ends = df.agg(F.struct(F.min(order).alias("lo"), F.max(order).alias("hi")).alias("e")).scalar()
-    out = df.withColumn("__e", ends)
-    return out.withColumn(_SEG, F.floor((F.col(order) - F.col("__e.lo")) * segments / (F.col("__e.hi") - F.col("__e.lo") + 1)).cast("int")).drop("__e")
+def _segments(df: DataFrame, segments: int | None) -> int:
+    """Ranges wanted: as many as the session has shuffle partitions, 64 at least."""
+    return segments or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def running_sum(df: DataFrame, order: str, value: Column, name: str, segments: int = SEGMENTS) -> DataFrame:
-    """Rows with the sum of ``value`` over all rows up to and including each, in order."""
-    cut = segmented(df.withColumn("__v", value.cast("bigint")), order, segments)
+def segmented(df: DataFrame, order: str, segments: int | None = None) -> DataFrame:
+    """Rows with their range of the order column: how many of the cut points lie below."""
+    n = _segments(df, segments)
+    cuts = df.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 100 * n).alias("cuts")).scalar()
+    rows = df.withColumn("__cuts", F.array_distinct(cuts))
+    return rows.withColumn(_SEG, F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(order))), F.lit(0))).drop("__cuts")
+
+
+def _summed(cut: DataFrame, order: str, name: str) -> DataFrame:
+    """Segmented rows with the running sum of the column __v."""
     inside = F.sum("__v").over(Window.partitionBy(_SEG).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     totals = cut.groupBy(_SEG).agg(F.sum("__v").alias("__t"))
     before = totals.select(_SEG, F.coalesce(F.sum("__t").over(Window.orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return cut.withColumn("__in", inside).join(F.broadcast(before), _SEG).withColumn(name, F.col("__in") + F.col("__before")).drop(_SEG, "__v", "__in", "__before")
+    return cut.withColumn("__in", inside).join(F.broadcast(before), _SEG).withColumn(name, F.col("__in") + F.col("__before")).drop("__v", "__in", "__before")
 
 
-def with_previous(df: DataFrame, order: str, values: Sequence[str], name: str, segments: int = SEGMENTS) -> DataFrame:
-    """Rows with a struct of the values of the row before, in order; null for the first."""
-    cut = segmented(df, order, segments)
+def _carried(cut: DataFrame, order: str, values: Sequence[str], name: str) -> DataFrame:
+    """Segmented rows with a struct of the values of the row before."""
     row = F.struct(*values)
     last = cut.groupBy(_SEG).agg(F.max_by(row, order).alias("__l"))
     carried = last.select(_SEG, F.lag("__l").over(Window.orderBy(_SEG)).alias("__carried"))
     inside = F.lag(row).over(Window.partitionBy(_SEG).orderBy(order))
-    return cut.withColumn("__inside", inside).join(F.broadcast(carried), _SEG).withColumn(name, F.coalesce("__inside", "__carried")).drop(_SEG, "__inside", "__carried")
+    return cut.withColumn("__inside", inside).join(F.broadcast(carried), _SEG).withColumn(name, F.coalesce("__inside", "__carried")).drop("__inside", "__carried")
+
+
+def running_sum(df: DataFrame, order: str, value: Column, name: str, segments: int | None = None) -> DataFrame:
+    """Rows with the sum of ``value`` over all rows up to and including each, in order."""
+    return _summed(segmented(df.withColumn("__v", value.cast("bigint")), order, segments), order, name).drop(_SEG)
+
+
+def with_previous(df: DataFrame, order: str, values: Sequence[str], name: str, segments: int | None = None) -> DataFrame:
+    """Rows with a struct of the values of the row before, in order; null for the first."""
+    return _carried(segmented(df, order, segments), order, values, name).drop(_SEG)
 
 
-def runs(df: DataFrame, order: str, values: Sequence[str], name: str = "run_id", segments: int = SEGMENTS) -> DataFrame:
+def runs(df: DataFrame, order: str, values: Sequence[str], name: str = "run_id", segments: int | None = None) -> DataFrame:
     """Rows with the number (from 1) of their maximal run of equal values, in order."""
-    before = with_previous(df, order, values, "__previous", segments)
+    before = _carried(segmented(df, order, segments), order, values, "__previous")
     starts = ~F.struct(*values).eqNullSafe(F.col("__previous"))
-    return running_sum(before, order, F.when(starts, 1).otherwise(0), name, segments).drop("__previous")
+    return _summed(before.withColumn("__v", F.when(starts, 1).otherwise(0).cast("bigint")).drop("__previous"), order, name).drop(_SEG)
 
 
 def ordinal_within(df: DataFrame, base: str, order: str, name: str = "seq") -> DataFrame:

@@ -159,7 +159,7 @@ def column_defaults():
     return [(d, t, jdbc.column_default(t, d)) for d, t in (("mssql", "((1))"), ("mssql", "(getdate())"), ("mysql", "'x'"), ("postgres", "nextval('s'::regclass)"), ("oracle", "SYSDATE "))]
 
 
-@stated("given wire", [("dec", '{"t": "dec", "v": "1.50"}'), ("b64", '{"t": "b64", "v": "AP8="}'), ("json", '{"t": "json", "v": "{\\"a\\":1,\\"b\\":[2]}"}'), ("set", '{"t": "set", "v": "x,y"}'), ("int", "5"), ("null", "null")])
+@stated("given wire", [("dec", '{"__t__": "dec", "v": "1.50"}'), ("b64", '{"__t__": "b64", "v": "AP8="}'), ("json", '{"__t__": "json", "v": "{\\"a\\":1,\\"b\\":[2]}"}'), ("set", '{"__t__": "set", "v": "x,y"}'), ("int", "5"), ("null", "null")])
 def value_codec():
     import json
     from decimal import Decimal

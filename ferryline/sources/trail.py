@@ -1,19 +1,22 @@
 """The trail: change records as JSON lines in numbered segments, each record with an explicit sequence number.
 
-Values keep their types by tags: dec, b64, ts, d, json, set, str; null, booleans, numbers and text are plain.
-A last line without a newline is a write that was cut off, and is left out; any other line that can't be read
-raises.  Segments that are applied in full can be purged.
+Values keep their types by tags (see CODECS); null, booleans, numbers and text are plain.  A segment's name holds
+its number and its first and last sequence number, so that a reader opens only what it needs.  A last line
+without a newline is a write that was cut off, and is left out; any other line that can't be read raises.
+Segments that are applied in full can be purged.  One writer at a time holds the trail's lock.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 from datetime import date, datetime, timezone
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,35 +24,78 @@ class CorruptTrail(ValueError):
     """A finished line that can't be read."""
 
 
+class TrailBusy(RuntimeError):
+    """Another writer holds the trail, or left its lock behind."""
+
+
 # ---- values -----------------------------------------------------------------------------------------
 
+#: Fixed values of the wire format: the member that names a value's tag, and the one with its text.
+TAG, TEXT = "__t__", "v"
+
+
+@dataclass(frozen=True)
+class Codec:
+    """How values of some types are written as text, and read back."""
+
+    tag: str
+    types: tuple[type, ...]
+    write: Callable[[object], str]
+    read: Callable[[str], object] = str
+
+
+def _instant(v: datetime) -> str:
+    """A wall time as it is; an instant in UTC, with its offset."""
+    return (v if v.tzinfo is None else v.astimezone(timezone.utc)).isoformat()
+
+
+def _json(v) -> str:
+    return json.dumps(v if isinstance(v, dict) else list(v), sort_keys=True, separators=(",", ":"), default=str)
+
+
+#: By tag.  The first that has a value's type writes it; datetime is before date, of which it is a kind.
+CODECS = {c.tag: c for c in (
+    Codec("dec", (Decimal,), str, Decimal),
+    Codec("b64", (bytes, bytearray, memoryview), lambda v: base64.b64encode(bytes(v)).decode(), base64.b64decode),
+    Codec("ts", (datetime,), _instant, datetime.fromisoformat),
+    Codec("d", (date,), date.isoformat, date.fromisoformat),
+    Codec("json", (dict, list, tuple), _json),
+    Codec("set", (set, frozenset), lambda v: ",".join(sorted(map(str, v)))),
+    Codec("str", (object,), str),
+)}
+_PLAIN = (type(None), bool, int, float, str)
+
+
+def _looks_tagged(text: str) -> bool:
+    return text.lstrip().startswith("{") and f'"{TAG}"' in text
+
 
 def encode(v):
-    """A value as JSON with a tag where JSON has no such type."""
-    if v is None or isinstance(v, (bool, int, float, str)):
+    """A value as JSON has it, or with its tag; so is text that could be taken for a tagged value."""
+    if isinstance(v, _PLAIN) and not (isinstance(v, str) and _looks_tagged(v)):
         return v
-    if isinstance(v, Decimal):
-        return {"t": "dec", "v": str(v)}
-    if isinstance(v, (bytes, bytearray, memoryview)):
-        return {"t": "b64", "v": base64.b64encode(bytes(v)).decode()}
-    if isinstance(v, datetime):
-        v = v.astimezone(timezone.utc).replace(tzinfo=None) if v.tzinfo else v
-        return {"t": "ts", "v": v.isoformat()}
-    if isinstance(v, date):
-        return {"t": "d", "v": v.isoformat()}
-    if isinstance(v, (dict, list, tuple)):
-        return {"t": "json", "v": json.dumps(v, sort_keys=True, separators=(",", ":"), default=str)}
-    if isinstance(v, (set, frozenset)):
-        return {"t": "set", "v": ",".join(sorted(map(str, v)))}
-    return {"t": "str", "v": str(v)}
+    codec = next(c for c in CODECS.values() if isinstance(v, c.types))
+    return {TAG: codec.tag, TEXT: codec.write(v)}
 
 
 def decode(v):
-    if not isinstance(v, dict):
-        return v
-    kind, text = v["t"], v["v"]
-    known = {"dec": Decimal, "b64": base64.b64decode, "ts": datetime.fromisoformat, "d": date.fromisoformat}
-    return known.get(kind, str)(text)
+    """The value of a tagged object; anything else is what it is, an unknown tag's text too."""
+    if isinstance(v, dict) and TAG in v and TEXT in v:
+        codec = CODECS.get(v[TAG])
+        return codec.read(v[TEXT]) if codec else v[TEXT]
+    return v
+
+
+def tagged_text(text: Column) -> Column:
+    """A text column as a record holds it: with a tag where it could be taken for a tagged value."""
+    mark = F.ltrim(text).startswith("{") & text.contains(f'"{TAG}"')
+    return F.when(mark, F.to_json(F.struct(F.lit("str").alias(TAG), text.alias(TEXT)))).otherwise(text)
+
+
+def value_text(value: Column) -> Column:
+    """The text of a record's value, tagged or plain."""
+    mark = F.ltrim(value).startswith("{") & value.contains(f'"{TAG}"')
+    return F.when(mark & F.get_json_object(value, f"$.{TAG}").isNotNull(), F.get_json_object(value, f"$.{TEXT}")).otherwise(value)
 
 
 def record_line(record: dict) -> str:
@@ -78,47 +124,92 @@ def position(p) -> tuple[int, int] | None:
 _SCHEMA = "seq bigint, op string, schema string, `table` string, key map<string,string>, after map<string,string>, before_key map<string,string>, scn bigint, commit_ts string, source_pos string, txn_id bigint, txn_end boolean, _corrupt string"
 
 
+def _file() -> Column:
+    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+
+
+@dataclass(frozen=True, order=True)
+class Segment:
+    number: int
+    first: int
+    last: int
+
+    @property
+    def name(self) -> str:
+        return f"segment-{self.number:010d}-{self.first:016d}-{self.last:016d}.jsonl"
+
+    @classmethod
+    def of(cls, name: str) -> Segment:
+        return cls(*(int(x) for x in name.removeprefix("segment-").removesuffix(".jsonl").split("-")))
+
+
 class Trail:
     def __init__(self, spark: SparkSession, path: str, rotate_bytes: int = 256 << 20):
         self.spark, self.path, self.rotate_bytes = spark, path.rstrip("/"), rotate_bytes
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def segments(self) -> list[str]:
+    def listed(self) -> list[Segment]:
+        """The segments, by their names alone."""
         if not self._fs.exists(self._path(self.path)):
             return []
         names = (x.getPath().getName() for x in self._fs.listStatus(self._path(self.path)))
-        return sorted(f"{self.path}/{n}" for n in names if n.startswith("segment-") and n.endswith(".jsonl"))
+        return sorted(Segment.of(n) for n in names if n.startswith("segment-") and n.endswith(".jsonl"))
 
-    def _number(self, segment: str) -> int:
-        return int(segment.rsplit("-", 1)[1].split(".")[0])
+    def _at(self, segment: Segment) -> str:
+        return f"{self.path}/{segment.name}"
+
+    def segments(self) -> list[str]:
+        return [self._at(s) for s in self.listed()]
+
+    def last_seq(self) -> int:
+        """The last sequence number given out."""
+        return max((s.last for s in self.listed()), default=0)
+
+    @contextmanager
+    def writing(self) -> Iterator[Segment]:
+        """Holds the writer's lock; gives the last segment there is (numbers before the first, if there is none)."""
+        lock = self._path(f"{self.path}/.writer")
+        try:
+            self._fs.create(lock, False).close()
+        except Exception as e:
+            if self._fs.exists(lock):
+                raise TrailBusy(f"{self.path} has another writer; after a crash, unlock() frees it") from e
+            raise
+        try:
+            yield max(self.listed(), default=Segment(-1, 0, 0))
+        finally:
+            self._fs.delete(lock, False)
+
+    def unlock(self) -> bool:
+        """Remove a lock that a crash left behind; the caller knows that its writer is gone."""
+        return bool(self._fs.delete(self._path(f"{self.path}/.writer"), False))
+
+    def _publish(self, temp: str, segment: Segment) -> None:
+        if not self._fs.rename(self._path(temp), self._path(self._at(segment))):
+            raise OSError(f"segment {segment.number} can't be put in place")
 
     def append(self, records: Iterable[dict]) -> int:
-        """Write records as new segments, numbered on; returns how many.  A segment appears whole or not at all."""
-        last = self.last_seq()
-        have = self.segments()
-        number, n, lines, size = (self._number(have[-1]) + 1 if have else 0), 0, [], 0
-
-        def flush() -> None:
-            nonlocal number, lines, size
-            temp = self._path(f"{self.path}/.segment-{number:010d}")
-            stream = self._fs.create(temp, True)
-            stream.write(bytearray("".join(lines).encode()))
-            stream.hflush()
-            stream.close()
-            if not self._fs.rename(temp, self._path(f"{self.path}/segment-{number:010d}.jsonl")):
-                raise OSError(f"segment {number} can't be put in place")
-            number, lines, size = number + 1, [], 0
-
-        for r in records:
-            n += 1
-            line = record_line({**r, "seq": last + n}) + "\n"
-            if lines and size + len(line) > self.rotate_bytes:
-                flush()
-            lines.append(line)
-            size += len(line)
-        if lines:
-            flush()
+        """Write records as new segments, numbered on; returns how many.  A segment appears whole or not at all.
+
+        For the few records of a decoded stream; tables of records go through append_frame.
+        """
+        n, lines, size, temp = 0, 0, 0, f"{self.path}/.segment"
+        with self.writing() as last:
+            number, first, stream = last.number + 1, last.last + 1, None
+            for r in records:
+                line = bytearray((record_line({**r, "seq": last.last + n + 1}) + "\n").encode())
+                if stream is not None and size + len(line) > self.rotate_bytes:
+                    stream.close()
+                    self._publish(temp, Segment(number, first, first + lines - 1))
+                    number, first, stream = number + 1, first + lines, None
+                if stream is None:
+                    stream, lines, size = self._fs.create(self._path(temp), True), 0, 0
+                stream.write(line)
+                n, lines, size = n + 1, lines + 1, size + len(line)
+            if stream is not None:
+                stream.close()
+                self._publish(temp, Segment(number, first, first + lines - 1))
         return n
 
     def append_frame(self, df: DataFrame, order: str) -> int:
@@ -128,19 +219,19 @@ class Trail:
         """
         from ..operators.ordered import running_sum
 
-        last, have = self.last_seq(), self.segments()
-        number = self._number(have[-1]) + 1 if have else 0
-        rows = running_sum(df, order, F.lit(1), "__n").withColumn("seq", F.col("__n") + last)
-        fields = [c for c in rows.columns if c not in (order, "__n")]
-        lines = rows.repartitionByRange("seq").sortWithinPartitions("seq").select(F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "true"}).alias("value"))
-        temp = f"{self.path}/.frame-{number:010d}"
-        lines.write.mode("overwrite").text(temp)
-        files = sorted(x.getPath().getName() for x in self._fs.listStatus(self._path(temp)) if x.getPath().getName().startswith("part-") and x.getLen())
-        for n, name in enumerate(files):
-            if not self._fs.rename(self._path(f"{temp}/{name}"), self._path(f"{self.path}/segment-{number + n:010d}.jsonl")):
-                raise OSError(f"segment {number + n} can't be put in place")
-        self._fs.delete(self._path(temp), True)
-        return self.last_seq() - last
+        temp, n = f"{self.path}/.frame", 0
+        with self.writing() as last:
+            rows = running_sum(df, order, F.lit(1), "__n").withColumn("seq", F.col("__n") + last.last)
+            fields = [c for c in rows.columns if c not in (order, "__n")]
+            lines = rows.repartitionByRange("seq").sortWithinPartitions("seq").select(F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "true"}).alias("value"))
+            lines.write.mode("overwrite").text(temp)
+            seq = F.get_json_object("value", "$.seq").cast("bigint")
+            spans = self.spark.read.text(temp).select(_file().alias("file"), seq.alias("seq")).groupBy("file").agg(F.min("seq").alias("first"), F.max("seq").alias("last")).orderBy("first").collect()
+            for at, r in enumerate(spans, last.number + 1):
+                self._publish(f"{temp}/{r['file']}", Segment(at, r["first"], r["last"]))
+                n += r["last"] - r["first"] + 1
+            self._fs.delete(self._path(temp), True)
+        return n
 
     def _torn(self, segment: str) -> bool:
         """Whether a segment's last byte is no newline."""
@@ -155,20 +246,29 @@ class Trail:
         finally:
             stream.close()
 
+    def needed(self, after: int = 0, limit: int | None = None) -> list[Segment]:
+        """The segments that hold the records past a sequence number, up to ``limit`` of them."""
+        out, n = [], 0
+        for s in self.listed():
+            if s.last > after and (limit is None or n < limit):
+                out.append(s)
+                n += s.last - max(s.first, after + 1) + 1
+        return out
+
     def read(self, after: int = 0, limit: int | None = None) -> DataFrame:
-        """Records past a sequence number, in a table; to be ordered by seq."""
-        have = self.segments()
-        if not have:
+        """Records past a sequence number, in a table; to be ordered by seq.  Only the segments needed are opened."""
+        have, need = self.listed(), self.needed(after, limit)
+        if not need:
             return self.spark.createDataFrame([], _SCHEMA).drop("_corrupt")
-        for s in have[:-1]:
-            if self._torn(s):
-                raise CorruptTrail(f"{s} is closed but its last line is cut off")
-        torn = have[-1] if self._torn(have[-1]) else None
-        lines = self.spark.read.text(have).select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"))
+        for s in need:
+            if s != have[-1] and self._torn(self._at(s)):
+                raise CorruptTrail(f"{s.name} is closed but its last line is cut off")
+        torn = need[-1] == have[-1] and self._torn(self._at(have[-1]))
+        lines = self.spark.read.text([self._at(s) for s in need]).select("value", _file().alias("file"))
         parsed = lines.select("file", F.from_json("value", _SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("file", "r.*")
         bad = parsed.filter(F.col("_corrupt").isNotNull() | F.col("seq").isNull())
         if torn:
-            name = torn.rsplit("/", 1)[1]
+            name = have[-1].name
             broken = bad.filter(F.col("file") == name).count()
             if broken > 1 or bad.filter(F.col("file") != name).limit(1).count():
                 raise CorruptTrail("a finished line can't be read")
@@ -180,32 +280,54 @@ class Trail:
         out = parsed.filter(F.col("_corrupt").isNull() & (F.col("seq") > after)).drop("_corrupt", "file")
         return out.orderBy("seq").limit(limit) if limit is not None else out
 
-    def last_seq(self) -> int:
-        return self.read().agg(F.max("seq")).first()[0] or 0
+    def _whole_bytes(self, path) -> int:
+        """How many bytes of a file end in a newline; read from its end, a block at a time."""
+        end, block = self._fs.getFileStatus(path).getLen(), 1 << 16
+        stream = self._fs.open(path)
+        try:
+            while end:
+                start = max(0, end - block)
+                stream.seek(start)
+                data = bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, end - start))
+                if (at := data.rfind(b"\n")) >= 0:
+                    return start + at + 1
+                end = start
+            return 0
+        finally:
+            stream.close()
 
     def heal(self) -> bool:
-        """Rewrite the last segment without a line that was cut off; returns whether there was one."""
-        have = self.segments()
-        if not have or not self._torn(have[-1]):
+        """Replace the last segment by one without the line that was cut off; returns whether there was one.
+
+        The bytes are copied from stream to stream, and one rename puts the copy in the segment's place.
+        """
+        have = self.listed()
+        if not have or not self._torn(self._at(have[-1])):
             return False
-        whole = "".join(r["value"] for r in self.spark.read.text(have[-1], wholetext=True).collect())
-        temp = self._path(f"{self.path}/.healed")
-        stream = self._fs.create(temp, True)
-        stream.write(bytearray(whole[: whole.rfind("\n") + 1].encode()))
-        stream.close()
-        self._fs.delete(self._path(have[-1]), False)
-        return bool(self._fs.rename(temp, self._path(have[-1])))
+        jvm, path, temp = self.spark._jvm, self._path(self._at(have[-1])), self._path(f"{self.path}/.healed")
+        size = self._whole_bytes(path)
+        source, copy = self._fs.open(path), self._fs.create(temp, True)
+        try:
+            jvm.org.apache.commons.io.IOUtils.copyLarge(source, copy, 0, size)
+        finally:
+            source.close()
+            copy.close()
+        replace = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        replace[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri() if path.toUri().getScheme() else self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(temp, path, replace)
+        return True
 
     def purge(self, applied: int) -> list[str]:
-        """Remove closed segments whose records are all applied; returns their names."""
-        have = self.segments()
-        if len(have) < 2:
-            return []
-        ends = {r["file"]: r["last"] for r in self.spark.read.text(have[:-1]).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.get_json_object("value", "$.seq").cast("bigint").alias("seq")).groupBy("file").agg(F.max("seq").alias("last")).collect()}
+        """Remove closed segments whose records are all applied; returns their names.  No segment is read."""
         gone = []
-        for s in have[:-1]:
-            if ends.get(s.rsplit("/", 1)[1], 0) > applied:
+        for s in self.listed()[:-1]:
+            if s.last > applied:
                 break
-            self._fs.delete(self._path(s), False)
-            gone.append(s.rsplit("/", 1)[1])
+            self._fs.delete(self._path(self._at(s)), False)
+            gone.append(s.name)
         return gone
+
+    def remove(self) -> None:
+        """Remove the trail with all it holds."""
+        self._fs.delete(self._path(self.path), True)

@@ -1,27 +1,40 @@
-"""Change records from a trail, applied to a versioned table in micro-batches.
+"""Change records from a trail, applied to versioned tables in micro-batches.
 
 Each batch reads the records past the applied cursor, holds back a last transaction whose end is still to come,
-parks what can't be applied, folds the rest into the stored version and publishes the next.
+parks what can't be applied, folds the rest into the buckets that they touch and publishes all tables together.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.changes import dead_letters, fold_with_moves, kind_of, with_hold
+from ..operators.changes import dead_letters, fold, fold_with_moves, kind_of, with_hold
 from ..sources.trail import _SCHEMA as TRAIL_SCHEMA
-from ..sources.trail import Trail
-from .versions import VersionedTable
+from ..sources.trail import Trail, value_text
+from .versions import Pointer, Replica, Stored, VersionedTable
 
 
 def typed(value: Column, kind: T.DataType) -> Column:
-    """A value of the trail (text, or a tagged object) as a column of the table's type."""
-    plain = F.when(F.get_json_object(value, "$.t").isNotNull(), F.get_json_object(value, "$.v")).otherwise(value)
-    return F.unbase64(plain) if isinstance(kind, T.BinaryType) else plain.cast(kind)
+    """A value of the trail (text, or a tagged object) as a column of the table's type; null if it can't be one."""
+    text = value_text(value)
+    return F.try_to_binary(text, F.lit("base64")) if isinstance(kind, T.BinaryType) else text.try_cast(kind)
+
+
+def applicable(schema: T.StructType, keys: Sequence[str]) -> Column:
+    """Whether a record's values can be those of the table's columns, and none of its keys is null."""
+    fine = F.col("op").isin("I", "U", "D")
+    for f in schema.fields:
+        for image in ("after", "key", "before_key"):
+            value = F.col(image)[f.name]
+            fine = fine & (value.isNull() | typed(value, f.dataType).isNotNull())
+    for k in keys:
+        fine = fine & F.col("key")[k].isNotNull()
+    return F.coalesce(fine, F.lit(False))
 
 
 def typed_changes(records: DataFrame, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
@@ -45,52 +58,103 @@ def releasable(records: DataFrame) -> DataFrame:
     return with_hold(records, "txn_id", "txn_end", "seq").filter("NOT held").drop("held")
 
 
-def apply_batch(target: VersionedTable, records: DataFrame, keys: Sequence[str], batch: int, valid: Column | None = None, park: Callable[[DataFrame], None] | None = None, most_parked: int = 25, table: str | None = None) -> int:
-    """Apply one batch and return the cursor reached.  Key moves are never parked: they raise.
+def _folded(target: VersionedTable, changes: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[int] | None]:
+    """The rows of the buckets that the changes touch, after them, and the buckets (None: all)."""
+    keys, stored = tuple(keys), target.stored()
+    if stored.keys != keys:  # not bucketed by them yet
+        now, touched = target.read(), None
+    else:
+        bucket = target.replica.bucket_of
+        both = changes.select(bucket(list(keys)).alias("b")).union(changes.filter("old IS NOT NULL").select(bucket([F.col(f"old.{k}") for k in keys])))
+        touched = sorted(r["b"] for r in both.distinct().collect())
+        now = target.read(touched)
+    if changes.filter("kind = 'keymove'").limit(1).count():
+        return fold_with_moves(now, changes, keys), touched
+    return fold(now, changes, keys), touched
+
 
-    ``records`` are those of all tables, as only they tell whether the last transaction has ended; ``table`` names
-    the one to apply.
+def apply_tables(replica: Replica, records: DataFrame, tables: dict[str, Sequence[str]], batch: int, park: Callable[[str, DataFrame], None] | None = None, most_parked: int = 25, last_of: str | None = None) -> int:
+    """Apply one batch to some tables (their keys by name), publish them together, and return the cursor reached.
+
+    ``records`` are those of all tables, as only they tell whether the last transaction has ended.  Records whose values
+    don't fit their table are parked, ``most_parked`` in a batch at most: more raise, and so do any without a place to
+    park and key moves, before anything is written.  ``last_of``: the cursor is that of this table's last record.
     """
-    now = target.pointer()
+    now = replica.pointer()
     if batch <= now.batch:
         return now.cursor
-    stored = target.read()
-    ready = releasable(records.filter(F.col("seq") > now.cursor))
-    ready = (ready if table is None else ready.filter(F.lower("table") == table.lower())).persist()
+    ready = releasable(records.filter(F.col("seq") > now.cursor)).persist()
     try:
-        cursor = ready.agg(F.max("seq")).first()[0]
+        lower = F.lower("table")
+        cursor = (ready if last_of is None else ready.filter(lower == last_of.lower())).agg(F.max("seq")).first()[0]
         if cursor is None:
             return now.cursor
-        good = ready
-        if valid is not None:
-            good, bad = dead_letters(ready, valid, most_parked)
-            if bad.filter(F.size(F.coalesce("before_key", F.create_map().cast("map<string,string>"))) > 0).limit(1).count():
-                raise ValueError("a key move can't be applied, and is not parked")
-            if park is not None and bad.limit(1).count():
-                park(bad)
-        target.publish(fold_with_moves(stored, typed_changes(good, stored.schema, keys), keys), batch, cursor)
+        staged, parked = {}, []
+        present = {r[0] for r in ready.select(lower).distinct().collect()}
+        work = [(replica.table(name), name, keys) for name, keys in tables.items() if name.lower() in present]
+        good_of = {}
+        for target, name, keys in work:
+            schema = T.StructType.fromJson(json.loads(target.stored().schema))
+            good, bad = dead_letters(ready.filter(lower == name.lower()), applicable(schema, keys), most_parked)
+            if bad.limit(1).count():
+                if park is None:
+                    raise ValueError(f"{name} has changes that can't be applied, and there is no place to park them")
+                if bad.filter(F.size(F.coalesce("before_key", F.create_map().cast("map<string,string>"))) > 0).limit(1).count():
+                    raise ValueError("a key move can't be applied, and is not parked")
+                parked.append((name, bad))
+            good_of[name] = typed_changes(good, schema, keys)
+        for name, bad in parked:
+            park(name, bad)
+        for target, name, keys in work:
+            rows, touched = _folded(target, good_of[name], keys)
+            staged[name] = target.stage(rows, keys, touched)
+        replica.publish(staged, batch, cursor)
         return cursor
     finally:
         ready.unpersist()
 
 
-def replicate(trail: Trail, target: VersionedTable, keys: Sequence[str], table: str, batch_records: int = 10_000, **options) -> int:
-    """Apply all that the trail holds for a table, batch by batch; returns the cursor.
-
-    A batch is never cut inside a transaction: it grows until the cursor moves.
-    """
+def _drained(trail: Trail, cursor_of: Callable[[], tuple[int, int]], apply: Callable[[DataFrame, int], int], batch_records: int) -> int:
+    """Apply batch by batch till nothing moves.  A batch is never cut inside a transaction: it grows until the cursor
+    moves."""
     while True:
-        now = target.pointer()
-        size = batch_records
+        (cursor, batch), size = cursor_of(), batch_records
         while True:
-            reached = apply_batch(target, trail.read(now.cursor, size), keys, now.batch + 1, table=table, **options)
-            if reached > now.cursor or trail.last_seq() <= now.cursor + size:
+            reached = apply(trail.read(cursor, size), batch + 1)
+            if reached > cursor or trail.last_seq() <= cursor + size:
                 break
             size *= 2
-        if reached <= now.cursor:
+        if reached <= cursor:
             return reached
 
 
+def replicate_all(trail: Trail, replica: Replica, tables: dict[str, Sequence[str]], batch_records: int = 10_000, **options) -> int:
+    """Apply all that the trail holds for some tables, which are published together; returns the cursor."""
+    at = lambda: ((p := replica.pointer()).cursor, p.batch)
+    return _drained(trail, at, lambda records, batch: apply_tables(replica, records, tables, batch, **options), batch_records)
+
+
+def replicate(trail: Trail, target: VersionedTable, keys: Sequence[str], table: str, batch_records: int = 10_000, **options) -> int:
+    """Apply all that the trail holds for one table, alone in its replica; returns the cursor."""
+    at = lambda: ((p := target.pointer()).cursor, p.batch)
+    one = _Named(target, table)
+    return _drained(trail, at, lambda records, batch: apply_tables(one, records, {table: keys}, batch, last_of=table, **options), batch_records)
+
+
+class _Named:
+    """A replica whose one table answers to the name that the trail has for it."""
+
+    def __init__(self, target: VersionedTable, name: str):
+        self._target, self._name = target, name
+        self.pointer = target.pointer
+
+    def table(self, name: str) -> VersionedTable:
+        return self._target
+
+    def publish(self, staged: dict[str, Stored], batch: int, cursor: int) -> Pointer:
+        return self._target.replica.publish({self._target.name: staged[self._name]}, batch, cursor)
+
+
 def stream(spark: SparkSession, trail_path: str, target: VersionedTable, keys: Sequence[str], table: str, checkpoint: str, files_per_batch: int = 16, **options):
     """A Structured Streaming query over a trail's segments.
 
@@ -107,14 +171,14 @@ def stream(spark: SparkSession, trail_path: str, target: VersionedTable, keys: S
 
 
 def reconcile(target: VersionedTable, source_keys: DataFrame, keys: Sequence[str]) -> int:
-    """Delete stored rows whose key the source no longer has; returns how many there were."""
-    stored = target.read()
-    gone = stored.join(source_keys.select(*keys), list(keys), "left_anti")
-    n = gone.count()
-    now = target.pointer()
-    if n:
-        target.publish(stored.join(source_keys.select(*keys), list(keys), "left_semi"), now.batch + 1, now.cursor)
-    return n
+    """Delete stored rows whose key the source no longer has; returns how many there were.  Only their buckets are written."""
+    wanted, now, stored = source_keys.select(*keys), target.pointer(), target.stored()
+    gone = target.read().join(wanted, list(keys), "left_anti")
+    by = gone.groupBy(target.replica.bucket_of(list(stored.keys)).alias("b")).count().collect()
+    if by:
+        touched = [r["b"] for r in by]
+        target.publish(target.read(touched).join(wanted, list(keys), "left_semi"), now.batch + 1, now.cursor, stored.keys, touched)
+    return sum(r["count"] for r in by)
 
 
-__all__ = ["TRAIL_SCHEMA", "apply_batch", "reconcile", "releasable", "replicate", "stream", "typed_changes"]
+__all__ = ["TRAIL_SCHEMA", "applicable", "apply_tables", "reconcile", "releasable", "replicate", "replicate_all", "stream", "typed_changes"]

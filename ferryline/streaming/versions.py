@@ -1,15 +1,33 @@
-"""A table in versions: each batch writes the next version whole, and one rename of a pointer publishes it.
+"""Tables in versions, by buckets of their keys: a batch writes the buckets that it changes, and one rename of a pointer
+publishes them for all tables of the set.
 
-The pointer names the version, the batch that made it and how far the stream was applied.  A batch that is
-repeated finds itself applied, or recomputes from the version it started from: nothing is applied twice.
+The pointer says for each table in which version each of its buckets was last written, which batch made it and how
+far the stream was applied.  A batch that is repeated finds itself applied, or recomputes from the version it started
+from: nothing is applied twice, and no reader sees a transaction in one table and not in another.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from collections.abc import Iterable, Sequence
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Buckets of a table; a bucket should fit a task.
+BUCKETS = 16
+_BUCKET = "__bucket"
+
+
+@dataclass(frozen=True)
+class Stored:
+    """A table of a version: its schema, the keys that it is bucketed by, and the version that holds each bucket."""
+
+    schema: str
+    keys: tuple[str, ...] = ()
+    buckets: dict[str, int] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -17,43 +35,61 @@ class Pointer:
     version: int = -1
     batch: int = -1
     cursor: int = 0
+    tables: dict[str, Stored] = field(default_factory=dict)
 
 
 class CorruptPointer(ValueError):
     """A pointer that is there but can't be read: no guess is made."""
 
 
-class VersionedTable:
-    def __init__(self, spark: SparkSession, path: str, keep: int = 2):
-        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
+class Replica:
+    """A set of tables under one pointer."""
+
+    def __init__(self, spark: SparkSession, path: str, keep: int = 2, buckets: int = BUCKETS):
+        self.spark, self.path, self.keep, self.buckets = spark, path.rstrip("/"), keep, buckets
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _names(self, folder: str, prefix: str) -> list[str]:
+        if not self._fs.exists(self._path(folder)):
+            return []
+        return sorted(n for n in (x.getPath().getName() for x in self._fs.listStatus(self._path(folder))) if n.startswith(prefix))
+
+    def _parsed(self, name: str) -> Pointer:
+        text = "".join(r["value"] for r in self.spark.read.text(f"{self.path}/{name}", wholetext=True).collect())
+        try:
+            found = json.loads(text)
+            tables = {k: Stored(v["schema"], tuple(v["keys"]), v["buckets"]) for k, v in found.pop("tables").items()}
+            return Pointer(**found, tables=tables)
+        except (ValueError, TypeError, KeyError) as e:
+            raise CorruptPointer(f"{self.path}/{name}") from e
+
     def pointer(self) -> Pointer:
         """The published version; pointer files are numbered, and the highest counts."""
-        if not self._fs.exists(self._path(self.path)):
-            return Pointer()
-        names = sorted(x.getPath().getName() for x in self._fs.listStatus(self._path(self.path)) if x.getPath().getName().startswith("pointer-"))
-        if not names:
-            return Pointer()
-        text = "".join(r["value"] for r in self.spark.read.text(f"{self.path}/{names[-1]}", wholetext=True).collect())
-        try:
-            return Pointer(**json.loads(text))
-        except (ValueError, TypeError) as e:
-            raise CorruptPointer(f"{self.path}/{names[-1]}") from e
+        names = self._names(self.path, "pointer-")
+        return self._parsed(names[-1]) if names else Pointer()
+
+    def table(self, name: str) -> VersionedTable:
+        return VersionedTable(self.spark, self.path, name=name, replica=self)
+
+    def bucket_of(self, keys: Sequence[str] | Sequence[Column]) -> Column:
+        return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int") if keys else F.lit(0)
 
-    def read(self, version: int | None = None) -> DataFrame:
-        v = self.pointer().version if version is None else version
-        if v < 0:
-            raise FileNotFoundError(f"{self.path} has no version yet")
-        return self.spark.read.parquet(f"{self.path}/v={v}")
+    def stage(self, name: str, df: DataFrame, keys: Sequence[str] = (), touched: Iterable[int] | None = None) -> Stored:
+        """Write the rows of some buckets (of all, if none are named) for the version to come; nothing is published."""
+        now = self.pointer()
+        folder = f"{self.path}/v={now.version + 1}/{name}"
+        df.withColumn(_BUCKET, self.bucket_of(keys)).repartition(_BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(folder)
+        kept = {} if touched is None else {b: v for b, v in now.tables[name].buckets.items() if int(b) not in set(touched)}
+        new = {n.split("=")[1]: now.version + 1 for n in self._names(folder, f"{_BUCKET}=")}
+        return Stored(df.schema.json(), tuple(keys), kept | new)
 
-    def publish(self, df: DataFrame, batch: int, cursor: int) -> Pointer:
+    def publish(self, staged: dict[str, Stored], batch: int, cursor: int) -> Pointer:
+        """One pointer for all that was staged since the last; the other tables stay as they are."""
         now = self.pointer()
         if batch <= now.batch:
             return now
-        new = Pointer(now.version + 1, batch, cursor)
-        df.write.mode("overwrite").parquet(f"{self.path}/v={new.version}")
+        new = Pointer(now.version + 1, batch, cursor, now.tables | staged)
         temp = self._path(f"{self.path}/.pointer-{new.version:010d}")
         stream = self._fs.create(temp, True)
         stream.write(bytearray(json.dumps(asdict(new)).encode()))
@@ -61,7 +97,47 @@ class VersionedTable:
         stream.close()
         if not self._fs.rename(temp, self._path(f"{self.path}/pointer-{new.version:010d}")):
             raise OSError(f"version {new.version} of {self.path} can't be published")
-        for old in range(max(0, new.version - 2 * self.keep), new.version - self.keep + 1):
-            self._fs.delete(self._path(f"{self.path}/v={old}"), True)
-            self._fs.delete(self._path(f"{self.path}/pointer-{old:010d}"), False)
+        self._tidy()
         return new
+
+    def _tidy(self) -> None:
+        """Remove old pointers, and versions that none of the kept ones needs."""
+        names = self._names(self.path, "pointer-")
+        for n in names[: -self.keep]:
+            self._fs.delete(self._path(f"{self.path}/{n}"), False)
+        kept = [self._parsed(n) for n in names[-self.keep :]]
+        needed = {v for p in kept for t in p.tables.values() for v in t.buckets.values()} | {p.version for p in kept}
+        for n in self._names(self.path, "v="):
+            if int(n[2:]) not in needed and int(n[2:]) < kept[-1].version:
+                self._fs.delete(self._path(f"{self.path}/{n}"), True)
+
+
+class VersionedTable:
+    """One table of a replica; alone in it, unless a replica is given."""
+
+    def __init__(self, spark: SparkSession, path: str, keep: int = 2, buckets: int = BUCKETS, name: str = "table", replica: Replica | None = None):
+        self.spark, self.path, self.name = spark, path.rstrip("/"), name
+        self.replica = replica or Replica(spark, path, keep, buckets)
+
+    def pointer(self) -> Pointer:
+        return self.replica.pointer()
+
+    def stored(self) -> Stored | None:
+        return self.pointer().tables.get(self.name)
+
+    def read(self, buckets: Iterable[int] | None = None) -> DataFrame:
+        """The rows of the published version, of some buckets or of all; only their files are opened."""
+        now = self.stored()
+        if now is None:
+            raise FileNotFoundError(f"{self.path} has no version of {self.name} yet")
+        schema = T.StructType.fromJson(json.loads(now.schema))
+        wanted = None if buckets is None else {str(b) for b in buckets}
+        paths = [f"{self.path}/v={v}/{self.name}/{_BUCKET}={b}" for b, v in sorted(now.buckets.items()) if wanted is None or b in wanted]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def stage(self, df: DataFrame, keys: Sequence[str] = (), touched: Iterable[int] | None = None) -> Stored:
+        return self.replica.stage(self.name, df, keys, touched)
+
+    def publish(self, df: DataFrame, batch: int, cursor: int, keys: Sequence[str] = (), touched: Iterable[int] | None = None) -> Pointer:
+        now = self.pointer()
+        return now if batch <= now.batch else self.replica.publish({self.name: self.stage(df, keys, touched)}, batch, cursor)

@@ -86,3 +86,16 @@ def test_dead_letters_break_the_circuit(spark):
     assert (good.count(), bad.count()) == (8, 2)
     with pytest.raises(ValueError):
         C.dead_letters(df, F.col("id") < 7, 2)
+
+
+def test_untagged_changes_end_no_transaction(spark):
+    df = spark.createDataFrame([(1, 5), (2, None), (3, 5), (4, None)], "seq bigint, txn bigint")
+    assert sorted(map(tuple, C.transaction_ends(df, "txn", "seq").collect())) == [(1, 5, False), (2, None, False), (3, 5, True), (4, None, False)]
+
+
+def test_ranges_follow_the_rows(spark):
+    """Positions that cluster still give ranges of about equal size."""
+    df = spark.range(4000).select((F.col("id") + F.when(F.col("id") == 3999, 10**12).otherwise(0)).alias("o"))
+    sizes = [r["count"] for r in ordered.segmented(df, "o", 16).groupBy("__segment").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 400
+    assert ordered.running_sum(df, "o", F.lit(1), "s", 16).agg(F.max("s")).first()[0] == 4000

@@ -7,7 +7,7 @@ import pytest
 from ferryline.sources import decoding as D
 from ferryline.sources import trail as TR
 from ferryline.streaming import replicate as R
-from ferryline.streaming.versions import CorruptPointer, VersionedTable
+from ferryline.streaming.versions import CorruptPointer, Replica, VersionedTable
 
 
 def rec(op, i, txn=None, end=None, **after):
@@ -33,7 +33,9 @@ def test_values_come_back(v):
 def test_values_that_change_form():
     assert TR.decode(TR.encode({"b": 1, "a": [1, 2]})) == '{"a":[1,2],"b":1}'
     assert TR.decode(TR.encode({"y", "x"})) == "x,y"
-    assert TR.decode(TR.encode(datetime(2024, 1, 1, 12, tzinfo=timezone(timedelta(hours=2))))) == datetime(2024, 1, 1, 10)
+    assert TR.decode(TR.encode(datetime(2024, 1, 1, 12, tzinfo=timezone(timedelta(hours=2))))) == datetime(2024, 1, 1, 10, tzinfo=timezone.utc)
+    tricky = '{"__t__": "dec", "v": "1"}'
+    assert TR.encode("{}") == "{}" and TR.decode(TR.encode(tricky)) == tricky and TR.decode({"t": 1}) == {"t": 1} and TR.decode({"__t__": "new", "v": "x"}) == "x"
     assert TR.position(5) == (5, 0) < TR.position([5, 1]) and TR.position(None) is None
     line = TR.record_line(rec("I", 1, V=Decimal("2")))
     assert "txn_id" not in line and TR.record_of(line)["after"]["V"] == Decimal("2")
@@ -105,6 +107,76 @@ def test_transactions_over_tables_are_released_whole(spark, tmp_path, target, ba
     assert both() == (6, 4) and rows(target) == [(4, "b"), (7, "old"), (8, "stays")] and rows(other) == [(2, "a"), (3, "a"), (4, "b")]
 
 
+def test_tables_of_a_transaction_are_published_together(spark, tmp_path):
+    replica = Replica(spark, str(tmp_path / "r"), buckets=4)
+    replica.publish({n: replica.stage(n, spark.createDataFrame([(7, "old")], "ID int, V string"), ["ID"]) for n in "TU"}, 0, 0)
+    u = lambda *a, **b: rec(*a, **b) | {"table": "U"}
+    t = TR.Trail(spark, str(tmp_path / "tr"))
+    t.append([rec("I", 1, 5, V="a"), u("I", 2, 5, True, V="a"), rec("I", 3, V="alone"), u("I", 9, 6, V="open")])
+    for _ in range(2):
+        assert R.replicate_all(t, replica, {"T": ["ID"], "U": ["ID"]}, 1) == 3
+    assert rows(replica.table("T")) == [(1, "a"), (3, "alone"), (7, "old")] and rows(replica.table("U")) == [(2, "a"), (7, "old")]
+    t.append([rec("D", 7, 6, True)])
+    assert R.replicate_all(t, replica, {"T": ["ID"], "U": ["ID"]}) == 5
+    assert len(rows(replica.table("U"))) == 3 and (7, "old") not in rows(replica.table("T"))
+
+
+def test_a_batch_writes_the_buckets_it_touches(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"), buckets=8)
+    table.publish(spark.range(100).selectExpr("id AS ID", "'old' AS V"), 0, 0, ["ID"])
+    files = lambda: {f.split("/v=")[1].split("/")[0]: 0 for f in table.read().inputFiles()}
+    assert list(files()) == ["0"] and len(table.stored().buckets) == 8
+    t = TR.Trail(spark, str(tmp_path / "tr"))
+    t.append([rec("I", 5, V="new")])
+    assert R.replicate(t, table, ["ID"], "T") == 1
+    assert sorted(table.stored().buckets.values()) == [0] * 7 + [1] and set(files()) == {"0", "1"}
+    (bucket,) = (b for b, v in table.stored().buckets.items() if v == 1)
+    assert all("/v=1/" in f for f in table.read([int(bucket)]).inputFiles())
+    assert table.read().filter("V = 'new'").count() == 1 and table.read().count() == 100
+    before = {x.ID: x.V for x in table.read().collect()}
+    t.append([{"op": "U", "table": "T", "key": {"ID": 500}, "before_key": {"ID": 5}, "after": {"ID": 500}}])
+    assert R.replicate(t, table, ["ID"], "T") == 2
+    assert {x.ID: x.V for x in table.read().collect()} == {k: v for k, v in before.items() if k != 5} | {500: "new"}
+    for i in range(3):  # old versions go when nothing needs them
+        t.append([rec("D", 10 + i)])
+        R.replicate(t, table, ["ID"], "T")
+    assert table.read().count() == 97 and len(list(Path(table.path).glob("pointer-*"))) == 2
+
+
+def test_values_that_do_not_fit_are_parked(spark, tmp_path, target):
+    t = TR.Trail(spark, str(tmp_path / "tr"))
+    t.append([rec("I", 1, V="a"), rec("I", "no number", V="b"), rec("I", 2, V='{"__t__": "dec", "v": "1"}')])
+    parked = []
+    with pytest.raises(ValueError):
+        R.replicate(t, target, ["ID"], "T")
+    with pytest.raises(ValueError):
+        R.replicate(t, target, ["ID"], "T", park=lambda name, bad: parked.append(1), most_parked=0)
+    assert not parked and len(rows(target)) == 2
+    assert R.replicate(t, target, ["ID"], "T", park=lambda name, bad: parked.extend((name, r["seq"]) for r in bad.collect())) == 3
+    assert parked == [("T", 2)] and (2, '{"__t__": "dec", "v": "1"}') in rows(target)
+
+
+def test_only_the_segments_needed_are_opened(spark, tmp_path):
+    t = TR.Trail(spark, str(tmp_path / "tr"), rotate_bytes=120)
+    t.append([rec("I", i, V="v") for i in range(20)])
+    have = t.listed()
+    assert have[0].first == 1 and have[-1].last == 20 and all(a.last + 1 == b.first for a, b in zip(have, have[1:]))
+    assert [s.last for s in t.needed(18)] == [have[-1].last] if have[-1].first <= 19 else t.needed(18)
+    opened = {f.rsplit("/", 1)[1] for f in t.read(have[2].last, 1).inputFiles()}
+    assert opened <= {have[3].name} and len(t.needed(0, 1)) == 1
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    t = TR.Trail(spark, str(tmp_path / "tr"))
+    with t.writing():
+        with pytest.raises(TR.TrailBusy):
+            t.append([rec("I", 1)])
+    assert t.append([rec("I", 1)]) == 1
+    with pytest.raises(ZeroDivisionError):
+        t.append(rec("I", i) for i in [1, 1 // 0])
+    assert t.append([rec("I", 2)]) == 1 and t.last_seq() == 2 and not t.unlock()
+
+
 def test_streaming_restart(spark, tmp_path, target):
     t = TR.Trail(spark, str(tmp_path / "tr"))
     for n, more in ((1, [rec("I", 1, 5, V="a")]), (2, [rec("I", 2, 5, True, V="b")])):
