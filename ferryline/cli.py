@@ -6,7 +6,7 @@ import argparse
 import json
 from dataclasses import asdict
 
-VERBS = ("assess", "report", "export", "migrate", "load", "resume", "status", "monitor", "test", "test-count", "test-data", "test-index", "extract", "replicat", "extracts", "doctor", "serve")
+VERBS = ("assess", "report", "export", "migrate", "load", "resume", "status", "monitor", "test", "test-count", "test-data", "test-index", "extract", "replicat", "lag", "purge", "extracts", "doctor", "serve")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -19,6 +19,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--format", choices=("text", "json", "html"), default="text")
     p.add_argument("--refresh-tables", action="store_true")
     p.add_argument("--drop", action="store_true")
+    p.add_argument("--with-trail", action="store_true", help="with --drop: remove the trail too")
     p.add_argument("--no-reconcile", action="store_true")
     return p
 
@@ -52,9 +53,11 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         print(json.dumps([asdict(f) for f in found], indent=1))
         return 1 if found else 0
     elif a.verb == "extract":
-        print(json.dumps({"dropped": project.drop_extract(a.name)} if a.drop else project.extract(a.name, a.version_column, refresh=a.refresh_tables), default=str))
+        print(json.dumps({"dropped": project.drop_extract(a.name, a.with_trail)} if a.drop else project.extract(a.name, a.version_column, refresh=a.refresh_tables), default=str))
     elif a.verb == "replicat":
         print(json.dumps(project.replicat(a.name, False if a.no_reconcile else None)))
+    elif a.verb in ("lag", "purge"):
+        print(json.dumps(getattr(project, a.verb)(a.name)))
     elif a.verb == "extracts":
         print(json.dumps(project.extracts(), indent=1, default=str))
     elif a.verb == "doctor":

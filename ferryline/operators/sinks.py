@@ -2,17 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.ledger import FAILED, IN_PROGRESS, LOADED, PENDING, Ledger
 from .chunks import Chunk
 
 
-def load_range(df: DataFrame, path: str, chunk: Column | str = "chunk_id") -> None:  # noqa: F821
-    """Write rows so that they replace the chunks they belong to, and no others."""
+def load_range(df: DataFrame, path: str, chunk: Column | str = "chunk_id", ids: Sequence[str] | None = None) -> dict[str, int]:
+    """Replace chunks by the rows of ``df``, and no others; returns how many rows each got.
+
+    ``ids`` names the chunks that are replaced, those without rows too (by default, those that have rows).  The rows
+    are written beside the table first, and counted there; then each chunk's old folder makes room for its new one.
+    A crash between leaves a chunk that its ledger has not marked as loaded, and that a repeat replaces again.
+    """
+    spark = df.sparkSession
+    jvm, root = spark._jvm, path.rstrip("/")
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    folder = lambda i: f"chunk_id={jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(i)}"
+    staged = f"{root}/_staged-{uuid.uuid4().hex[:12]}"
     out = df if isinstance(chunk, str) else df.withColumn("chunk_id", chunk)
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk_id").parquet(path)
+    out = out if chunk in ("chunk_id",) or not isinstance(chunk, str) else out.withColumnRenamed(chunk, "chunk_id")
+    out.write.partitionBy("chunk_id").parquet(staged)
+    written = {x.getPath().getName() for x in fs.listStatus(at(staged)) if x.isDirectory()}
+    counts: dict[str, int] = {}
+    if written:
+        schema = T.StructType([f for f in out.schema.fields if f.name != "chunk_id"] + [T.StructField("chunk_id", T.StringType())])
+        counts = {r["chunk_id"]: r["count"] for r in spark.read.schema(schema).parquet(staged).groupBy("chunk_id").count().collect()}
+    if ids is not None and not counts.keys() <= set(ids):
+        fs.delete(at(staged), True)
+        raise ValueError(f"rows of other chunks: {sorted(counts.keys() - set(ids))[:5]}")
+    for i in ids if ids is not None else counts:
+        fs.delete(at(f"{root}/{folder(i)}"), True)
+        if folder(i) in written and not fs.rename(at(f"{staged}/{folder(i)}"), at(f"{root}/{folder(i)}")):
+            raise OSError(f"chunk {i} can't be put in place")
+    fs.delete(at(staged), True)
+    return dict.fromkeys(ids or (), 0) | counts
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -32,14 +62,17 @@ def chunk_column(chunks: list[Chunk]):
     return F.concat(F.lit(f"{table}:"), F.floor((F.col(chunks[0].key) - lo) / step).cast("string"))
 
 
-def load(ledger: Ledger, table: str, source: DataFrame, path: str, batch: int = 64) -> dict[str, int]:
+def load(ledger: Ledger, table: str, source: DataFrame | Callable[[list[Chunk]], DataFrame], path: str, batch: int = 64, keep_going: bool = False):
     """Load a table's chunks that are not loaded yet, some at a time as one job; returns rows by chunk.
 
-    The source is filtered to the recorded ranges, which reach its scan.  A batch that fails is marked failed,
-    and the error is raised; a later run takes up from the ledger.
+    ``source`` is the table, or gives it for some chunks (a database reads each by a query of its own).  It is filtered
+    to the recorded ranges, which reach its scan.  A batch that fails is marked failed, and the error is raised; a later
+    run takes up from the ledger.  With ``keep_going`` the other batches are loaded all the same, and the errors'
+    texts are returned beside the rows.
     """
     todo = ledger.chunks(table, PENDING, FAILED)
     done: dict[str, int] = {}
+    errors: list[str] = []
     for at in range(0, len(todo), batch):
         part = todo[at : at + batch]
         ids = [c.chunk_id for c in part]
@@ -48,16 +81,18 @@ def load(ledger: Ledger, table: str, source: DataFrame, path: str, batch: int =
             where = None
             for c in part:
                 where = c.condition() if where is None else where | c.condition()
-            tagged = source.filter(where).withColumn("chunk_id", chunk_column(ledger.chunks(table)))
-            load_range(tagged, path)
-            got = ledger.spark.read.parquet(path).filter(F.col("chunk_id").isin(ids)).groupBy("chunk_id").count().collect()
+            found = source if isinstance(source, DataFrame) else source(part)
+            tagged = found.filter(where).withColumn("chunk_id", chunk_column(ledger.chunks(table)))
+            rows = load_range(tagged, path, ids=ids)
         except Exception as e:
             ledger.mark(ids, FAILED, error=str(e)[:500])
-            raise
-        rows = dict.fromkeys(ids, 0) | {r["chunk_id"]: r["count"] for r in got}
+            if not keep_going:
+                raise
+            errors.append(str(e)[:500])
+            continue
         ledger.mark(ids, LOADED, rows)
         done |= rows
-    return done
+    return (done, errors) if keep_going else done
 
 
 def smoke_test(spark: SparkSession, path: str) -> bool:

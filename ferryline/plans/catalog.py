@@ -5,13 +5,19 @@ Copies, changes and ledgers are derived from the driver's tables by the same rul
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import render
-from ..operators import changes, chunks, compare, merge, ordered
+from ..operators import changes, chunks, compare, merge, ordered, sinks
+from ..operators.graph import shared_root
 from ..sources.tables import table
+from ..sources.trail import Trail
+from ..streaming import replicate
+from ..streaming.versions import Replica
 from . import ledger, metadata_catalog, rewrite
 from .sqltwin import digest
 
@@ -109,9 +115,10 @@ k AS (SELECT table_name, chunk_no, planned, CASE WHEN table_name = 'orders_b' TH
 
 
 @query(f"""WITH {_LEDGER_SQL}, a AS (SELECT table_name, count(*) AS chunks_total, count(*) FILTER (state IN ('loaded', 'verified')) AS chunks_loaded, count(*) FILTER (state = 'in_progress') AS chunks_running,
-  count(*) FILTER (state = 'failed') AS chunks_failed, coalesce(sum(planned) FILTER (state IN ('loaded', 'verified')), 0)::BIGINT AS rows_loaded, sum(planned)::BIGINT AS rows_planned FROM k GROUP BY 1)
-SELECT *, CASE WHEN chunks_failed > 0 THEN 'failed' WHEN chunks_loaded = chunks_total THEN 'loaded' WHEN chunks_running > 0 OR chunks_loaded > 0 THEN 'in_progress' ELSE 'pending' END AS status,
-  CAST(100 * chunks_loaded // chunks_total AS BIGINT) AS percent FROM a""")
+  count(*) FILTER (state = 'failed') AS chunks_failed, coalesce(sum(planned) FILTER (state IN ('loaded', 'verified')), 0)::BIGINT AS rows_loaded, sum(planned)::BIGINT AS rows_planned FROM k GROUP BY 1
+  UNION ALL SELECT 'orders_without_chunks', 0, 0, 0, 0, 0, NULL)
+SELECT *, CASE WHEN chunks_failed > 0 THEN 'failed' WHEN chunks_total > 0 AND chunks_loaded = chunks_total THEN 'loaded' WHEN chunks_running > 0 OR chunks_loaded > 0 THEN 'in_progress' ELSE 'pending' END AS status,
+  CAST(100 * chunks_loaded // greatest(chunks_total, 1) AS BIGINT) AS percent FROM a""")
 def progress_snapshot(spark, sf):
     o = table(spark, sf, "orders")
     k = F.col("o_orderkey")
@@ -119,7 +126,8 @@ def progress_snapshot(spark, sf):
     rows = o.groupBy(name.alias("table_name"), F.floor(k / 100).cast("bigint").alias("chunk_no")).agg(F.count(F.lit(1)).alias("planned"))
     n = F.col("chunk_no") % 4
     state = F.when(F.col("table_name") == "orders_b", "pending").when((F.col("table_name") == "orders_c") | n.isin(0, 1), "loaded").when(n == 2, "in_progress").otherwise("failed")
-    return ledger.progress(rows.withColumn("state", state))
+    tables = spark.createDataFrame([(f"orders_{x}",) for x in ("a", "b", "c", "without_chunks")], "table_name string")
+    return ledger.progress(rows.withColumn("state", state), tables)
 
 
 # ---- validation -----------------------------------------------------------------------------------
@@ -279,6 +287,14 @@ def txn_tag_and_end(spark, sf):
     return changes.transaction_ends(event_changes(spark, sf).select("event_id", "txn_id"), "txn_id", "event_id")
 
 
+@query(f"""WITH {_CHANGES}, x AS (SELECT event_id, CASE WHEN txn_id % 4 <> 0 THEN txn_id END AS txn FROM ch)
+SELECT event_id, txn, txn IS NOT NULL AND event_id = max(event_id) OVER (PARTITION BY txn) AS is_last FROM x""")
+def txn_end_untagged(spark, sf):
+    """A fourth of the changes has no transaction: they stay, and end none."""
+    e = event_changes(spark, sf).select("event_id", F.when(F.col("txn_id") % 4 != 0, F.col("txn_id")).alias("txn"))
+    return changes.transaction_ends(e, "txn", "event_id")
+
+
 @query(f"WITH {_CHANGES}, m AS (SELECT max(event_id) AS last, arg_max(txn_id, event_id) AS txn FROM ch) SELECT event_id, ch.txn_id, ch.txn_id = m.txn AS held FROM ch, m")
 def txn_incomplete_hold(spark, sf):
     """The last transaction's end is still to come."""
@@ -361,6 +377,53 @@ def cdc_keymove_apply(spark, sf):
     return changes.fold_with_moves(c, stream, ["c_custkey"])
 
 
+@query("""SELECT CASE WHEN c_custkey % 3 = 0 THEN c_custkey + 5000000 ELSE c_custkey END AS c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 9007199254740993 + c_custkey END AS wide,
+CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey AS DECIMAL(38, 10)) + 0.0000000001 END AS exact, CASE WHEN c_custkey % 3 = 0 THEN 'moved' ELSE c_name END AS c_name FROM customer""")
+def keymove_wide_values(spark, sf):
+    """Rows that move keep longs past 2**53 and decimals beside nulls."""
+    k = F.col("c_custkey").cast("bigint")
+    wide = F.when(k % 2 == 0, k + F.lit(9007199254740993)).alias("wide")
+    exact = F.when(k % 5 != 0, (k.cast("decimal(27,0)") + F.lit("0.0000000001").cast("decimal(11,10)")).cast("decimal(38,10)")).alias("exact")
+    stored = table(spark, sf, "customer").select(k.alias("c_custkey"), wide, exact, "c_name")
+    unset = lambda name, kind: F.lit(None).cast(f"struct<{name}:{kind}>").alias(name)
+    moves = stored.filter("c_custkey % 3 = 0").select(k.alias("ord"), F.lit("keymove").alias("kind"), (k + 5_000_000).alias("c_custkey"), F.struct(k.alias("c_custkey")).alias("old"), unset("wide", "bigint"), unset("exact", "decimal(38,10)"), F.struct(F.lit("moved").alias("c_name")).alias("c_name"))
+    return changes.fold_with_moves(stored, moves, ["c_custkey"])
+
+
+@query(f"""WITH {_CHANGES}, o AS (SELECT max(txn_id) AS txn FROM ch), r AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'odds' ELSE 'evens' END AS table_name, user_id, event_id FROM ch, o WHERE txn_id <> o.txn)
+SELECT table_name, user_id, max(event_id) AS last_event, max(event_id) * 2 AS doubled FROM r GROUP BY 1, 2""")
+def transactions_over_tables(spark, sf):
+    """A trail of transactions over two tables, the last of them open, applied to both under one pointer."""
+    root = f"{shared_root(spark)}/ferryline-two-tables-{uuid.uuid4().hex[:12]}"
+    e = event_changes(spark, sf).select("event_id", "user_id", "txn_id")
+    ends = changes.transaction_ends(e, "txn_id", "event_id").withColumn("open_txn", e.agg(F.max("txn_id")).scalar())
+    text = lambda c: F.col(c).cast("string")
+    records = ends.select(
+        F.col("event_id").alias("ord"), F.lit("U").alias("op"), F.when(F.col("event_id") % 3 == 0, "odds").otherwise("evens").alias("table"), "txn_id", (F.col("is_last") & (F.col("txn_id") != F.col("open_txn"))).alias("txn_end"),
+        F.create_map(F.lit("user_id"), text("user_id")).alias("key"), F.create_map(F.lit("user_id"), text("user_id"), F.lit("last_event"), text("event_id"), F.lit("doubled"), (F.col("event_id") * 2).cast("string")).alias("after"))
+    source, replica = Trail(spark, f"{root}/trail"), Replica(spark, f"{root}/replica", buckets=4)
+    source.append_frame(records, "ord")
+    empty = spark.createDataFrame([], "user_id bigint, last_event bigint, doubled bigint")
+    replica.publish({t: replica.stage(t, empty, ["user_id"]) for t in ("odds", "evens")}, 0, 0)
+    replicate.replicate_all(source, replica, {t: ["user_id"] for t in ("odds", "evens")}, 1 << 20)
+    one = lambda t: replica.table(t).read().select(F.lit(t).alias("table_name"), "user_id", "last_event", "doubled")
+    return one("odds").union(one("evens"))
+
+
+@query("""WITH c AS (SELECT o_orderkey // 1000 AS chunk_no, o_orderkey, o_custkey, CAST(floor(o_orderkey / 1000) AS BIGINT) % 2 = 1 AS shrinks FROM orders)
+SELECT chunk_no, o_orderkey, o_custkey FROM c WHERE NOT (shrinks AND chunk_no % 4 = 1) AND NOT (shrinks AND chunk_no % 4 = 3 AND o_custkey % 2 = 0)""")
+def chunk_reload(spark, sf):
+    """Every other chunk is loaded again: half of those without any rows left, half with some of theirs."""
+    path = f"{shared_root(spark)}/ferryline-reload-{uuid.uuid4().hex[:12]}"
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.floor(F.col("o_orderkey") / 1000).cast("bigint").alias("no"))
+    name = F.concat(F.lit("orders:"), F.col("no").cast("string"))
+    sinks.load_range(rows.drop("no").withColumn("chunk_id", F.concat(F.lit("orders:"), F.floor(F.col("o_orderkey") / 1000).cast("string"))).repartition(1), path)
+    ids = [r[0] for r in rows.filter("no % 2 = 1").select(name).distinct().collect()]
+    left = rows.filter("no % 4 = 3 AND o_custkey % 2 = 1").withColumn("chunk_id", name).drop("no").repartition(1)
+    sinks.load_range(left, path, ids=ids)
+    return spark.read.parquet(path).select(F.split("chunk_id", ":")[1].cast("bigint").alias("chunk_no"), "o_orderkey", "o_custkey")
+
+
 @query("SELECT CASE WHEN value > 0 AND event_id % 23 <> 0 THEN 'good' ELSE 'dead_letter' END AS outcome, count(*) AS outcome_rows FROM events GROUP BY 1")
 def dead_letter_split(spark, sf):
     good, bad = changes.dead_letters(table(spark, sf, "events"), (F.col("value") > 0) & (F.col("event_id") % 23 != 0))

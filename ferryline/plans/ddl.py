@@ -102,25 +102,46 @@ def create_view(view: View, preserve_case: bool = False, dialect: str = "postgre
     return f"{head} {ident(view.name, preserve_case, dialect)} AS {view.definition.rstrip(';')}" + ("" if dialect == "spark" else ";")
 
 
-def export(schema: Schema, registry: TypeRegistry | None = None, preserve_case: bool = False, dialect: str = "postgres", accepts: dict[str, bool] | None = None) -> tuple[str, list[Gap]]:
-    """The whole schema's DDL: tables, sequences, indexes, views after those they name, foreign keys; and the gaps."""
-    out = [create_table(t, registry, preserve_case, dialect) for t in schema.tables]
+def _parts(schema: Schema, registry: TypeRegistry | None, preserve_case: bool, dialect: str, accepts: dict[str, bool] | None) -> tuple[dict[str, list[str]], list[Gap]]:
+    """The statements by kind, views after those they name; and the gaps."""
+    out: dict[str, list[str]] = {k: [] for k in ("tables", "sequences", "indexes", "views", "foreign_keys")}
+    out["tables"] = [create_table(t, registry, preserve_case, dialect) for t in schema.tables]
     gaps: list[Gap] = []
     if dialect != "spark":
-        out += [create_sequence(s, preserve_case, dialect) for s in schema.sequences]
+        out["sequences"] = [create_sequence(s, preserve_case, dialect) for s in schema.sequences]
         pairs = [(t, i) for t in schema.tables for i in t.indexes]
-        for (t, i), name in zip(pairs, unique_names([(t.name, i.name) for t, i in pairs])):
-            out += [x] if (x := create_index(t, i, preserve_case, dialect, name)) else []
+        made = (create_index(t, i, preserve_case, dialect, name) for (t, i), name in zip(pairs, unique_names([(t.name, i.name) for t, i in pairs])))
+        out["indexes"] = [x for x in made if x]
+        out["foreign_keys"] = [x for t in schema.tables for x in foreign_keys(t, preserve_case, dialect)]
     booleans = {c.name for t in schema.tables for c in t.columns if _kind(t, c, registry).kind == "boolean"}
     plain = {v.name: v for v in schema.views if not v.materialized}
     for name in ordered_views([(v.name, v.definition) for v in plain.values()]):
         body, found = portable_view(plain[name].definition, dialect, accepts, booleans)
         gaps += found
-        out.append(create_view(View(name, body), preserve_case, dialect))
-    if dialect != "spark":
-        out += [x for t in schema.tables for x in foreign_keys(t, preserve_case, dialect)]
-    gaps += custom_types(schema.tables, registry)
-    return "\n\n".join(out) + "\n", gaps
+        out["views"].append(create_view(View(name, body), preserve_case, dialect))
+    return out, gaps + custom_types(schema.tables, registry)
+
+
+def export(schema: Schema, registry: TypeRegistry | None = None, preserve_case: bool = False, dialect: str = "postgres", accepts: dict[str, bool] | None = None) -> tuple[str, list[Gap]]:
+    """The whole schema's DDL: tables, sequences, indexes, views after those they name, foreign keys; and the gaps."""
+    parts, gaps = _parts(schema, registry, preserve_case, dialect, accepts)
+    return "\n\n".join(x for own in parts.values() for x in own) + "\n", gaps
+
+
+def drops(schema: Schema, preserve_case: bool = False, dialect: str = "postgres") -> list[str]:
+    """Statements that remove what a schema would create, dependents first."""
+    name = lambda x: ident(x, preserve_case, dialect)
+    end = "" if dialect == "spark" else ";"
+    views = [v.name for v in schema.views if not v.materialized]
+    out = [f"DROP VIEW IF EXISTS {name(v)}{end}" for v in reversed(ordered_views([(v.name, v.definition) for v in schema.views if v.name in views]))]
+    out += [f"DROP TABLE IF EXISTS {name(t.name)}{' CASCADE' if dialect == 'postgres' else ''}{end}" for t in reversed(schema.tables)]
+    return out + [f"DROP SEQUENCE IF EXISTS {name(s.name)}{end}" for s in schema.sequences if dialect != "spark"]
+
+
+def scripts(schema: Schema, registry: TypeRegistry | None = None, preserve_case: bool = False, dialect: str = "postgres", accepts: dict[str, bool] | None = None) -> tuple[list[str], list[str], list[Gap]]:
+    """What runs before the rows are loaded (drops, sequences, tables) and after (indexes, foreign keys, views); the gaps."""
+    parts, gaps = _parts(schema, registry, preserve_case, dialect, accepts)
+    return drops(schema, preserve_case, dialect) + parts["sequences"] + parts["tables"], parts["indexes"] + parts["foreign_keys"] + parts["views"], gaps
 
 
 def custom_types(tables: Iterable[Table], registry: TypeRegistry | None = None) -> list[Gap]:

@@ -53,6 +53,7 @@ class Ledger:
     config_hash: str = ""
     planned: bool = False
     entries: list[Entry] = field(default_factory=list)
+    read_only: bool = False
 
     # -- storage
 
@@ -62,6 +63,8 @@ class Ledger:
         return p, p(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def save(self) -> None:
+        if self.read_only:
+            raise PermissionError(f"the ledger at {self.path} was opened to be read")
         p, fs = self._fs()
         body = json.dumps({"run": self.run, "config_hash": self.config_hash, "planned": self.planned, "entries": [asdict(e) for e in self.entries]}, indent=1)
         temp = p(f"{self.path}.next")
@@ -74,9 +77,13 @@ class Ledger:
             raise OSError(f"can't put the ledger at {self.path}")
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str) -> Ledger:
-        """The ledger there (or its complete successor, if a crash came between), else an empty one."""
+    def open(cls, spark: SparkSession, path: str, read_only: bool = False) -> Ledger:
+        """The ledger there (or its complete successor, if a crash came between), else an empty one.
+
+        One that is opened to be read changes nothing, and raises if it is asked to.
+        """
         out = cls(spark, path)
+        out.read_only = read_only
         p, fs = out._fs()
         found = next((x for x in (path, f"{path}.next") if fs.exists(p(x))), None)
         if found:
@@ -134,16 +141,22 @@ class Ledger:
         return sum(e.state not in (LOADED, VERIFIED) for e in self.entries)
 
 
-def progress(chunks: DataFrame) -> DataFrame:
-    """Per table: chunks by state, rows, a status and a percentage.  Chunks: table_name, state, planned (rows)."""
+def progress(chunks: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """Per table: chunks by state, rows, a status and a percentage.  Chunks: table_name, state, planned (rows).
+
+    ``tables`` (table_name) names tables that may have no chunks: they are pending, at 0 percent.
+    """
     n = lambda *states: F.count(F.when(F.col("state").isin(*states), 1))
     done = F.col("state").isin(LOADED, VERIFIED)
-    out = chunks.groupBy("table_name").agg(
-        F.count(F.lit(1)).alias("chunks_total"), n(LOADED, VERIFIED).alias("chunks_loaded"), n(IN_PROGRESS).alias("chunks_running"), n(FAILED).alias("chunks_failed"),
+    known = chunks if tables is None else tables.select("table_name").distinct().join(chunks, "table_name", "left")
+    out = known.groupBy("table_name").agg(
+        F.count("state").alias("chunks_total"), n(LOADED, VERIFIED).alias("chunks_loaded"), n(IN_PROGRESS).alias("chunks_running"), n(FAILED).alias("chunks_failed"),
         F.coalesce(F.sum(F.when(done, F.col("planned"))), F.lit(0)).cast("bigint").alias("rows_loaded"), F.sum("planned").cast("bigint").alias("rows_planned"),
     )
-    status = F.when(F.col("chunks_failed") > 0, FAILED).when(F.col("chunks_loaded") == F.col("chunks_total"), LOADED).when((F.col("chunks_running") > 0) | (F.col("chunks_loaded") > 0), IN_PROGRESS).otherwise(PENDING)
-    return out.withColumns({"status": status, "percent": F.floor(100 * F.col("chunks_loaded") / F.col("chunks_total")).cast("bigint")})
+    some = F.col("chunks_total") > 0
+    status = F.when(F.col("chunks_failed") > 0, FAILED).when(some & (F.col("chunks_loaded") == F.col("chunks_total")), LOADED).when((F.col("chunks_running") > 0) | (F.col("chunks_loaded") > 0), IN_PROGRESS).otherwise(PENDING)
+    percent = F.when(some, F.floor(100 * F.col("chunks_loaded") / F.greatest("chunks_total", F.lit(1)))).otherwise(0)
+    return out.withColumns({"status": status, "percent": percent.cast("bigint")})
 
 
 def eta_seconds(done: int, total: int, elapsed: float) -> float | None:

@@ -22,9 +22,9 @@ from .plans.model import Column, Schema, Table
 from .sources.introspect import introspect
 from .sources.jdbc import JdbcSource
 from .sources.tables import ParquetSource
-from .sources.trail import Trail
+from .sources.trail import Trail, tagged_text
 from .streaming import replicate
-from .streaming.versions import VersionedTable
+from .streaming.versions import BUCKETS, Replica
 
 
 @dataclass
@@ -63,6 +63,8 @@ class CdcConfig:
     apply_batch: int = 10_000
     poison_max_per_run: int = 25
     trail_rotate_mb: int = 256
+    #: Buckets of a replicated table; a batch rewrites those it touches.
+    replica_buckets: int = BUCKETS
 
 
 @dataclass
@@ -101,6 +103,10 @@ class Finding:
     message: str
 
 
+class SourceChanged(RuntimeError):
+    """A capture that began at another source."""
+
+
 class Project:
     def __init__(self, spark: SparkSession, config: Config):
         self.spark, self.config = spark, config
@@ -132,18 +138,19 @@ class Project:
             tables.append(Table(name, tuple(Column(f.name, kind(f.dataType), f.nullable) for f in struct.fields), None, tuple(self.config.source.keys.get(name, ()))))
         return Schema(self.config.source.path, tables)
 
-    def source_rows(self, t: Table) -> DataFrame:
-        return self.source().rows(t.name, [c.name for c in t.columns])
+    def source_rows(self, t: Table, chunks=None, snapshot: str | None = None) -> DataFrame:
+        """A table's rows; from a database, one partition for each chunk, at the moment of the snapshot."""
+        src, columns = self.source(), [c.name for c in t.columns]
+        return src.rows(t.name, columns, chunks, snapshot) if isinstance(src, JdbcSource) else src.rows(t.name, columns)
 
     def target_path(self, name: str) -> str:
         return f"{self.config.target.path.rstrip('/')}/{name}.parquet"
 
     def target_rows(self, t: Table) -> DataFrame | None:
-        try:
-            df = self.spark.read.parquet(self.target_path(t.name))
-        except Exception:  # noqa: BLE001 - no such table
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.target_path(t.name))
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return None
-        return df.drop("chunk_id")
+        return self.spark.read.parquet(self.target_path(t.name)).drop("chunk_id")
 
     def ledger(self) -> ledger.Ledger:
         return ledger.Ledger.open(self.spark, f"{self.config.target.path.rstrip('/')}/state/ledger.json")
@@ -158,21 +165,43 @@ class Project:
         text, gaps = ddl.export(schema, self.registry, self.config.options.preserve_case, self.config.target.dialect)
         return {"ddl": text, "review": review_file(schema), "gaps": json.dumps([asdict(g) for g in gaps])}
 
+    def _write(self, path: str, text: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        stream = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(at, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
     def migrate(self) -> dict:
-        """Load every table by chunks; an interrupted run is taken up where its ledger stands."""
+        """The target's schema, as two scripts for the database that will hold it (state/before_load.sql: drops, sequences,
+        tables; state/after_load.sql: indexes, foreign keys, views), and the rows of every table by chunks, all read at
+        one moment where the source has such.
+
+        An interrupted run is taken up where its ledger stands.  A batch of chunks that fails is tried again, chunk by
+        chunk, after all tables; what fails then too is left for the next run.
+        """
         o, src, schema = self.config.options, self.source(), self.schema()
         keys = {t.name: t.primary_key[0] if len(t.primary_key) == 1 else None for t in schema.tables}
         bounds = {t.name: src.bounds(t.name, keys[t.name]) if keys[t.name] else None for t in schema.tables}
         plan = {t.name: plan_chunks(t.name, keys[t.name] if bounds[t.name] else None, bounds[t.name], o.parallelism * o.chunks_per_worker) for t in schema.tables}
         book = self.ledger()
         book.plan(ledger.run_id(self.config.source.path or self.config.source.address, self.config.target.path), ledger.drift_hash(asdict(self.config)), plan, {k: keys[k] if plan[k][0].key else None for k in plan})
-        rows = 0
-        for t in schema.tables:
-            rows += sum(sinks.load(book, t.name, self.source_rows(t), self.target_path(t.name)).values())
-        return {"tables": len(schema.tables), "rows": rows, "failed_chunks": book.failed, "complete": book.failed == 0}
+        before, after, gaps = ddl.scripts(schema, self.registry, o.preserve_case, self.config.target.dialect)
+        for when, statements in (("before", before), ("after", after)):
+            self._write(f"{self.config.target.path.rstrip('/')}/state/{when}_load.sql", "\n\n".join(statements) + "\n")
+        moment = src.snapshot() if isinstance(src, JdbcSource) else None
+        rows, errors = 0, {}
+        for batch in (64, 1):  # in bulk, then what failed, one by one
+            for t in schema.tables:
+                if batch == 64 or t.name in errors:
+                    errors.pop(t.name, None)
+                    done, failed = sinks.load(book, t.name, lambda chunks, t=t: self.source_rows(t, chunks, moment), self.target_path(t.name), batch, keep_going=True)
+                    rows += sum(done.values())
+                    errors |= {t.name: failed[0]} if failed else {}
+        return {"tables": len(schema.tables), "rows": rows, "failed_chunks": book.failed, "complete": book.failed == 0, "errors": errors, "gaps": len(gaps)}
 
     def status(self) -> list[dict]:
-        return [r.asDict() for r in ledger.progress(self.ledger().frame()).orderBy("table_name").collect()]
+        book = ledger.Ledger.open(self.spark, f"{self.config.target.path.rstrip('/')}/state/ledger.json", read_only=True)
+        return [r.asDict() for r in ledger.progress(book.frame()).orderBy("table_name").collect()]
 
     def monitor(self, seconds: float, rounds: int):
         """Status, the share of chunks done, and the time left at the average rate, every so often."""
@@ -246,6 +275,14 @@ class Project:
         stream.write(bytearray(json.dumps(all_).encode()))
         stream.close()
 
+    def identity(self) -> str:
+        """What tells this source from another: a capture goes on only where it began."""
+        s = self.config.source
+        return f"{s.kind if s.kind == 'parquet' else s.dialect}:{s.path or s.address}/{s.schema or ''}"
+
+    def replica(self) -> Replica:
+        return Replica(self.spark, f"{self.config.target.path.rstrip('/')}/replica", buckets=self.config.cdc.replica_buckets)
+
     def trail(self, name: str) -> Trail:
         return Trail(self.spark, f"{self.config.target.path.rstrip('/')}/trail/{name}", self.config.cdc.trail_rotate_mb << 20)
 
@@ -258,7 +295,10 @@ class Project:
         written before the watermark moves, so that a crash between them repeats changes but loses none.
         """
         all_, schema = self.extracts(), self.schema()
-        own = all_.get(name) or {"tables": [], "watermarks": {}}
+        own = all_.get(name) or {"tables": [], "watermarks": {}, "source": self.identity()}
+        if own.get("source", self.identity()) != self.identity():
+            raise SourceChanged(f"{name} captures {own['source']}, not {self.identity()}: drop it first")
+        self.trail(name).heal()
         wanted = [t for t in schema.tables if (tables is None or t.name in tables) and any(c.name == version for c in t.columns)]
         new = [t.name for t in wanted if t.name not in own["tables"]]
         pinned = set(own["tables"]) | (set(new) if refresh or not own["tables"] else set())
@@ -276,7 +316,7 @@ class Project:
                 continue
             fresh = (F.lit(False) if high is None else F.col(version) <= high) & (F.lit(True) if mark is None else F.col(version) > mark)
             rows = df.filter(F.col(version).isNull() | fresh)
-            image = lambda cols: F.create_map(*[x for c in cols for x in (F.lit(c), F.col(f"`{c}`").cast("string"))])  # noqa: B023, E731
+            image = lambda cols: F.create_map(*[x for c in cols for x in (F.lit(c), tagged_text(F.col(f"`{c}`").cast("string")))])  # noqa: B023, E731
             records = rows.select(F.lit("U").alias("op"), F.lit(t.name).alias("table"), image(t.primary_key).alias("key"), image([c.name for c in t.columns]).alias("after"), F.col(version).cast("bigint").alias("scn"), F.monotonically_increasing_id().alias("ord"))
             captured += self.trail(name).append_frame(records, "ord")
             if high is not None:
@@ -285,21 +325,42 @@ class Project:
         self._register(all_ | {name: own})
         return {"captured": captured, "tables": own["tables"], "not_adopted": sorted(set(new) - pinned), "skipped": skipped}
 
-    def drop_extract(self, name: str) -> bool:
+    def drop_extract(self, name: str, with_trail: bool = False) -> bool:
+        """Forget a capture, and with it its trail if asked to; returns whether there was one."""
         all_ = self.extracts()
         found = all_.pop(name, None) is not None
         self._register(all_)
+        if found and with_trail:
+            self.trail(name).remove()
         return found
 
+    def dead_letters_path(self, name: str) -> str:
+        return f"{self.config.target.path.rstrip('/')}/state/dead_letters/{name}"
+
     def replicat(self, name: str, reconcile: bool | None = None) -> dict:
-        """Apply a trail to versioned copies of its tables; keys that the source no longer has are deleted by default
-        (a capture by version sees no deletes)."""
-        out = {}
-        for t in (t for t in self.schema().tables if t.name in self.extracts()[name]["tables"] and t.primary_key):
-            target = VersionedTable(self.spark, f"{self.config.target.path.rstrip('/')}/replica/{t.name}")
-            if target.pointer().version < 0:
-                target.publish(self.source_rows(t).limit(0), 0, 0)
-            cursor = replicate.replicate(self.trail(name), target, t.primary_key, t.name, self.config.cdc.apply_batch, most_parked=self.config.cdc.poison_max_per_run)
-            gone = replicate.reconcile(target, self.source_rows(t), t.primary_key) if reconcile in (None, True) else 0
-            out[t.name] = {"cursor": cursor, "deleted": gone}
-        return out
+        """Apply a trail to versioned copies of its tables, published together; keys that the source no longer has are
+        deleted by default (a capture by version sees no deletes).
+
+        Records that don't fit their table are parked as JSON under state/dead_letters, up to poison_max_per_run a batch.
+        """
+        replica, pinned = self.replica(), self.extracts()[name]["tables"]
+        tables = {t.name: t for t in self.schema().tables if t.name in pinned and t.primary_key}
+        new = {n: replica.stage(n, self.source_rows(t).limit(0), t.primary_key) for n, t in tables.items() if n not in replica.pointer().tables}
+        if new:
+            now = replica.pointer()
+            replica.publish(new, now.batch + 1, now.cursor)
+
+        def park(table: str, bad: DataFrame) -> None:
+            bad.select(F.lit(table).alias("for_table"), F.to_json(F.struct("*")).alias("record")).write.mode("append").json(self.dead_letters_path(name))
+
+        cursor = replicate.replicate_all(self.trail(name), replica, {n: t.primary_key for n, t in tables.items()}, self.config.cdc.apply_batch, park=park, most_parked=self.config.cdc.poison_max_per_run)
+        return {n: {"cursor": cursor, "deleted": replicate.reconcile(replica.table(n), self.source_rows(t), t.primary_key) if reconcile in (None, True) else 0} for n, t in tables.items()}
+
+    def lag(self, name: str) -> dict:
+        """How many captured records are still to be applied."""
+        written, applied = self.trail(name).last_seq(), self.replica().pointer().cursor
+        return {"written": written, "applied": applied, "behind": max(0, written - applied)}
+
+    def purge(self, name: str) -> list[str]:
+        """Remove the trail's segments that are applied in full."""
+        return self.trail(name).purge(self.replica().pointer().cursor)

@@ -41,6 +41,22 @@ def test_load_resume_and_drift(spark, data, tmp_path):
         with pytest.raises(L.ResumeDrift):
             L.Ledger.open(spark, str(tmp_path / "ledger.json")).plan("r", config, tables, keys)
     assert L.progress(again.frame()).first()["status"] == "loaded"
+    seen = L.Ledger.open(spark, str(tmp_path / "ledger.json"), read_only=True)
+    assert seen.failed == 0
+    with pytest.raises(PermissionError):
+        seen.mark(["orders:1"], L.FAILED)
+
+
+def test_a_chunk_without_rows_is_emptied(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = lambda rows: spark.createDataFrame(rows, "k int, chunk_id string")
+    assert sinks.load_range(df([(1, "t:0"), (2, "t:1"), (3, "t:1")]), path) == {"t:0": 1, "t:1": 2}
+    assert sinks.load_range(df([(5, "t:0")]), path, ids=["t:0", "t:1"]) == {"t:0": 1, "t:1": 0}
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [(5, "t:0")]
+    assert sinks.load_range(df([]), path, ids=["t:1"]) == {"t:1": 0}
+    with pytest.raises(ValueError):
+        sinks.load_range(df([(1, "t:0")]), path, ids=["t:1"])
+    assert spark.read.parquet(path).count() == 1
 
 
 def test_failed_batch_is_marked(spark, data, tmp_path):

@@ -6,9 +6,9 @@ import urllib.request
 import pytest
 
 from ferryline import cli, service
+from ferryline.operators import sinks
 from ferryline.plans.ledger import ResumeDrift
-from ferryline.project import Config, Project
-from ferryline.streaming.versions import VersionedTable
+from ferryline.project import Config, Project, SourceChanged
 
 
 @pytest.fixture
@@ -47,10 +47,43 @@ def test_capture_and_apply(project, spark):
     spark.createDataFrame([(3, "again", None, 50), (99, "new", 1.0, 51)], "id bigint, name string, v double, version bigint").write.mode("append").parquet(src)
     assert p.extract("e", "version")["captured"] == 2
     p.replicat("e", False)
-    replica = VersionedTable(spark, f"{p.config.target.path}/replica/a")
-    got = {r["id"]: (r["name"], r["v"]) for r in replica.read().collect()}
+    got = {r["id"]: (r["name"], r["v"]) for r in p.replica().table("a").read().collect()}
     assert got[3] == ("again", None) and got[99] == ("new", 1.0) and len(got) == 21
-    assert list(p.extracts()) == ["e"] and p.drop_extract("e") and not p.drop_extract("e")
+    assert p.lag("e") == {"written": 22, "applied": 22, "behind": 0} and len(p.trail("e").listed()) > 1
+    assert p.purge("e") and len(p.trail("e").listed()) == 1 and not p.purge("e")
+    assert list(p.extracts()) == ["e"] and p.drop_extract("e", with_trail=True) and not p.drop_extract("e") and not p.trail("e").listed()
+
+
+def test_bad_values_are_parked_and_another_source_is_refused(project, spark):
+    _, p = project
+    p.extract("e", "version")
+    p.trail("e").append([{"op": "U", "table": "a", "key": {"id": "seven"}, "after": {"id": "seven", "name": "x"}}])
+    assert p.replicat("e")["a"]["cursor"] == 21
+    (parked,) = spark.read.json(p.dead_letters_path("e")).collect()
+    assert parked["for_table"] == "a" and "seven" in parked["record"]
+    p.config.source.path += "/elsewhere"
+    p.schema = lambda: None
+    with pytest.raises(SourceChanged):
+        p.extract("e", "version")
+
+
+def test_migrate_tries_failed_chunks_again_and_writes_scripts(project, spark, monkeypatch):
+    _, p = project
+    real, calls = sinks.load_range, []
+
+    def fails_in_bulk(df, path, chunk="chunk_id", ids=None):
+        calls.append(len(ids))
+        if len(ids) > 1 or ids == ["a:1"]:
+            raise OSError("no luck")
+        return real(df, path, chunk, ids)
+
+    monkeypatch.setattr(sinks, "load_range", fails_in_bulk)
+    out = p.migrate()
+    assert out["failed_chunks"] == 1 and not out["complete"] and list(out["errors"]) == ["a"] and max(calls) > 1
+    monkeypatch.undo()
+    assert p.migrate()["complete"] and p.target_rows(p.schema().tables[0]).count() == 20
+    before = open(f"{p.config.target.path}/state/before_load.sql").read()
+    assert before.index("DROP TABLE IF EXISTS `b`") < before.index("DROP TABLE IF EXISTS `a`") < before.index("CREATE TABLE `a`")
 
 
 def test_rows_without_a_version_are_captured(project, spark):
@@ -59,7 +92,7 @@ def test_rows_without_a_version_are_captured(project, spark):
     p.config.source.keys["c"] = ["id"]
     put("a", [(50, "no version", 1.0, None)])
     put("c", [(1, "none", None, None), (2, "none", None, None)])
-    got = lambda table: {r["id"]: r["name"] for r in VersionedTable(spark, f"{p.config.target.path}/replica/{table}").read().collect()}
+    got = lambda table: {r["id"]: r["name"] for r in p.replica().table(table).read().collect()}
     assert p.extract("e", "version", ["a", "c"])["captured"] == 23
     p.replicat("e")
     assert len(got("a")) == 21 and got("a")[50] == "no version" and got("c") == {1: "none", 2: "none"}
