@@ -79,6 +79,68 @@ CATALOGUE = {
 }
 
 
+#: Indexes (a row for each column of each), checks, partitions, routines and triggers, with the same names in each dialect.
+CATALOGUE["oracle"] |= {
+    "indexes": """SELECT i.table_name, i.index_name, k.column_name, k.column_position AS ordinal_position, CASE i.uniqueness WHEN 'UNIQUE' THEN 1 ELSE 0 END AS is_unique
+  FROM all_indexes i JOIN all_ind_columns k ON k.index_owner = i.owner AND k.index_name = i.index_name
+  WHERE i.table_owner = {schema} AND i.index_type = 'NORMAL' ORDER BY 1, 2, 4""",
+    "checks": """SELECT table_name, constraint_name, search_condition_vc AS expression FROM all_constraints
+  WHERE owner = {schema} AND constraint_type = 'C' AND generated = 'USER NAME' ORDER BY 1, 2""",
+    "partitions": """SELECT t.table_name, t.partitioning_type AS strategy, k.column_name, k.column_position AS ordinal_position FROM all_part_tables t
+  JOIN all_part_key_columns k ON k.owner = t.owner AND k.name = t.table_name WHERE t.owner = {schema} ORDER BY 1, 4""",
+    "routines": """SELECT name AS routine_name, type AS routine_kind, LISTAGG(text) WITHIN GROUP (ORDER BY line) AS body FROM all_source
+  WHERE owner = {schema} AND type IN ('PROCEDURE', 'FUNCTION', 'PACKAGE BODY') GROUP BY name, type""",
+    "triggers": """SELECT trigger_name, table_name, trigger_type AS timing, triggering_event AS events, trigger_body AS body FROM all_triggers
+  WHERE owner = {schema} AND base_object_type = 'TABLE'""",
+    "materialized_views": "SELECT mview_name AS view_name, query AS definition FROM all_mviews WHERE owner = {schema}",
+}
+CATALOGUE["mysql"] |= {
+    "indexes": """SELECT table_name, index_name, column_name, seq_in_index AS ordinal_position, 1 - non_unique AS is_unique FROM information_schema.statistics
+  WHERE table_schema = {schema} AND index_name <> 'PRIMARY' ORDER BY 1, 2, 4""",
+    "checks": """SELECT t.table_name, c.constraint_name, c.check_clause AS expression FROM information_schema.check_constraints c
+  JOIN information_schema.table_constraints t ON t.constraint_schema = c.constraint_schema AND t.constraint_name = c.constraint_name
+  WHERE c.constraint_schema = {schema} AND t.constraint_type = 'CHECK' ORDER BY 1, 2""",
+    "partitions": """SELECT DISTINCT table_name, partition_method AS strategy, partition_expression AS column_name, 1 AS ordinal_position FROM information_schema.partitions
+  WHERE table_schema = {schema} AND partition_method IS NOT NULL""",
+    "routines": "SELECT routine_name, routine_type AS routine_kind, routine_definition AS body FROM information_schema.routines WHERE routine_schema = {schema}",
+    "triggers": """SELECT trigger_name, event_object_table AS table_name, action_timing AS timing, event_manipulation AS events, action_statement AS body
+  FROM information_schema.triggers WHERE trigger_schema = {schema}""",
+}
+CATALOGUE["postgres"] |= {
+    "indexes": """SELECT t.relname AS table_name, x.relname AS index_name, a.attname AS column_name, k.n AS ordinal_position, CASE WHEN i.indisunique THEN 1 ELSE 0 END AS is_unique,
+  pg_get_expr(i.indpred, i.indrelid) AS condition FROM pg_index i JOIN pg_class t ON t.oid = i.indrelid JOIN pg_class x ON x.oid = i.indexrelid
+  CROSS JOIN LATERAL unnest(i.indkey) WITH ORDINALITY AS k(att, n) JOIN pg_attribute a ON a.attrelid = t.oid AND a.attnum = k.att
+  WHERE t.relnamespace::regnamespace::text = {schema} AND NOT i.indisprimary AND k.n <= i.indnkeyatts ORDER BY 1, 2, 4""",
+    "checks": """SELECT conrelid::regclass::text AS table_name, conname AS constraint_name, pg_get_expr(conbin, conrelid) AS expression FROM pg_constraint
+  WHERE contype = 'c' AND conrelid <> 0 AND connamespace::regnamespace::text = {schema} ORDER BY 1, 2""",
+    "partitions": """SELECT t.relname AS table_name, CASE p.partstrat WHEN 'r' THEN 'RANGE' WHEN 'l' THEN 'LIST' ELSE 'HASH' END AS strategy, a.attname AS column_name, k.n AS ordinal_position
+  FROM pg_partitioned_table p JOIN pg_class t ON t.oid = p.partrelid CROSS JOIN LATERAL unnest(p.partattrs) WITH ORDINALITY AS k(att, n)
+  JOIN pg_attribute a ON a.attrelid = t.oid AND a.attnum = k.att WHERE t.relnamespace::regnamespace::text = {schema} ORDER BY 1, 4""",
+    "partition_children": """SELECT c.relname AS table_name FROM pg_class c WHERE c.relispartition AND c.relnamespace::regnamespace::text = {schema}""",
+    "routines": """SELECT p.proname AS routine_name, CASE p.prokind WHEN 'p' THEN 'PROCEDURE' ELSE 'FUNCTION' END AS routine_kind, p.prosrc AS body FROM pg_proc p
+  WHERE p.pronamespace::regnamespace::text = {schema} AND p.prokind IN ('f', 'p')""",
+    "triggers": """SELECT trigger_name, event_object_table AS table_name, action_timing AS timing, string_agg(event_manipulation, ' OR ') AS events, min(action_statement) AS body
+  FROM information_schema.triggers WHERE trigger_schema = {schema} GROUP BY 1, 2, 3""",
+    "materialized_views": "SELECT matviewname AS view_name, definition FROM pg_matviews WHERE schemaname = {schema}",
+}
+CATALOGUE["mssql"] |= {
+    "indexes": """SELECT t.name AS table_name, i.name AS index_name, c.name AS column_name, k.key_ordinal AS ordinal_position, CAST(i.is_unique AS int) AS is_unique, i.filter_definition AS condition
+  FROM sys.indexes i JOIN sys.tables t ON t.object_id = i.object_id JOIN sys.index_columns k ON k.object_id = i.object_id AND k.index_id = i.index_id
+  JOIN sys.columns c ON c.object_id = k.object_id AND c.column_id = k.column_id
+  WHERE SCHEMA_NAME(t.schema_id) = {schema} AND i.is_primary_key = 0 AND i.name IS NOT NULL AND k.is_included_column = 0""",
+    "checks": """SELECT t.name AS table_name, c.name AS constraint_name, c.definition AS expression FROM sys.check_constraints c JOIN sys.tables t ON t.object_id = c.parent_object_id
+  WHERE SCHEMA_NAME(t.schema_id) = {schema}""",
+    "partitions": """SELECT t.name AS table_name, 'RANGE' AS strategy, c.name AS column_name, k.partition_ordinal AS ordinal_position FROM sys.tables t
+  JOIN sys.indexes i ON i.object_id = t.object_id AND i.index_id IN (0, 1) JOIN sys.index_columns k ON k.object_id = i.object_id AND k.index_id = i.index_id AND k.partition_ordinal > 0
+  JOIN sys.columns c ON c.object_id = k.object_id AND c.column_id = k.column_id WHERE SCHEMA_NAME(t.schema_id) = {schema}""",
+    "routines": """SELECT o.name AS routine_name, CASE o.type WHEN 'P' THEN 'PROCEDURE' ELSE 'FUNCTION' END AS routine_kind, m.definition AS body FROM sys.objects o
+  JOIN sys.sql_modules m ON m.object_id = o.object_id WHERE SCHEMA_NAME(o.schema_id) = {schema} AND o.type IN ('P', 'FN', 'IF', 'TF')""",
+    "triggers": """SELECT g.name AS trigger_name, t.name AS table_name, CASE WHEN g.is_instead_of_trigger = 1 THEN 'INSTEAD OF' ELSE 'AFTER' END AS timing,
+  (SELECT STRING_AGG(e.type_desc, ' OR ') FROM sys.trigger_events e WHERE e.object_id = g.object_id) AS events, m.definition AS body
+  FROM sys.triggers g JOIN sys.tables t ON t.object_id = g.parent_id JOIN sys.sql_modules m ON m.object_id = g.object_id WHERE SCHEMA_NAME(t.schema_id) = {schema}""",
+}
+
+
 def literal(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 

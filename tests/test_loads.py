@@ -99,5 +99,25 @@ def test_introspection_rows():
     assert t.primary_key == ("ID",) and t.foreign_keys[0].parent == "D" and not t.columns[0].nullable and t.columns[0].source_type == "NUMBER(10)" and s.sequences[0].start == 5
 
 
+def test_introspection_of_what_goes_with_tables():
+    column = lambda t, c, n: dict(table_name=t, column_name=c, ordinal_position=n, data_type="integer")
+    key = lambda t, i, c, n, u: dict(table_name=t, index_name=i, column_name=c, ordinal_position=n, is_unique=u)
+    s = I.build_schema(
+        "public", "postgres", [column("t", "b", 2), column("t", "a", 1), column("t_2024", "a", 1)],
+        indexes=[key("t", "i", "b", 2, 0), key("t", "i", "a", 1, 0), key("t", "u", "a", 1, 1) | {"condition": "(b > 0)"}],
+        checks=[dict(table_name="t", constraint_name="c", expression="(a > 0)"), dict(table_name="t", constraint_name="n", expression='("a" IS NOT NULL)')],
+        partitions=[dict(table_name="t", strategy="range", column_name="b", ordinal_position=1)], partition_children=[dict(table_name="t_2024")],
+        routines=[dict(routine_name="f", routine_kind="function", body="BEGIN NULL; END")], triggers=[dict(trigger_name="g", table_name="t", timing="BEFORE", events="INSERT OR UPDATE", body="x")],
+        materialized_views=[dict(view_name="m", definition="SELECT 1")],
+    )
+    (t,) = s.tables
+    assert [c.name for c in t.columns] == ["a", "b"] and t.partition == ("RANGE", ("b",)) and [c.name for c in t.checks] == ["c"]
+    assert [(i.name, i.columns, i.unique, i.condition) for i in t.indexes] == [("i", ("a", "b"), False, None), ("u", ("a",), True, "(b > 0)")]
+    assert s.routines[0].kind == "FUNCTION" and s.triggers[0].events == ("INSERT", "UPDATE") and s.views[0].materialized
+    for dialect, parts in J.CATALOGUE.items():
+        assert {"columns", "indexes", "checks", "partitions", "routines", "triggers"} <= parts.keys() <= {*I.PARTS, "schemas"}, dialect
+        assert all("{schema}" in parts[x] for x in parts if x != "schemas"), dialect
+
+
 def test_smoke_test(spark, tmp_path):
     assert sinks.smoke_test(spark, str(tmp_path / "s"))
