@@ -325,8 +325,16 @@ def extract_dedup(spark, sf):
 
 @query("SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey > 100")
 def incremental_filter(spark, sf):
-    """Rows past a stored version (here the key): the filter reaches the scan."""
-    return table(spark, sf, "customer").filter(F.col("c_custkey") > 100).select("c_custkey", "c_acctbal")
+    """A capture whose watermark stands at 100 (the version is the key here): what it writes to its trail."""
+    from ..project import Config, Project, SourceConfig, TargetConfig
+
+    target = TargetConfig(path=f"{shared_root(spark)}/ferryline-capture-{uuid.uuid4().hex[:12]}")
+    project = Project(spark, Config(source=SourceConfig(path=sf, keys={"customer": ["c_custkey"]}), target=target))
+    project.register({"late": {"tables": ["customer"], "watermarks": {"customer": 100}, "source": project.identity()}})
+    project.extract("late", "c_custkey")
+    records, schema = project.trail("late").read(), table(spark, sf, "customer").schema
+    value = lambda image, c: replicate.typed(F.col(image)[c], schema[c].dataType).alias(c)
+    return records.select(value("key", "c_custkey"), value("after", "c_acctbal"))
 
 
 @query("""SELECT c_custkey AS record_key, 'snapshot' AS origin, 1000000000 + c_custkey AS ord FROM customer UNION ALL SELECT user_id, 'captured', event_id FROM events""")

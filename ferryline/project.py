@@ -268,12 +268,9 @@ class Project:
             return {}
         return json.loads("".join(r["value"] for r in self.spark.read.text(self._registry_path(), wholetext=True).collect()))
 
-    def _register(self, all_: dict) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = p(self._registry_path()).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        stream = fs.create(p(self._registry_path()), True)
-        stream.write(bytearray(json.dumps(all_).encode()))
-        stream.close()
+    def register(self, all_: dict) -> None:
+        """Write the registry of captures."""
+        self._write(self._registry_path(), json.dumps(all_))
 
     def identity(self) -> str:
         """What tells this source from another: a capture goes on only where it began."""
@@ -322,14 +319,14 @@ class Project:
             if high is not None:
                 own["watermarks"][t.name] = high
         own["tables"] = sorted(pinned)
-        self._register(all_ | {name: own})
+        self.register(all_ | {name: own})
         return {"captured": captured, "tables": own["tables"], "not_adopted": sorted(set(new) - pinned), "skipped": skipped}
 
     def drop_extract(self, name: str, with_trail: bool = False) -> bool:
         """Forget a capture, and with it its trail if asked to; returns whether there was one."""
         all_ = self.extracts()
         found = all_.pop(name, None) is not None
-        self._register(all_)
+        self.register(all_)
         if found and with_trail:
             self.trail(name).remove()
         return found
