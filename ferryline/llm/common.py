@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,13 @@ U64 = np.uint64
 # ---- storage -------------------------------------------------------------------------------
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; one of our own if that is unset and all runs on
+    one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         active = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not active.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = active.get() if active.isDefined() else f"file://{tempfile.mkdtemp(prefix='ferryline-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -99,11 +103,6 @@ class KeyList:
         return out
 
 
-def among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
-    """Which keys are in a sorted list."""
-    return KeyList(some).has(keys)
-
-
 # ---- row identity --------------------------------------------------------------------------
 
 def text_only(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
@@ -116,6 +115,14 @@ def text_only(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFram
     return df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *more)
 
 
+def unlike(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has: ``name``, with underlines in front as far as needed."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def with_tags(docs: DataFrame) -> DataFrame:
     """(id, tag, text): tag tells rows apart that share an id but not their text; 0 if ids are unique.
 
@@ -185,20 +192,28 @@ def xxhash64_long(values: np.ndarray, seed: int = 42) -> np.ndarray:
     return (h ^ (h >> U64(32))).view(np.int64)
 
 
-class WordHash(dict):
-    """XXH64 of each word, kept for the words seen; emptied when it grows past a bound."""
+class WordIds(dict):
+    """Numbers of the words seen, and for each the two halves of its XXH3-128; emptied when it grows past a bound.
+
+    Words that are looked up together have one number only if they are equal.
+    """
 
     def __init__(self, seed: int = 0, most: int = 1 << 18):
-        self.seed, self.most = seed, most
+        self.seed, self.most, self.halves = seed, most, (array("Q"), array("Q"))
 
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word, self.seed)
-        return h
+        h = xxhash.xxh3_128_intdigest(word, self.seed)
+        self.halves[0].append(h >> 64)
+        self.halves[1].append(h & 0xFFFFFFFFFFFFFFFF)
+        number = self[word] = len(self)
+        return number
 
-    def array(self, words: list, n: int) -> np.ndarray:
+    def of(self, words: list, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len(self) > self.most:
             self.clear()
-        return np.fromiter(map(self.__getitem__, words), U64, n)
+            self.halves = (array("Q"), array("Q"))
+        number = np.fromiter(map(self.__getitem__, words), np.int64, n)
+        return (number, *(np.array(x, U64)[number] for x in self.halves))
 
 
 def slide(h: np.ndarray, k: int, by: int) -> np.ndarray:
@@ -217,17 +232,18 @@ _PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Integer arrays as one compressed blob, stored byte plane by byte plane."""
+    """Integer arrays as one blob, stored byte plane by byte plane; compressed, unless it is very small."""
     out = []
     for a in arrays:
         a = np.ascontiguousarray(a)
         out.append(np.array([len(a), ord(a.dtype.char)], np.uint32).tobytes())
         out.append(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes())
-    return _PACK.compress(b"".join(out))
+    data = b"".join(out)
+    return b"\0" + data if len(data) < 256 else b"\1" + _PACK.compress(data)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
-    data, at, out = _UNPACK.decompress(blob), 0, []
+    data, at, out = (_UNPACK.decompress(blob[1:]) if blob[:1] == b"\1" else blob[1:]), 0, []
     while at < len(data):
         n, char = np.frombuffer(data, np.uint32, 2, at)
         kind = np.dtype(chr(char))
