@@ -167,6 +167,33 @@ def test_data_sampled(spark, sf):
     return compare.keyed(c, k, ["c_custkey"], scale=4, sample=100)
 
 
+_MIXED = """SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN event_id % 2 = 0 END AS flag, CASE WHEN event_id % 5 <> 0 THEN encode(event_type) END AS bytes,
+  CASE WHEN event_id % 7 <> 0 THEN value END AS amount, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '\\x' || hex(encode(event_type)) WHEN 2 THEN '' ELSE event_type END AS label FROM events"""
+
+
+@query(f"WITH e AS ({_MIXED}) SELECT event_id, {digest(event_id='n', flag='b', bytes='x', amount='d', label='s')} AS digest FROM e")
+def row_checksum_types(spark, sf):
+    """Booleans, bytes, text that spells bytes, empty text, and nulls among all of them."""
+    i, name = F.col("event_id"), F.col("event_type")
+    label = F.when(i % 4 == 1, F.concat(F.lit("\\x"), F.hex(name.cast("binary")))).when(i % 4 == 2, "").when(i % 4 == 3, name).alias("label")
+    e = table(spark, sf, "events").select(i, F.when(i % 3 != 0, i % 2 == 0).alias("flag"), F.when(i % 5 != 0, name.cast("binary")).alias("bytes"), F.when(i % 7 != 0, F.col("value")).alias("amount"), label)
+    return e.select("event_id", render.row_checksum(e, scale=4).alias("digest"))
+
+
+_NAMED = "SELECT (CASE c_custkey % 4 WHEN 0 THEN 'Z' WHEN 1 THEN 'é' WHEN 2 THEN 'a' ELSE '漢' END) || c_name AS name, c_nationkey FROM customer"
+
+
+@query(f"""WITH c AS ({_NAMED}), k AS (SELECT name, CASE WHEN c_nationkey = 3 THEN 4 ELSE c_nationkey END AS c_nationkey FROM c WHERE c_nationkey <> 5),
+s AS (SELECT name, {digest(name='s', c_nationkey='n')} AS d FROM c ORDER BY name LIMIT 80), t AS (SELECT name, {digest(name='s', c_nationkey='n')} AS d FROM k ORDER BY name LIMIT 80)
+SELECT coalesce(s.name, t.name) AS name, CASE WHEN t.d IS NULL THEN 'missing' WHEN s.d IS NULL THEN 'extra' WHEN s.d = t.d THEN 'matched' ELSE 'changed' END AS status FROM s FULL JOIN t ON s.name = t.name""")
+def test_data_text_key(spark, sf):
+    """The least keys of both sides where the key is text: in the order of its bytes, capitals first, other letters last."""
+    first = F.when(F.col("c_custkey") % 4 == 0, "Z").when(F.col("c_custkey") % 4 == 1, "é").when(F.col("c_custkey") % 4 == 2, "a").otherwise("漢")
+    c = table(spark, sf, "customer").select(F.concat(first, "c_name").alias("name"), "c_nationkey")
+    k = c.filter("c_nationkey <> 5").withColumn("c_nationkey", F.when(F.col("c_nationkey") == 3, F.lit(4).cast(c.schema["c_nationkey"].dataType)).otherwise(F.col("c_nationkey")))
+    return compare.keyed(c, k, ["name"], sample=80)
+
+
 @query(f"""WITH k AS (SELECT * REPLACE (CASE WHEN l_partkey % 89 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity) FROM lineitem WHERE l_orderkey % 97 <> 0),
 b AS (SELECT {_LINES_DIGEST} AS digest, 1 AS s, 0 AS t FROM lineitem UNION ALL SELECT {_LINES_DIGEST}, 0, 1 FROM k)
 SELECT digest, sum(s)::BIGINT AS source_rows, sum(t)::BIGINT AS target_rows FROM b GROUP BY digest HAVING sum(s) <> sum(t)""")

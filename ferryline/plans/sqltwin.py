@@ -23,7 +23,15 @@ def timestamp(c: str) -> str:
     return f"(chr(0) || 'TS' || chr(0) || strftime({c}, '%Y-%m-%d %H:%M:%S') || {micros})"
 
 
-OF = {"n": number, "d": double, "s": string, "t": timestamp}
+def boolean(c: str) -> str:
+    return f"CAST(CAST({c} AS INTEGER) AS VARCHAR)"
+
+
+def binary(c: str) -> str:
+    return f"(chr(0) || 'BIN' || chr(0) || lower(hex({c})))"
+
+
+OF = {"n": number, "d": double, "s": string, "t": timestamp, "b": boolean, "x": binary}
 
 
 def digest(**columns: str) -> str:
