@@ -59,9 +59,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     elif a.verb in ("lag", "purge"):
         print(json.dumps(getattr(project, a.verb)(a.name)))
     elif a.verb == "extracts":
-        print(json.dumps(project.extracts(), indent=1, default=str))
+        print(json.dumps(project.captures(), indent=1, default=str))
     elif a.verb == "doctor":
-        print(json.dumps({"spark": spark.version, "source_tables": len(project.schema().tables)}))
+        print(json.dumps(out := project.doctor()))
+        return 0 if out["healthy"] else 1
     else:
         from .service import serve_stdio
 

@@ -6,6 +6,7 @@ import json
 import os
 import time
 import tomllib
+from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field, fields
 from pathlib import Path
 
@@ -351,7 +352,44 @@ class Project:
             bad.select(F.lit(table).alias("for_table"), F.to_json(F.struct("*")).alias("record")).write.mode("append").json(self.dead_letters_path(name))
 
         cursor = replicate.replicate_all(self.trail(name), replica, {n: t.primary_key for n, t in tables.items()}, self.config.cdc.apply_batch, park=park, most_parked=self.config.cdc.poison_max_per_run)
-        return {n: {"cursor": cursor, "deleted": replicate.reconcile(replica.table(n), self.source_rows(t), t.primary_key) if reconcile in (None, True) else 0} for n, t in tables.items()}
+        out = {n: {"cursor": cursor, "deleted": replicate.reconcile(replica.table(n), self.source_rows(t), t.primary_key) if reconcile in (None, True) else 0} for n, t in tables.items()}
+        for key, n in self.orphans(tables).items():
+            out[key.split(".")[0]].setdefault("orphans", {})[key.split(".", 1)[1]] = n
+        return out
+
+    def orphans(self, names: Iterable[str]) -> dict[str, int]:
+        """Foreign keys between replicated tables that have rows without a parent, and how many: changes are applied by
+        table, so this is looked at once a batch is published."""
+        replica, found = self.replica(), {}
+        have = {t.name: t for t in self.schema().tables if t.name in names}
+        for t in have.values():
+            for fk in t.foreign_keys:
+                if fk.parent in have:
+                    child, parent = replica.table(t.name).read(), replica.table(fk.parent).read()
+                    keys = child.select(*[F.col(a).alias(b) for a, b in zip(fk.columns, fk.parent_columns)]).na.drop()
+                    n = keys.join(parent.select(*fk.parent_columns), list(fk.parent_columns), "left_anti").count()
+                    found |= {f"{t.name}.{fk.name or '_'.join(fk.columns)}": n} if n else {}
+        return found
+
+    def captures(self) -> dict[str, dict]:
+        """The registered captures, with the number of records that each has parked."""
+        out = {}
+        for name, own in self.extracts().items():
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.dead_letters_path(name))
+            there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+            out[name] = own | {"dead_letters": self.spark.read.text(self.dead_letters_path(name)).count() if there else 0}
+        return out
+
+    def doctor(self) -> dict:
+        """What runs here, whether the source answers, and whether the target takes a table and gives it back."""
+        out = {"spark": self.spark.version}
+        for what, look in (("source_tables", lambda: len(self.schema().tables)), ("target_round_trip", lambda: sinks.smoke_test(self.spark, f"{self.config.target.path.rstrip('/')}/state/smoke_test"))):
+            try:
+                out[what] = look()
+            except Exception as e:  # noqa: BLE001 - told to the caller
+                out[what] = f"{type(e).__name__}: {str(e)[:200]}"
+        out["healthy"] = isinstance(out["source_tables"], int) and out["target_round_trip"] is True
+        return out
 
     def lag(self, name: str) -> dict:
         """How many captured records are still to be applied."""

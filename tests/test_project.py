@@ -8,6 +8,7 @@ import pytest
 from ferryline import cli, service
 from ferryline.operators import sinks
 from ferryline.plans.ledger import ResumeDrift
+from ferryline.plans.model import ForeignKey, Schema, Table
 from ferryline.project import Config, Project, SourceChanged
 
 
@@ -60,7 +61,7 @@ def test_bad_values_are_parked_and_another_source_is_refused(project, spark):
     p.trail("e").append([{"op": "U", "table": "a", "key": {"id": "seven"}, "after": {"id": "seven", "name": "x"}}])
     assert p.replicat("e")["a"]["cursor"] == 21
     (parked,) = spark.read.json(p.dead_letters_path("e")).collect()
-    assert parked["for_table"] == "a" and "seven" in parked["record"]
+    assert parked["for_table"] == "a" and "seven" in parked["record"] and p.captures()["e"]["dead_letters"] == 1
     p.config.source.path += "/elsewhere"
     p.schema = lambda: None
     with pytest.raises(SourceChanged):
@@ -86,6 +87,20 @@ def test_migrate_tries_failed_chunks_again_and_writes_scripts(project, spark, mo
     assert before.index("DROP TABLE IF EXISTS `b`") < before.index("DROP TABLE IF EXISTS `a`") < before.index("CREATE TABLE `a`")
 
 
+def test_doctor_and_orphans(project, spark, capsys):
+    path, p = project
+    assert cli.main(["--config", path, "doctor"], spark) == 0 and json.loads(capsys.readouterr().out)["source_tables"] == 2
+    p.config.source.keys["b"] = ["k"]
+    replica = p.replica()
+    rows = {"a": spark.range(5).selectExpr("id", "id AS parent"), "b": spark.range(3).selectExpr("id AS k")}
+    replica.publish({n: replica.stage(n, df, [df.columns[0]]) for n, df in rows.items()}, 0, 0)
+    key = ForeignKey("fk", ("parent",), "b", ("k",))
+    p.schema = lambda: Schema("s", [Table("a", (), None, ("id",), (key,)), Table("b", (), None, ("k",))])
+    assert p.orphans(["a", "b"]) == {"a.fk": 2} and p.orphans(["a"]) == {}
+    p.schema = lambda: 1 // 0
+    assert not p.doctor()["healthy"]
+
+
 def test_rows_without_a_version_are_captured(project, spark):
     _, p = project
     put = lambda table, rows: spark.createDataFrame(rows, "id bigint, name string, v double, version bigint").write.mode("append").parquet(f"{p.config.source.path}/{table}.parquet")
