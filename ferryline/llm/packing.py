@@ -1,20 +1,23 @@
 """Best-fit packing of token sequences in bulk-synchronous rounds.
 
-Documents are tokenised once and cut into pieces.  Pieces are range-sorted by length, and each gets its
-rank among the pieces of its length from counts by (partition, length).  The matching itself works on
-classes: there are at most ``capacity`` lengths and gap sizes, however many documents there are.  Longest
-class first, a round sweeps to the smallest gap class that holds the length (the successor), gives one
-piece each to as many of its sequences as there are pieces, in order of rank, and moves those sequences to
-their new gap class; new sequences open only when no gap is large enough.  Every round is one interval
-(length, ranks, sequences, offset); the pieces then find their interval by rank, in parallel.
+Documents are tokenised once and cut into pieces.  A round range-sorts the pieces that are left and the gaps of the
+open sequences together, by size.  Each partition sweeps upward: a piece waits, and a gap takes the largest piece
+that waits, which is the best fit for both.  What a partition can't match in itself, gaps below its first piece
+and pieces above its last gap, meets across partitions: from two counts a partition, every such piece and gap gets
+its rank in the sweep, and equal ranks are a match.  Then the gaps are updated, and the next round begins.
+
+A round opens as many sequences as the tokens that are left need beyond the gaps that are left.  Once there are many
+short pieces to a gap, neighbours in the order are glued to bundles first, so that the number of rounds stays small
+whatever the number of pieces.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
-from bisect import bisect_left, insort
-from collections import defaultdict
+from functools import reduce
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
-from .common import U64, checkpointed, gathered, ranges, raw, text_only
+from .common import U64, checkpointed, gathered, ranges, raw, text_only, unlike
 from .suffix_dedup import Prints
 
-CHUNK = 3 << 20
+CHUNK = 2 << 20
 
 
 class WordTable:
@@ -102,19 +104,34 @@ def text_parts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start[keep], end[keep], simple[keep]
 
 
+#: Fixed: how a tokenizer file says that it lower-cases, drops white space and parts text as text_parts does.
+_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PARTED = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+
+
+def _eight(data: np.ndarray, start: np.ndarray, size: np.ndarray, at: int) -> np.ndarray:
+    """Bytes ``at`` to ``at`` + 7 of some strings in a buffer with 8 bytes to spare, as numbers; 0 past their ends."""
+    got = np.lib.stride_tricks.sliding_window_view(data, 8)[start + at]
+    return got.view(U64)[:, 0] & _LOW_BYTES[np.minimum(size - at, 8)]
+
+
 class Tokens:
     """Token ids of texts, in bulk: the tokenizer itself only sees each new part of a word once.
 
-    The tokenizer lower-cases, drops white space and parts text into letters, single digits and runs of
-    other characters before it merges.  What can be parted alike without doubt (see text_parts) is looked up
-    part by part; the rest goes to the tokenizer as it is.  Texts that may hold a special token go whole.
+    A tokenizer that lower-cases, drops white space and parts text into letters, single digits and runs of other
+    characters before it merges is looked up by parts: what can be parted alike without doubt (see text_parts) is
+    found by its hash and compared byte by byte; the rest goes to the tokenizer as it is.  Texts that may hold a
+    special token, and all texts of any other tokenizer, go whole.
     """
 
-    def __init__(self, path: str, bits: int = 22):
+    def __init__(self, path: str, bits: int = 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.bits = Tokenizer.from_file(path), bits
+        self.tokenizer, self.bits, spec = Tokenizer.from_file(path), bits, json.loads(Path(path).read_text())
+        special = all(x["content"].startswith("<|") for x in spec.get("added_tokens") or ())
+        self.by_part = special and (spec.get("normalizer"), spec.get("pre_tokenizer"), spec["model"].get("end_of_word_suffix")) == (_NORMAL, _PARTED, "</w>")
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -123,6 +140,7 @@ class Tokens:
     def clear(self) -> None:
         self.table = WordTable(self.bits)
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint16 if len(self.last) < 1 << 16 else np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.text, self.place, self.width = np.zeros(8, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def whole(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, and how many each has."""
@@ -136,7 +154,8 @@ class Tokens:
         sizes = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
         return (ids, sizes) if len(sizes) == len(words) and sizes.sum() == len(ids) else self.whole(words)
 
-    def _learn(self, data: bytes, start: np.ndarray, end: np.ndarray, simple: np.ndarray, h: np.ndarray) -> None:
+    def _learn(self, data: bytes, start: np.ndarray, end: np.ndarray, simple: np.ndarray, h: np.ndarray | None) -> np.ndarray:
+        """Take parts up, under their hashes if there are any; returns their numbers."""
         ids, sizes = [], []
         order = np.argsort(~simple, kind="stable")
         n = int(simple.sum())
@@ -145,13 +164,34 @@ class Tokens:
             i, s = encode(part)
             ids.append(i.astype(self.flat.dtype))
             sizes.append(s.astype(np.int32))
-        self.table.add(h[order])
+        number = np.empty(len(words), np.int64)
+        number[order] = np.arange(len(self.sizes), len(self.sizes) + len(words)) if h is None else self.table.add(h[order])
+        self.table.n = len(self.sizes) + len(words)
         sizes = np.concatenate(sizes)
         self.starts = np.append(self.starts, len(self.flat) + np.cumsum(sizes) - sizes)
         self.sizes, self.flat = np.append(self.sizes, sizes), np.concatenate([self.flat, *ids])
+        width = (end - start)[order]
+        self.place, self.width = np.append(self.place, len(self.text) - 8 + np.cumsum(width) - width), np.append(self.width, width)
+        self.text = np.concatenate([self.text[:-8], np.frombuffer(b"".join(words), np.uint8), np.zeros(8, np.uint8)])
+        return number
+
+    def _differ(self, number: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Which parts don't have the bytes of those that they were found as."""
+        same, at = self.width[number] == size, 0
+        i = np.flatnonzero(same)
+        while len(i):
+            equal = _eight(data, start[i], size[i], at) == _eight(self.text, self.place[number[i]], size[i], at)
+            same[i[~equal]] = False
+            at += 8
+            i = i[equal & (size[i] > at)]
+        return np.flatnonzero(~same)
 
     def encoded(self, texts: list[bytes]):
         """The ids of each text."""
+        if not self.by_part:
+            for text in texts:
+                yield self.whole([text])[0]
+            return
         low = [text.lower() for text in texts]
         special = {i for i, text in enumerate(low) if b"<|" in text}
         data = b"\n".join([b"" if i in special else text for i, text in enumerate(low)] + [b""])
@@ -171,6 +211,10 @@ class Tokens:
             at = new[at]
             self._learn(data, start[at], end[at], simple[at], h[at])
             number[new] = self.table.find(h[new])
+        padded = np.append(buffer, np.zeros(8, np.uint8))
+        odd = self._differ(number, padded, start, end - start)
+        if len(odd):  # another part has their hash
+            number[odd] = self._learn(data, start[odd], end[odd], simple[odd], None)
         sizes = self.sizes[number].astype(np.int64)
         ids = self.flat[ranges(self.starts[number], sizes)]
         cut = np.append(0, np.cumsum(sizes))[np.searchsorted(start, stops, side="left")]
@@ -213,97 +257,142 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return text_only(df, id_col, text_col).mapInArrow(_pieces(tokenizer, capacity, last, with_ids), schema)
 
 
-def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Rounds (length, first rank, first sequence, offset, pieces) that place all pieces, longest first."""
-    gaps: list[int] = []
-    open_: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    rounds, sequences = [], 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if not open_[gap]:
-                insort(gaps, gap)
-            open_[gap].append((first, n))
-
-    for length in sorted(histogram, reverse=True):
-        rank, left = 0, histogram[length]
-        while left:
-            at = bisect_left(gaps, length)
-            if at == len(gaps):
-                n = -(-left // (capacity // length))
-                put(capacity, sequences, n)
-                sequences += n
-                continue
-            gap = gaps[at]
-            first, n = open_[gap].pop()
-            if not open_[gap]:
-                gaps.pop(at)
-            used = min(n, left)
-            rounds.append((length, rank, first, capacity - gap, used))
-            put(gap - length, first, used)
-            put(gap, first + used, n - used)
-            rank, left = rank + used, left - used
-    return rounds
-
-
-def _counted(batches):
-    """Adds the partition and the rank within (partition, length) to a range-sorted partition."""
-    part, seen = TaskContext.get().partitionId(), 0
-    before = np.int64(-1)
+#: Pieces and gaps to a partition of a sweep; short pieces to a gap from which on they are glued.
+ROWS, GLUE = 1 << 17, 16
+#: What is left is laid end to end in sequences of its own once rounds place less than an eighth of it and it is no more
+#: than this part of all tokens, or after so many rounds.
+REST, ROUNDS = 256, 40
+#: Numbers from here on are bundles.
+_BUNDLE = 1 << 60
+_SWEPT = "uid bigint, seq bigint, length bigint, gap bigint, part int, rank bigint"
+
+
+def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    cols = zip(*rows) if rows else ([],) * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "part" else pa.int64()) for c, n in zip(cols, names)], names)
+
+
+def _sweep(batches):
+    """A partition of pieces (seq -1) and gaps (uid -1) by size: matches, and the rest with its rank among its kind."""
+    part, waiting, gaps = TaskContext.get().partitionId(), [], 0
+    names = ["uid", "seq", "length", "gap", "part", "rank"]
     for b in batches:
-        if not b.num_rows:
-            continue
-        length = b.column("length").to_numpy(zero_copy_only=False)
-        new = np.flatnonzero(np.diff(length, prepend=before) != 0)
-        at = np.arange(len(length))
-        first = np.zeros(len(length), np.int64)
-        first[new] = new
-        rank = at - np.maximum.accumulate(first)
-        head = len(length) if not len(new) else new[0]
-        rank[:head] += seen
-        seen, before = int(rank[-1]) + 1, length[-1]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(length), part, np.int32)), pa.array(rank)], [*b.schema.names, "part", "local"])
-
-
-def _placed(plan: dict):
+        rows = []
+        for uid, seq, size in zip(*(b.column(c).to_pylist() for c in ("uid", "seq", "size"))):
+            if seq < 0:
+                waiting.append((uid, size))
+            elif waiting:
+                rows.append((waiting[-1][0], seq, waiting.pop()[1], size, part, -1))
+            else:
+                rows.append((-1, seq, 0, size, part, gaps))
+                gaps += 1
+        yield _rows(rows, names)
+    yield _rows([(uid, -1, size, 0, part, rank) for rank, (uid, size) in enumerate(waiting)], names)
+
+
+def across(counts: dict[int, tuple[int, int]]) -> list[tuple[int, bool, int, int, int]]:
+    """From each partition's (gaps, pieces) that are left: intervals of ranks that meet in the sweep over all partitions.
+
+    (partition, whether of pieces, first rank, last rank + 1, number of the match at the first rank).  Numbers rise with
+    the rank of a gap and fall with that of a piece.  There are at most four for each partition.
+    """
+    out, waiting, number = [], [], 0
+    for part in sorted(counts):
+        n_gaps, n_pieces = counts[part]
+        at = 0
+        while at < n_gaps and waiting:
+            other, n = waiting.pop()
+            m = min(n, n_gaps - at)
+            out += [(part, False, at, at + m, number), (other, True, n - m, n, number + m - 1)]
+            at, number = at + m, number + m
+            if n > m:
+                waiting.append((other, n - m))
+        if n_pieces:
+            waiting.append((part, n_pieces))
+    return out
+
+
+def _matched(items: DataFrame, n: int) -> DataFrame:
+    """A round: (uid, seq, length, gap) of matches, of pieces that are left (seq -1) and of gaps that are (uid -1)."""
+    kind = F.col("seq") >= 0  # a piece goes before a gap of its size
+    ordered = items.repartitionByRange(n, "size", kind, F.xxhash64("uid", "seq")).sortWithinPartitions("size", kind, F.xxhash64("uid", "seq"))
+    swept = checkpointed(ordered.mapInArrow(_sweep, _SWEPT))
+    ends = swept.filter("rank >= 0").groupBy("part").agg(F.count_if(F.col("seq") >= 0).alias("gaps"), F.count_if(F.col("seq") < 0).alias("pieces")).collect()
+    intervals = across({r["part"]: (r["gaps"], r["pieces"]) for r in ends})
+    table = items.sparkSession.createDataFrame(intervals, "of int, waits boolean, low bigint, high bigint, first bigint")
+    inside = (F.col("part") == F.col("of")) & ((F.col("seq") < 0) == F.col("waits")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
+    met = swept.join(F.broadcast(table), inside, "left")
+    steps = F.when(F.col("waits"), F.col("low") - F.col("rank")).otherwise(F.col("rank") - F.col("low"))
+    one = F.coalesce(F.col("first") + steps, -1 - F.monotonically_increasing_id())  # or a row by itself
+    pairs = met.select("uid", "seq", "length", "gap", one.alias("number")).groupBy("number")
+    return checkpointed(pairs.agg(*[F.max(c).alias(c) for c in ("uid", "seq", "length", "gap")]).drop("number"))
+
+
+def _glue(limit: int, base: int):
+    """Pieces of a sorted partition laid end to end in bundles of at most ``limit`` tokens, or of one piece."""
+
     def run(batches):
+        bundle, held = base + (TaskContext.get().partitionId() << 32), 0
         for b in batches:
-            length, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
-            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            for n in np.unique(length).tolist():
-                own = np.flatnonzero(length == n)
-                ranks, firsts, offsets = plan[n]
-                i = np.searchsorted(ranks, rank[own], side="right") - 1
-                sequence[own], offset[own] = firsts[i] + rank[own] - ranks[i], offsets[i]
-            keep = [c for c in b.schema.names if c not in ("part", "local", "rank")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(sequence), pa.array(offset)], [*keep, "sequence_id", "offset"])
+            rows = []
+            for uid, length in zip(b.column("uid").to_pylist(), b.column("length").to_pylist()):
+                if held and held + length > limit:
+                    bundle, held = bundle + 1, 0
+                rows.append((uid, bundle, held, length))
+                held += length
+            yield _rows(rows, ["uid", "bundle", "inner", "length"])
 
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, rows: int = ROWS) -> DataFrame:
     """Pieces (id, piece, length and more) with sequence_id and offset.
 
-    Lengths are 1 to ``capacity``.  What reaches the driver is one count for each length; the plan that goes
-    to the tasks has at most some hundred thousand rounds, bounded by the capacity and not by the data.
+    Lengths are 1 to ``capacity``.  ``rows`` is how many pieces and gaps a partition of a round sweeps.  What reaches
+    the driver in a round is two counts a partition and a row of totals.
     """
-    spark = pieces.sparkSession
-    pieces = checkpointed(pieces)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tie = F.xxhash64("id", "piece", "ids_crc32") if "ids_crc32" in pieces.columns else F.xxhash64("id", "piece")
-    ordered = pieces.withColumn("tie", tie).repartitionByRange(n, F.col("length").desc(), F.col("tie")).sortWithinPartitions(F.col("length").desc(), "tie").drop("tie")
-    schema = T.StructType([*pieces.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("local", T.LongType())])
-    ranked = checkpointed(ordered.mapInArrow(_counted, schema))
-    counts = ranked.groupBy("part", "length").count()
-    before = F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("before"))
-    plan: dict = defaultdict(list)
-    for length, rank, first, offset, _ in best_fit({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}, capacity):
-        plan[length].append((rank, first, offset))
-    table = {k: tuple(np.array(x, np.int64) for x in zip(*v)) for k, v in plan.items()}
-    joined = ranked.join(offsets, ["part", "length"]).withColumn("rank", F.col("local") + F.col("before")).select(*pieces.columns, "part", "local", "rank")
-    out = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return joined.mapInArrow(_placed(table), out)
+    spark, columns, uid = pieces.sparkSession, pieces.columns, unlike("uid", pieces)
+    pieces = checkpointed(pieces.withColumn(uid, F.monotonically_increasing_id()))
+    none = F.lit(-1).cast("bigint")
+    left = pieces.select(F.col(uid).alias("uid"), F.col("length").cast("bigint").alias("length"))
+    gaps = spark.createDataFrame([], "seq bigint, gap bigint")
+    n_pieces, tokens = left.agg(F.count("*"), F.sum("length")).first()
+    n_left, total = n_pieces, tokens or 0
+    items = left.select("uid", none.alias("seq"), F.col("length").alias("size"))
+    n_gaps = room = opened = 0
+    least, slow, stuck, placed, bundles = 1, False, False, [], []
+    parts = lambda n: max(1, -(-n // rows))
+    for turn in range(ROUNDS + 2):
+        if not n_left:
+            break
+        new = max(0, -(-(tokens - room) // capacity), -(-tokens // capacity) if stuck else 0)
+        last = turn >= ROUNDS or slow and tokens * REST <= total
+        if last or (turn and n_left > GLUE * (n_gaps + new)):
+            ordered = left.repartitionByRange(parts(n_left), F.col("length").desc(), "uid").sortWithinPartitions(F.col("length").desc(), "uid")
+            glued = checkpointed(ordered.mapInArrow(_glue(capacity if last else capacity // 8, _BUNDLE + (len(bundles) << 54)), "uid bigint, bundle bigint, inner bigint, length bigint"))
+            bundles.append(glued)
+            left = glued.groupBy("bundle").agg(F.sum("length").alias("length"))
+            n_left = left.count()
+            new = n_left if last else new
+            items = left.select("bundle", none, "length").union(gaps.select(none, "seq", "gap")).toDF("uid", "seq", "size")
+        fresh = spark.range(opened, opened + new, numPartitions=parts(new)).select(none, "id", F.lit(capacity).cast("bigint"))
+        opened += new
+        state = _matched(items.union(fresh), parts(n_left + n_gaps + new))
+        placed.append(state.filter("uid >= 0 AND seq >= 0").select("uid", "seq", (F.lit(capacity) - F.col("gap")).alias("offset")))
+        waits, rest = F.col("seq") < 0, F.col("gap") - F.col("length")
+        left = state.filter(waits).select("uid", "length")
+        gaps = state.filter(~waits & (rest >= least)).select("seq", rest.alias("gap"))
+        items = state.filter(waits | (rest >= least)).select(F.when(waits, F.col("uid")).otherwise(none).alias("uid"), "seq", F.when(waits, F.col("length")).otherwise(rest).alias("size"))
+        before = n_left
+        piece, gap = F.when(waits, F.col("length")), F.when(~waits & (rest >= least), rest)
+        n_left, tokens, shortest, n_gaps, room = (x or 0 for x in state.agg(F.count(piece), F.sum(piece), F.min(piece), F.count(gap), F.sum(gap)).first())
+        least, slow, stuck = max(least, shortest), 8 * n_left > 7 * before, n_left == before
+    where = reduce(DataFrame.union, placed).coalesce(parts(n_pieces)) if placed else spark.createDataFrame([], "uid bigint, seq bigint, offset bigint")
+    for glued in reversed(bundles):
+        inside = glued.join(where.withColumnRenamed("uid", "bundle"), "bundle").select("uid", "seq", (F.col("offset") + F.col("inner")).alias("offset"))
+        where = where.join(glued.select(F.col("bundle").alias("uid")).distinct(), "uid", "left_anti").union(inside)
+    out = pieces.join(where.select(F.col("uid").alias(uid), F.col("seq").alias("sequence_id"), F.col("offset").alias("offset")), uid)
+    return out.select(*columns, "sequence_id", "offset")
 
 
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

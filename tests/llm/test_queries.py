@@ -1,7 +1,9 @@
 """The registered queries against their DuckDB twins, and the pipeline against a plain version of it."""
 
+import os
 import zlib
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -69,3 +71,20 @@ def test_stages_take_awkward_and_no_rows(spark, data):
             assert out.count() <= max(now.count(), 1), name
             now = out
         assert (now.count() > 0) == (start is docs)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_vector_search_recall(spark, data, sf):
+    """The registered query, with its parameters, against brute force over the whole table."""
+    where = f"{os.path.dirname(data)}/{sf}"
+    rows = spark.read.parquet(f"{where}/embeddings.parquet").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    asks = np.flatnonzero(ids % 20 == 0)
+    s = x[asks] @ x.T
+    s[np.arange(len(asks)), asks] = -np.inf
+    want = {(int(ids[a]), int(ids[j])) for a, own in zip(asks, s) for j in np.lexsort((ids, -own))[:20]}
+    got = catalog.QUERIES["op6_vector_search"](spark, where).collect()
+    assert len(got) == len(want) and len({(g["query_id"], g["vec_id"]) for g in got} & want) >= 0.9 * len(want)
+    for q in {g["query_id"] for g in got}:
+        own = sorted((g for g in got if g["query_id"] == q), key=lambda g: g["rank"])
+        assert [g["rank"] for g in own] == list(range(1, 21)) and own == sorted(own, key=lambda g: (-g["score"], g["vec_id"]))
