@@ -4,7 +4,8 @@ A bounded sample gives a nearest-neighbour graph, which balanced label propagati
 about equal size.  A small classifier (one hidden layer) learns, from a vector, the parts that its
 neighbours are in.  It puts every row of the table in its most probable part and routes each query to the
 most probable parts; how many is settled on the sample, so that the recall there reaches a target.  The
-candidates of those parts are reranked by their exact inner product in double precision.
+candidates of those parts are reranked by their exact inner product in double precision, in two rounds: the most
+probable part gives each query its k-th best score so far, and the other parts only send on what reaches it.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import checkpointed
 
@@ -24,14 +24,17 @@ FIT = 64
 
 
 def nearest(q: np.ndarray, x: np.ndarray, k: int, own: np.ndarray | None = None) -> np.ndarray:
-    """Row numbers of the k largest inner products with each q; own: a row to leave out for each q."""
-    out = []
-    for a in range(0, len(q), 512):
-        s = q[a : a + 512] @ x.T
+    """Row numbers of the k largest inner products (in single precision) with each q; own: a row to leave out for each q.
+
+    In small blocks: it runs beside the driver.
+    """
+    out, q, x = [], q.astype(np.float32), x.astype(np.float32)
+    for a in range(0, len(q), 64):
+        s = -(q[a : a + 64] @ x.T)
         if own is not None:
-            s[np.arange(len(s)), own[a : a + 512]] = -np.inf
-        out.append(np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k])
-    return np.concatenate(out) if out else np.zeros((0, k), np.int64)
+            s[np.arange(len(s)), own[a : a + 64]] = np.inf
+        out.append(np.argpartition(s, min(k, s.shape[1]) - 1, axis=1)[:, :k].astype(np.int32))
+    return np.concatenate(out) if out else np.zeros((0, k), np.int32)
 
 
 def balanced_parts(graph: np.ndarray, x: np.ndarray, parts: int, rounds: int = 20, slack: float = 1.05) -> np.ndarray:
@@ -130,13 +133,13 @@ def _probed(order: np.ndarray, probes: int, held: np.ndarray, need: np.ndarray)
     return at, order[at, np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)]
 
 
-def _routed(router: Router, dim: int, probes: int, held: np.ndarray | None, k: int, rows: list | None, asks: list | None):
-    """Each vector with its part(s), and the tiles it is needed in; rows, asks: each part's number of tiles.
+def _routed(router: Router, dim: int, probes: int, held: np.ndarray, k: int, first: bool, tiles: tuple[list, list] | None):
+    """Each vector with its part(s), and the tiles it is needed in; tiles: each part's number of tiles of rows and of queries.
 
-    Without them, the parts alone.  A row (the input then ends in a column named row) goes to its own tile of
-    rows against every tile of queries; a query, to every tile of rows of its parts, in its own tile of queries.
-    ``held``, for queries only, is each part's number of rows: a query's parts hold k rows besides its own (the
-    column own counts them), or are all.
+    Without them, the parts alone.  A row (column asks: false) goes to its own tile of rows against every tile of
+    queries; a query, to every tile of rows of its parts, in its own tile of queries.  ``held`` is each part's number
+    of rows: a query's parts hold k rows besides its own (the column own counts them), or are all.  ``first``: only
+    the most probable part, as for rows; otherwise, of a query, only the others.
     """
 
     def run(batches):
@@ -144,34 +147,42 @@ def _routed(router: Router, dim: int, probes: int, held: np.ndarray | None, k: i
             if not b.num_rows:
                 continue
             ids, salt = b.column("id").to_numpy(zero_copy_only=False), b.column("salt").to_numpy(zero_copy_only=False)
-            v = b.column("v")
+            v, asks = b.column("v"), b.column("asks")[0].as_py()
             order = router.order(_vectors(v, dim))
-            need = np.zeros(len(ids), np.int64) if held is None else b.column("own").to_numpy(zero_copy_only=False) + k
-            at, part = _probed(order, probes, np.zeros(order.shape[1], np.int64) + 1 if held is None else held, need)
-            if rows is None:
+            at, part = np.arange(len(ids)), order[:, 0]
+            if asks and not first:
+                at, part = _probed(order, probes, held, b.column("own").to_numpy(zero_copy_only=False) + k)
+                more = part != order[at, 0]
+                at, part = at[more], part[more]
+            if tiles is None:
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32())], ["part"])
                 continue
-            own, other = (rows, asks) if b.schema.names[-1] == "row" else (asks, rows)
+            own, other = tiles[asks], tiles[not asks]
             n = np.asarray(other)[part]
             mine = salt[at] % np.asarray(own)[part]
             each = np.repeat(np.arange(len(part)), n)
             theirs = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-            r, a = (mine[each], theirs) if own is rows else (theirs, mine[each])
+            r, a = (theirs, mine[each]) if asks else (mine[each], theirs)
             take = pa.array(at[each])
-            yield pa.RecordBatch.from_arrays([pa.array(part[each], pa.int32()), pa.array(r, pa.int32()), pa.array(a, pa.int32()), b.column("id").take(take), v.take(take)], ["part", "r", "a", "id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(part[each], pa.int32()), pa.array(r, pa.int32()), pa.array(a, pa.int32()), b.column("id").take(take), v.take(take), b.column("least").take(take)], ["part", "r", "a", "id", "v", "least"])
 
     return run
 
 
-_TOP = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+_FOUND = pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64())]))
+_TOP = pa.schema([("query_id", pa.int64()), ("found", _FOUND)])
 
 
 def _rerank(dim: int, k: int):
+    """Cogroup of a tile of rows with a tile of queries: each query's k best rows that reach its least score, as one
+    row of (minus the score, id)."""
+
     def run(rows: pa.Table, asks: pa.Table) -> pa.Table:
         out: list = [[], [], []]
         if rows.num_rows and asks.num_rows:
             ids, qids = (t.column("id").to_numpy().astype(np.int64) for t in (rows, asks))
             x, q = (_vectors(t.column("v").combine_chunks(), dim) for t in (rows, asks))
+            floor = asks.column("least").to_numpy(zero_copy_only=False)
             # equal vectors score once; the smallest ids stand for them
             order = np.lexsort((ids, *x.T[::-1]))
             x, ids = x[order], ids[order]
@@ -182,27 +193,30 @@ def _rerank(dim: int, k: int):
             at = np.minimum(np.searchsorted(known, qids), len(known) - 1)
             mine = np.where(known[at] == qids, times[at], 0)
             order = np.argsort(mine > 1, kind="stable")
-            q, qids, mine = q[order], qids[order], mine[order]
+            q, qids, mine, floor = q[order], qids[order], mine[order], floor[order]
             usual = int((mine <= 1).sum())
             for a, b in [*((a, min(a + 256, usual)) for a in range(0, usual, 256)), *((a, a + 1) for a in range(usual, len(q)))]:
                 s = q[a:b] @ u.T
                 most = k + max(1, int(mine[a:b].max()))
                 size, m = np.minimum(copies, most), min(most, len(u))
-                least = np.partition(s, len(u) - m, axis=1)[:, len(u) - m]
+                least = np.maximum(np.partition(s, len(u) - m, axis=1)[:, len(u) - m], floor[a:b])
                 i, j = np.nonzero(s >= (least - 1e-9 * (1 + np.abs(least)))[:, None])
                 exact = (q[a + i] * u[j]).sum(1)
                 n = size[j]
                 i, exact, member = np.repeat(i, n), np.repeat(exact, n), ids[np.repeat(first[j] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-                other = member != qids[a + i]
+                other = (member != qids[a + i]) & (exact >= floor[a + i])
                 i, exact, member = i[other], exact[other], member[other]
                 o = np.lexsort((member, -exact, i))
                 i, exact, member = i[o], exact[o], member[o]
                 start = np.flatnonzero(np.diff(i, prepend=-1))
                 rank = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
                 keep = rank < k
-                for col, y in zip(out, (qids[a + i[keep]], member[keep], exact[keep])):
+                for col, y in zip(out, (qids[a + i[keep]], member[keep], -exact[keep])):
                     col.append(y)
-        return pa.table([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, _TOP.types)], schema=_TOP)
+        query, member, far = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
+        start = np.flatnonzero(np.append(True, query[1:] != query[:-1]))[: len(query)]
+        found = pa.StructArray.from_arrays([pa.array(far, pa.float64()), pa.array(member, pa.int64())], ["far", "vec_id"])
+        return pa.table([pa.array(query[start], pa.int64()), pa.ListArray.from_arrays(pa.array(np.append(start, len(query)), pa.int32()), found)], schema=_TOP)
 
     return run
 
@@ -221,7 +235,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.filter(F.col(f"`{id_col}`").isNotNull() & fine).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), v.alias("v"))
 
 
-def vector_search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, recall: float = 0.97, sample_rows: int | None = None, most_parts: int = PARTS, part_rows: int = PART) -> DataFrame:
+def vector_search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, recall: float = 0.95, sample_rows: int | None = None, most_parts: int = PARTS, part_rows: int = PART) -> DataFrame:
     """The k nearest rows found for each query row, a query being a row whose id is divisible by ``every``.
 
     Returns query_id, rank (from 1), vec_id, score: the largest inner products in double precision, ties to
@@ -243,21 +257,38 @@ def vector_search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     dim, n = common["d"], common["count"]
     rows = rows.filter(F.size("v") == dim).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
-    queries = rows.filter(F.col("id") % every == 0).groupBy("id", "salt").agg(F.min("v").alias("v"), F.count("*").alias("own")).select("id", "v", "salt", "own")
+    queries = rows.filter(F.col("id") % every == 0).groupBy("id", "salt").agg(F.min("v").alias("v"), F.count("*").alias("own"))
     parts, take = wanted(n, sample_rows, most_parts, part_rows)
-    sample = np.array([r["v"] for r in rows.orderBy("salt", "id").limit(take).collect()])
+    sample = _vectors(rows.orderBy("salt", "id").limit(take).select("v").toArrow().column("v").combine_chunks(), dim)
     router, probes = fit(sample, parts, k, recall) if parts > 1 else (Router(sample, np.ones((len(sample), 1)), epochs=0), 1)
-    counts = lambda t, m, held: {r["part"]: r["count"] for r in t.mapInArrow(_routed(router, dim, m, held, k, None, None), "part int").groupBy("part").count().collect()}
-    of_rows = counts(rows, 1, None)
-    held = np.array([of_rows.get(p, 0) for p in range(parts)])
-    of_asks = counts(queries, probes, held)
-    r_tiles, a_tiles = ([max(1, -(-d.get(p, 0) // TILE)) for p in range(parts)] for d in (of_rows, of_asks))
-    schema = "part int, r int, a int, id bigint, v array<double>"
-    left = rows.withColumn("row", F.lit(1)).mapInArrow(_routed(router, dim, 1, None, k, r_tiles, a_tiles), schema)
-    right = queries.mapInArrow(_routed(router, dim, probes, held, k, r_tiles, a_tiles), schema)
-    found = left.groupBy("part", "r", "a").cogroup(right.groupBy("part", "r", "a")).applyInArrow(_rerank(dim, k), "query_id bigint, vec_id bigint, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    none = F.lit(float("-inf")).alias("least")
+    rows, queries = rows.select("id", "v", "salt", F.lit(False).alias("asks"), none), queries.select("id", "v", "salt", F.lit(True).alias("asks"), "own", none)
+
+    def by_part(t: DataFrame, first: bool) -> np.ndarray:
+        got = t.mapInArrow(_routed(router, dim, probes, held, k, first, None), "part int").groupBy("part").count().collect()
+        return np.bincount([r["part"] for r in got], [r["count"] for r in got], parts).astype(np.int64)
+
+    held = np.zeros(parts, np.int64)
+    held = by_part(rows, True)
+    tiles = lambda x: np.maximum(1, -(-x // TILE)).tolist()
+    schema = "part int, r int, a int, id bigint, v array<double>, least double"
+
+    def search(asked: DataFrame, first: bool) -> DataFrame:
+        cut = (tiles(held), tiles(by_part(asked, first)))
+        left, right = (t.mapInArrow(_routed(router, dim, probes, held, k, f, cut), schema).groupBy("part", "r", "a") for t, f in ((rows, True), (asked, first)))
+        return left.cogroup(right).applyInArrow(_rerank(dim, k), "query_id bigint, found array<struct<far:double,vec_id:bigint>>")
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
+
+    found = best(search(queries, True))
+    if parts > 1:
+        found = checkpointed(found)
+        reached = found.filter(F.size("found") == k).select(F.col("query_id").alias("id"), (-F.element_at("found", k)["far"]).alias("so_far"))
+        asked = checkpointed(queries.join(reached, "id", "left").withColumn("least", F.coalesce("so_far", "least")).drop("so_far"))
+        found = best(found.unionByName(search(asked, False)))
+    out = found.select("query_id", F.posexplode("found").alias("at", "row"))
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("row.vec_id").alias("vec_id"), (-F.col("row.far")).alias("score"))
 
 
 def op6_query(spark, sf_dir: str) -> DataFrame:
