@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bounds, checkpointed, longs, ranges, raw, text_only
+from .common import U64, checkpointed, ranges, raw, text_only, unlike
 from .graph import components
 
 #: Fingerprints to a side of a tile, and wanted to a bucket at most on average.
@@ -218,8 +218,9 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     id only stays if its component has no other."""
     prints, labels = _labelled(text_only(df, id_col, text_col), shingle, radius)
     known = prints.join(labels, "fp")
-    firsts = known.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("f")).select(F.col("f.id").alias("__first_id"), F.col("f.th").alias("__first_th"))
-    same = F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("__first_id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("__first_th"))
+    first_id, first_th = unlike("first_id", df), unlike("first_th", df)
+    firsts = known.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("f")).select(F.col("f.id").alias(first_id), F.col("f.th").alias(first_th))
+    same = F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col(first_id)) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(first_th))
     out = df.join(firsts, same, "left_semi")
     twice = prints.groupBy("id", "th").count().filter("count > 1").limit(1).count()
     return out.dropDuplicates([id_col, text_col]) if twice else out
