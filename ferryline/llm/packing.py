@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import U64, checkpointed, gathered, ranges, raw, text_only, unlike
-from .suffix_dedup import Prints
+from .suffix_dedup import _POWERS, Prints
 
 CHUNK = 2 << 20
 
@@ -273,7 +273,12 @@ def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def _sweep(batches):
-    """A partition of pieces (seq -1) and gaps (uid -1) by size: matches, and the rest with its rank among its kind."""
+    """A partition of pieces (seq -1) and gaps (uid -1) by size: matches, and the rest with its rank among its kind.
+
+    What tokenising kept in this worker process is no longer needed, and makes room.
+    """
+    _KEPT.clear()
+    _POWERS.clear()
     part, waiting, gaps = TaskContext.get().partitionId(), [], 0
     names = ["uid", "seq", "length", "gap", "part", "rank"]
     for b in batches:
