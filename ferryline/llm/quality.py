@@ -2,20 +2,22 @@
 
 Each document gives a short vector of transformed statistics.  Each class has a mean and a covariance,
 shrunk towards the pooled one and towards its own mean variance; their Cholesky factors are computed once
-and sent along.  The score is the logistic of the difference of the two log densities (Mahalanobis distance
-and log determinant) and log priors, divided by the number of statistics so that it does not saturate.
+and sent along.  The log odds are the difference of the two log densities (Mahalanobis distance and log
+determinant) and log priors.  As they are far too sure of themselves, a logistic curve over them is fitted to the
+labels of the rows that were learned from (Platt's way, from their histogram), and its value is the score.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections import Counter
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, raw, text_only
+from .common import checkpointed, raw, text_only, unlike
 
 #: Least shrinkage towards the pooled covariance, then towards the mean variance; few rows shrink more.
 TO_POOLED, TO_SPHERE = 0.1, 0.05
@@ -82,6 +84,9 @@ class QuadraticDiscriminant:
     means: list
     factors: list
     logs: list
+    #: The curve over the squeezed log odds.
+    slope: float = 1.0
+    shift: float = 0.0
 
     @classmethod
     def of(cls, count: np.ndarray, sums: np.ndarray, products: np.ndarray) -> QuadraticDiscriminant | None:
@@ -107,10 +112,46 @@ class QuadraticDiscriminant:
             logs.append(np.log(count[c] / count.sum()) - np.log(np.diag(chol)).sum())
         return cls(centre, scale, means, factors, logs)
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def log_odds(self, x: np.ndarray) -> np.ndarray:
+        """Squeezed by asinh, which keeps their order and their sign."""
         z = (x - self.centre) / self.scale
         log = [g - 0.5 * (((z - m) @ f.T) ** 2).sum(1) for m, f, g in zip(self.means, self.factors, self.logs)]
-        return 1 / (1 + np.exp(-np.clip((log[1] - log[0]) / DIM, -700, 700)))
+        return np.arcsinh(log[1] - log[0])
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.log_odds(x) + self.shift, -700, 700)))
+
+    def calibrated(self, at: np.ndarray, bad: np.ndarray, good: np.ndarray, rounds: int = 50) -> QuadraticDiscriminant:
+        """With the curve of greatest likelihood for counts of bad and good rows at some squeezed log odds; the targets
+        are those of Platt, short of 0 and 1, so that classes that don't overlap give a finite slope."""
+        low, high = 1 / (bad.sum() + 2), (good.sum() + 1) / (good.sum() + 2)
+        n, hits = bad + good, bad * low + good * high
+        x, w = np.stack([at, np.ones(len(at))], 1), np.array([1.0, 0.0])
+        loss = lambda w: float((n * np.logaddexp(0, x @ w) - hits * (x @ w)).sum())
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-x @ w))
+            step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2), x.T @ (hits - n * p))
+            part = next((t for t in 0.5 ** np.arange(30) if loss(w + t * step) <= loss(w)), 0.0)
+            w = w + part * step
+            if np.abs(part * step).max() < 1e-9:
+                break
+        return replace(self, slope=max(float(w[0]), 1e-6), shift=float(w[1]))
+
+
+#: Steps of the histogram of squeezed log odds to a unit.
+STEPS = 64
+
+
+def _histogram(model: QuadraticDiscriminant):
+    """Per task: how many rows of each label have squeezed log odds in each step."""
+
+    def run(batches):
+        counts: Counter = Counter()
+        for b in batches:
+            counts.update(zip(np.round(model.log_odds(_matrix(b.column("x"))) * STEPS).astype(int).tolist(), b.column("label").to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["step", "label", "n"])
+
+    return run
 
 
 def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,11 +167,17 @@ def held_out(id_col: str):
 def fit(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> QuadraticDiscriminant | None:
     """Fit on every labelled row of ``rows`` (features) that is not held out; null or other labels are left out."""
     known = labels.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter("label IN (0, 1)")
-    sums = rows.join(known.filter(~held_out("id")), "id").select("label", "x").mapInArrow(_moments, "label int, k int, v double").groupBy("label", "k").agg(F.sum("v").alias("v")).collect()
+    learned = checkpointed(rows.join(known.filter(~held_out("id")), "id").select("label", "x"))
+    sums = learned.mapInArrow(_moments, "label int, k int, v double").groupBy("label", "k").agg(F.sum("v").alias("v")).collect()
     m = np.zeros((2, 1 + DIM + DIM * DIM))
     for r in sums:
         m[r["label"], r["k"]] = r["v"]
-    return QuadraticDiscriminant.of(m[:, 0], m[:, 1 : 1 + DIM], m[:, 1 + DIM :].reshape(2, DIM, DIM))
+    model = QuadraticDiscriminant.of(m[:, 0], m[:, 1 : 1 + DIM], m[:, 1 + DIM :].reshape(2, DIM, DIM))
+    if model is None:
+        return None
+    found = learned.mapInArrow(_histogram(model), "step int, label int, n bigint").groupBy("step").pivot("label", [0, 1]).agg(F.sum("n")).na.fill(0).orderBy("step").collect()
+    at, bad, good = np.array([tuple(r) for r in found], float).T
+    return model.calibrated(at / STEPS, bad, good)
 
 
 def _scores(model):
@@ -156,8 +203,9 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The input's rows, all columns, that are predicted good; rows with one id are judged by the best of them."""
-    good = quality_scores(df, labels, id_col, text_col, **options).filter("predicted = 1").select(F.col(id_col).alias("__good_id")).distinct()
-    return df.join(good, F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("__good_id")), "left_semi")
+    name = unlike("good_id", df)
+    good = quality_scores(df, labels, id_col, text_col, **options).filter("predicted = 1").select(F.col(id_col).alias(name)).distinct()
+    return df.join(good, F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col(name)), "left_semi")
 
 
 def op8_query(spark, sf_dir: str) -> DataFrame:
