@@ -1,14 +1,18 @@
 """Benchmark decontamination with an FM-index per training shard.
 
 A shard is the text that a task holds at once.  Its words become symbols (benchmark words 1..V, anything
-else 0); stretches too short to hold a window are left out.  From the suffix array of the rest come the
-Burrows-Wheeler transform, a wavelet matrix over it for ranks, and sampled suffix positions.  All
-benchmark windows are searched backward in lockstep; their ranges are located by stepping to the next
+else 0); what no window can match, stretches without enough benchmark words in a row, is left out.  From the suffix
+array of the rest come the Burrows-Wheeler transform, a wavelet matrix over it for ranks, and sampled suffix
+positions.  All benchmark windows are searched backward in lockstep; their ranges are located by stepping to the next
 sample, and the occurrences merge into removal spans by document.
+
+The benchmark, a stated query set, goes to the tasks in blocks of a bounded number of words, some blocks to a pass
+over the documents.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
 from itertools import repeat
 
@@ -18,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, bounds, gathered, ranges, raw, text_only
+from .common import U64, bounds, gathered, ranges, raw, text_only, unlike
 
-#: Bytes of text in a shard; bytes of benchmark text searched at once; gap between sampled suffixes.
-SHARD, BENCH_BLOCK, SAMPLE = 6 << 20, 32 << 20, 8
+#: Bytes of text in a shard; words of the benchmark in a block; blocks to a pass; gap between sampled suffixes; windows
+#: searched in lockstep.
+SHARD, BLOCK_WORDS, PASS, SAMPLE, LOCKSTEP = 6 << 20, 1 << 20, 8, 8, 1 << 16
 #: Fixed: A-Z to lower case; every other ASCII character but digits and letters parts words.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -120,21 +125,27 @@ class FMIndex:
 
 
 class Windows:
-    """The windows of a block of benchmark items."""
+    """The windows of a block of benchmark items: places in the items' words, which are numbers."""
 
-    def __init__(self, items: list[tuple], k: int):
+    def __init__(self, items, k: int):
         self.vocabulary: dict[bytes, int] = {}
-        number: dict[tuple, int] = {}
-        owners = defaultdict(set)
+        self.items: list[str | None] = []
+        words, starts, lengths, owners = array("i"), array("q"), array("i"), array("i")
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for at in range(max(1, len(ids) - k + 1)) if ids else ():
-                owners[number.setdefault(tuple(ids[at : at + k]), len(number))].add(item)
-        self.owners = [sorted(str(x) for x in owners[i] if x is not None) for i in range(len(number))]
-        self.lengths = np.array([len(w) for w in number], np.int64)
-        self.patterns = np.zeros((len(number), k), np.int64)
-        for i, w in enumerate(number):
-            self.patterns[i, k - len(w) :] = w
+            if ids:
+                n = max(1, len(ids) - k + 1)
+                starts.extend(range(len(words), len(words) + n))
+                lengths.extend([min(k, len(ids))] * n)
+                owners.extend([len(self.items)] * n)
+                words.extend(ids)
+                self.items.append(None if item is None else str(item))
+        self.words, self.starts, self.lengths, self.owners, self.k = np.array(words, np.int32), np.array(starts, np.int64), np.array(lengths, np.int32), np.array(owners, np.int32), k
+
+    def patterns(self, some: slice) -> np.ndarray:
+        """Some windows as rows of a matrix, right-aligned."""
+        at = self.starts[some, None] + self.lengths[some, None] - self.k + np.arange(self.k)
+        return np.where(at >= self.starts[some, None], self.words[np.maximum(at, 0)], 0).astype(np.int64)
 
     def occurrences(self, symbols: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, place) of every occurrence within one document."""
@@ -149,9 +160,14 @@ class Windows:
         places = ranges(starts, size + 1)  # one more for the parting 0
         t = np.where(np.arange(len(places)) == np.repeat(np.cumsum(size + 1) - 1, size + 1), 0, symbols[np.minimum(places, len(symbols) - 1)])
         index = FMIndex(t, len(self.vocabulary))
-        lo, hi = index.search(self.patterns, self.lengths)
-        window = np.repeat(np.arange(len(lo)), np.maximum(hi - lo, 0))
-        return window, places[index.locate(ranges(lo, np.maximum(hi - lo, 0)))]
+        windows, found = [none], [none]
+        for a in range(0, len(self.lengths), LOCKSTEP):
+            some = slice(a, min(a + LOCKSTEP, len(self.lengths)))
+            lo, hi = index.search(self.patterns(some), self.lengths[some])
+            n = np.maximum(hi - lo, 0)
+            windows.append(a + np.repeat(np.arange(len(n)), n))
+            found.append(places[index.locate(ranges(lo, n))])
+        return np.concatenate(windows), np.concatenate(found)
 
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())]))
@@ -159,32 +175,35 @@ _SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("th", T
 _ARROW = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])))])
 
 
-def _search(shared):
+def _search(shared: list):
+    """mapInArrow: what the windows of some blocks hit in each row."""
+
     def run(batches):
-        bench = shared.value
-        get = bench.vocabulary.get
         for table in gathered(batches, SHARD):
             lists = [words_of(x) for x in raw(table.column("text").combine_chunks())]
             counts = np.fromiter(map(len, lists), np.int64, len(lists))
             total, first = int(counts.sum()), np.cumsum(counts) - counts
-            symbols = np.fromiter(map(get, (w for x in lists for w in x), repeat(0)), np.int64, total)
-            del lists
             doc = np.repeat(np.arange(len(counts)), counts)
-            window, place = bench.occurrences(symbols, doc)
             edge = np.zeros(total + 1, np.int64)
-            np.add.at(edge, place, 1)
-            np.add.at(edge, place + bench.lengths[window], -1)
+            spans, items = defaultdict(list), defaultdict(set)
+            for block in shared:
+                bench = block.value
+                symbols = np.fromiter(map(bench.vocabulary.get, (w for x in lists for w in x), repeat(0)), np.int64, total)
+                window, place = bench.occurrences(symbols, doc)
+                np.add.at(edge, place, 1)
+                np.add.at(edge, place + bench.lengths[window], -1)
+                pair = np.unique(doc[place] * max(1, len(bench.items)) + bench.owners[window])
+                for d, i in zip((pair // max(1, len(bench.items))).tolist(), (pair % max(1, len(bench.items))).tolist()):
+                    if bench.items[i] is not None:
+                        items[d].add(bench.items[i])
+            del lists
             hit = np.cumsum(edge[:total]) > 0
             n_hit = np.bincount(doc[hit], minlength=len(counts))
-            spans, items = defaultdict(list), defaultdict(set)
             at = np.flatnonzero(hit)
             if len(at):
                 s, n = bounds((np.diff(at, prepend=-2) != 1) | (doc[at] != np.roll(doc[at], 1)))
                 for a, m in zip(at[s].tolist(), n.tolist()):
                     spans[int(doc[a])].append({"start": a - int(first[doc[a]]), "length": m})
-                pair = np.unique(doc[place] * len(bench.lengths) + window)
-                for d, w in zip((pair // len(bench.lengths)).tolist(), (pair % len(bench.lengths)).tolist()):
-                    items[d].update(bench.owners[w])
             n = range(len(counts))
             yield pa.RecordBatch.from_arrays([table.column("id").combine_chunks(), table.column("th").combine_chunks(), pa.array(counts), pa.array(n_hit, pa.int64()), pa.array([sorted(items[d]) if d in items else [] for d in n], _ARROW.field("items").type), pa.array([spans.get(d, []) for d in n], _ARROW.field("spans").type)], schema=_ARROW)
 
@@ -192,7 +211,7 @@ def _search(shared):
 
 
 def _merged(table: pa.Table) -> pa.Table:
-    """applyInArrow: what the blocks of a large benchmark found in one document (and in its equals)."""
+    """applyInArrow: what the passes over a very large benchmark found in one document (and in its equals)."""
     rows = table.to_pylist()
     places = sorted({p for r in rows for s in r["spans"] for p in range(s["start"], s["start"] + s["length"])})
     spans: list[dict] = []
@@ -206,7 +225,7 @@ def _merged(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([{k: one[k] for k in _ARROW.names}] * copies, schema=_ARROW)
 
 
-def benchmark_hits(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", k: int = 13, block_bytes: int = BENCH_BLOCK) -> DataFrame:
+def benchmark_hits(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", k: int = 13, block_words: int = BLOCK_WORDS, blocks: int = PASS) -> DataFrame:
     """Where windows of the benchmark's items occur in each row's text.
 
     Returns one row for each input row: the id (bigint), n_words, n_hit (words inside any occurrence), items
@@ -214,21 +233,21 @@ def benchmark_hits(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     window is k consecutive item words; an item of fewer words, but not none, is one window.  Null text has
     no words.  An item with a null id still hits but is not named; repeated items count once.  Repeated rows
     get a row each; empty tables give no hits or no rows; other columns are not read.  The benchmark goes to
-    the tasks in blocks of at most ``block_bytes`` of text (a stated query set against all rows): one block
-    needs no shuffle, the findings of several are merged by document.
+    the tasks in blocks of about ``block_words`` words (of an item of more than that, one block is made), ``blocks``
+    of them to a pass over the documents: one pass needs no shuffle, what several find is merged by document.
     """
     spark = df.sparkSession
     docs = text_only(df, id_col, text_col).withColumn("th", F.xxhash64("text"))
     asked = bench.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text}`").cast("string").alias("text")).filter("text IS NOT NULL")
-    size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // block_bytes) or 1
-    parts = []
+    words = asked.agg(F.sum(F.size(F.split("text", r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+")))).first()[0] or 0
+    n = -(-words // block_words) or 1
+    shared = []
     for b in range(n):
         block = asked if n == 1 else asked.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)
-        windows = Windows([(r["item"], r["text"].encode()) for r in block.toLocalIterator()], k)
-        parts.append(docs.mapInArrow(_search(spark.sparkContext.broadcast(windows)), _SCHEMA).withColumn("block", F.lit(b)))
+        shared.append(spark.sparkContext.broadcast(Windows(((r["item"], r["text"].encode()) for r in block.toLocalIterator()), k)))
+    parts = [docs.mapInArrow(_search(shared[a : a + blocks]), _SCHEMA).withColumn("block", F.lit(a)) for a in range(0, n, blocks)]
     out = parts[0]
-    if n > 1:
+    if len(parts) > 1:
         for x in parts[1:]:
             out = out.union(x)
         out = out.groupBy("id", "th").applyInArrow(_merged, _SCHEMA)
@@ -238,8 +257,9 @@ def benchmark_hits(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
 
 def decontaminate(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The input's rows, all columns, that the contamination rule (a twentieth of the words hit) leaves."""
-    bad = benchmark_hits(df, bench, id_col, text_col, **options).filter("contaminated").select(F.col(id_col).alias("__bad_id"), F.col("text_hash").alias("__bad_text")).distinct()
-    same = F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("__bad_id")) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("__bad_text"))
+    bad_id, bad_text = unlike("bad_id", df), unlike("bad_text", df)
+    bad = benchmark_hits(df, bench, id_col, text_col, **options).filter("contaminated").select(F.col(id_col).alias(bad_id), F.col("text_hash").alias(bad_text)).distinct()
+    same = F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col(bad_id)) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(bad_text))
     return df.join(bad, same, "left_anti")
 
 
