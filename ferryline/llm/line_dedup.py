@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buckets, gathered, raw, shared_path, text_only
+from .common import buckets, gathered, raw, shared_path, text_only, unlike
 
 CHUNK = 6 << 20
 #: Parts that the blocks of one frequent line are dealt over in the join with the frequent lines.
@@ -124,32 +124,34 @@ class LineRuns:
 def _drop_lines(docs: pa.Table, keys: pa.Table) -> pa.Table:
     h = np.stack([keys.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("h1", "h2")], 1)
     gone = {x.tobytes() for x in h}
+    empty_goes = xxhash.xxh3_128_digest(b"") in gone  # only if empty keys are counted
     rows = []
     for i, text in zip(docs.column("id").to_pylist(), raw(docs.column("text").combine_chunks())):
         text = text or b""
         lines = text.split(b"\n")
         if gone:
-            keep = [line for line, key in zip(lines, line_keys(text)) if not key or xxhash.xxh3_128_digest(key) not in gone]
+            keep = [line for line, key in zip(lines, line_keys(text)) if (xxhash.xxh3_128_digest(key) not in gone if key else not empty_goes)]
         else:
             keep = lines
         rows.append((i, len(lines), len(lines) - len(keep), b"\n".join(keep)))
     cols = list(zip(*rows)) if rows else ([],) * 4
     kept = pa.array(cols[3], pa.binary()).view(pa.string())
-    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), kept, docs.column("__rest")], ["id", "n_lines", "n_dropped", "kept", "rest"])
+    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), kept, docs.column("rest")], ["id", "n_lines", "n_dropped", "kept", "rest"])
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 10, least_chars: int = 1, batches: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
     """Drop the lines whose key is found in at least ``threshold`` documents.
 
     Returns one row for each input row: the id (bigint), n_lines before dropping, n_dropped, kept (the
-    other lines joined by a newline) and, as a struct named rest, the columns that ``carry`` names.  A key is the line without ASCII white space at both ends and with
-    A-Z lower-cased; keys of fewer than ``least_chars`` code points stay.  Null or empty text is one empty
-    line.  Each row counts as a document, repeated rows and ids too; an empty table gives an empty result;
+    other lines joined by a newline) and, as a struct named rest, the columns that ``carry`` names.  A key is the
+    line without ASCII white space at both ends and with A-Z lower-cased; keys of fewer than ``least_chars`` code
+    points stay (0: empty lines are counted and dropped like others).  Null or empty text is one empty line.  Each row counts as a document, repeated rows and ids too; an empty table gives an empty result;
     other columns are not read.  Keys are told apart by 128-bit hashes.
     """
     spark, n = df.sparkSession, buckets(df)
     rest = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("int")
-    docs = text_only(df.select("*", rest.alias("__rest")), id_col, text_col, "__rest").withColumn("blk", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
+    name = unlike("rest", df)
+    docs = text_only(df.select("*", rest.alias(name)), id_col, text_col, name).withColumnRenamed(name, "rest").withColumn("blk", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
     counted = docs.select("text", "blk").mapInArrow(_counts(least_chars), "blk int, h1 bigint, h2 bigint, n bigint")
     counted.withColumn("batch", F.pmod("blk", F.lit(batches))).write.partitionBy("batch").parquet(path := shared_path(spark, "lines"))
     found = spark.read.schema("blk int, h1 bigint, h2 bigint, n bigint, batch int").parquet(path)
@@ -159,7 +161,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     salt = F.pmod("blk", F.lit(SALTS)).alias("salt")
     frequent = runs.frequent().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     keys = found.select("blk", "h1", "h2", salt).distinct().join(frequent, ["h1", "h2", "salt"]).select("blk", "h1", "h2")
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("rest", docs.schema["__rest"].dataType)])
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("rest", docs.schema["rest"].dataType)])
     out = docs.groupBy("blk").cogroup(keys.groupBy("blk")).applyInArrow(_drop_lines, schema)
     return (out if carry else out.drop("rest")).withColumnRenamed("id", id_col)
 
