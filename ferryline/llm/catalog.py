@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, packing, quality, secret_scan, simhash, substring_dedup, suffix_dedup, vector_search, warc
+from . import decontamination, fill_middle, line_dedup, packing, quality, secret_scan, simhash, source_audit, substring_dedup, suffix_dedup, url_filter, vector_search, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality": quality.op8_query,
     "op9_suffix_dedup": suffix_dedup.op9_query,
     "op10_decontamination": decontamination.op10_query,
+    "op11_source_audit": source_audit.op11_query,
+    "op12_url_filter": url_filter.op12_query,
+    "op13_fill_middle": fill_middle.op13_query,
 }
 
 SQL = {
@@ -23,4 +26,7 @@ SQL = {
     "op7_warc": warc.OP7_SQL,
     "op9_suffix_dedup": suffix_dedup.OP9_SQL,
     "op10_decontamination": decontamination.OP10_SQL,
+    "op11_source_audit": source_audit.OP11_SQL,
+    "op12_url_filter": url_filter.OP12_SQL,
+    "op13_fill_middle": fill_middle.OP13_SQL,
 }
