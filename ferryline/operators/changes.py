@@ -68,6 +68,20 @@ def with_hold(df: DataFrame, txn: str, end: str, order: str) -> DataFrame:
     return df.withColumn("__tail", tail).withColumn("held", hold).drop("__tail")
 
 
+def with_open(df: DataFrame, txn: str, end: str) -> DataFrame:
+    """Rows with held: their transaction lacks its end, whatever follows it.  For streams in which transactions interleave."""
+    tagged = df.filter(F.col(txn).isNotNull())
+    ended = tagged.groupBy(txn).agg(F.coalesce(F.max(F.col(end).cast("int")), F.lit(0)).alias("__ended"))
+    rows = tagged.join(ended, txn).withColumn("held", F.col("__ended") == 0).select(*df.columns, "held")
+    return rows.union(df.filter(F.col(txn).isNull()).withColumn("held", F.lit(False)))
+
+
+def interleave(df: DataFrame, txn: str, order: str) -> DataFrame:
+    """A row for each transaction with other rows between its own; ``order`` numbers the rows without gaps."""
+    spans = df.filter(F.col(txn).isNotNull()).groupBy(txn).agg((F.max(order) - F.min(order) + 1).alias("__span"), F.count("*").alias("__n"))
+    return spans.filter("__span > __n").select(txn)
+
+
 def apply_segments(df: DataFrame, txn: str, moved: str, order: str) -> DataFrame:
     """Rows with mode (atomic or barrier) and segment_id.
 
@@ -107,6 +121,27 @@ def fold(stored: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFram
     return both.filter(F.coalesce(stays, F.lit(False))).select(*[F.col(x) if x in keys else value(x).alias(x) for x in stored.columns])
 
 
+def net_changes(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What a stream of deletes, full and partial changes comes to, in the same form: for a key its last delete and one image of
+    what was set after it.  Folding these gives the same table, whatever it held before."""
+    rest = [c for c in changes.columns if c not in (*keys, "ord", "kind", "old")]
+    live = F.col("kind") != "delete"
+    aggs = [F.max(F.when(~live, F.col("ord"))).alias("__gone"), F.max(F.when(F.col("kind") == "full", F.col("ord"))).alias("__full")]
+    for x in rest:
+        at = F.when(live & F.col(x).isNotNull(), F.col("ord"))
+        aggs += [F.max(at).alias(f"__o_{x}"), F.max_by(F.col(x), at).alias(f"__v_{x}")]
+    net = changes.groupBy(*keys).agg(*aggs)
+    after = lambda c: F.when(F.col(c) > F.coalesce("__gone", F.lit(-1)), F.col(c))
+    last = [after("__full"), *[after(f"__o_{x}") for x in rest]]
+    at = F.greatest(*last) if rest else last[0]
+    images = [F.when(after(f"__o_{x}").isNotNull(), F.col(f"__v_{x}")).alias(x) for x in rest]
+    kinds = {x: changes.schema[x].dataType for x in rest}
+    delete = F.struct(F.col("__gone").alias("ord"), F.lit("delete").alias("kind"), *[F.lit(None).cast(kinds[x]).alias(x) for x in rest])
+    image = F.struct(at.alias("ord"), F.when(after("__full").isNotNull(), "full").otherwise("partial").alias("kind"), *images)
+    both = F.array_compact(F.array(F.when(F.col("__gone").isNotNull(), delete), F.when(at.isNotNull(), image)))
+    return net.select(*keys, F.explode(both).alias("r")).select("r.ord", "r.kind", *keys, *[F.col(f"r.{x}").alias(x) for x in rest])
+
+
 def replay(rows: dict, changes: Sequence[dict], columns: Sequence[str], keys: Sequence[str]) -> dict:
     """Changes applied one by one to rows by key tuple (each a dict by column); the model of fold and key moves."""
     for c in changes:
@@ -129,13 +164,12 @@ def replay(rows: dict, changes: Sequence[dict], columns: Sequence[str], keys: Se
     return rows
 
 
-def fold_with_moves(stored: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The stored table after a stream that also moves rows to other keys.
+def _linked_by_moves(stored: DataFrame, changes: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(stored, changes, moved): both tagged with the root of the keys that moves link to theirs (null for others), and the rows
+    that the linked ones come to.
 
-    ``changes``: ord, kind, the keys, old (struct of the keys before a move, else null), and structs as for
-    fold.  Keys that moves link, directly or by a chain, form small groups; each group lies whole in one bucket,
-    and a bucket is replayed in order with its stored rows.  All other keys go through fold.  Replaying a batch on the version it started from gives
-    the same result, which is how a retried batch is made safe (see streaming.versions).
+    Keys that moves link, directly or by a chain, form small groups; each group lies whole in one bucket, and a
+    bucket is replayed in order with its stored rows.
     """
     rest = [c for c in stored.columns if c not in keys]
     name = lambda *cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
@@ -144,7 +178,6 @@ def fold_with_moves(stored: DataFrame, changes: DataFrame, keys: Sequence[str])
     groups = linked(moves)  # (node, root), a row for every key that takes part in a move
     tag = lambda df: df.withColumn("node", own).join(groups, "node", "left").drop("node")
     s, c = tag(stored), tag(changes)
-    plain = fold(s.filter("root IS NULL").drop("root"), c.filter("root IS NULL AND kind <> 'keymove'"), keys)
     kept = [f.name for f in stored.schema.fields]
     schema = stored.schema
     bucket = F.pmod(F.xxhash64("root"), F.lit(4 * int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions")))).alias("bucket")
@@ -162,8 +195,50 @@ def fold_with_moves(stored: DataFrame, changes: DataFrame, keys: Sequence[str])
                 todo.append({"kind": r["kind"], "key": r["key"], "before_key": r["old"], "after": image})
         return pa.Table.from_pylist(list(replay(rows, todo, kept, keys).values()), pa.schema([(x, kinds[x]) for x in kept]))
 
-    moved = moved_rows.unionByName(moved_changes).groupBy("bucket").applyInArrow(one, schema)
-    return plain.select(*kept).unionByName(moved)
+    return s, c, moved_rows.unionByName(moved_changes).groupBy("bucket").applyInArrow(one, schema)
+
+
+def fold_with_moves(stored: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The stored table after a stream that also moves rows to other keys.
+
+    ``changes``: ord, kind, the keys, old (struct of the keys before a move, else null), and structs as for
+    fold.  Only keys that moves link are replayed in order; all others go through fold.  Replaying a batch on the version
+    it started from gives the same result, which is how a retried batch is made safe (see streaming.versions).
+    """
+    s, c, moved = _linked_by_moves(stored, changes, keys)
+    plain = fold(s.filter("root IS NULL").drop("root"), c.filter("root IS NULL AND kind <> 'keymove'"), keys)
+    return plain.select(*stored.columns).unionByName(moved)
+
+
+def without_moves(stored: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same changes without key moves: keys that moves link are deleted, and the rows that they come to are set.
+
+    ``stored`` has to have the rows of these keys; others in it are not looked at.
+    """
+    s, c, moved = _linked_by_moves(stored, changes, keys)
+    rest = [x for x in stored.columns if x not in keys]
+    fields = ["ord", "kind", *keys, *rest]
+    plain = c.filter("root IS NULL AND kind <> 'keymove'").select(*fields)
+    part = c.filter("root IS NOT NULL")
+    ends = part.select(*keys).union(part.filter("old IS NOT NULL").select(*[F.col(f"old.{k}") for k in keys])).distinct()
+    kinds = {x: changes.schema[x].dataType for x in ("ord", *rest)}
+    at = lambda i: F.lit(i).cast(kinds["ord"]).alias("ord")
+    gone = ends.select(at(0), F.lit("delete").alias("kind"), *keys, *[F.lit(None).cast(kinds[x]).alias(x) for x in rest])
+    full = moved.select(at(1), F.lit("full").alias("kind"), *keys, *[F.struct(F.col(x)).alias(x) for x in rest])
+    return plain.unionByName(gone).unionByName(full)
+
+
+def in_commit_order(df: DataFrame, txn: str, order: str, name: str = "ord") -> DataFrame:
+    """Rows with a number that orders them as they took effect: by the last row of their transaction, then as they stand.
+
+    For streams in which transactions interleave; untagged rows take effect where they stand.
+    """
+    last = F.col("__last").cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)")
+    tagged = df.filter(F.col(txn).isNotNull())
+    ends = tagged.groupBy(txn).agg(F.max(order).alias("__last"))
+    own = df.filter(F.col(txn).isNull()).withColumn("__last", F.col(order))
+    rows = tagged.join(ends, txn).select(*df.columns, "__last").union(own.select(*df.columns, "__last"))
+    return rows.withColumn(name, (last + F.col(order)).cast("decimal(38,0)")).drop("__last")
 
 
 def dead_letters(df: DataFrame, valid: Column, most: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -37,6 +37,17 @@ class Chunk:
         return F.lit(True) if self.key is None else (F.col(f"`{self.key}`") >= self.lo) & (F.col(f"`{self.key}`") < self.hi)
 
 
+def whole(c: Column) -> Column:
+    """A key rounded down, as an exact whole number whose differences don't overflow."""
+    return F.floor(c).cast("decimal(20,0)")
+
+
+def chunk_number(key: Column, lo: Column | int, step: Column | int) -> Column:
+    """How many steps a key is past ``lo``, by whole numbers: keys past 2**53 are not rounded."""
+    lo, step = (x if isinstance(x, Column) else F.lit(x).cast("decimal(20,0)") for x in (lo, step))
+    return F.call_function("div", whole(key) - lo.cast("decimal(20,0)"), step.cast("decimal(20,0)"))
+
+
 def step_of(lo: int, hi: int, wanted: int) -> int:
     span = hi - lo + 1
     return -(-span // max(1, min(wanted, span)))
@@ -52,11 +63,14 @@ def plan_chunks(table: str, key: str | None, bounds: tuple[int, int] | None, wan
 
 
 def with_chunks(df: DataFrame, key: str, bounds: DataFrame, wanted: int) -> DataFrame:
-    """Rows with chunk_no and the chunk's lo and hi, from the table's own bounds (one row, a scalar subquery)."""
-    first, last = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    span = last - first + 1
-    step = F.ceil(span / F.greatest(F.lit(1), F.least(F.lit(wanted), span))).cast("bigint")
-    out = df.withColumns({"__lo": first, "__hi": last, "__step": step})
-    no = F.floor((F.col(key) - F.col("__lo")) / F.col("__step")).cast("bigint")
-    lo = F.col("__lo") + no * F.col("__step")
-    return out.withColumns({"chunk_no": no, "lo": lo, "hi": F.least(lo + F.col("__step"), F.col("__hi") + 1)}).drop("__lo", "__hi", "__step")
+    """Rows with chunk_no and the chunk's lo and hi (null past the largest long), from the table's own bounds (one row, a
+    scalar subquery)."""
+    first, last = (bounds.select(c).scalar().cast("decimal(20,0)") for c in ("lo", "hi"))
+    out = df.withColumns({"__lo": first, "__hi": last})
+    span = F.col("__hi") - F.col("__lo") + 1
+    ranges = F.greatest(F.lit(1).cast("decimal(22,0)"), F.least(F.lit(wanted).cast("decimal(22,0)"), span))
+    out = out.withColumn("__step", F.call_function("div", span + ranges - 1, ranges).cast("decimal(20,0)"))
+    no = chunk_number(F.col(key), F.col("__lo"), F.col("__step"))
+    lo = F.col("__lo") + no.cast("decimal(20,0)") * F.col("__step")
+    hi = F.least(lo + F.col("__step"), F.col("__hi") + 1)
+    return out.withColumns({"chunk_no": no, "lo": lo.cast("bigint"), "hi": hi.try_cast("bigint")}).drop("__lo", "__hi", "__step")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.ledger import FAILED, IN_PROGRESS, LOADED, PENDING, Ledger
-from .chunks import Chunk
+from .chunks import Chunk, chunk_number
 
 
 def load_range(df: DataFrame, path: str, chunk: Column | str = "chunk_id", ids: Sequence[str] | None = None) -> dict[str, int]:
@@ -59,7 +59,7 @@ def chunk_column(chunks: list[Chunk]):
         return F.lit(chunks[0].chunk_id)
     lo, step = chunks[0].lo, chunks[0].hi - chunks[0].lo
     table = chunks[0].chunk_id.rsplit(":", 1)[0]
-    return F.concat(F.lit(f"{table}:"), F.floor((F.col(chunks[0].key) - lo) / step).cast("string"))
+    return F.concat(F.lit(f"{table}:"), chunk_number(F.col(f"`{chunks[0].key}`"), lo, step).cast("string"))
 
 
 def load(ledger: Ledger, table: str, source: DataFrame | Callable[[list[Chunk]], DataFrame], path: str, batch: int = 64, keep_going: bool = False):

@@ -18,7 +18,7 @@ from ..sources.tables import table
 from ..sources.trail import Trail
 from ..streaming import replicate
 from ..streaming.versions import Replica
-from . import ledger, metadata_catalog, rewrite
+from . import capture_catalog, ledger, metadata_catalog, rewrite
 from .sqltwin import digest
 
 QUERIES: dict = {}
@@ -561,5 +561,5 @@ def json_canonical(spark, sf):
     return e.select("event_id", F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")).alias("canonical"))
 
 
-QUERIES |= metadata_catalog.QUERIES
-SQL |= metadata_catalog.SQL
+QUERIES |= capture_catalog.QUERIES | metadata_catalog.QUERIES
+SQL |= capture_catalog.SQL | metadata_catalog.SQL

@@ -42,6 +42,10 @@ class Entry:
     rows: int = 0
     error: str | None = None
 
+    def chunk(self) -> Chunk:
+        plain = Chunk(self.chunk_id, self.key, self.lo, self.hi)
+        return plain if plain.predicate() == self.predicate else replace(plain, recorded=self.predicate)
+
 
 @dataclass
 class Ledger:
@@ -122,7 +126,8 @@ class Ledger:
         self.save()
 
     def chunks(self, table: str | None = None, *states: str) -> list[Chunk]:
-        return [Chunk(e.chunk_id, e.key, e.lo, e.hi, e.predicate) for e in self.entries if (table is None or e.table_name == table) and (not states or e.state in states)]
+        """The recorded chunks.  A range is rendered anew for the dialect that reads it: names are quoted as that one does."""
+        return [e.chunk() for e in self.entries if (table is None or e.table_name == table) and (not states or e.state in states)]
 
     def mark(self, chunk_ids: Iterable[str], state: str, rows: dict[str, int] | None = None, error: str | None = None) -> None:
         ids = set(chunk_ids)

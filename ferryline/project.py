@@ -104,6 +104,13 @@ class Finding:
     message: str
 
 
+def fresh_rows(df: DataFrame, version: str, mark: int | None, high: int | None) -> DataFrame:
+    """Rows past a watermark, up to where it will stand next, and those without a version; the range reaches the scan."""
+    v = F.col(f"`{version}`")
+    fresh = (F.lit(False) if high is None else v <= high) & (F.lit(True) if mark is None else v > mark)
+    return df.filter(v.isNull() | fresh)
+
+
 class SourceChanged(RuntimeError):
     """A capture that began at another source."""
 
@@ -178,7 +185,8 @@ class Project:
         one moment where the source has such.
 
         An interrupted run is taken up where its ledger stands.  A batch of chunks that fails is tried again, chunk by
-        chunk, after all tables; what fails then too is left for the next run.
+        chunk, after all tables; what fails then too is left for the next run.  Each table's rows are counted at the source once
+        more: where that was read at one moment they have to be as many as were loaded, and some where it has some.
         """
         o, src, schema = self.config.options, self.source(), self.schema()
         keys = {t.name: t.primary_key[0] if len(t.primary_key) == 1 else None for t in schema.tables}
@@ -198,7 +206,12 @@ class Project:
                     done, failed = sinks.load(book, t.name, lambda chunks, t=t: self.source_rows(t, chunks, moment), self.target_path(t.name), batch, keep_going=True)
                     rows += sum(done.values())
                     errors |= {t.name: failed[0]} if failed else {}
-        return {"tables": len(schema.tables), "rows": rows, "failed_chunks": book.failed, "complete": book.failed == 0, "errors": errors, "gaps": len(gaps)}
+        loaded = {t.name: sum(e.rows for e in book.entries if e.table_name == t.name) for t in schema.tables}
+        counted = {t.name: src.count(t.name, moment) for t in schema.tables if t.name not in errors}
+        other = {n: {"source": c, "loaded": loaded[n]} for n, c in counted.items() if c != loaded[n]}
+        pinned = moment is not None or not isinstance(src, JdbcSource)
+        wrong = [n for n, x in other.items() if pinned or not x["loaded"]]
+        return {"tables": len(schema.tables), "rows": rows, "failed_chunks": book.failed, "complete": book.failed == 0 and not wrong, "errors": errors, "mismatched": other, "gaps": len(gaps)}
 
     def status(self) -> list[dict]:
         book = ledger.Ledger.open(self.spark, f"{self.config.target.path.rstrip('/')}/state/ledger.json", read_only=True)
@@ -312,8 +325,7 @@ class Project:
             high, nulls = df.agg(F.max(version), F.count_if(F.col(version).isNull())).first()
             if not nulls and high in (None, mark):
                 continue
-            fresh = (F.lit(False) if high is None else F.col(version) <= high) & (F.lit(True) if mark is None else F.col(version) > mark)
-            rows = df.filter(F.col(version).isNull() | fresh)
+            rows = fresh_rows(df, version, mark, high)
             image = lambda cols: F.create_map(*[x for c in cols for x in (F.lit(c), tagged_text(F.col(f"`{c}`").cast("string")))])  # noqa: B023, E731
             records = rows.select(F.lit("U").alias("op"), F.lit(t.name).alias("table"), image(t.primary_key).alias("key"), image([c.name for c in t.columns]).alias("after"), F.col(version).cast("bigint").alias("scn"), F.monotonically_increasing_id().alias("ord"))
             captured += self.trail(name).append_frame(records, "ord")
@@ -324,13 +336,18 @@ class Project:
         return {"captured": captured, "tables": own["tables"], "not_adopted": sorted(set(new) - pinned), "skipped": skipped}
 
     def drop_extract(self, name: str, with_trail: bool = False) -> bool:
-        """Forget a capture, and with it its trail if asked to; returns whether there was one."""
+        """Forget a capture and its place in the replica, and remove its trail if asked to; returns whether there was one.
+
+        The trail goes first and the registry last, so that a drop that fails can be repeated.  Its tables stay as they are.
+        """
         all_ = self.extracts()
-        found = all_.pop(name, None) is not None
-        self.register(all_)
-        if found and with_trail:
+        if name not in all_:
+            return False
+        if with_trail:
             self.trail(name).remove()
-        return found
+            self.replica().forget(name)
+        self.register({k: v for k, v in all_.items() if k != name})
+        return True
 
     def dead_letters_path(self, name: str) -> str:
         return f"{self.config.target.path.rstrip('/')}/state/dead_letters/{name}"
@@ -339,24 +356,39 @@ class Project:
         """Apply a trail to versioned copies of its tables, published together; keys that the source no longer has are
         deleted by default (a capture by version sees no deletes).
 
-        Records that don't fit their table are parked as JSON under state/dead_letters, up to poison_max_per_run a batch.
+        Each capture has a cursor of its own in the replica.  Records that don't fit their table are parked as JSON under
+        state/dead_letters with the reason, up to poison_max_per_run a batch; a batch that is repeated writes its own again.
         """
         replica, pinned = self.replica(), self.extracts()[name]["tables"]
+        self._adopt(replica, name)
         tables = {t.name: t for t in self.schema().tables if t.name in pinned and t.primary_key}
-        new = {n: replica.stage(n, self.source_rows(t).limit(0), t.primary_key) for n, t in tables.items() if n not in replica.pointer().tables}
-        if new:
-            now = replica.pointer()
-            replica.publish(new, now.batch + 1, now.cursor)
+        with replica.claimed():
+            new = {n: replica.stage(n, self.source_rows(t).limit(0), t.primary_key) for n, t in tables.items() if n not in replica.pointer().tables}
+            if new:
+                now = replica.pointer().applied(name)
+                replica.publish(new, now.batch + 1, now.cursor, name, now)
 
         def park(table: str, bad: DataFrame) -> None:
-            bad.select(F.lit(table).alias("for_table"), F.to_json(F.struct("*")).alias("record")).write.mode("append").json(self.dead_letters_path(name))
+            batch = replica.pointer().applied(name).batch + 1
+            record = F.to_json(F.struct(*[c for c in bad.columns if c != "reason"]))
+            bad.select("seq", F.lit(table).alias("for_table"), "reason", record.alias("record")).write.mode("overwrite").json(f"{self.dead_letters_path(name)}/batch={batch}/of={table}")
 
-        cursor = replicate.replicate_all(self.trail(name), replica, {n: t.primary_key for n, t in tables.items()}, self.config.cdc.apply_batch, park=park, most_parked=self.config.cdc.poison_max_per_run)
-        out = {n: {"cursor": cursor, "deleted": replicate.reconcile(replica.table(n), self.source_rows(t), t.primary_key) if reconcile in (None, True) else 0} for n, t in tables.items()}
+        cursor = replicate.replicate_all(self.trail(name), replica, {n: t.primary_key for n, t in tables.items()}, self.config.cdc.apply_batch, name, park=park, most_parked=self.config.cdc.poison_max_per_run)
+        out = {n: {"cursor": cursor, "deleted": replicate.reconcile(replica.table(n), self.source_rows(t), t.primary_key, name) if reconcile in (None, True) else 0} for n, t in tables.items()}
         for key, n in self.orphans(tables).items():
             out[key.split(".")[0]].setdefault("orphans", {})[key.split(".", 1)[1]] = n
         return out
 
+    def _adopt(self, replica: Replica, name: str) -> None:
+        """A place without a name, from before each capture had its own, is that of the only capture there is."""
+        now = replica.pointer()
+        if "" in now.streams and name not in now.streams:
+            if len(self.extracts()) > 1:
+                raise ValueError("the replica's one cursor can't be told to be that of one of several captures: drop the others first")
+            old = now.applied()
+            replica.publish({}, old.batch, old.cursor, name)
+            replica.forget("")
+
     def orphans(self, names: Iterable[str]) -> dict[str, int]:
         """Foreign keys between replicated tables that have rows without a parent, and how many: changes are applied by
         table, so this is looked at once a batch is published."""
@@ -393,9 +425,9 @@ class Project:
 
     def lag(self, name: str) -> dict:
         """How many captured records are still to be applied."""
-        written, applied = self.trail(name).last_seq(), self.replica().pointer().cursor
+        written, applied = self.trail(name).last_seq(), self.replica().pointer().applied(name).cursor
         return {"written": written, "applied": applied, "behind": max(0, written - applied)}
 
     def purge(self, name: str) -> list[str]:
-        """Remove the trail's segments that are applied in full."""
-        return self.trail(name).purge(self.replica().pointer().cursor)
+        """Remove the trail's segments that are applied in full, by the capture's own cursor."""
+        return self.trail(name).purge(self.replica().pointer().applied(name).cursor)

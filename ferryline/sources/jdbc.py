@@ -208,8 +208,8 @@ class JdbcSource:
         q = quoted("x", self.dialect)[-1] if self.dialect in ("mysql", "mssql") else '"'
         return self.spark.read.jdbc(self.url, source, predicates=[c.predicate(q if q != "]" else '"') for c in chunks], properties=self.options)
 
-    def count(self, table: str) -> int:
-        return int(self.query(select_text(self.dialect, table, [], self.schema).replace("SELECT ", f"SELECT {COUNT[self.dialect]} AS n", 1)).first()[0])
+    def count(self, table: str, snapshot: str | None = None) -> int:
+        return int(self.query(select_text(self.dialect, table, [], self.schema, None, snapshot).replace("SELECT ", f"SELECT {COUNT[self.dialect]} AS n", 1)).first()[0])
 
     def bounds(self, table: str, key: str) -> tuple[int, int] | None:
         k = quoted(key, self.dialect)

@@ -36,8 +36,8 @@ class ParquetSource:
         df = df.filter(predicate) if predicate else df
         return df.select(*columns) if columns else df
 
-    def count(self, name: str) -> int:
-        return table(self.spark, self.folder, name).count()
+    def count(self, name: str, snapshot: tuple[str, ...] | None = None) -> int:
+        return self.rows(name, snapshot=snapshot).count()
 
     def bounds(self, name: str, key: str) -> tuple[int, int] | None:
         """Least and greatest key rounded down; None if the table is empty or the key is no number."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import json
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -177,10 +178,32 @@ class Trail:
                 raise TrailBusy(f"{self.path} has another writer; after a crash, unlock() frees it") from e
             raise
         try:
+            if self.identity() is None:
+                self._named()
             yield max(self.listed(), default=Segment(-1, 0, 0))
         finally:
             self._fs.delete(lock, False)
 
+    def _named(self) -> None:
+        """Give the trail a name of its own; it appears whole or not at all."""
+        temp = self._path(f"{self.path}/.identity")
+        stream = self._fs.create(temp, True)
+        stream.write(bytearray(uuid.uuid4().hex.encode()))
+        stream.close()
+        if not self._fs.rename(temp, self._path(f"{self.path}/identity")):
+            raise OSError(f"{self.path} can't be named")
+
+    def identity(self) -> str | None:
+        """What tells this trail from another at its place, once it has been written to."""
+        at = self._path(f"{self.path}/identity")
+        if not self._fs.exists(at):
+            return None
+        stream = self._fs.open(at)
+        try:
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
     def unlock(self) -> bool:
         """Remove a lock that a crash left behind; the caller knows that its writer is gone."""
         return bool(self._fs.delete(self._path(f"{self.path}/.writer"), False))
@@ -215,13 +238,15 @@ class Trail:
     def append_frame(self, df: DataFrame, order: str) -> int:
         """Write a table of records (op, table, key, after and others of the schema) in the order of a whole number.
 
-        Numbering and writing stay distributed; each file that Spark writes becomes a segment.  Returns how many.
+        Numbering and writing stay distributed; each file that Spark writes becomes a segment.  The table is read once, into
+        a checkpoint, so that a source that changes meanwhile can't be numbered twice.  Returns how many.
         """
+        from ..operators.graph import cut
         from ..operators.ordered import running_sum
 
         temp, n = f"{self.path}/.frame", 0
         with self.writing() as last:
-            rows = running_sum(df, order, F.lit(1), "__n").withColumn("seq", F.col("__n") + last.last)
+            rows = running_sum(cut(df), order, F.lit(1), "__n").withColumn("seq", F.col("__n") + last.last)
             fields = [c for c in rows.columns if c not in (order, "__n")]
             lines = rows.repartitionByRange("seq").sortWithinPartitions("seq").select(F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "true"}).alias("value"))
             lines.write.mode("overwrite").text(temp)
@@ -299,11 +324,16 @@ class Trail:
     def heal(self) -> bool:
         """Replace the last segment by one without the line that was cut off; returns whether there was one.
 
-        The bytes are copied from stream to stream, and one rename puts the copy in the segment's place.
+        The bytes are copied from stream to stream, and one rename puts the copy in the segment's place, under the lock.
         """
         have = self.listed()
         if not have or not self._torn(self._at(have[-1])):
             return False
+        with self.writing():
+            return self._healed()
+
+    def _healed(self) -> bool:
+        have = self.listed()
         jvm, path, temp = self.spark._jvm, self._path(self._at(have[-1])), self._path(f"{self.path}/.healed")
         size = self._whole_bytes(path)
         source, copy = self._fs.open(path), self._fs.create(temp, True)
@@ -319,13 +349,16 @@ class Trail:
         return True
 
     def purge(self, applied: int) -> list[str]:
-        """Remove closed segments whose records are all applied; returns their names.  No segment is read."""
-        gone = []
-        for s in self.listed()[:-1]:
-            if s.last > applied:
-                break
-            self._fs.delete(self._path(self._at(s)), False)
-            gone.append(s.name)
+        """Remove closed segments whose records are all applied, under the lock; returns their names.  No segment is read."""
+        gone: list[str] = []
+        if not self.listed():
+            return gone
+        with self.writing():
+            for s in self.listed()[:-1]:
+                if s.last > applied:
+                    break
+                self._fs.delete(self._path(self._at(s)), False)
+                gone.append(s.name)
         return gone
 
     def remove(self) -> None:

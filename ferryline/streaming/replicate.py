@@ -1,22 +1,26 @@
 """Change records from a trail, applied to versioned tables in micro-batches.
 
-Each batch reads the records past the applied cursor, holds back a last transaction whose end is still to come,
-parks what can't be applied, folds the rest into the buckets that they touch and publishes all tables together.
+Each batch reads the records past its stream's cursor, holds back a last transaction whose end is still to come,
+parks what can't be applied, lays the rest on the buckets that they touch and publishes all tables together.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.changes import dead_letters, fold, fold_with_moves, kind_of, with_hold
+from ..operators.changes import dead_letters, fold, fold_with_moves, in_commit_order, interleave, kind_of, with_hold, with_open, without_moves
 from ..sources.trail import _SCHEMA as TRAIL_SCHEMA
 from ..sources.trail import Trail, value_text
-from .versions import Pointer, Replica, Stored, VersionedTable
+from .versions import Applied, Pointer, Replica, Stored, VersionedTable
+
+
+class AnotherTrail(RuntimeError):
+    """A trail under a stream's name that is not the one it was applied from."""
 
 
 def typed(value: Column, kind: T.DataType) -> Column:
@@ -25,16 +29,22 @@ def typed(value: Column, kind: T.DataType) -> Column:
     return F.try_to_binary(text, F.lit("base64")) if isinstance(kind, T.BinaryType) else text.try_cast(kind)
 
 
-def applicable(schema: T.StructType, keys: Sequence[str]) -> Column:
-    """Whether a record's values can be those of the table's columns, and none of its keys is null."""
-    fine = F.col("op").isin("I", "U", "D")
+def reasons(schema: T.StructType, keys: Sequence[str]) -> Column:
+    """Why a record can't be applied to a table, as one text; null if it can: an op that is none, a value that can't be one of
+    its column's, a key that is null."""
+    found = [F.when(~F.coalesce(F.col("op").isin("I", "U", "D"), F.lit(False)), F.lit("op is not I, U or D"))]
     for f in schema.fields:
         for image in ("after", "key", "before_key"):
             value = F.col(image)[f.name]
-            fine = fine & (value.isNull() | typed(value, f.dataType).isNotNull())
-    for k in keys:
-        fine = fine & F.col("key")[k].isNotNull()
-    return F.coalesce(fine, F.lit(False))
+            found.append(F.when(value.isNotNull() & typed(value, f.dataType).isNull(), F.lit(f"{image}.{f.name} is no {f.dataType.simpleString()}")))
+    found += [F.when(F.col("key")[k].isNull(), F.lit(f"key.{k} is null")) for k in keys]
+    text = F.concat_ws("; ", *found)
+    return F.when(text != "", text)
+
+
+def applicable(schema: T.StructType, keys: Sequence[str]) -> Column:
+    """Whether a record's values can be those of the table's columns, and none of its keys is null."""
+    return reasons(schema, keys).isNull()
 
 
 def typed_changes(records: DataFrame, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
@@ -50,7 +60,8 @@ def typed_changes(records: DataFrame, schema: T.StructType, keys: Sequence[str])
     for c in rest:
         complete = complete & has(c)
     images = [F.when(has(c), F.struct(typed(after[c], kinds[c]).alias(c))).alias(c) for c in rest]
-    return records.select(F.col("seq").alias("ord"), kind_of(F.col("op"), moved, complete).alias("kind"), *[new(k) for k in keys], F.when(moved, old).alias("old"), *images)
+    order = F.col("ord" if "ord" in records.columns else "seq")
+    return records.select(order.alias("ord"), kind_of(F.col("op"), moved, complete).alias("kind"), *[new(k) for k in keys], F.when(moved, old).alias("old"), *images)
 
 
 def releasable(records: DataFrame) -> DataFrame:
@@ -58,87 +69,141 @@ def releasable(records: DataFrame) -> DataFrame:
     return with_hold(records, "txn_id", "txn_end", "seq").filter("NOT held").drop("held")
 
 
-def _folded(target: VersionedTable, changes: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[int] | None]:
-    """The rows of the buckets that the changes touch, after them, and the buckets (None: all)."""
-    keys, stored = tuple(keys), target.stored()
-    if stored.keys != keys:  # not bucketed by them yet
-        now, touched = target.read(), None
-    else:
-        bucket = target.replica.bucket_of
-        both = changes.select(bucket(list(keys)).alias("b")).union(changes.filter("old IS NOT NULL").select(bucket([F.col(f"old.{k}") for k in keys])))
-        touched = sorted(r["b"] for r in both.distinct().collect())
-        now = target.read(touched)
-    if changes.filter("kind = 'keymove'").limit(1).count():
-        return fold_with_moves(now, changes, keys), touched
-    return fold(now, changes, keys), touched
+#: Changes to a bucket of a table whose first load this is.
+BUCKET_ROWS = 4_000_000
 
 
-def apply_tables(replica: Replica, records: DataFrame, tables: dict[str, Sequence[str]], batch: int, park: Callable[[str, DataFrame], None] | None = None, most_parked: int = 25, last_of: str | None = None) -> int:
-    """Apply one batch to some tables (their keys by name), publish them together, and return the cursor reached.
+def _staged(target: VersionedTable, changes: DataFrame, keys: Sequence[str]) -> Stored | None:
+    """Write what the changes make of a table for the version to come; None if there are none.
 
-    ``records`` are those of all tables, as only they tell whether the last transaction has ended.  Records whose values
-    don't fit their table are parked, ``most_parked`` in a batch at most: more raise, and so do any without a place to
-    park and key moves, before anything is written.  ``last_of``: the cursor is that of this table's last record.
+    A bucket is written anew or gets a delta, as its sizes say; key moves are resolved first, and only the buckets of
+    their keys are read for it.
     """
-    now = replica.pointer()
-    if batch <= now.batch:
-        return now.cursor
-    ready = releasable(records.filter(F.col("seq") > now.cursor)).persist()
+    keys, stored, held = tuple(keys), target.stored(), [changes.persist()]
     try:
-        lower = F.lower("table")
-        cursor = (ready if last_of is None else ready.filter(lower == last_of.lower())).agg(F.max("seq")).first()[0]
-        if cursor is None:
-            return now.cursor
-        staged, parked = {}, []
-        present = {r[0] for r in ready.select(lower).distinct().collect()}
-        work = [(replica.table(name), name, keys) for name, keys in tables.items() if name.lower() in present]
-        good_of = {}
-        for target, name, keys in work:
-            schema = T.StructType.fromJson(json.loads(target.stored().schema))
-            good, bad = dead_letters(ready.filter(lower == name.lower()), applicable(schema, keys), most_parked)
-            if bad.limit(1).count():
-                if park is None:
-                    raise ValueError(f"{name} has changes that can't be applied, and there is no place to park them")
-                if bad.filter(F.size(F.coalesce("before_key", F.create_map().cast("map<string,string>"))) > 0).limit(1).count():
-                    raise ValueError("a key move can't be applied, and is not parked")
-                parked.append((name, bad))
-            good_of[name] = typed_changes(good, schema, keys)
-        for name, bad in parked:
-            park(name, bad)
-        for target, name, keys in work:
-            rows, touched = _folded(target, good_of[name], keys)
-            staged[name] = target.stage(rows, keys, touched)
-        replica.publish(staged, batch, cursor)
-        return cursor
+        total = changes.count()
+        if not total:
+            return None
+        moves = changes.filter("kind = 'keymove'").limit(1).count() > 0
+        if stored.keys != keys or not stored.versions():  # not bucketed by them yet, or the first rows: all at once
+            rows = (fold_with_moves if moves else fold)(target.read(), changes, keys)
+            return target.stage(rows, keys, None, max(target.replica.buckets, -(-total // BUCKET_ROWS)))
+        bucket = lambda cols: target.replica.bucket_of(cols, stored.count)
+        if moves:
+            moved = changes.filter("kind = 'keymove'")
+            ends = moved.select(bucket(list(keys)).alias("b")).union(moved.select(bucket([F.col(f"old.{k}") for k in keys])))
+            near = sorted(r["b"] for r in ends.distinct().collect())
+            changes = without_moves(target.read(near), changes, keys)
+            held.append(changes.persist())
+        dealt = changes.withColumn("__b", bucket(list(keys)))
+        touched = sorted(r["__b"] for r in dealt.select("__b").distinct().collect())
+        anew = [b for b in touched if stored.rewritten(b, target.replica.small_bytes)]
+        over = [b for b in touched if b not in anew]
+        out = stored
+        if over:
+            out = target.replica.lay(target.name, dealt.filter(F.col("__b").isin(over)).drop("__b", "old"), stored, over)
+        if anew:
+            part = dealt.filter(F.col("__b").isin(anew)).drop("__b")
+            new = target.stage(fold(target.read(anew), part, keys), keys, anew)
+            out = replace(new, deltas={b: d for b, d in out.deltas.items() if int(b) not in anew})
+        return out
     finally:
-        ready.unpersist()
+        for x in held:
+            x.unpersist()
+
 
+def apply_tables(replica: Replica, records: DataFrame, tables: dict[str, Sequence[str]], batch: int, park: Callable[[str, DataFrame], None] | None = None, most_parked: int = 25, last_of: str | None = None, stream: str = "", trail: str | None = None, mixed: bool = False) -> int:
+    """Apply one batch of a stream to some tables (their keys by name), publish them together, and return the cursor reached.
 
-def _drained(trail: Trail, cursor_of: Callable[[], tuple[int, int]], apply: Callable[[DataFrame, int], int], batch_records: int) -> int:
-    """Apply batch by batch till nothing moves.  A batch is never cut inside a transaction: it grows until the cursor
-    moves."""
+    ``records`` are those of all tables past the stream's cursor, as only they tell whether the last transaction has ended.
+    One that has not is held: the cursor stays before its first record, and what is applied beyond is left out when they are
+    read again.  Where transactions interleave (``mixed`` says so from the start, else the first that does), every one without
+    an end is held, and changes take effect in the order in which transactions end.
+
+    Records whose values don't fit their table are parked with the reason, ``most_parked`` in a batch at most: more raise, and
+    so do any without a place to park and key moves, before anything is written.  ``park`` gets the table's name and the
+    records before the batch is published: a batch that is repeated parks the same again.  ``last_of``: the cursor is that of
+    this table's last record.
+    """
+    with replica.claimed():
+        now = replica.pointer().applied(stream)
+        if batch <= now.batch:
+            return now.cursor
+        unseen = F.col("seq") > now.ahead
+        if now.open:
+            unseen = unseen | ((F.col("seq") > now.cursor) & F.col("txn_id").isin(*now.open))
+        fresh = records.filter(unseen)
+        mixed = mixed or now.mixed or bool(interleave(records.filter(F.col("seq") > now.cursor), "txn_id", "seq").limit(1).count())
+        found = (with_open(fresh, "txn_id", "txn_end") if mixed else with_hold(fresh, "txn_id", "txn_end", "seq")).persist()
+        try:
+            free, lower = ~F.col("held"), F.lower("table")
+            mine = free if last_of is None else free & (lower == last_of.lower())
+            got = found.agg(F.max(F.when(mine, F.col("seq"))).alias("last"), F.min(F.when(~free, F.col("seq"))).alias("held"), F.collect_set(F.when(~free, F.col("txn_id"))).alias("open")).first()
+            if got["last"] is None:
+                return now.cursor
+            reached = max(got["last"], now.ahead)
+            cursor = reached if got["held"] is None else max(now.cursor, min(reached, got["held"] - 1))
+            place = Applied(ahead=reached, open=tuple(sorted(got["open"])) if reached > cursor else (), mixed=mixed, trail=trail)
+            ready = found.filter(free).drop("held")
+            if mixed:
+                ready = in_commit_order(ready, "txn_id", "seq")
+            parked, good_of = [], {}
+            present = {r[0] for r in ready.select(lower).distinct().collect()}
+            work = [(replica.table(name), name, keys) for name, keys in tables.items() if name.lower() in present]
+            for target, name, keys in work:
+                schema = target.schema()
+                why = reasons(schema, keys)
+                good, bad = dead_letters(ready.filter(lower == name.lower()), why.isNull(), most_parked)
+                if bad.limit(1).count():
+                    if park is None:
+                        raise ValueError(f"{name} has changes that can't be applied, and there is no place to park them")
+                    if bad.filter(F.size(F.coalesce("before_key", F.create_map().cast("map<string,string>"))) > 0).limit(1).count():
+                        raise ValueError("a key move can't be applied, and is not parked")
+                    parked.append((name, bad.withColumn("reason", why)))
+                good_of[name] = typed_changes(good, schema, keys)
+            for name, bad in parked:
+                park(name, bad)
+            staged = {name: made for target, name, keys in work if (made := _staged(target, good_of[name], keys)) is not None}
+            replica.publish(staged, batch, cursor, stream, place)
+            return cursor
+        finally:
+            found.unpersist()
+
+
+def _drained(trail: Trail, replica, tables: Iterable[VersionedTable], apply: Callable[[DataFrame, int], int], batch_records: int, stream: str) -> int:
+    """Apply batch by batch till nothing moves.  A batch is never cut inside a transaction: it grows until something
+    moves.  The first load of tables without any rows is one batch."""
+    place = lambda: replica.pointer().applied(stream)
+    empty = place().cursor == 0 and all((s := t.stored()) is not None and not s.versions() for t in tables)
     while True:
-        (cursor, batch), size = cursor_of(), batch_records
+        before, size = place(), max(batch_records, trail.last_seq()) if empty else batch_records
         while True:
-            reached = apply(trail.read(cursor, size), batch + 1)
-            if reached > cursor or trail.last_seq() <= cursor + size:
+            reached = apply(trail.read(before.cursor, size + max(0, before.ahead - before.cursor)), before.batch + 1)
+            if place() != before or trail.last_seq() <= max(before.cursor, before.ahead) + size:
                 break
             size *= 2
-        if reached <= cursor:
+        if place() == before:
             return reached
+        empty = False
+
 
+def replicate_all(trail: Trail, replica: Replica, tables: dict[str, Sequence[str]], batch_records: int = 10_000, stream: str = "", **options) -> int:
+    """Apply all that the trail holds for some tables, which are published together; returns the cursor.
 
-def replicate_all(trail: Trail, replica: Replica, tables: dict[str, Sequence[str]], batch_records: int = 10_000, **options) -> int:
-    """Apply all that the trail holds for some tables, which are published together; returns the cursor."""
-    at = lambda: ((p := replica.pointer()).cursor, p.batch)
-    return _drained(trail, at, lambda records, batch: apply_tables(replica, records, tables, batch, **options), batch_records)
+    Each stream into a replica has a cursor of its own, bound to its trail: another trail under its name is refused.
+    """
+    known, identity = replica.pointer().applied(stream).trail, trail.identity()
+    if None not in (known, identity) and known != identity:
+        raise AnotherTrail(f"{trail.path} is not the trail that {stream or 'this stream'} was applied from")
+    apply = lambda records, batch: apply_tables(replica, records, tables, batch, stream=stream, trail=identity, **options)
+    return _drained(trail, replica, [replica.table(n) for n in tables], apply, batch_records, stream)
 
 
 def replicate(trail: Trail, target: VersionedTable, keys: Sequence[str], table: str, batch_records: int = 10_000, **options) -> int:
     """Apply all that the trail holds for one table, alone in its replica; returns the cursor."""
-    at = lambda: ((p := target.pointer()).cursor, p.batch)
     one = _Named(target, table)
-    return _drained(trail, at, lambda records, batch: apply_tables(one, records, {table: keys}, batch, last_of=table, **options), batch_records)
+    apply = lambda records, batch: apply_tables(one, records, {table: keys}, batch, last_of=table, **options)
+    return _drained(trail, one, [target], apply, batch_records, "")
 
 
 class _Named:
@@ -146,13 +211,13 @@ class _Named:
 
     def __init__(self, target: VersionedTable, name: str):
         self._target, self._name = target, name
-        self.pointer = target.pointer
+        self.pointer, self.claimed = target.pointer, target.replica.claimed
 
     def table(self, name: str) -> VersionedTable:
         return self._target
 
-    def publish(self, staged: dict[str, Stored], batch: int, cursor: int) -> Pointer:
-        return self._target.replica.publish({self._target.name: staged[self._name]}, batch, cursor)
+    def publish(self, staged: dict[str, Stored], *place) -> Pointer:
+        return self._target.replica.publish({self._target.name: made for made in staged.values()}, *place)
 
 
 def stream(spark: SparkSession, trail_path: str, target: VersionedTable, keys: Sequence[str], table: str, checkpoint: str, files_per_batch: int = 16, **options):
@@ -170,15 +235,17 @@ def stream(spark: SparkSession, trail_path: str, target: VersionedTable, keys: S
     return lines.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 
 
-def reconcile(target: VersionedTable, source_keys: DataFrame, keys: Sequence[str]) -> int:
+def reconcile(target: VersionedTable, source_keys: DataFrame, keys: Sequence[str], stream: str = "") -> int:
     """Delete stored rows whose key the source no longer has; returns how many there were.  Only their buckets are written."""
-    wanted, now, stored = source_keys.select(*keys), target.pointer(), target.stored()
+    wanted, now, stored = source_keys.select(*keys), target.pointer().applied(stream), target.stored()
     gone = target.read().join(wanted, list(keys), "left_anti")
-    by = gone.groupBy(target.replica.bucket_of(list(stored.keys)).alias("b")).count().collect()
+    by = gone.groupBy(target.replica.bucket_of(list(stored.keys), stored.count).alias("b")).count().collect()
     if by:
         touched = [r["b"] for r in by]
-        target.publish(target.read(touched).join(wanted, list(keys), "left_semi"), now.batch + 1, now.cursor, stored.keys, touched)
+        with target.replica.claimed():
+            made = target.stage(target.read(touched).join(wanted, list(keys), "left_semi"), stored.keys, touched)
+            target.replica.publish({target.name: made}, now.batch + 1, now.cursor, stream, now)
     return sum(r["count"] for r in by)
 
 
-__all__ = ["TRAIL_SCHEMA", "applicable", "apply_tables", "reconcile", "releasable", "replicate", "replicate_all", "stream", "typed_changes"]
+__all__ = ["AnotherTrail", "TRAIL_SCHEMA", "applicable", "apply_tables", "reasons", "reconcile", "releasable", "replicate", "replicate_all", "stream", "typed_changes"]

@@ -4,6 +4,8 @@ import pytest
 
 import __spark_entry__ as entry
 from ferryline.plans import catalog
+from ferryline.project import fresh_rows
+from ferryline.sources.tables import ParquetSource
 
 
 @pytest.mark.parametrize("name", list(catalog.QUERIES))
@@ -21,8 +23,11 @@ def test_every_twin_has_a_query():
 
 
 def test_range_filter_reaches_the_scan(spark, data):
-    plan = catalog.QUERIES["incremental_filter"](spark, data)._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThan(c_custkey,100)" in plan and "ReadSchema: struct<c_custkey:bigint,c_acctbal:double>" in plan
+    """The read that a capture filters, with the columns that it takes."""
+    rows = fresh_rows(ParquetSource(spark, data).rows("customer", ["c_custkey", "c_acctbal"]), "c_custkey", 100, 150)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(c_custkey,100)" in plan and "LessThanOrEqual(c_custkey,150)" in plan and "PushedFilters: []" not in plan
+    assert "ReadSchema: struct<c_custkey:bigint,c_acctbal:double>" in plan
 
 
 def test_top_k_is_bounded(spark, data):

@@ -3,7 +3,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from ferryline.operators import sinks
-from ferryline.operators.chunks import Chunk, plan_chunks
+from ferryline.operators.chunks import Chunk, key_bounds, plan_chunks, with_chunks
 from ferryline.plans import ledger as L
 from ferryline.sources import introspect as I
 from ferryline.sources import jdbc as J
@@ -121,3 +121,30 @@ def test_introspection_of_what_goes_with_tables():
 
 def test_smoke_test(spark, tmp_path):
     assert sinks.smoke_test(spark, str(tmp_path / "s"))
+
+
+def test_wide_keys_are_in_their_chunk(spark, tmp_path):
+    """Keys past 2**53, at both ends of each chunk: the expression and the recorded range agree."""
+    lo = 2**59 + 1
+    chunks_ = plan_chunks("t", "k", (lo, lo + 10**6), 80)
+    keys = sorted({x for c in chunks_ for x in (c.lo, c.hi - 1)})
+    df = spark.createDataFrame([(k,) for k in keys], "k bigint")
+    got = {r["k"]: r["c"] for r in df.withColumn("c", sinks.chunk_column(chunks_)).collect()}
+    assert all(c.lo <= k < c.hi for k in keys for c in chunks_ if c.chunk_id == got[k])
+    book = L.Ledger(spark, str(tmp_path / "l.json"))
+    book.plan("r", "h", {"t": chunks_})
+    done = sinks.load(book, "t", df, str(tmp_path / "t"))
+    assert sum(done.values()) == len(keys) and all(n for n in done.values()) and book.failed == 0
+    wide = spark.createDataFrame([(-(2**63),), (2**63 - 1,), (0,)], "k bigint")
+    rows = with_chunks(wide, "k", key_bounds(wide, "k"), 7).collect()
+    assert all(r["lo"] <= r["k"] and (r["hi"] is None or r["k"] < r["hi"]) for r in rows)
+
+
+@pytest.mark.parametrize("quote, name", [("`", "`id`"), ('"', '"id"')])
+def test_a_resumed_range_is_quoted_as_its_dialect_does(spark, tmp_path, quote, name):
+    book = L.Ledger(spark, str(tmp_path / "l.json"))
+    book.plan("r", "h", {"t": plan_chunks("t", "id", (1, 100), 2)})
+    again = L.Ledger.open(spark, book.path)
+    assert [c.predicate(quote) for c in again.chunks("t")] == [f"{name} >= 1 AND {name} < 51", f"{name} >= 51 AND {name} < 101"]
+    book.entries[0].predicate = "id BETWEEN 1 AND 50"
+    assert book.chunks("t")[0].predicate(quote) == "id BETWEEN 1 AND 50"

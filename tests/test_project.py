@@ -153,3 +153,26 @@ def test_unknown_settings_raise(tmp_path):
     (tmp_path / "x.toml").write_text("[other]\na = 1\n")
     with pytest.raises(ValueError):
         Config.load(str(tmp_path / "x.toml"))
+
+
+def test_two_captures_into_one_replica(project, spark):
+    """Each is applied, lags and is purged by its own cursor; a repeated batch parks nothing twice."""
+    _, p = project
+    p.config.source.keys["c"] = ["id"]
+    spark.createDataFrame([(i, "c", 0.0, i) for i in range(7)], "id bigint, name string, v double, version bigint").write.parquet(f"{p.config.source.path}/c.parquet")
+    assert p.extract("one", "version", ["a"])["captured"] == 20 and p.extract("two", "version", ["c"])["captured"] == 7
+    assert p.replicat("one", False)["a"]["cursor"] == 20
+    assert p.lag("two") == {"written": 7, "applied": 0, "behind": 7} and p.purge("two") == []
+    assert p.replicat("two", False)["c"]["cursor"] == 7 and p.lag("two")["behind"] == 0
+    assert p.replica().table("a").read().count() == 20 and p.replica().table("c").read().count() == 7
+    bad = {"op": "U", "table": "c", "key": {"id": "x"}, "after": {"id": "x"}}
+    p.trail("two").append([bad])
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr("ferryline.streaming.versions.Replica.publish", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            p.replicat("two", False)
+    p.replicat("two", False)
+    (parked,) = spark.read.json(p.dead_letters_path("two")).collect()
+    assert parked["reason"].startswith("after.id is no bigint") and parked["seq"] == 8 and p.captures()["two"]["dead_letters"] == 1
+    assert p.drop_extract("two", with_trail=True) and "two" not in p.replica().pointer().streams and "one" in p.replica().pointer().streams
+    assert p.extract("two", "version", ["c"])["captured"] == 7 and p.replicat("two", False)["c"]["cursor"] == 7
