@@ -24,7 +24,7 @@ from .sources.introspect import introspect
 from .sources.jdbc import JdbcSource
 from .sources.tables import ParquetSource
 from .sources.trail import Trail, tagged_text
-from .streaming import replicate
+from .streaming import capture, replicate
 from .streaming.versions import BUCKETS, Replica
 
 
@@ -38,6 +38,8 @@ class SourceConfig:
     user: str = ""
     password_env: str | None = None
     connect_timeout: int = 10
+    #: A folder of recorded decoding output (sources.slot): captures read it, and not the tables' version columns.
+    recording: str = ""
     #: Key columns by table; databases bring their own.
     keys: dict[str, list[str]] = field(default_factory=dict)
 
@@ -297,6 +299,32 @@ class Project:
     def trail(self, name: str) -> Trail:
         return Trail(self.spark, f"{self.config.target.path.rstrip('/')}/trail/{name}", self.config.cdc.trail_rotate_mb << 20)
 
+    def _own(self, name: str) -> dict:
+        """What is registered of a capture; a new one's, if there is none.  One that began at another source is refused."""
+        own = self.extracts().get(name) or {"tables": [], "watermarks": {}, "source": self.identity()}
+        if own.get("source", self.identity()) != self.identity():
+            raise SourceChanged(f"{name} captures {own['source']}, not {self.identity()}: drop it first")
+        return own
+
+    def extract_log(self, name: str, tables: list[str] | None = None, refresh: bool = False) -> dict:
+        """Capture what the log has, changes of every kind: peeked, written to the trail, and then consumed.
+
+        Tables without a primary key are skipped; the set is pinned as by extract.  The registry keeps the epoch of the log, so
+        that one of another server is refused.
+        """
+        own, trail = self._own(name), self.trail(name)
+        trail.heal()
+        wanted = [t for t in self.schema().tables if tables is None or t.name in tables]
+        keyed = {t.name: list(t.primary_key) for t in wanted if t.primary_key}
+        new = sorted(set(keyed) - set(own["tables"]))
+        pinned = set(own["tables"]) | (set(new) if refresh or not own["tables"] else set())
+        before = trail.last_seq()
+        state = f"{self.config.target.path.rstrip('/')}/state/capture/{name}"
+        own |= {"tables": sorted(pinned), "log": True}
+        own["epoch"] = capture.capture(self.spark, self.config.source.recording, name, trail, {n: k for n, k in keyed.items() if n in pinned}, state, own.get("epoch"))
+        self.register(self.extracts() | {name: own})
+        return {"captured": trail.last_seq() - before, "tables": own["tables"], "not_adopted": sorted(set(new) - pinned), "skipped": sorted(t.name for t in wanted if not t.primary_key)}
+
     def extract(self, name: str, version: str, tables: list[str] | None = None, refresh: bool = False) -> dict:
         """Capture rows whose version column is past the watermark (all, the first time) as updates.
 
@@ -305,10 +333,9 @@ class Project:
         The set of tables is pinned by the first run; others are only reported, unless refreshed.  The trail is
         written before the watermark moves, so that a crash between them repeats changes but loses none.
         """
-        all_, schema = self.extracts(), self.schema()
-        own = all_.get(name) or {"tables": [], "watermarks": {}, "source": self.identity()}
-        if own.get("source", self.identity()) != self.identity():
-            raise SourceChanged(f"{name} captures {own['source']}, not {self.identity()}: drop it first")
+        if self.config.source.recording:
+            return self.extract_log(name, tables, refresh)
+        all_, schema, own = self.extracts(), self.schema(), self._own(name)
         self.trail(name).heal()
         wanted = [t for t in schema.tables if (tables is None or t.name in tables) and any(c.name == version for c in t.columns)]
         new = [t.name for t in wanted if t.name not in own["tables"]]
@@ -354,12 +381,13 @@ class Project:
 
     def replicat(self, name: str, reconcile: bool | None = None) -> dict:
         """Apply a trail to versioned copies of its tables, published together; keys that the source no longer has are
-        deleted by default (a capture by version sees no deletes).
+        deleted by default where the capture is by version, which sees no deletes.
 
         Each capture has a cursor of its own in the replica.  Records that don't fit their table are parked as JSON under
         state/dead_letters with the reason, up to poison_max_per_run a batch; a batch that is repeated writes its own again.
         """
-        replica, pinned = self.replica(), self.extracts()[name]["tables"]
+        replica, own = self.replica(), self.extracts()[name]
+        pinned, reconcile = own["tables"], not own.get("log") if reconcile is None else reconcile
         self._adopt(replica, name)
         tables = {t.name: t for t in self.schema().tables if t.name in pinned and t.primary_key}
         with replica.claimed():
@@ -374,7 +402,7 @@ class Project:
             bad.select("seq", F.lit(table).alias("for_table"), "reason", record.alias("record")).write.mode("overwrite").json(f"{self.dead_letters_path(name)}/batch={batch}/of={table}")
 
         cursor = replicate.replicate_all(self.trail(name), replica, {n: t.primary_key for n, t in tables.items()}, self.config.cdc.apply_batch, name, park=park, most_parked=self.config.cdc.poison_max_per_run)
-        out = {n: {"cursor": cursor, "deleted": replicate.reconcile(replica.table(n), self.source_rows(t), t.primary_key, name) if reconcile in (None, True) else 0} for n, t in tables.items()}
+        out = {n: {"cursor": cursor, "deleted": replicate.reconcile(replica.table(n), self.source_rows(t), t.primary_key, name) if reconcile else 0} for n, t in tables.items()}
         for key, n in self.orphans(tables).items():
             out[key.split(".")[0]].setdefault("orphans", {})[key.split(".", 1)[1]] = n
         return out
