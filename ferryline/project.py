@@ -38,7 +38,8 @@ class SourceConfig:
     user: str = ""
     password_env: str | None = None
     connect_timeout: int = 10
-    #: A folder of recorded decoding output (sources.slot): captures read it, and not the tables' version columns.
+    #: A folder of recorded decoding output (sources.slot), or of binary logs (sources.binlog) where the dialect is mysql: captures
+    #: read it, and not the tables' version columns.
     recording: str = ""
     #: Key columns by table; databases bring their own.
     keys: dict[str, list[str]] = field(default_factory=dict)
@@ -321,7 +322,11 @@ class Project:
         before = trail.last_seq()
         state = f"{self.config.target.path.rstrip('/')}/state/capture/{name}"
         own |= {"tables": sorted(pinned), "log": True}
-        own["epoch"] = capture.capture(self.spark, self.config.source.recording, name, trail, {n: k for n, k in keyed.items() if n in pinned}, state, own.get("epoch"))
+        keys, log = {n: k for n, k in keyed.items() if n in pinned}, self.config.source.recording
+        if self.config.source.dialect == "mysql":
+            own["epoch"] = capture.capture_binlog(self.spark, log, trail, keys, own.get("epoch"))
+        else:
+            own["epoch"] = capture.capture(self.spark, log, name, trail, keys, state, own.get("epoch"))
         self.register(self.extracts() | {name: own})
         return {"captured": trail.last_seq() - before, "tables": own["tables"], "not_adopted": sorted(set(new) - pinned), "skipped": sorted(t.name for t in wanted if not t.primary_key)}
 

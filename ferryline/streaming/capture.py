@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.render import lsn
 from ..operators.changes import after_tail, check_epoch
 from ..operators.graph import cut
+from ..sources.binlog import BinlogSource, LogFiles
 from ..sources.decoding import decode
 from ..sources.slot import Recording, SlotSource
 from ..sources.trail import Trail, tagged_text
@@ -48,6 +49,27 @@ def append_changes(trail: Trail, changes: DataFrame) -> int:
     return trail.append_frame(records_of(kept), "ord")
 
 
+def capture_binlog(spark: SparkSession, path: str, trail: Trail, keys: dict[str, list[str]], epoch: str | None = None) -> str | None:
+    """Bring a trail up to the last finished transaction of a folder of binary logs; returns the epoch, as capture does.
+
+    The trail's last position, a file's number and an offset, is where it goes on: files before it are not opened, and what
+    a crash left of an event is completed.
+    """
+    files, found = LogFiles(path), Recording(path).identity()
+    if epoch is not None and found != epoch:
+        raise AnotherServer(f"{path} is of {found}, and the capture is of {epoch}")
+    listed, tail = files.listed(), trail_tail(trail)
+    if listed:
+        number, name = listed[-1]
+        check_epoch(tail, (number << 48) | files.files.get_file_info(name).size)
+    spark.dataSource.register(BinlogSource)
+    read = spark.read.format("ferryline_binlog").option("path", path).option("keys", json.dumps(keys))
+    if tail is not None:
+        read = read.option("file", tail[0] >> 48).option("position", (tail[0] & (1 << 48) - 1) - 1)
+    append_changes(trail, read.load())
+    return found
+
+
 def capture(spark: SparkSession, path: str, slot: str, trail: Trail, keys: dict[str, list[str]], checkpoint: str, epoch: str | None = None) -> str | None:
     """Bring a trail up to the end of a recording; returns the epoch, which later runs pass in.
 
