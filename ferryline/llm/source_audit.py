@@ -84,14 +84,21 @@ def _share(count: Column, total: Column, kept: Column) -> Column:
     return F.call_function("div", top, whole(total + PRIOR * kept, 20)).cast("bigint") + 1
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """A table in the shared folder, which several later steps read."""
+    df.write.parquet(path := shared_path(df.sparkSession, label))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def wide_terms(counts: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
     """(langs, terms) from (lang, source, term, n, docs): for each language its sources in order, their totals, its own total
     and how many terms it keeps; for each kept term its counts by source, in that order, and its shares.
 
     The row of a language reaches its terms by a join that is salted, as one language may have most of them.
     """
-    groups = counts.groupBy("lang").agg(F.array_sort(F.collect_set("source")).alias("sources"))
-    kept = counts.filter("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("found")).filter(F.col("docs") >= least_docs)
+    groups = counts.filter("term IS NULL").groupBy("lang").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    found = counts.filter("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("found")).filter(F.col("docs") >= least_docs)
+    kept = written(found.drop("docs"), "kept")
     totals = kept.select("lang", F.explode("found").alias("x")).groupBy("lang", "x.source").agg(F.sum("x.n").alias("n"))
     totals = totals.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("of"), F.sum("n").alias("total"))
     langs = groups.join(totals, "lang", "left").join(kept.groupBy("lang").agg(F.count("*").alias("kept")), "lang", "left")
@@ -138,16 +145,13 @@ def source_audit(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     counts, repeated ones too; an empty table gives an empty result; other columns are not read.  What tasks have counted
     is summed and written to the shared folder.
     """
-    spark = df.sparkSession
     lang, source = (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (lang_col, source_col))
     own = df.select(F.lit(0).alias("i"), F.col(f"`{text_col}`").alias("t"), lang.alias("lang"), source.alias("source"))
     docs = text_only(own, "i", "t", "lang", "source").drop("id")
     rows = docs.mapInArrow(_count, "lang string, source string, term string, n bigint, docs bigint")
-    rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).write.parquet(path := shared_path(spark, "terms"))
-    langs, terms = wide_terms(spark.read.schema("lang string, source string, term string, n bigint, docs bigint").parquet(path), least_docs)
-    langs.write.parquet(langs_path := shared_path(spark, "langs"))
-    terms.write.parquet(terms_path := shared_path(spark, "wide"))
-    langs, terms = spark.read.parquet(langs_path), spark.read.parquet(terms_path)
+    counts = written(rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "terms")
+    langs, terms = wide_terms(counts, least_docs)
+    langs, terms = written(langs, "langs"), written(terms, "wide")
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
     ranked = lambda part, x: x.withColumn("part", F.lit(part)).withColumn("rank", F.row_number().over(order))
     both = ranked("pair", pair_distances(langs, terms)).unionByName(ranked("term", leading_terms(terms)).filter(F.col("rank") <= top))
