@@ -76,8 +76,9 @@ def create_index(table: Table, index: Index, preserve_case: bool = False, dialec
     if index.unique and index.columns == table.primary_key:
         return None
     name = lambda x: ident(x, preserve_case, dialect)
+    part = lambda c: f"({c})" if c in index.expressions else name(c)
     where = f" WHERE {index.condition}" if index.condition and dialect == "postgres" else ""
-    return f"CREATE {'UNIQUE ' if index.unique else ''}INDEX {name(as_name or index.name)} ON {name(table.name)} ({', '.join(map(name, index.columns))}){where}" + (";" if dialect == "postgres" else "")
+    return f"CREATE {'UNIQUE ' if index.unique else ''}INDEX {name(as_name or index.name)} ON {name(table.name)} ({', '.join(map(part, index.columns))}){where}" + (";" if dialect == "postgres" else "")
 
 
 def _key_name(table: Table, fk: ForeignKey, preserve_case: bool, dialect: str) -> str:

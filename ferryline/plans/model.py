@@ -32,6 +32,8 @@ class Index:
     columns: tuple[str, ...]
     unique: bool = False
     condition: str | None = None
+    #: Which of the columns are expressions.
+    expressions: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)

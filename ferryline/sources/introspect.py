@@ -30,7 +30,7 @@ def _column(r: dict, dialect: str) -> Column:
 
 
 def _index(name: str, rows: list[dict]) -> Index:
-    return Index(name, tuple(r["column_name"] for r in rows), _yes(rows[0].get("is_unique", 0)), rows[0].get("condition"))
+    return Index(name, tuple(r["column_name"] for r in rows), _yes(rows[0].get("is_unique", 0)), rows[0].get("condition"), tuple(r["column_name"] for r in rows if _yes(r.get("is_expression", 0))))
 
 
 def build_schema(

@@ -11,6 +11,7 @@ import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.idents import quoted
 from ..operators.chunks import Chunk
@@ -88,8 +89,8 @@ CATALOGUE["oracle"] |= {
   WHERE owner = {schema} AND constraint_type = 'C' AND generated = 'USER NAME' ORDER BY 1, 2""",
     "partitions": """SELECT t.table_name, t.partitioning_type AS strategy, k.column_name, k.column_position AS ordinal_position FROM all_part_tables t
   JOIN all_part_key_columns k ON k.owner = t.owner AND k.name = t.table_name WHERE t.owner = {schema} ORDER BY 1, 4""",
-    "routines": """SELECT name AS routine_name, type AS routine_kind, LISTAGG(text) WITHIN GROUP (ORDER BY line) AS body FROM all_source
-  WHERE owner = {schema} AND type IN ('PROCEDURE', 'FUNCTION', 'PACKAGE BODY') GROUP BY name, type""",
+    "routines": """SELECT name AS routine_name, type AS routine_kind, line, text AS body FROM all_source
+  WHERE owner = {schema} AND type IN ('PROCEDURE', 'FUNCTION', 'PACKAGE BODY')""",
     "triggers": """SELECT trigger_name, table_name, trigger_type AS timing, triggering_event AS events, trigger_body AS body FROM all_triggers
   WHERE owner = {schema} AND base_object_type = 'TABLE'""",
     "materialized_views": "SELECT mview_name AS view_name, query AS definition FROM all_mviews WHERE owner = {schema}",
@@ -107,9 +108,10 @@ CATALOGUE["mysql"] |= {
   FROM information_schema.triggers WHERE trigger_schema = {schema}""",
 }
 CATALOGUE["postgres"] |= {
-    "indexes": """SELECT t.relname AS table_name, x.relname AS index_name, a.attname AS column_name, k.n AS ordinal_position, CASE WHEN i.indisunique THEN 1 ELSE 0 END AS is_unique,
+    "indexes": """SELECT t.relname AS table_name, x.relname AS index_name, COALESCE(a.attname, pg_get_indexdef(i.indexrelid, k.n::int, true)) AS column_name, k.n AS ordinal_position,
+  CASE WHEN k.att = 0 THEN 1 ELSE 0 END AS is_expression, CASE WHEN i.indisunique THEN 1 ELSE 0 END AS is_unique,
   pg_get_expr(i.indpred, i.indrelid) AS condition FROM pg_index i JOIN pg_class t ON t.oid = i.indrelid JOIN pg_class x ON x.oid = i.indexrelid
-  CROSS JOIN LATERAL unnest(i.indkey) WITH ORDINALITY AS k(att, n) JOIN pg_attribute a ON a.attrelid = t.oid AND a.attnum = k.att
+  CROSS JOIN LATERAL unnest(i.indkey) WITH ORDINALITY AS k(att, n) LEFT JOIN pg_attribute a ON a.attrelid = t.oid AND a.attnum = k.att AND k.att <> 0
   WHERE t.relnamespace::regnamespace::text = {schema} AND NOT i.indisprimary AND k.n <= i.indnkeyatts ORDER BY 1, 2, 4""",
     "checks": """SELECT conrelid::regclass::text AS table_name, conname AS constraint_name, pg_get_expr(conbin, conrelid) AS expression FROM pg_constraint
   WHERE contype = 'c' AND conrelid <> 0 AND connamespace::regnamespace::text = {schema} ORDER BY 1, 2""",
@@ -183,6 +185,14 @@ def select_text(dialect: str, table: str, columns: list[str], schema: str | None
     return f"SELECT {', '.join(map(q, columns))} FROM {name}{at}" + (f" WHERE {predicate}" if predicate else "")
 
 
+def joined_lines(rows: DataFrame) -> DataFrame:
+    """Sources that a catalogue keeps line by line, put together in the lines' order; a database's own aggregate has a limit."""
+    rows = rows.toDF(*[c.lower() for c in rows.columns])
+    by = [c for c in rows.columns if c not in ("line", "body")]
+    lines = F.array_sort(F.collect_list(F.struct(F.col("line").cast("bigint").alias("line"), "body")))
+    return rows.groupBy(*by).agg(F.array_join(F.transform(lines, lambda x: x["body"]), "").alias("body"))
+
+
 @dataclass
 class JdbcSource:
     """A database; ``options`` go to Spark's JDBC reader (user, password, fetchsize, timeouts ...)."""
@@ -224,7 +234,8 @@ class JdbcSource:
         return str(self.query(CURRENT_SNAPSHOT[self.dialect]).first()[0]) if self.dialect in CURRENT_SNAPSHOT else None
 
     def catalogue(self, what: str) -> DataFrame:
-        return self.query(CATALOGUE[self.dialect][what].replace("{schema}", literal(self.schema or "")))
+        found = self.query(CATALOGUE[self.dialect][what].replace("{schema}", literal(self.schema or "")))
+        return joined_lines(found) if "line" in {c.lower() for c in found.columns} else found
 
     def schemas(self) -> list[str]:
         own = {x.lower() for x in SYSTEM_SCHEMAS[self.dialect]}

@@ -1,3 +1,5 @@
+import threading
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -148,3 +150,87 @@ def test_a_resumed_range_is_quoted_as_its_dialect_does(spark, tmp_path, quote, n
     assert [c.predicate(quote) for c in again.chunks("t")] == [f"{name} >= 1 AND {name} < 51", f"{name} >= 51 AND {name} < 101"]
     book.entries[0].predicate = "id BETWEEN 1 AND 50"
     assert book.chunks("t")[0].predicate(quote) == "id BETWEEN 1 AND 50"
+
+
+# ---- the ledger as an event log ------------------------------------------------------------
+
+
+def planned(spark, tmp_path, n=40):
+    book = L.Ledger.open(spark, str(tmp_path / "l.json"))
+    book.plan("r", "h", {"t": plan_chunks("t", "k", (0, 9999), n)})
+    return book
+
+
+def events(tmp_path):
+    return sorted(x.name for x in (tmp_path / "l.json.events").glob("*.json")) if (tmp_path / "l.json.events").exists() else []
+
+
+def test_a_mark_writes_one_event(spark, tmp_path):
+    book = planned(spark, tmp_path)
+    before = (tmp_path / "l.json").read_bytes()
+    book.mark(["t:3"], L.LOADED, {"t:3": 7})
+    assert len(events(tmp_path)) == 1 and (tmp_path / "l.json").read_bytes() == before
+    assert (tmp_path / "l.json.events" / events(tmp_path)[0]).stat().st_size < 200
+    (e,) = (e for e in L.Ledger.open(spark, book.path).entries if e.state == L.LOADED)
+    assert (e.chunk_id, e.rows) == ("t:3", 7)
+
+
+def test_writers_do_not_lose_each_others_marks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(L, "FOLD_AT", 7)
+    planned(spark, tmp_path)
+    writers = [L.Ledger.open(spark, str(tmp_path / "l.json")) for _ in range(4)]
+
+    def work(w):
+        for i in range(w, 40, 4):
+            writers[w].mark([f"t:{i}"], L.IN_PROGRESS)
+            writers[w].mark([f"t:{i}"], L.LOADED, {f"t:{i}": i})
+
+    threads = [threading.Thread(target=work, args=(w,)) for w in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    found = L.Ledger.open(spark, str(tmp_path / "l.json"))
+    assert found.failed == 0 and sum(e.rows for e in found.entries) == sum(range(40)) and len(events(tmp_path)) < 14
+    writers[0].refresh()
+    assert writers[0].failed == 0
+
+
+@pytest.mark.parametrize("when", ["next written", "old removed", "events left"])
+def test_a_crash_while_folding_is_recovered(spark, tmp_path, when):
+    book = planned(spark, tmp_path)
+    book.mark(["t:1"], L.LOADED, {"t:1": 5})
+    book.mark(["t:2"], L.FAILED, error="no")
+    at = tmp_path / "l.json"
+    kept = {n: (at.parent / "l.json.events" / n).read_bytes() for n in events(tmp_path)}
+    old = at.read_bytes()
+    book.save()
+    assert events(tmp_path) == []
+    for n, data in kept.items():  # the events are still there in each case
+        (at.parent / "l.json.events" / n).write_bytes(data)
+    if when != "events left":
+        (at.parent / "l.json.next").write_bytes(at.read_bytes())
+        (at.parent / ".l.json.crc").unlink(missing_ok=True)
+        at.write_bytes(old) if when == "next written" else at.unlink()
+    again = L.Ledger.open(spark, book.path)
+    state = {e.chunk_id: (e.state, e.rows, e.error) for e in again.entries if e.state != L.PENDING}
+    assert state == {"t:1": (L.LOADED, 5, None), "t:2": (L.FAILED, 0, "no")}
+    again.mark(["t:2"], L.LOADED, {"t:2": 1})
+    again.save()
+    assert events(tmp_path) == [] and {e.chunk_id for e in L.Ledger.open(spark, book.path).entries if e.state == L.LOADED} == {"t:1", "t:2"}
+
+
+def test_sources_kept_by_line_are_joined(spark):
+    rows = [("P", "PROCEDURE", i, f"line {i};\n" + "x" * 50) for i in range(200, 0, -1)] + [("F", "FUNCTION", 1, "one")]
+    got = {r["routine_name"]: r["body"] for r in J.joined_lines(spark.createDataFrame(rows, "ROUTINE_NAME string, ROUTINE_KIND string, LINE int, BODY string")).collect()}
+    assert got["F"] == "one" and got["P"] == "".join(f"line {i};\n" + "x" * 50 for i in range(1, 201)) and len(got["P"]) > 4000
+    assert "LISTAGG" not in J.CATALOGUE["oracle"]["routines"]
+
+
+def test_an_expression_stays_in_its_index():
+    from ferryline.plans import ddl
+
+    columns = [{"table_name": "t", "column_name": c, "ordinal_position": i, "data_type": "text"} for i, c in enumerate(("email", "tenant"))]
+    rows = [{"table_name": "t", "index_name": "u", "column_name": "lower(email)", "ordinal_position": 1, "is_expression": 1, "is_unique": 1}, {"table_name": "t", "index_name": "u", "column_name": "tenant", "ordinal_position": 2, "is_expression": 0, "is_unique": 1}]
+    (table,) = I.build_schema("public", "postgres", columns, indexes=rows).tables
+    assert ddl.create_index(table, table.indexes[0]) == "CREATE UNIQUE INDEX u ON t ((lower(email)), tenant);"
