@@ -256,7 +256,11 @@ def benchmark_hits(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
 
 
 def decontaminate(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The input's rows, all columns, that the contamination rule (a twentieth of the words hit) leaves."""
+    """The input's rows, all columns, that the contamination rule (a twentieth of the words hit) leaves.
+
+    Null and empty text has no words and stays; repeated rows stay or go together; an empty table gives an empty result, and an
+    empty benchmark leaves all rows.
+    """
     bad_id, bad_text = unlike("bad_id", df), unlike("bad_text", df)
     bad = benchmark_hits(df, bench, id_col, text_col, **options).filter("contaminated").select(F.col(id_col).alias(bad_id), F.col("text_hash").alias(bad_text)).distinct()
     same = F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col(bad_id)) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(bad_text))

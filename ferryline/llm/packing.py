@@ -259,9 +259,9 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: Pieces and gaps to a partition of a sweep; short pieces to a gap from which on they are glued.
 ROWS, GLUE = 1 << 17, 16
-#: What is left is laid end to end in sequences of its own once rounds place less than an eighth of it and it is no more
-#: than this part of all tokens, or after so many rounds.
-REST, ROUNDS = 256, 40
+#: What is left is laid end to end in sequences of its own once a round places less than an eighth of it and it is no more
+#: than this part of all tokens; how many such rounds in a row, with more left, open sequences for all of it.
+REST, SLOW = 256, 3
 #: Numbers from here on are bundles.
 _BUNDLE = 1 << 60
 _SWEPT = "uid bigint, seq bigint, length bigint, gap bigint, part int, rank bigint"
@@ -355,6 +355,11 @@ def pack(pieces: DataFrame, capacity: int = 4096, rows: int = ROWS) -> DataFrame
 
     Lengths are 1 to ``capacity``.  ``rows`` is how many pieces and gaps a partition of a round sweeps.  What reaches
     the driver in a round is two counts a partition and a row of totals.
+
+    Rounds go on until nothing is left, however many it takes.  One that places nothing, and the third in a row that places less
+    than an eighth of the pieces, is followed by one with sequences enough for all tokens that are left, which takes a
+    piece into each.  The one exception to best fit is small by tokens: what a slow round leaves is laid end to end if
+    it is no more than a 256th of them.
     """
     spark, columns, uid = pieces.sparkSession, pieces.columns, unlike("uid", pieces)
     pieces = checkpointed(pieces.withColumn(uid, F.monotonically_increasing_id()))
@@ -365,13 +370,12 @@ def pack(pieces: DataFrame, capacity: int = 4096, rows: int = ROWS) -> DataFrame
     n_left, total = n_pieces, tokens or 0
     items = left.select("uid", none.alias("seq"), F.col("length").alias("size"))
     n_gaps = room = opened = 0
-    least, slow, stuck, placed, bundles = 1, False, False, [], []
+    least, slow, turn, placed, bundles = 1, 0, 0, [], []
+    stuck = False
     parts = lambda n: max(1, -(-n // rows))
-    for turn in range(ROUNDS + 2):
-        if not n_left:
-            break
+    while n_left:
         new = max(0, -(-(tokens - room) // capacity), -(-tokens // capacity) if stuck else 0)
-        last = turn >= ROUNDS or slow and tokens * REST <= total
+        last = slow > 0 and tokens * REST <= total
         if last or (turn and n_left > GLUE * (n_gaps + new)):
             ordered = left.repartitionByRange(parts(n_left), F.col("length").desc(), "uid").sortWithinPartitions(F.col("length").desc(), "uid")
             glued = checkpointed(ordered.mapInArrow(_glue(capacity if last else capacity // 8, _BUNDLE + (len(bundles) << 54)), "uid bigint, bundle bigint, inner bigint, length bigint"))
@@ -391,7 +395,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, rows: int = ROWS) -> DataFrame
         before = n_left
         piece, gap = F.when(waits, F.col("length")), F.when(~waits & (rest >= least), rest)
         n_left, tokens, shortest, n_gaps, room = (x or 0 for x in state.agg(F.count(piece), F.sum(piece), F.min(piece), F.count(gap), F.sum(gap)).first())
-        least, slow, stuck = max(least, shortest), 8 * n_left > 7 * before, n_left == before
+        least, slow, turn = max(least, shortest), slow + 1 if 8 * n_left > 7 * before else 0, turn + 1
+        stuck = n_left == before or slow >= SLOW
     where = reduce(DataFrame.union, placed).coalesce(parts(n_pieces)) if placed else spark.createDataFrame([], "uid bigint, seq bigint, offset bigint")
     for glued in reversed(bundles):
         inside = glued.join(where.withColumnRenamed("uid", "bundle"), "bundle").select("uid", "seq", (F.col("offset") + F.col("inner")).alias("offset"))
@@ -404,7 +409,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Tokenise and pack every row: one row for each piece.
 
     Columns: the id (bigint), piece (from 0), start, length, ids_crc32, (ids, if ``with_ids``), sequence_id
-    and offset.  Null or empty text is one piece that holds the end token alone.  Each row is a document,
+    and offset.  See pack for when a small rest is laid end to end.  Null or empty text is one piece that holds the end token alone.  Each row is a document,
     repeated rows and ids too; an empty table gives an empty result; other columns are not read.
     """
     out = pack(token_pieces(df, id_col, text_col, **options), options.get("capacity", 4096))

@@ -202,7 +202,11 @@ def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The input's rows, all columns, that are predicted good; rows with one id are judged by the best of them."""
+    """The input's rows, all columns, that are predicted good; rows with one id are judged by the best of them.
+
+    Null text counts as empty and is scored; repeated rows stay or go together; an empty table gives an empty result, and without
+    labels of both classes every score is 0.5, which the threshold judges like any other.
+    """
     name = unlike("good_id", df)
     good = quality_scores(df, labels, id_col, text_col, **options).filter("predicted = 1").select(F.col(id_col).alias(name)).distinct()
     return df.join(good, F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col(name)), "left_semi")

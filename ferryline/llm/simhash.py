@@ -213,6 +213,36 @@ def _labelled(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, Da
     return prints, checkpointed(rooted.join(least, "root").select("fp", "root", "component_id"))
 
 
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+    """One row of each component, all columns: that with the smallest id, then the smallest text hash; of rows equal in both
+    the one whose other columns come first as JSON text.
+
+    A null id only stays if its component has no other.  Null text counts as empty, and has fingerprint zero like any text
+    without words; an empty table gives an empty result; other columns may have any names.
+    """
+    prints, labels = _labelled(text_only(df, id_col, text_col), shingle, radius)
+    out = prints.join(labels, "fp")
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _labelled(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(id, th, fp) by row, and (fp, root, component_id) by fingerprint; th is the text's hash."""
+    prints = checkpointed(docs.withColumn("th", F.xxhash64("text")).mapInArrow(_prints(shingle), "id bigint, th bigint, fp bigint"))
+    reps = checkpointed(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    masks = tables(reps.count(), radius)
+    entries = reps.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])).alias("e")).select("e.t", "e.key", "fp")
+    sizes = entries.groupBy("t", "key").count().filter("count > 1")
+    placed = entries.join(sizes, ["t", "key"]).withColumn("n", F.ceil(F.col("count") / TILE).cast("int"))
+    placed = placed.withColumn("c", F.pmod(F.xxhash64("fp", F.lit("tile")), F.col("n")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    placed = placed.withColumn("i", F.least("c", "x")).withColumn("j", F.greatest("c", "x"))
+    first = F.col("c") == F.col("i")
+    tiles = placed.groupBy("t", "key", "i", "j").agg(F.collect_list(F.when(first, F.col("fp"))).alias("a"), F.collect_list(F.when(~first, F.col("fp"))).alias("b")).select("a", "b")
+    stars = components(tiles.mapInArrow(_tiles(radius), "u bigint, v bigint"))
+    rooted = reps.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints, checkpointed(rooted.join(least, "root").select("fp", "root", "component_id"))
+
+
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """One row of each component, all columns: that with the smallest id (then the smallest text hash); a null
     id only stays if its component has no other."""
@@ -223,7 +253,13 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     same = F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col(first_id)) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(first_th))
     out = df.join(firsts, same, "left_semi")
     twice = prints.groupBy("id", "th").count().filter("count > 1").limit(1).count()
-    return out.dropDuplicates([id_col, text_col]) if twice else out
+    if not twice:
+        return out
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in (id_col, text_col)]
+    order = F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}) if rest else F.lit(0)
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    firsts = out.groupBy(F.col(f"`{id_col}`").alias("k0"), F.col(f"`{text_col}`").alias("k1")).agg(F.min_by(row, order).alias("r"))
+    return firsts.select(*[F.col("r").getField(c).alias(c) for c in df.columns])
 
 
 def op1_query(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Source audit, URL filter and fill-in-middle against plain versions, over awkward rows and random small tables."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -225,3 +226,36 @@ def test_urlsplit_agrees_on_plain_urls():
         if u and "://" in u and "\n" not in u and u != "://" and "a://b" not in u and u.isascii():
             s = urlsplit(u)
             assert plain_judge(u, set(), ())[:2] == (s.netloc.lower(), s.path)
+
+
+# ---- ties of the near-duplicate stage, rounds of packing -----------------------------------
+
+
+def test_of_equal_rows_the_same_one_stays(spark):
+    from ferryline.llm import simhash
+
+    rows = [(1, "a b c d", "z", 1), (1, "a b c d", "b", None), (1, "a b c d", "b", 2), (2, "a b c d", "a", 0)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, source string, n int").repartition(3)
+        assert [tuple(r) for r in simhash.near_dedup(df).collect()] == [(1, "a b c d", "b", 2)]
+
+
+def test_slow_rounds_do_not_end_best_fit(spark):
+    """Pieces of which only few match in a round: no more sequences than one by one would take, but for a small rest."""
+    from ferryline.llm import packing
+
+    lengths = [2049 + i % 7 for i in range(300)] + [1024 - i % 5 for i in range(600)] + [3 + i % 3 for i in range(200)]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "id long, length long")
+    got = packing.pack(df, 4096, rows=64).collect()
+    assert sorted((r["id"], r["length"]) for r in got) == list(enumerate(lengths))
+    at = defaultdict(list)
+    for r in got:
+        at[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in at.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 4096
+    gaps: list[int] = []  # one by one: each piece into the smallest gap that takes it
+    for n in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(gaps, n)
+        bisect.insort(gaps, (gaps.pop(k) if k < len(gaps) else 4096) - n)
+    assert len(at) <= len(gaps) * 1.02

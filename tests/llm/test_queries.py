@@ -13,6 +13,16 @@ from ferryline.llm import catalog, quality
 from .test_operators import plain_components, plain_hits, plain_lines
 
 
+#: The columns that the queries without SQL have to return first.
+COLUMNS = {
+    "op1_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op3_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+    "op4_secret_scan": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+    "op6_vector_search": "query_id bigint, rank int, vec_id bigint, score double",
+    "op8_quality": "doc_id bigint, held_out boolean, score double, predicted int",
+}
+
+
 @pytest.mark.parametrize("name", list(catalog.SQL))
 def test_query_matches_its_twin(name, spark, data, same):
     same(catalog.QUERIES[name](spark, data), catalog.SQL[name])
@@ -21,6 +31,7 @@ def test_query_matches_its_twin(name, spark, data, same):
 @pytest.mark.parametrize("name", [x for x in catalog.QUERIES if x not in catalog.SQL])
 def test_query_gives_its_columns(name, spark, data):
     df = catalog.QUERIES[name](spark, data)
+    assert df.dtypes[: len(COLUMNS[name].split(", "))] == [tuple(c.split(" ")) for c in COLUMNS[name].split(", ")]
     n = df.count()
     assert n == {"op6_vector_search": 500, "op3_packing": n}.get(name, 200) and n >= 200
 
