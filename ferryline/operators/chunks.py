@@ -16,13 +16,15 @@ def key_bounds(df: DataFrame, key: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Chunk:
-    """A half-open key range [lo, hi), or the whole table; a recorded predicate is used as it stands."""
+    """A half-open key range [lo, hi), or the whole table; a recorded predicate is used as it stands.  ``estimate`` is how many
+    rows it may have."""
 
     chunk_id: str
     key: str | None = None
     lo: int | None = None
     hi: int | None = None
     recorded: str | None = None
+    estimate: int | None = None
 
     def predicate(self, quote: str = '"') -> str | None:
         if self.recorded is not None:
@@ -62,6 +64,24 @@ def plan_chunks(table: str, key: str | None, bounds: tuple[int, int] | None, wan
     return [Chunk(f"{table}:{n}", key, a, min(a + step, hi + 1)) for n, a in enumerate(range(lo, hi + 1, step))]
 
 
+def even_chunks(df: DataFrame, table: str, key: str, wanted: int, accuracy: int = 100) -> list[Chunk]:
+    """About ``wanted`` ranges of about equal numbers of rows, however the keys cluster, each with an estimate of its rows.
+
+    The cuts are quantiles from a mergeable sketch of the key, which is read alone; their error is a ``wanted * accuracy``-th of
+    all rows.  A key that many rows have can't be cut: its range has them all.  Without rows there is one whole-table chunk.
+    """
+    k = F.floor(F.col(f"`{key}`")).cast("bigint")
+    shares = [i / wanted for i in range(1, wanted)] or [0.5]
+    n, lo, hi, cuts = df.agg(F.count(k), F.min(k), F.max(k), F.percentile_approx(k, shares, wanted * accuracy)).first()
+    if not n or wanted <= 1:
+        return [Chunk(f"{table}:0", estimate=n or 0)]
+    lows = sorted({lo, *(c + 1 for c in cuts if c < hi)})
+    ends = [*lows[1:], hi + 1]
+    below = lambda x: sum(c < x for c in cuts) / wanted
+    share = [(below(b) if b <= hi else 1) - (below(a) if a > lo else 0) for a, b in zip(lows, ends)]
+    return [Chunk(f"{table}:{i}", key, a, b, None, round(n * x)) for i, (a, b, x) in enumerate(zip(lows, ends, share))]
+
+
 def with_chunks(df: DataFrame, key: str, bounds: DataFrame, wanted: int) -> DataFrame:
     """Rows with chunk_no and the chunk's lo and hi (null past the largest long), from the table's own bounds (one row, a
     scalar subquery)."""

@@ -59,6 +59,10 @@ def chunk_column(chunks: list[Chunk]):
         return F.lit(chunks[0].chunk_id)
     lo, step = chunks[0].lo, chunks[0].hi - chunks[0].lo
     table = chunks[0].chunk_id.rsplit(":", 1)[0]
+    if any(c.lo != lo + i * step for i, c in enumerate(chunks)):  # ranges of several widths
+        lows = F.array(*[F.lit(c.lo).cast("bigint") for c in chunks])
+        below = F.size(F.filter(lows, lambda x: x <= F.col(f"`{chunks[0].key}`"))) - 1
+        return F.concat(F.lit(f"{table}:"), below.cast("string"))
     return F.concat(F.lit(f"{table}:"), chunk_number(F.col(f"`{chunks[0].key}`"), lo, step).cast("string"))
 
 
@@ -95,6 +99,58 @@ def load(ledger: Ledger, table: str, source: DataFrame | Callable[[list[Chunk]],
     return (done, errors) if keep_going else done
 
 
+#: Schemes of stores in which a rename copies, and is seen half done.
+OBJECT_STORES = ("s3", "s3a", "s3n", "gs", "oss", "cos", "wasb", "wasbs", "swift")
+
+
+def probe(spark: SparkSession, path: str) -> dict:
+    """What the target can do, tried on it: whether a rename is one step and takes the place of a file, whether a file is
+    created by one writer only, whether an empty string stays apart from NULL; and what kind of store it is.
+
+    ``atomic`` says whether several tables can be published as one.
+    """
+    jvm = spark._jvm
+    at, root = jvm.org.apache.hadoop.fs.Path, f"{path.rstrip('/')}/probe-{uuid.uuid4().hex[:12]}"
+    fs = at(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    scheme = str(fs.getUri().getScheme())
+
+    def put(name: str, text: str) -> None:
+        stream = fs.create(at(f"{root}/{name}"), True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
+    def renames() -> bool:
+        put("a", "one")
+        return bool(fs.rename(at(f"{root}/a"), at(f"{root}/b"))) and not fs.exists(at(f"{root}/a")) and fs.getFileStatus(at(f"{root}/b")).getLen() == 3
+
+    def replaces() -> bool:
+        put("c", "three")
+        over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(at(f"{root}/c"), at(f"{root}/b"), over)
+        return fs.getFileStatus(at(f"{root}/b")).getLen() == 5
+
+    def one_writer() -> bool:
+        fs.create(at(f"{root}/lock"), False).close()
+        try:
+            fs.create(at(f"{root}/lock"), False).close()
+        except Exception:  # noqa: BLE001 - the second writer is to be refused
+            return True
+        return False
+
+    out: dict = {"store": "objects" if scheme in OBJECT_STORES else scheme, "spark": spark.version}
+    try:
+        for name, trial in (("renames", renames), ("replaces", replaces), ("one_writer", one_writer), ("empty_is_not_null", lambda: smoke_test(spark, f"{root}/rows"))):
+            try:
+                out[name] = trial()
+            except Exception:  # noqa: BLE001 - what can't be done is what is asked
+                out[name] = False
+    finally:
+        fs.delete(at(root), True)
+    out["atomic"] = out["renames"] and out["one_writer"] and out["store"] != "objects"
+    return out
+
+
 def smoke_test(spark: SparkSession, path: str) -> bool:
     """Whether a round trip keeps an empty string apart from NULL."""
     spark.createDataFrame([(1, ""), (2, None)], "id int, v string").write.mode("overwrite").parquet(path)

@@ -45,9 +45,11 @@ class Entry:
     state: str = PENDING
     rows: int = 0
     error: str | None = None
+    #: How many rows it may have, as planned.
+    estimate: int | None = None
 
     def chunk(self) -> Chunk:
-        plain = Chunk(self.chunk_id, self.key, self.lo, self.hi)
+        plain = Chunk(self.chunk_id, self.key, self.lo, self.hi, None, self.estimate)
         return plain if plain.predicate() == self.predicate else replace(plain, recorded=self.predicate)
 
 
@@ -252,7 +254,7 @@ class Ledger:
             return
         begun = {e.table_name for e in self.entries if e.state != PENDING} if self.run == run else set()
         kept = [e for e in self.entries if e.table_name in begun]
-        fresh = [Entry(t, c.chunk_id, c.predicate(), c.key, c.lo, c.hi) for t, cs in tables.items() if t not in begun for c in cs]
+        fresh = [Entry(t, c.chunk_id, c.predicate(), c.key, c.lo, c.hi, estimate=c.estimate) for t, cs in tables.items() if t not in begun for c in cs]
         self.run, self.config_hash, self.entries, self.planned = run, config_hash, kept + fresh, True
         self.recover()
 
@@ -282,7 +284,7 @@ class Ledger:
 
     def frame(self) -> DataFrame:
         schema = "table_name string, chunk_id string, state string, planned bigint"
-        return self.spark.createDataFrame([(e.table_name, e.chunk_id, e.state, e.rows) for e in self.entries], schema)
+        return self.spark.createDataFrame([(e.table_name, e.chunk_id, e.state, e.rows if e.state in (LOADED, VERIFIED) else e.rows or e.estimate or 0) for e in self.entries], schema)
 
     @property
     def failed(self) -> int:

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from .functions.types import Kind, TypeRegistry
 from .operators import compare, sinks
-from .operators.chunks import plan_chunks
+from .operators.chunks import even_chunks, plan_chunks
 from .plans import ddl, ledger
 from .plans.assess import Report, assess, review_file
 from .plans.model import Column, Schema, Table
@@ -59,6 +59,8 @@ class Options:
     sample_rows: int = 1000
     test_data_max_errors: int = 10
     scale: int | None = None
+    #: Chunks of about equal numbers of rows (the key is read once more), not of equal ranges.
+    even_chunks: bool = False
 
 
 @dataclass
@@ -67,8 +69,10 @@ class CdcConfig:
     apply_batch: int = 10_000
     poison_max_per_run: int = 25
     trail_rotate_mb: int = 256
-    #: Buckets of a replicated table; a batch rewrites those it touches.
+    #: Buckets of a replicated table, unless its first load needs more.
     replica_buckets: int = BUCKETS
+    #: Whole transactions: off never; auto and on where the target publishes several tables as one.
+    txn_apply: str = "auto"
 
 
 @dataclass
@@ -152,7 +156,12 @@ class Project:
     def source_rows(self, t: Table, chunks=None, snapshot: str | None = None) -> DataFrame:
         """A table's rows; from a database, one partition for each chunk, at the moment of the snapshot."""
         src, columns = self.source(), [c.name for c in t.columns]
-        return src.rows(t.name, columns, chunks, snapshot) if isinstance(src, JdbcSource) else src.rows(t.name, columns)
+        return src.rows(t.name, columns, chunks, snapshot) if isinstance(src, JdbcSource) else src.rows(t.name, columns, snapshot=snapshot)
+
+    def moment(self, t: Table):
+        """What pins a table's rows, so that reading it twice finds the same: a moment, or a list of files."""
+        src = self.source()
+        return src.snapshot() if isinstance(src, JdbcSource) else src.snapshot(t.name)
 
     def target_path(self, name: str) -> str:
         return f"{self.config.target.path.rstrip('/')}/{name}.parquet"
@@ -195,6 +204,9 @@ class Project:
         keys = {t.name: t.primary_key[0] if len(t.primary_key) == 1 else None for t in schema.tables}
         bounds = {t.name: src.bounds(t.name, keys[t.name]) if keys[t.name] else None for t in schema.tables}
         plan = {t.name: plan_chunks(t.name, keys[t.name] if bounds[t.name] else None, bounds[t.name], o.parallelism * o.chunks_per_worker) for t in schema.tables}
+        if o.even_chunks:
+            even = lambda n: even_chunks(src.rows(n, [keys[n]]), n, keys[n], o.parallelism * o.chunks_per_worker)
+            plan |= {n: even(n) for n, c in plan.items() if c[0].key}
         book = self.ledger()
         book.plan(ledger.run_id(self.config.source.path or self.config.source.address, self.config.target.path), ledger.drift_hash(asdict(self.config)), plan, {k: keys[k] if plan[k][0].key else None for k in plan})
         before, after, gaps = ddl.scripts(schema, self.registry, o.preserve_case, self.config.target.dialect)
@@ -353,7 +365,7 @@ class Project:
                 skipped.append(t.name)
                 continue
             mark = own["watermarks"].get(t.name)
-            df = self.source_rows(t)
+            df = self.source_rows(t, None, self.moment(t))
             high, nulls = df.agg(F.max(version), F.count_if(F.col(version).isNull())).first()
             if not nulls and high in (None, mark):
                 continue
@@ -406,12 +418,19 @@ class Project:
             record = F.to_json(F.struct(*[c for c in bad.columns if c != "reason"]))
             bad.select("seq", F.lit(table).alias("for_table"), "reason", record.alias("record")).write.mode("overwrite").json(f"{self.dead_letters_path(name)}/batch={batch}/of={table}")
 
-        cursor = replicate.replicate_all(self.trail(name), replica, {n: t.primary_key for n, t in tables.items()}, self.config.cdc.apply_batch, name, park=park, most_parked=self.config.cdc.poison_max_per_run)
+        cursor = replicate.replicate_all(self.trail(name), replica, {n: t.primary_key for n, t in tables.items()}, self.config.cdc.apply_batch, name, whole=self.whole_transactions(), park=park, most_parked=self.config.cdc.poison_max_per_run)
         out = {n: {"cursor": cursor, "deleted": replicate.reconcile(replica.table(n), self.source_rows(t), t.primary_key, name) if reconcile else 0} for n, t in tables.items()}
         for key, n in self.orphans(tables).items():
             out[key.split(".")[0]].setdefault("orphans", {})[key.split(".", 1)[1]] = n
         return out
 
+    def whole_transactions(self) -> bool:
+        """Whether transactions are applied whole: as the setting says, and if a trial of the target finds that it can."""
+        mode = (self.config.cdc.txn_apply or "auto").strip().lower()
+        if mode not in ("auto", "on", "off"):
+            raise ValueError(f"txn_apply is auto, on or off, not {mode}")
+        return mode != "off" and sinks.probe(self.spark, f"{self.config.target.path.rstrip('/')}/state")["atomic"]
+
     def _adopt(self, replica: Replica, name: str) -> None:
         """A place without a name, from before each capture had its own, is that of the only capture there is."""
         now = replica.pointer()
@@ -448,7 +467,7 @@ class Project:
     def doctor(self) -> dict:
         """What runs here, whether the source answers, and whether the target takes a table and gives it back."""
         out = {"spark": self.spark.version}
-        for what, look in (("source_tables", lambda: len(self.schema().tables)), ("target_round_trip", lambda: sinks.smoke_test(self.spark, f"{self.config.target.path.rstrip('/')}/state/smoke_test"))):
+        for what, look in (("source_answers", lambda: self.source().ping()), ("target", lambda: sinks.probe(self.spark, f"{self.config.target.path.rstrip('/')}/state")), ("source_tables", lambda: len(self.schema().tables)), ("target_round_trip", lambda: sinks.smoke_test(self.spark, f"{self.config.target.path.rstrip('/')}/state/smoke_test"))):
             try:
                 out[what] = look()
             except Exception as e:  # noqa: BLE001 - told to the caller

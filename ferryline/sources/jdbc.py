@@ -19,6 +19,9 @@ from ..operators.chunks import Chunk
 #: How each dialect counts, quotes, and names a moment to read at.
 COUNT = {"oracle": "COUNT(*)", "mysql": "COUNT(*)", "postgres": "COUNT(*)", "mssql": "COUNT_BIG(*)"}
 SNAPSHOT = {"oracle": " AS OF SCN {}"}
+#: How a session begins: names in double quotes are names, and an Oracle session has no zone of its own.
+SESSION = {"mysql": "SET SESSION sql_mode = CONCAT(@@sql_mode, ',ANSI_QUOTES')", "oracle": "ALTER SESSION SET TIME_ZONE = 'UTC'"}
+PING = {"oracle": "SELECT 1 AS one FROM dual"}
 CURRENT_SNAPSHOT = {"oracle": "SELECT dbms_flashback.get_system_change_number AS scn FROM dual"}
 PREFIX = {"oracle": "jdbc:oracle:thin:@//", "mysql": "jdbc:mysql://", "postgres": "jdbc:postgresql://", "mssql": "jdbc:sqlserver://"}
 #: Schemas that belong to the database itself.
@@ -207,8 +210,22 @@ class JdbcSource:
     def url(self) -> str:
         return self.address if self.address.startswith("jdbc:") else PREFIX[self.dialect] + self.address
 
+    def session(self) -> dict[str, str]:
+        """The reader's options, with how a session of the dialect begins."""
+        own = {"sessionInitStatement": SESSION[self.dialect]} if self.dialect in SESSION else {}
+        if self.dialect == "postgres" and self.schema:
+            own["currentSchema"] = self.schema
+        return own | self.options
+
     def query(self, sql: str) -> DataFrame:
-        return self.spark.read.format("jdbc").option("url", self.url).option("query", sql).options(**self.options).load()
+        return self.spark.read.format("jdbc").option("url", self.url).option("query", sql).options(**self.session()).load()
+
+    def ping(self) -> bool:
+        """Whether the database answers at all: what tells an outage from a record that can't be applied."""
+        try:
+            return self.query(PING.get(self.dialect, "SELECT 1 AS one")).first() is not None
+        except Exception:  # noqa: BLE001 - no answer is the answer
+            return False
 
     def rows(self, table: str, columns: list[str], chunks: list[Chunk] | None = None, snapshot: str | None = None) -> DataFrame:
         """One partition per chunk, each with its own predicate."""
@@ -216,7 +233,7 @@ class JdbcSource:
         if not chunks or chunks[0].key is None:
             return self.query(select_text(self.dialect, table, columns, self.schema, chunks[0].recorded if chunks else None, snapshot))
         q = quoted("x", self.dialect)[-1] if self.dialect in ("mysql", "mssql") else '"'
-        return self.spark.read.jdbc(self.url, source, predicates=[c.predicate(q if q != "]" else '"') for c in chunks], properties=self.options)
+        return self.spark.read.jdbc(self.url, source, predicates=[c.predicate(q if q != "]" else '"') for c in chunks], properties=self.session())
 
     def count(self, table: str, snapshot: str | None = None) -> int:
         return int(self.query(select_text(self.dialect, table, [], self.schema, None, snapshot).replace("SELECT ", f"SELECT {COUNT[self.dialect]} AS n", 1)).first()[0])

@@ -28,6 +28,11 @@ class ParquetSource:
         found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
         return sorted(x.getPath().getName().removesuffix(".parquet") for x in found if x.getPath().getName().endswith(".parquet"))
 
+    def ping(self) -> bool:
+        """Whether the folder is there."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return bool(path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path))
+
     def snapshot(self, name: str) -> tuple[str, ...]:
         return tuple(sorted(table(self.spark, self.folder, name).inputFiles()))
 

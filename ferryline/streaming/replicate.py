@@ -112,13 +112,14 @@ def _staged(target: VersionedTable, changes: DataFrame, keys: Sequence[str]) ->
             x.unpersist()
 
 
-def apply_tables(replica: Replica, records: DataFrame, tables: dict[str, Sequence[str]], batch: int, park: Callable[[str, DataFrame], None] | None = None, most_parked: int = 25, last_of: str | None = None, stream: str = "", trail: str | None = None, mixed: bool = False) -> int:
+def apply_tables(replica: Replica, records: DataFrame, tables: dict[str, Sequence[str]], batch: int, park: Callable[[str, DataFrame], None] | None = None, most_parked: int = 25, last_of: str | None = None, stream: str = "", trail: str | None = None, mixed: bool = False, whole: bool = True) -> int:
     """Apply one batch of a stream to some tables (their keys by name), publish them together, and return the cursor reached.
 
     ``records`` are those of all tables past the stream's cursor, as only they tell whether the last transaction has ended.
     One that has not is held: the cursor stays before its first record, and what is applied beyond is left out when they are
     read again.  Where transactions interleave (``mixed`` says so from the start, else the first that does), every one without
-    an end is held, and changes take effect in the order in which transactions end.
+    an end is held, and changes take effect in the order in which transactions end.  With ``whole`` false transactions
+    are not told apart: what is read is applied as it stands.
 
     Records whose values don't fit their table are parked with the reason, ``most_parked`` in a batch at most: more raise, and
     so do any without a place to park and key moves, before anything is written.  ``park`` gets the table's name and the
@@ -133,8 +134,9 @@ def apply_tables(replica: Replica, records: DataFrame, tables: dict[str, Sequenc
         if now.open:
             unseen = unseen | ((F.col("seq") > now.cursor) & F.col("txn_id").isin(*now.open))
         fresh = records.filter(unseen)
-        mixed = mixed or now.mixed or bool(interleave(records.filter(F.col("seq") > now.cursor), "txn_id", "seq").limit(1).count())
-        found = (with_open(fresh, "txn_id", "txn_end") if mixed else with_hold(fresh, "txn_id", "txn_end", "seq")).persist()
+        mixed = whole and (mixed or now.mixed) or whole and bool(interleave(records.filter(F.col("seq") > now.cursor), "txn_id", "seq").limit(1).count())
+        held = with_open(fresh, "txn_id", "txn_end") if mixed else with_hold(fresh, "txn_id", "txn_end", "seq") if whole else fresh.withColumn("held", F.lit(False))
+        found = held.persist()
         try:
             free, lower = ~F.col("held"), F.lower("table")
             mine = free if last_of is None else free & (lower == last_of.lower())

@@ -5,7 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from ferryline.operators import sinks
-from ferryline.operators.chunks import Chunk, key_bounds, plan_chunks, with_chunks
+from ferryline.operators.chunks import Chunk, even_chunks, key_bounds, plan_chunks, with_chunks
 from ferryline.plans import ledger as L
 from ferryline.sources import introspect as I
 from ferryline.sources import jdbc as J
@@ -234,3 +234,35 @@ def test_an_expression_stays_in_its_index():
     rows = [{"table_name": "t", "index_name": "u", "column_name": "lower(email)", "ordinal_position": 1, "is_expression": 1, "is_unique": 1}, {"table_name": "t", "index_name": "u", "column_name": "tenant", "ordinal_position": 2, "is_expression": 0, "is_unique": 1}]
     (table,) = I.build_schema("public", "postgres", columns, indexes=rows).tables
     assert ddl.create_index(table, table.indexes[0]) == "CREATE UNIQUE INDEX u ON t ((lower(email)), tenant);"
+
+
+def test_even_chunks_of_clustered_keys(spark, tmp_path):
+    """Keys that cluster by powers: ranges have about as many rows each, and are replayed as recorded."""
+    df = spark.range(20_000).selectExpr("CAST(CASE WHEN id < 15000 THEN id ELSE id * id END AS bigint) AS k")
+    cs = even_chunks(df, "t", "k", 10)
+    rows = df.withColumn("c", sinks.chunk_column(cs)).groupBy("c").count().collect()
+    assert len(rows) == len(cs) == 10 and all(1000 <= r["count"] <= 4000 for r in rows)
+    assert sum(c.estimate for c in cs) == 20_000 and all(a.hi == b.lo for a, b in zip(cs, cs[1:]))
+    book = L.Ledger.open(spark, str(tmp_path / "l.json"))
+    book.plan("r", "h", {"t": cs})
+    assert L.progress(book.frame()).first()["rows_planned"] == 20_000
+    again = L.Ledger.open(spark, book.path)
+    again.plan("r", "h", {"t": plan_chunks("t", "k", (0, 9), 2)})
+    assert again.chunks("t") == cs
+    assert sum(sinks.load(again, "t", df, str(tmp_path / "t"), batch=4).values()) == 20_000 and again.failed == 0
+    hot = spark.range(1000).selectExpr("CAST(IF(id < 900, 5, id) AS bigint) AS k")
+    assert hot.withColumn("c", sinks.chunk_column(even_chunks(hot, "t", "k", 8))).groupBy("c").count().agg({"count": "max"}).first()[0] >= 900
+    assert even_chunks(hot.filter("false"), "t", "k", 8) == [Chunk("t:0", estimate=0)]
+
+
+def test_probe_of_the_target(spark, tmp_path, monkeypatch):
+    found = sinks.probe(spark, str(tmp_path))
+    assert found["atomic"] and found["replaces"] and found["empty_is_not_null"] and found["store"] == "file" and list(tmp_path.iterdir()) == []
+    monkeypatch.setattr(sinks, "OBJECT_STORES", ("file",))
+    assert not sinks.probe(spark, str(tmp_path))["atomic"]
+
+
+def test_sessions_begin_as_their_dialect_needs(spark):
+    assert "ANSI_QUOTES" in J.JdbcSource(spark, "mysql", "x").session()["sessionInitStatement"]
+    assert J.JdbcSource(spark, "postgres", "x", "s", {"user": "u"}).session() == {"currentSchema": "s", "user": "u"}
+    assert not J.JdbcSource(spark, "postgres", "nowhere").ping()

@@ -199,3 +199,20 @@ def test_dead_letters_say_why(spark):
     schema = T.StructType([T.StructField("ID", T.LongType()), T.StructField("N", T.IntegerType())])
     got = [r[0] for r in spark.createDataFrame(bad, kind).select(R.reasons(schema, ["ID"])).collect()]
     assert got == ["after.N is no int", "op is not I, U or D; key.ID is null", None]
+
+
+@pytest.mark.parametrize("mode, atomic, held", [("auto", True, True), ("on", True, True), ("on", False, False), ("off", True, False)])
+def test_the_gate_of_whole_transactions(spark, tmp_path, monkeypatch, mode, atomic, held):
+    from ferryline.operators import sinks
+    from ferryline.project import CdcConfig, Config, Project, SourceConfig, TargetConfig
+
+    spark.createDataFrame([(1, "x", 1)], "id bigint, v string, n bigint").write.parquet(str(tmp_path / "src" / "a.parquet"))
+    p = Project(spark, Config(SourceConfig(path=str(tmp_path / "src"), keys={"a": ["id"]}), TargetConfig(path=str(tmp_path / "dst")), cdc=CdcConfig(txn_apply=mode)))
+    p.register({"e": {"tables": ["a"], "watermarks": {}, "source": p.identity()}})
+    p.trail("e").append([{"op": "I", "table": "a", "key": {"id": 5}, "after": {"id": 5, "v": "y", "n": 2}, "txn_id": 3}])
+    real = sinks.probe
+    monkeypatch.setattr(sinks, "probe", lambda *a: real(*a) | {"atomic": atomic})
+    assert p.replicat("e", False)["a"]["cursor"] == (0 if held else 1)
+    p.config.cdc.txn_apply = "perhaps"
+    with pytest.raises(ValueError, match="txn_apply"):
+        p.replicat("e", False)
