@@ -316,10 +316,71 @@ def _hashed(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: int)
     return out
 
 
+def _second_seeds(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches parted where the least hash of a window's grams changes: (start, windows, that hash), in their order.
+
+    Equal windows have the same least hash; ``turn`` gives each round hashes of its own.
+    """
+    gram, by = min(SEED, length // 2), U64(_ODD[turn])
+    out: list = [[], [], []]
+    wide = size + length - 1
+    for i in _by_bytes(wide, 1 << 20):
+        h = window_min(mix(Prints(data[ranges(start[i], wide[i])]).grams(gram) * by), length - gram + 1)
+        first = np.cumsum(wide[i]) - wide[i]
+        own = h[ranges(first, size[i])]
+        at = np.concatenate((own[1:] != own[:-1], [True])) if len(own) else np.zeros(0, bool)
+        at[np.cumsum(size[i]) - 1] = True
+        ends = np.flatnonzero(at)
+        begins = np.concatenate(([0], ends[:-1] + 1))
+        for x, y in zip(out, (ranges(start[i], size[i])[begins], ends - begins + 1, own[begins])):
+            x.append(y)
+    return tuple(np.concatenate(x) for x in out)
+
+
+def _by_bytes(sizes: np.ndarray, limit: int):
+    """Numbers of things in a row of about ``limit`` bytes."""
+    part = (np.cumsum(sizes) - 1) // limit
+    starts, n = bounds(part != np.roll(part, 1))
+    for a, m in zip(starts.tolist(), n.tolist()):
+        yield np.arange(a, a + m)
+
+
+#: Multipliers of the later seeds, one for each time that a group is parted; what is then still as large differs in so little
+#: that its windows are compared by hash.
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+
+
+def _repeated(data: np.ndarray, start: np.ndarray, size: np.ndarray, seed: np.ndarray, length: int, most: int, turn: int = 0) -> np.ndarray:
+    """Which windows of some stretches are found more than once among those of their seed: from run-length indexes over whole
+    groups, many small ones to an index.  A group of over ``most`` bytes is parted by further seeds first."""
+    wide = size + length - 1
+    out, at = np.zeros(int(size.sum()), bool), np.cumsum(size) - size
+    order = np.argsort(seed, kind="stable")
+    group, n = bounds(seed[order] != np.roll(seed[order], 1))
+    held = np.add.reduceat(wide[order], group)
+    large = held > most
+    shard = np.where(large, -1, (np.cumsum(np.where(large, 0, held)) - 1) // INDEX)
+    for s in np.unique(shard[~large]):
+        i = order[np.repeat(shard == s, n)]
+        places = ranges(start[i], wide[i] + 1)
+        last = np.zeros(len(places), bool)
+        last[np.cumsum(wide[i] + 1) - 1] = True
+        matched = RunIndex(np.where(last, 0, data[np.minimum(places, len(data) - 1)].astype(np.int64) + 1)).statistics()
+        head = np.cumsum(wide[i] + 1) - (wide[i] + 1)
+        out[ranges(at[i], size[i])] = matched[ranges(head, size[i])] >= length
+    for g in np.flatnonzero(large):
+        i = order[group[g] : group[g] + n[g]]
+        if turn == len(_ODD):
+            out[ranges(at[i], size[i])] = _hashed(data, start[i], size[i], length)
+        else:
+            out[ranges(at[i], size[i])] = _repeated(data, *_second_seeds(data, start[i], size[i], length, turn), length, most, turn + 1)
+    return out
+
+
 def _indexed(blobs: list[bytes], length: int, most: int = 8 * INDEX):
-    """(key, start, windows) of repeated windows, from run-length indexes over whole minimizer groups.
+    """(key, start, windows) of repeated windows of whole minimizer groups.
 
-    A group of over ``most`` bytes would make an index too large for a task: its windows are compared by hash.
+    A group of over ``most`` bytes would make an index too large for a task: it is parted by further seeds.
     """
     meta, body = [], []
     for blob in blobs:
@@ -333,28 +394,13 @@ def _indexed(blobs: list[bytes], length: int, most: int = 8 * INDEX):
         return
     size = size.astype(np.int64)
     wide = size + length - 1
-    start = np.cumsum(wide) - wide
-    order = np.argsort(seed, kind="stable")
-    group, n = bounds(seed[order] != np.roll(seed[order], 1))
-    held = np.add.reduceat(wide[order], group)
-    shard = (np.cumsum(held) - 1) // INDEX
-    for s in np.unique(shard):
-        i = order[np.repeat(shard == s, n)]
-        if held[shard == s].max() > most:
-            hit = _hashed(data, start[i], size[i], length)
-        else:
-            places = ranges(start[i], wide[i] + 1)
-            last = np.zeros(len(places), bool)
-            last[np.cumsum(wide[i] + 1) - 1] = True
-            matched = RunIndex(np.where(last, 0, data[np.minimum(places, len(data) - 1)].astype(np.int64) + 1)).statistics()
-            head = np.cumsum(wide[i] + 1) - (wide[i] + 1)
-            hit = matched[ranges(head, size[i])] >= length
-        own, w = np.repeat(np.arange(len(i)), size[i]), ranges(np.zeros(len(i), np.int64), size[i])
-        hit = np.flatnonzero(hit & (role[i[own]] == 1))
-        if len(hit):
-            first, m = bounds((np.diff(hit, prepend=-2) != 1) | (own[hit] != np.roll(own[hit], 1)))
-            j = i[own[hit[first]]]
-            yield key[j], pos[j] + w[hit[first]], m
+    hit = _repeated(data, np.cumsum(wide) - wide, size, seed, length, most)
+    own, w = np.repeat(np.arange(len(size)), size), ranges(np.zeros(len(size), np.int64), size)
+    hit = np.flatnonzero(hit & (role[own] == 1))
+    if len(hit):
+        first, m = bounds((np.diff(hit, prepend=-2) != 1) | (own[hit] != np.roll(own[hit], 1)))
+        j = own[hit[first]]
+        yield key[j], pos[j] + w[hit[first]], m
 
 
 _OUT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])

@@ -259,3 +259,35 @@ def test_slow_rounds_do_not_end_best_fit(spark):
         k = bisect.bisect_left(gaps, n)
         bisect.insort(gaps, (gaps.pop(k) if k < len(gaps) else 4096) - n)
     assert len(at) <= len(gaps) * 1.02
+
+
+# ---- large groups of the suffix index ------------------------------------------------------
+
+
+@pytest.mark.parametrize("case", range(6))
+def test_a_large_group_is_parted_by_further_seeds(case, monkeypatch):
+    """Whatever the size from which a group is parted, the windows found are those of a count of all; hashes are left for
+    groups that no seed parts."""
+    import numpy as np
+
+    from ferryline.llm import suffix_dedup
+    from ferryline.llm.common import U64
+
+    rng, length = np.random.default_rng(case), (200, 230)[case % 2]
+    base, texts = rng.integers(97, 105, 3000).astype(np.uint8), []
+    for _ in range(12):
+        a, n = int(rng.integers(0, 2400)), int(rng.integers(length + 5, length + 250))
+        texts.append(t := base[a : a + n].copy())
+        if rng.random() < 0.5:
+            t[int(rng.integers(0, len(t)))] = 120
+    texts += [np.full(length + 100, 97, np.uint8)] * (case == 3)
+    wide = np.array([len(t) for t in texts])
+    size, start = wide - length + 1, np.cumsum(wide) - wide
+    windows = [t[i : i + length].tobytes() for t in texts for i in range(len(t) - length + 1)]
+    many = Counter(windows)
+    want, hashed = np.array([many[w] > 1 for w in windows]), []
+    real = suffix_dedup._hashed
+    monkeypatch.setattr(suffix_dedup, "_hashed", lambda *a: hashed.append(1) or real(*a))
+    for most in (1 << 20, 5000, 2500, 1):
+        assert (suffix_dedup._repeated(np.concatenate(texts), start, size, np.zeros(len(texts), U64), length, most) == want).all(), most
+        assert most == 1 or case == 3 or not hashed
