@@ -158,6 +158,7 @@ class Ledger:
         """Holds the lock of the snapshot; one that is old was left behind by a crash."""
         p, fs = self._fs()
         lock, failed = p(f"{self.path}.lock"), 0
+        fs.mkdirs(lock.getParent())
         while True:
             try:
                 if str(fs.getUri()).startswith("file:"):  # there the file system's own create looks first and creates then

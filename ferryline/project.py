@@ -20,6 +20,7 @@ from .operators.chunks import even_chunks, plan_chunks
 from .plans import ddl, ledger
 from .plans.assess import Report, assess, review_file
 from .plans.model import Column, Schema, Table
+from .sources.contract import Source
 from .sources.introspect import introspect
 from .sources.jdbc import JdbcSource
 from .sources.tables import ParquetSource
@@ -67,6 +68,8 @@ class Options:
 class CdcConfig:
     capture_batch: int = 50_000
     apply_batch: int = 10_000
+    #: How often a batch that fails is tried again while both ends answer, and records parked in a batch at most.
+    poison_retries: int = 3
     poison_max_per_run: int = 25
     trail_rotate_mb: int = 256
     #: Buckets of a replicated table, unless its first load needs more.
@@ -129,7 +132,7 @@ class Project:
 
     # -- both ends
 
-    def source(self):
+    def source(self) -> Source:
         s = self.config.source
         if s.kind == "parquet":
             return ParquetSource(self.spark, s.path)
@@ -233,12 +236,13 @@ class Project:
         return [r.asDict() for r in ledger.progress(book.frame()).orderBy("table_name").collect()]
 
     def monitor(self, seconds: float, rounds: int):
-        """Status, the share of chunks done, and the time left at the average rate, every so often."""
+        """Status, the share of chunks done, the rows that the plan expects in the others, and the time left at the average rate,
+        every so often."""
         began = time.time()
         for _ in range(rounds):
             rows = self.status()
             done, total = sum(r["chunks_loaded"] for r in rows), sum(r["chunks_total"] for r in rows)
-            yield {"tables": rows, "percent": 100 * done // max(1, total), "eta_seconds": ledger.eta_seconds(done, total, time.time() - began)}
+            yield {"tables": rows, "percent": 100 * done // max(1, total), "rows_left": sum(r["rows_planned"] - r["rows_loaded"] for r in rows), "eta_seconds": ledger.eta_seconds(done, total, time.time() - began)}
             if done == total:
                 return
             time.sleep(seconds)
@@ -418,7 +422,7 @@ class Project:
             record = F.to_json(F.struct(*[c for c in bad.columns if c != "reason"]))
             bad.select("seq", F.lit(table).alias("for_table"), "reason", record.alias("record")).write.mode("overwrite").json(f"{self.dead_letters_path(name)}/batch={batch}/of={table}")
 
-        cursor = replicate.replicate_all(self.trail(name), replica, {n: t.primary_key for n, t in tables.items()}, self.config.cdc.apply_batch, name, whole=self.whole_transactions(), park=park, most_parked=self.config.cdc.poison_max_per_run)
+        cursor = replicate.replicate_all(self.trail(name), replica, {n: t.primary_key for n, t in tables.items()}, self.config.cdc.apply_batch, name, self.config.cdc.poison_retries, lambda: self.source().ping(), whole=self.whole_transactions(), park=park, most_parked=self.config.cdc.poison_max_per_run)
         out = {n: {"cursor": cursor, "deleted": replicate.reconcile(replica.table(n), self.source_rows(t), t.primary_key, name) if reconcile else 0} for n, t in tables.items()}
         for key, n in self.orphans(tables).items():
             out[key.split(".")[0]].setdefault("orphans", {})[key.split(".", 1)[1]] = n

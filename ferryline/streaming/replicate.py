@@ -16,13 +16,17 @@ from pyspark.sql import types as T
 from ..operators.changes import dead_letters, fold, fold_with_moves, in_commit_order, interleave, kind_of, with_hold, with_open, without_moves
 from ..sources.trail import _SCHEMA as TRAIL_SCHEMA
 from ..sources.trail import Trail, value_text
-from .versions import Applied, Pointer, Replica, Stored, VersionedTable
+from .versions import Applied, Fenced, Pointer, Replica, Stored, VersionedTable
 
 
 class AnotherTrail(RuntimeError):
     """A trail under a stream's name that is not the one it was applied from."""
 
 
+class Outage(RuntimeError):
+    """A batch that failed while an end did not answer: nothing is wrong with its records."""
+
+
 def typed(value: Column, kind: T.DataType) -> Column:
     """A value of the trail (text, or a tagged object) as a column of the table's type; null if it can't be one."""
     text = value_text(value)
@@ -189,15 +193,30 @@ def _drained(trail: Trail, replica, tables: Iterable[VersionedTable], apply: Cal
         empty = False
 
 
-def replicate_all(trail: Trail, replica: Replica, tables: dict[str, Sequence[str]], batch_records: int = 10_000, stream: str = "", **options) -> int:
+def replicate_all(trail: Trail, replica: Replica, tables: dict[str, Sequence[str]], batch_records: int = 10_000, stream: str = "", retries: int = 0, answers: Callable[[], bool] = lambda: True, **options) -> int:
     """Apply all that the trail holds for some tables, which are published together; returns the cursor.
 
-    Each stream into a replica has a cursor of its own, bound to its trail: another trail under its name is refused.
+    Each stream into a replica has a cursor of its own, bound to its trail: another trail under its name is refused.  A batch
+    that fails is tried again, ``retries`` times at most; without an answer from ``answers`` it is an outage, and raises
+    as that.  What a retry can't change (records that can't be parked, a claim that was lost) raises at once.
     """
     known, identity = replica.pointer().applied(stream).trail, trail.identity()
     if None not in (known, identity) and known != identity:
         raise AnotherTrail(f"{trail.path} is not the trail that {stream or 'this stream'} was applied from")
-    apply = lambda records, batch: apply_tables(replica, records, tables, batch, stream=stream, trail=identity, **options)
+
+    def apply(records: DataFrame, batch: int) -> int:
+        for left in range(retries, -1, -1):
+            try:
+                return apply_tables(replica, records, tables, batch, stream=stream, trail=identity, **options)
+            except (ValueError, Fenced):
+                raise
+            except Exception as e:
+                if not answers():
+                    raise Outage(f"batch {batch} of {stream or 'the stream'} failed, and the other end does not answer") from e
+                if not left:
+                    raise
+        raise AssertionError
+
     return _drained(trail, replica, [replica.table(n) for n in tables], apply, batch_records, stream)
 
 
@@ -250,4 +269,4 @@ def reconcile(target: VersionedTable, source_keys: DataFrame, keys: Sequence[str
     return sum(r["count"] for r in by)
 
 
-__all__ = ["AnotherTrail", "TRAIL_SCHEMA", "applicable", "apply_tables", "reasons", "reconcile", "releasable", "replicate", "replicate_all", "stream", "typed_changes"]
+__all__ = ["AnotherTrail", "Outage", "TRAIL_SCHEMA", "applicable", "apply_tables", "reasons", "reconcile", "releasable", "replicate", "replicate_all", "stream", "typed_changes"]

@@ -10,6 +10,7 @@ from ferryline.operators import sinks
 from ferryline.plans.ledger import ResumeDrift
 from ferryline.plans.model import ForeignKey, Schema, Table
 from ferryline.project import Config, Project, SourceChanged
+from ferryline.streaming.replicate import Outage
 
 
 @pytest.fixture
@@ -171,6 +172,9 @@ def test_two_captures_into_one_replica(project, spark):
         m.setattr("ferryline.streaming.versions.Replica.publish", lambda *a, **k: 1 / 0)
         with pytest.raises(ZeroDivisionError):
             p.replicat("two", False)
+        m.setattr(type(p.source()), "ping", lambda self: False)
+        with pytest.raises(Outage):
+            p.replicat("two", False)
     p.replicat("two", False)
     (parked,) = spark.read.json(p.dead_letters_path("two")).collect()
     assert parked["reason"].startswith("after.id is no bigint") and parked["seq"] == 8 and p.captures()["two"]["dead_letters"] == 1

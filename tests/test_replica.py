@@ -216,3 +216,35 @@ def test_the_gate_of_whole_transactions(spark, tmp_path, monkeypatch, mode, atom
     p.config.cdc.txn_apply = "perhaps"
     with pytest.raises(ValueError, match="txn_apply"):
         p.replicat("e", False)
+
+
+def test_a_failing_batch_is_tried_again(spark, tmp_path, monkeypatch):
+    replica, trail = replica_of(spark, tmp_path / "r", "a"), Trail(spark, str(tmp_path / "t"))
+    trail.append([rec("a", "I", 1, V="x")])
+    real, calls = V.Replica.publish, []
+
+    def flaky(self, *a, **k):
+        calls.append(1)
+        return real(self, *a, **k) if len(calls) > 2 else 1 / 0
+
+    monkeypatch.setattr(V.Replica, "publish", flaky)
+    assert R.replicate_all(trail, replica, {"a": ["ID"]}, retries=2) == 1 and len(calls) == 3 and rows(replica.table("a")) == [(1, "x")]
+    calls.clear()
+    trail.append([rec("a", "I", 2, V="x")])
+    with pytest.raises(R.Outage):
+        R.replicate_all(trail, replica, {"a": ["ID"]}, retries=2, answers=lambda: False)
+    assert len(calls) == 1
+
+
+def test_both_sources_keep_the_contract(spark, tmp_path):
+    from ferryline.sources.contract import Source
+    from ferryline.sources.jdbc import JdbcSource
+    from ferryline.sources.tables import ParquetSource
+
+    spark.range(5).write.parquet(str(tmp_path / "t.parquet"))
+    at = ParquetSource(spark, str(tmp_path))
+    assert isinstance(at, Source) and isinstance(JdbcSource(spark, "mysql", "x"), Source)
+    pinned = at.snapshot("t")
+    spark.range(3).write.mode("append").parquet(str(tmp_path / "t.parquet"))
+    assert (at.count("t"), at.count("t", pinned), at.rows("t", ["id"], snapshot=pinned).count()) == (8, 5, 5)
+    assert at.bounds("t", "id") == (0, 4) and at.ping() and not ParquetSource(spark, str(tmp_path / "none")).ping()
