@@ -299,8 +299,10 @@ def test_packing_fills_its_sequences(spark, lengths):
     assert len(by) <= 1.005 * yardstick(want, 100) + 2
 
 
-def test_packing_when_rounds_run_out(spark, monkeypatch):
-    monkeypatch.setattr(packing, "ROUNDS", 1)
+@pytest.mark.parametrize("name", ["SLOW", "REST"])
+def test_packing_when_rounds_are_slow(spark, monkeypatch, name):
+    """Sequences are opened for all that is left after one slow round, or any rest is laid end to end after it."""
+    monkeypatch.setattr(packing, name, 1)
     rows = spark.createDataFrame([(i, 0, i % 50 + 1) for i in range(300)], "id long, piece int, length long")
     got = packing.pack(rows, 100, rows=50).groupBy("sequence_id").agg({"length": "sum", "id": "count"}).collect()
     assert sum(x["count(id)"] for x in got) == 300 and max(x["sum(length)"] for x in got) <= 100
