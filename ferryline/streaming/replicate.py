@@ -116,7 +116,59 @@ def _staged(target: VersionedTable, changes: DataFrame, keys: Sequence[str]) ->
             x.unpersist()
 
 
-def apply_tables(replica: Replica, records: DataFrame, tables: dict[str, Sequence[str]], batch: int, park: Callable[[str, DataFrame], None] | None = None, most_parked: int = 25, last_of: str | None = None, stream: str = "", trail: str | None = None, mixed: bool = False, whole: bool = True) -> int:
+#: A place between a batch that fails and its records: makes what is to be published of some records of a table.
+Make = Callable[[DataFrame], Stored | None]
+
+
+def _tried(make: Make, records: DataFrame, answers: Callable[[], bool]) -> tuple[Stored | None, Exception | None]:
+    """What is made of the records, or the error; without an answer from the other end it is an outage, which raises."""
+    try:
+        return make(records), None
+    except Exception as e:
+        if not answers():
+            raise Outage("the other end stopped answering while failing records were looked for") from e
+        return None, e
+
+
+def isolated(make: Make, records: DataFrame, order: Column, most: int, attempts: int = 1, answers: Callable[[], bool] = lambda: True) -> tuple[Stored | None, dict[int, str]]:
+    """What ``make`` makes of a failing batch without the records that fail it, and those: their places with the error.
+
+    The range of places is halved until the shortest prefix that fails is found: its last record fails where all before it
+    pass.  That prefix is tried ``attempts`` times; if it passes in one, the failure was not the record's.  Then the others
+    are tried without it, and so on.  More than ``most`` failing records raise, as does a failure that comes and goes; with
+    n places a failing record costs log2(n) trials, and nothing of the batch comes to the driver but the ends of the range.
+    """
+    refused: dict[int, str] = {}
+    passing = 0
+    while True:
+        rest = records.filter(~order.isin(list(refused))) if refused else records
+        made, error = _tried(make, rest, answers)
+        if error is None:
+            return made, refused
+        if len(refused) >= most:
+            raise ValueError(f"more than {most} changes can't be applied: stopped before anything was published") from error
+        low, high = rest.agg(F.min(order), F.max(order)).first()
+        if low is None:
+            raise error
+        low -= 1
+        while high - low > 1:
+            middle = (low + high) // 2
+            made, found = _tried(make, rest.filter(order <= middle), answers)
+            low, high = (middle, high) if found is None else (low, middle)
+        trials = [_tried(make, rest.filter(order <= high), answers)[1] for _ in range(max(1, attempts))]
+        if all(trials):
+            refused[high] = f"{type(trials[-1]).__name__}: {str(trials[-1])[:500]}"
+            continue
+        passing += 1
+        if passing > max(1, attempts):
+            raise error
+
+
+def _is_move() -> Column:
+    return F.size(F.coalesce("before_key", F.create_map().cast("map<string,string>"))) > 0
+
+
+def apply_tables(replica: Replica, records: DataFrame, tables: dict[str, Sequence[str]], batch: int, park: Callable[[str, DataFrame], None] | None = None, most_parked: int = 25, last_of: str | None = None, stream: str = "", trail: str | None = None, mixed: bool = False, whole: bool = True, attempts: int = 0, answers: Callable[[], bool] = lambda: True) -> int:
     """Apply one batch of a stream to some tables (their keys by name), publish them together, and return the cursor reached.
 
     ``records`` are those of all tables past the stream's cursor, as only they tell whether the last transaction has ended.
@@ -127,8 +179,10 @@ def apply_tables(replica: Replica, records: DataFrame, tables: dict[str, Sequenc
 
     Records whose values don't fit their table are parked with the reason, ``most_parked`` in a batch at most: more raise, and
     so do any without a place to park and key moves, before anything is written.  ``park`` gets the table's name and the
-    records before the batch is published: a batch that is repeated parks the same again.  ``last_of``: the cursor is that of
-    this table's last record.
+    records before the batch is published: a batch that is repeated parks the same again.  With ``attempts`` (and a place to
+    park) a table whose changes can't be written is searched for the records that fail it, see :func:`isolated`, and these are
+    parked with the error and counted with the others; the rest of their transactions is applied.  ``last_of``: the cursor is
+    that of this table's last record.
     """
     with replica.claimed():
         now = replica.pointer().applied(stream)
@@ -153,23 +207,34 @@ def apply_tables(replica: Replica, records: DataFrame, tables: dict[str, Sequenc
             ready = found.filter(free).drop("held")
             if mixed:
                 ready = in_commit_order(ready, "txn_id", "seq")
-            parked, good_of = [], {}
+            parked, staged = [], {}
             present = {r[0] for r in ready.select(lower).distinct().collect()}
             work = [(replica.table(name), name, keys) for name, keys in tables.items() if name.lower() in present]
             for target, name, keys in work:
                 schema = target.schema()
                 why = reasons(schema, keys)
                 good, bad = dead_letters(ready.filter(lower == name.lower()), why.isNull(), most_parked)
-                if bad.limit(1).count():
-                    if park is None:
-                        raise ValueError(f"{name} has changes that can't be applied, and there is no place to park them")
-                    if bad.filter(F.size(F.coalesce("before_key", F.create_map().cast("map<string,string>"))) > 0).limit(1).count():
+                n_bad = bad.limit(most_parked + 1).count()
+                if n_bad and park is None:
+                    raise ValueError(f"{name} has changes that can't be applied, and there is no place to park them")
+                bad = bad.withColumn("reason", why)
+                make = lambda some, target=target, schema=schema, keys=keys: _staged(target, typed_changes(some, schema, keys), keys)
+                if attempts and park is not None:
+                    order = F.col("ord" if "ord" in good.columns else "seq")
+                    made, refused = isolated(make, good, order, most_parked - n_bad, attempts, answers)
+                    if refused:
+                        because = F.create_map(*[F.lit(x) for pair in refused.items() for x in pair])
+                        bad = bad.unionByName(good.filter(order.isin(list(refused))).withColumn("reason", because[order]))
+                else:
+                    made, refused = make(good), {}
+                if n_bad or refused:
+                    if bad.filter(_is_move()).limit(1).count():
                         raise ValueError("a key move can't be applied, and is not parked")
-                    parked.append((name, bad.withColumn("reason", why)))
-                good_of[name] = typed_changes(good, schema, keys)
+                    parked.append((name, bad))
+                if made is not None:
+                    staged[name] = made
             for name, bad in parked:
                 park(name, bad)
-            staged = {name: made for target, name, keys in work if (made := _staged(target, good_of[name], keys)) is not None}
             replica.publish(staged, batch, cursor, stream, place)
             return cursor
         finally:
@@ -198,7 +263,9 @@ def replicate_all(trail: Trail, replica: Replica, tables: dict[str, Sequence[str
 
     Each stream into a replica has a cursor of its own, bound to its trail: another trail under its name is refused.  A batch
     that fails is tried again, ``retries`` times at most; without an answer from ``answers`` it is an outage, and raises
-    as that.  What a retry can't change (records that can't be parked, a claim that was lost) raises at once.
+    as that.  The last time the records that fail it are looked for, each tried ``retries`` times, and parked if there is a place
+    for it; without retries nothing is looked for.  What a retry can't change (records that can't be parked, a claim that
+    was lost) raises at once.
     """
     known, identity = replica.pointer().applied(stream).trail, trail.identity()
     if None not in (known, identity) and known != identity:
@@ -207,8 +274,8 @@ def replicate_all(trail: Trail, replica: Replica, tables: dict[str, Sequence[str
     def apply(records: DataFrame, batch: int) -> int:
         for left in range(retries, -1, -1):
             try:
-                return apply_tables(replica, records, tables, batch, stream=stream, trail=identity, **options)
-            except (ValueError, Fenced):
+                return apply_tables(replica, records, tables, batch, stream=stream, trail=identity, attempts=0 if left else retries, answers=answers, **options)
+            except (ValueError, Fenced, Outage):
                 raise
             except Exception as e:
                 if not answers():
@@ -269,4 +336,4 @@ def reconcile(target: VersionedTable, source_keys: DataFrame, keys: Sequence[str
     return sum(r["count"] for r in by)
 
 
-__all__ = ["AnotherTrail", "Outage", "TRAIL_SCHEMA", "applicable", "apply_tables", "reasons", "reconcile", "releasable", "replicate", "replicate_all", "stream", "typed_changes"]
+__all__ = ["AnotherTrail", "Outage", "TRAIL_SCHEMA", "applicable", "apply_tables", "isolated", "reasons", "reconcile", "releasable", "replicate", "replicate_all", "stream", "typed_changes"]

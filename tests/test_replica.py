@@ -236,6 +236,71 @@ def test_a_failing_batch_is_tried_again(spark, tmp_path, monkeypatch):
     assert len(calls) == 1
 
 
+def refusing(monkeypatch, refused, calls=None):
+    """Tables that can't be written with a row whose V is one of some."""
+    real = R._staged
+
+    def staged(target, changes, keys):
+        if calls is not None:
+            calls.append(1)
+        if changes.filter(R.F.col("V.V").isin(*refused)).count():
+            raise RuntimeError("the table takes no such row")
+        return real(target, changes, keys)
+
+    monkeypatch.setattr(R, "_staged", staged)
+
+
+@pytest.mark.parametrize("at", [[0], [39], [7, 8, 30]])
+def test_records_that_fail_a_batch_are_found_and_parked(spark, tmp_path, monkeypatch, at):
+    replica, trail, parked = replica_of(spark, tmp_path / "r", "a", "b"), Trail(spark, str(tmp_path / "t")), {}
+    trail.append([rec("a", "I", i, V="no" if i in at else f"v{i}") for i in range(40)] + [rec("b", "I", 1, V="x")])
+    refusing(monkeypatch, ["no"])
+    park = lambda table, bad: parked.setdefault(table, []).append({r["seq"]: r["reason"] for r in bad.collect()})
+    assert R.replicate_all(trail, replica, {"a": ["ID"], "b": ["ID"]}, retries=1, park=park) == 41
+    assert parked == {"a": [dict.fromkeys([i + 1 for i in at], "RuntimeError: the table takes no such row")]}
+    assert rows(replica.table("a")) == sorted(((i, f"v{i}") for i in range(40) if i not in at), key=str) and rows(replica.table("b")) == [(1, "x")]
+
+
+def test_what_is_not_parked(spark, tmp_path, monkeypatch):
+    replica, trail, parked = replica_of(spark, tmp_path / "r", "a"), Trail(spark, str(tmp_path / "t")), []
+    trail.append([rec("a", "I", i, V="no" if i < 3 else "yes") for i in range(6)])
+    refusing(monkeypatch, ["no"], calls := [])
+    run = lambda **options: R.replicate_all(trail, replica, {"a": ["ID"]}, park=lambda t, bad: parked.append(bad), **options)
+    with pytest.raises(RuntimeError, match="no such row"):  # nothing is looked for without retries
+        run()
+    assert len(calls) == 1
+    with pytest.raises(ValueError, match="more than 2 changes"):
+        run(retries=1, most_parked=2)
+    up = iter([True, True, True])  # an end that goes away while records are looked for
+    with pytest.raises(R.Outage):
+        run(retries=1, answers=lambda: next(up, False))
+    assert not parked and replica.pointer().applied().cursor == 0 and rows(replica.table("a")) == []
+    monkeypatch.undo()
+    assert run() == 6 and len(rows(replica.table("a"))) == 6
+
+
+def test_a_failing_key_move_is_not_parked(spark, tmp_path, monkeypatch):
+    replica, trail = replica_of(spark, tmp_path / "r", "a"), Trail(spark, str(tmp_path / "t"))
+    trail.append([rec("a", "I", 1, V="x"), rec("a", "U", 2, V="no") | {"before_key": {"ID": 1}}])
+    refusing(monkeypatch, ["no"])
+    with pytest.raises(ValueError, match="key move"):
+        R.replicate_all(trail, replica, {"a": ["ID"]}, retries=1, park=lambda *a: None)
+    assert replica.pointer().applied().cursor == 0
+
+
+def test_a_failure_that_passes_parks_nothing(spark):
+    """A trial that fails now and then is no record's fault."""
+    records, calls = spark.range(1, 9).withColumnRenamed("id", "seq"), []
+
+    def make(some):
+        calls.append(some.count())
+        if len(calls) in (1, 2):
+            raise RuntimeError("a moment's trouble")
+        return None
+
+    assert R.isolated(make, records, R.F.col("seq"), 5, 2) == (None, {}) and calls[-1] == 8
+
+
 def test_both_sources_keep_the_contract(spark, tmp_path):
     from ferryline.sources.contract import Source
     from ferryline.sources.jdbc import JdbcSource
