@@ -44,7 +44,8 @@ def _kind(table: Table, c: Column, registry: TypeRegistry | None) -> Kind:
     return registry.resolve(c.source_type, table.name, c.name, table.schema).kind if registry and c.source_type else c.kind
 
 
-def create_table(table: Table, registry: TypeRegistry | None = None, preserve_case: bool = False, dialect: str = "postgres") -> str:
+def create_table(table: Table, registry: TypeRegistry | None = None, preserve_case: bool = False, dialect: str = "postgres", location: str | None = None) -> str:
+    """``location``: for Spark, a folder that has the table's rows, in folders of any depth."""
     name = lambda x: ident(x, preserve_case, dialect)
     pad = "    " if dialect == "postgres" else "  "
     lines = []
@@ -55,6 +56,9 @@ def create_table(table: Table, registry: TypeRegistry | None = None, preserve_ca
         lines.append(f"{pad}{name(c.name)} {spelt}" + ("" if c.nullable else " NOT NULL") + (f" DEFAULT {default}" if default is not None else ""))
     if dialect == "spark":
         parts = table.partition[1] if table.partition and table.partition[0].upper() == "LIST" else ()
+        if location is not None:
+            quoted = location.replace("\\", "\\\\").replace("'", "\\'")
+            return f"CREATE TABLE {name(table.name)} (\n" + ",\n".join(lines) + f"\n) USING parquet OPTIONS (recursiveFileLookup 'true') LOCATION '{quoted}'"
         return f"CREATE TABLE {name(table.name)} (\n" + ",\n".join(lines) + "\n) USING parquet" + (f" PARTITIONED BY ({', '.join(map(name, parts))})" if parts else "")
     if table.primary_key:
         lines.append(f"{pad}PRIMARY KEY ({', '.join(map(name, table.primary_key))})")
@@ -103,6 +107,11 @@ def create_view(view: View, preserve_case: bool = False, dialect: str = "postgre
     return f"{head} {ident(view.name, preserve_case, dialect)} AS {view.definition.rstrip(';')}" + ("" if dialect == "spark" else ";")
 
 
+def view_names(schema: Schema) -> list[str]:
+    """The views that can be made from their text, each after those it names."""
+    return ordered_views([(v.name, v.definition) for v in schema.views if not v.materialized])
+
+
 def _parts(schema: Schema, registry: TypeRegistry | None, preserve_case: bool, dialect: str, accepts: dict[str, bool] | None) -> tuple[dict[str, list[str]], list[Gap]]:
     """The statements by kind, views after those they name; and the gaps."""
     out: dict[str, list[str]] = {k: [] for k in ("tables", "sequences", "indexes", "views", "foreign_keys")}
@@ -116,7 +125,7 @@ def _parts(schema: Schema, registry: TypeRegistry | None, preserve_case: bool, d
         out["foreign_keys"] = [x for t in schema.tables for x in foreign_keys(t, preserve_case, dialect)]
     booleans = {c.name for t in schema.tables for c in t.columns if _kind(t, c, registry).kind == "boolean"}
     plain = {v.name: v for v in schema.views if not v.materialized}
-    for name in ordered_views([(v.name, v.definition) for v in plain.values()]):
+    for name in view_names(schema):
         body, found = portable_view(plain[name].definition, dialect, accepts, booleans)
         gaps += found
         out["views"].append(create_view(View(name, body), preserve_case, dialect))
@@ -133,8 +142,7 @@ def drops(schema: Schema, preserve_case: bool = False, dialect: str = "postgres"
     """Statements that remove what a schema would create, dependents first."""
     name = lambda x: ident(x, preserve_case, dialect)
     end = "" if dialect == "spark" else ";"
-    views = [v.name for v in schema.views if not v.materialized]
-    out = [f"DROP VIEW IF EXISTS {name(v)}{end}" for v in reversed(ordered_views([(v.name, v.definition) for v in schema.views if v.name in views]))]
+    out = [f"DROP VIEW IF EXISTS {name(v)}{end}" for v in reversed(view_names(schema))]
     out += [f"DROP TABLE IF EXISTS {name(t.name)}{' CASCADE' if dialect == 'postgres' else ''}{end}" for t in reversed(schema.tables)]
     return out + [f"DROP SEQUENCE IF EXISTS {name(s.name)}{end}" for s in schema.sequences if dialect != "spark"]
 

@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.idents import ident
 from .functions.types import Kind, TypeRegistry
+from .operators import catalog as target_catalog
 from .operators import compare, sinks
 from .operators.chunks import even_chunks, plan_chunks
 from .plans import ddl, ledger
@@ -50,6 +52,8 @@ class SourceConfig:
 class TargetConfig:
     path: str = ""
     dialect: str = "spark"
+    #: A database of the session's catalogue, in which migrate makes the tables and views known; made if there is none.
+    catalog: str = ""
 
 
 @dataclass
@@ -202,6 +206,9 @@ class Project:
         An interrupted run is taken up where its ledger stands.  A batch of chunks that fails is tried again, chunk by
         chunk, after all tables; what fails then too is left for the next run.  Each table's rows are counted at the source once
         more: where that was read at one moment they have to be as many as were loaded, and some where it has some.
+
+        Where the target names a database of the session's catalogue, the statements are run there: tables over the folders of
+        the rows once all is loaded, then views; one that fails is reported, and the others are run.
         """
         o, src, schema = self.config.options, self.source(), self.schema()
         keys = {t.name: t.primary_key[0] if len(t.primary_key) == 1 else None for t in schema.tables}
@@ -229,7 +236,23 @@ class Project:
         other = {n: {"source": c, "loaded": loaded[n]} for n, c in counted.items() if c != loaded[n]}
         pinned = moment is not None or not isinstance(src, JdbcSource)
         wrong = [n for n, x in other.items() if pinned or not x["loaded"]]
-        return {"tables": len(schema.tables), "rows": rows, "failed_chunks": book.failed, "complete": book.failed == 0 and not wrong, "errors": errors, "mismatched": other, "gaps": len(gaps)}
+        made = self.publish(schema) if self.config.target.catalog and not book.failed else {}
+        return {"tables": len(schema.tables), "rows": rows, "failed_chunks": book.failed, "complete": book.failed == 0 and not wrong and not made.get("failed"), "errors": errors, "mismatched": other, "gaps": len(gaps)} | ({"catalog": made} if made else {})
+
+    def publish(self, schema: Schema | None = None) -> dict:
+        """Make the loaded tables, and the views over them, known in the target's database of the session's catalogue.
+
+        Repeating it makes them anew.  A name that something else has in that database is not taken: only a table over this
+        target's folder, or a view that was made here, is replaced.
+        """
+        target, o = self.config.target, self.config.options
+        if target.dialect != "spark" or not target.catalog:
+            raise ValueError("tables are made known where the target is Spark and names a database")
+        schema = schema or self.schema()
+        made = [(t.name, self.target_path(t.name), ddl.create_table(t, self.registry, o.preserve_case, "spark", self.target_path(t.name))) for t in schema.tables]
+        _, views, _ = ddl.scripts(schema, self.registry, o.preserve_case, "spark")
+        named = list(zip(ddl.view_names(schema), views))
+        return target_catalog.publish(self.spark, ident(target.catalog, o.preserve_case, "spark"), [(ident(n, o.preserve_case, "spark"), at, text) for n, at, text in made], [(ident(n, o.preserve_case, "spark"), text) for n, text in named])
 
     def status(self) -> list[dict]:
         book = ledger.Ledger.open(self.spark, f"{self.config.target.path.rstrip('/')}/state/ledger.json", read_only=True)

@@ -8,7 +8,7 @@ import pytest
 from ferryline import cli, service
 from ferryline.operators import sinks
 from ferryline.plans.ledger import ResumeDrift
-from ferryline.plans.model import ForeignKey, Schema, Table
+from ferryline.plans.model import ForeignKey, Schema, Table, View
 from ferryline.project import Config, Project, SourceChanged
 from ferryline.streaming.replicate import Outage
 
@@ -88,6 +88,39 @@ def test_migrate_tries_failed_chunks_again_and_writes_scripts(project, spark, mo
     assert before.index("DROP TABLE IF EXISTS `b`") < before.index("DROP TABLE IF EXISTS `a`") < before.index("CREATE TABLE `a`")
 
 
+def test_migrate_runs_the_statements_in_the_catalogue(project, spark, monkeypatch):
+    path, p = project
+    p.config.target.catalog = "moved"
+    known = p.schema()
+    views = [View("low", "SELECT id, nvl(name, '-') AS name FROM mid WHERE id < 5"), View("mid", "SELECT id, name FROM a WHERE id < 10"), View("bad", "SELECT nothing FROM a")]
+    monkeypatch.setattr(Project, "schema", lambda self: Schema(known.name, known.tables, views))
+    try:
+        out = p.migrate()
+        assert out["rows"] == 23 and out["catalog"]["made"] == 4 and list(out["catalog"]["failed"]) == ["`bad`"] and not out["complete"]
+        views.pop()
+        again = p.migrate()
+        assert again["catalog"] == {"made": 4, "failed": {}} and again["complete"] and again["rows"] == 0
+        assert spark.catalog.currentDatabase() == "default"
+        assert sorted(map(tuple, spark.table("moved.b").collect()), key=str) == sorted([(1, "x"), (1, "x"), (None, "y")], key=str)
+        assert spark.table("moved.a").columns == ["id", "name", "v", "version"] and spark.table("moved.low").count() == 5
+        scan = spark.table("moved.low")._jdf.queryExecution().executedPlan().toString()
+        assert "LessThan(id,5)" in scan and "ReadSchema: struct<id:bigint,name:string>" in scan
+        for taken in ("CREATE TABLE moved.b USING parquet AS SELECT 1 AS other", "CREATE VIEW moved.mid AS SELECT 1 AS other"):
+            name = taken.split()[2]
+            spark.sql(f"DROP {taken.split()[1]} {name}")
+            spark.sql(taken)
+            made = p.migrate()["catalog"]
+            assert name.split(".")[1] in str(made["failed"]) and spark.table(name).columns == ["other"]
+            spark.sql(f"DROP {taken.split()[1]} {name}")
+            assert not p.publish()["failed"]
+    finally:
+        spark.sql("DROP DATABASE IF EXISTS moved CASCADE")
+    assert p.target_rows(known.tables[0]).count() == 20
+    p.config.target.catalog = ""
+    with pytest.raises(ValueError, match="names a database"):
+        p.publish()
+
+
 def test_doctor_and_orphans(project, spark, capsys):
     path, p = project
     assert cli.main(["--config", path, "doctor"], spark) == 0 and json.loads(capsys.readouterr().out)["source_tables"] == 2
