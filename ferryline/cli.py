@@ -56,8 +56,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         print(json.dumps({"dropped": project.drop_extract(a.name, a.with_trail)} if a.drop else project.extract(a.name, a.version_column, refresh=a.refresh_tables), default=str))
     elif a.verb == "replicat":
         print(json.dumps(project.replicat(a.name, False if a.no_reconcile else None)))
-    elif a.verb in ("lag", "purge"):
-        print(json.dumps(getattr(project, a.verb)(a.name)))
+    elif a.verb == "lag":
+        print(json.dumps(project.lag(a.name) | {"source": project.source_lag(a.name)}))
+    elif a.verb == "purge":
+        print(json.dumps(project.purge(a.name)))
     elif a.verb == "extracts":
         print(json.dumps(project.captures(), indent=1, default=str))
     elif a.verb == "doctor":

@@ -402,7 +402,7 @@ class Project:
             captured += self.trail(name).append_frame(records, "ord")
             if high is not None:
                 own["watermarks"][t.name] = high
-        own["tables"] = sorted(pinned)
+        own |= {"tables": sorted(pinned), "version": version}
         self.register(all_ | {name: own})
         return {"captured": captured, "tables": own["tables"], "not_adopted": sorted(set(new) - pinned), "skipped": skipped}
 
@@ -507,6 +507,25 @@ class Project:
         written, applied = self.trail(name).last_seq(), self.replica().pointer().applied(name).cursor
         return {"written": written, "applied": applied, "behind": max(0, written - applied)}
 
+    def source_lag(self, name: str) -> dict:
+        """How far a capture is behind its source: of a log the files and bytes that stand after it; of version columns the rows
+        past each table's watermark (those without a version aren't counted: every run captures them).
+
+        A report that can't be made says why, and fails nothing.
+        """
+        try:
+            own = self._own(name)
+            if own.get("log"):
+                log = self.config.source.recording
+                return capture.behind_binlog(log, self.trail(name)) if self.config.source.dialect == "mysql" else capture.behind_slot(self.spark, log, name, self.trail(name))
+            version = own.get("version")
+            tables = {t.name: t for t in self.schema().tables if t.name in own["tables"] and t.primary_key and any(c.name == version for c in t.columns)}
+            past = lambda n: F.col(f"`{version}`").isNotNull() if (mark := own["watermarks"].get(n)) is None else F.col(f"`{version}`") > mark
+            rows = {n: self.source_rows(t).filter(past(n)).count() for n, t in tables.items()}
+            return {"mode": "version", "rows_behind": sum(rows.values()), "tables": {n: x for n, x in rows.items() if x}}
+        except Exception as e:  # noqa: BLE001 - a report only
+            return {"error": f"{type(e).__name__}: {str(e)[:200]}"}
+
     def purge(self, name: str) -> list[str]:
         """Remove the trail's segments that are applied in full, by the capture's own cursor."""
         return self.trail(name).purge(self.replica().pointer().applied(name).cursor)

@@ -49,6 +49,44 @@ def append_changes(trail: Trail, changes: DataFrame) -> int:
     return trail.append_frame(records_of(kept), "ord")
 
 
+def _last_lsn(spark: SparkSession, at: Recording, path: str, number: int) -> int | None:
+    """The highest position in one file of a recording."""
+    file = at.file(number) if "://" not in path else f"{path.rstrip('/')}/changes-{number:010d}.jsonl"
+    end = spark.read.json(file, "lsn string, data string").agg(F.max(lsn(F.col("lsn")))).first()[0]
+    return None if end is None else int(end)
+
+
+def behind_slot(spark: SparkSession, path: str, slot: str, trail: Trail) -> dict:
+    """How far a slot is behind the end of its recording: files, and bytes of the source's log between their positions.
+
+    The bytes count from the last file that the slot has consumed, from the trail's tail if that file is gone, and are None if
+    neither is there to count from.
+    """
+    at = Recording(path)
+    numbers, done = at.numbers(), at.confirmed(slot)
+    left = [n for n in numbers if n > done]
+    if not left:
+        return {"mode": "logical", "files_behind": 0, "bytes_behind": 0}
+    tail = trail_tail(trail)
+    began = _last_lsn(spark, at, path, done) if done in numbers else None if tail is None else tail[0]
+    end = _last_lsn(spark, at, path, left[-1])
+    return {"mode": "logical", "files_behind": len(left), "bytes_behind": None if None in (began, end) else max(0, end - began)}
+
+
+def behind_binlog(path: str, trail: Trail) -> dict:
+    """How far a trail is behind the end of a folder of binary logs: files begun since, and bytes over all of them.
+
+    Positions count within a file, so that across a change of files the rest of the trail's own file, whole files and what the last
+    one holds are added up.  What stands after the last change of rows counts too: a commit, at least, once all is captured.
+    A file of the trail's that is gone adds nothing.
+    """
+    files, tail = LogFiles(path), trail_tail(trail)
+    sizes = {n: files.files.get_file_info(name).size for n, name in files.listed()}
+    number, at = (-1, 0) if tail is None else (tail[0] >> 48, tail[0] & (1 << 48) - 1)
+    later = {n: size for n, size in sizes.items() if n > number}
+    return {"mode": "binlog", "files_behind": len(later), "bytes_behind": sum(later.values()) + max(0, sizes.get(number, at) - at)}
+
+
 def capture_binlog(spark: SparkSession, path: str, trail: Trail, keys: dict[str, list[str]], epoch: str | None = None) -> str | None:
     """Bring a trail up to the last finished transaction of a folder of binary logs; returns the epoch, as capture does.
 
@@ -82,8 +120,7 @@ def capture(spark: SparkSession, path: str, slot: str, trail: Trail, keys: dict[
         raise AnotherServer(f"{path} is of {found}, and the capture is of {epoch}")
     numbers = at.numbers()
     if numbers:
-        ends = spark.read.json(at.file(numbers[-1]) if "://" not in path else f"{path.rstrip('/')}/changes-{numbers[-1]:010d}.jsonl", "lsn string, data string").agg(F.max(lsn(F.col("lsn")))).first()[0]
-        check_epoch(trail_tail(trail), None if ends is None else int(ends))
+        check_epoch(trail_tail(trail), _last_lsn(spark, at, path, numbers[-1]))
     spark.dataSource.register(SlotSource)
     lines = spark.readStream.format("ferryline_slot").option("path", path).option("slot", slot).load()
 

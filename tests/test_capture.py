@@ -109,3 +109,46 @@ def test_the_verbs(spark, tmp_path, recorded):
     (tmp_path / "log" / "identity.json").write_text(json.dumps({"system": "78", "timeline": 1}))
     with pytest.raises(C.AnotherServer):
         p.extract("log", "version")
+
+
+def test_how_far_a_slot_is_behind(spark, tmp_path, recorded):
+    trail, lag = Trail(spark, str(tmp_path / "trail")), lambda: C.behind_slot(spark, recorded.root, "main", trail)
+    assert lag() == {"mode": "logical", "files_behind": 2, "bytes_behind": None}
+    C.capture(spark, recorded.root, "main", trail, KEYS, str(tmp_path / "state"))
+    assert lag() == {"mode": "logical", "files_behind": 0, "bytes_behind": 0}
+    recorded.put(3, txn(8, 128, "DELETE: id[integer]:9"))
+    recorded.put(4, txn(9, 256, "INSERT: id[integer]:3 v[text]:'d'"))
+    assert lag() == {"mode": "logical", "files_behind": 2, "bytes_behind": 256 + 2 - (64 + 3)}
+    (tmp_path / "log" / "changes-0000000002.jsonl").unlink()  # from the trail's tail then
+    assert lag()["bytes_behind"] == 256 + 2 - C.trail_tail(trail)[0]
+
+
+def test_how_far_binary_logs_are_ahead(spark, tmp_path):
+    trail, logs = Trail(spark, str(tmp_path / "trail")), tmp_path / "logs"
+    logs.mkdir()
+    (logs / "bin.000007").write_bytes(b"x" * 500)
+    assert C.behind_binlog(str(logs), trail) == {"mode": "binlog", "files_behind": 1, "bytes_behind": 500}
+    trail.append([{"op": "I", "table": "t", "key": {"id": 1}, "after": {"id": 1}, "source_pos": [(7 << 48) | 420, 0]}])
+    assert C.behind_binlog(str(logs), trail) == {"mode": "binlog", "files_behind": 0, "bytes_behind": 80}
+    (logs / "bin.000008").write_bytes(b"x" * 300)
+    (logs / "bin.000009").write_bytes(b"x" * 40)
+    assert C.behind_binlog(str(logs), trail) == {"mode": "binlog", "files_behind": 2, "bytes_behind": 420}
+    (logs / "bin.000007").unlink()
+    assert C.behind_binlog(str(logs), trail) == {"mode": "binlog", "files_behind": 2, "bytes_behind": 340}
+
+
+def test_how_far_versions_are_ahead(spark, tmp_path, capsys):
+    from ferryline import cli
+
+    src, path = tmp_path / "src", tmp_path / "p.toml"
+    put = lambda *rows: spark.createDataFrame(list(rows), "id int, version bigint").write.mode("append").parquet(str(src / "t.parquet"))
+    put((1, 5), (2, None))
+    path.write_text(f'[source]\npath = "{src}"\n[source.keys]\nt = ["id"]\n[target]\npath = "{tmp_path / "dst"}"\n')
+    p = Project(spark, Config.load(str(path)))
+    p.extract("e", "version")
+    assert p.source_lag("e") == {"mode": "version", "rows_behind": 0, "tables": {}}
+    put((3, 6), (4, 5))
+    assert cli.main(["--config", str(path), "lag", "e"], spark) == 0
+    assert json.loads(capsys.readouterr().out) == {"written": 2, "applied": 0, "behind": 2, "source": {"mode": "version", "rows_behind": 1, "tables": {"t": 1}}}
+    p.config.source.path = str(tmp_path / "elsewhere")
+    assert "SourceChanged" in p.source_lag("e")["error"]
