@@ -39,3 +39,8 @@ def test_no_cross_joins(spark, data):
     for name, q in catalog.QUERIES.items():
         plan = q(spark, data)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+@pytest.mark.parametrize("name", ["dialect_rewrite"])
+def test_rows_of_a_small_file_are_spread_over_tasks(name, spark, data):
+    assert catalog.QUERIES[name](spark, data).rdd.getNumPartitions() >= 4
