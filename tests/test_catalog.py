@@ -41,6 +41,6 @@ def test_no_cross_joins(spark, data):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
-@pytest.mark.parametrize("name", ["dialect_rewrite", "ddl_export", "type_map"])
+@pytest.mark.parametrize("name", ["dialect_rewrite", "ddl_export", "type_map", "assessment"])
 def test_rows_of_a_small_file_are_spread_over_tasks(name, spark, data):
     assert catalog.QUERIES[name](spark, data).rdd.getNumPartitions() >= 4
