@@ -8,6 +8,7 @@ before, comes from one row a range.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,12 +22,27 @@ def _segments(df: DataFrame, segments: int | None) -> int:
     return segments or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _place(cuts: Sequence, x: Column, kind: str) -> Column:
+    """A number that grows with how many of the cut points lie below: the block that x is in, then its place there."""
+    if not cuts:
+        return F.lit(0)
+    width = isqrt(len(cuts)) + 1
+    blocks = [F.array(*[F.lit(c) for c in cuts[i : i + width]]).cast(f"array<{kind}>") for i in range(0, len(cuts), width)]
+    below = lambda found: F.size(F.filter(found, lambda c: c < x))
+    block = below(F.array(*[F.element_at(b, -1) for b in blocks]))
+    inside = F.get(F.array(*blocks), block)
+    return block * width + F.when(inside.isNull(), 0).otherwise(below(inside))
+
+
 def segmented(df: DataFrame, order: str, segments: int | None = None) -> DataFrame:
-    """Rows with their range of the order column: how many of the cut points lie below."""
+    """Rows with their range of the order column.
+
+    The cut points are found once and stand in the plan as numbers: they come out a little different when they are found again
+    on a cluster, and all that is joined by range has to have the same ranges.
+    """
     n = _segments(df, segments)
-    cuts = df.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 100 * n).alias("cuts")).scalar()
-    rows = df.withColumn("__cuts", F.array_distinct(cuts))
-    return rows.withColumn(_SEG, F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(order))), F.lit(0))).drop("__cuts")
+    cuts = df.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 100 * n)).first()[0]
+    return df.withColumn(_SEG, _place(sorted(set(cuts or ())), F.col(order), df.schema[order].dataType.simpleString()))
 
 
 def _summed(cut: DataFrame, order: str, name: str) -> DataFrame:

@@ -99,3 +99,15 @@ def test_ranges_follow_the_rows(spark):
     sizes = [r["count"] for r in ordered.segmented(df, "o", 16).groupBy("__segment").count().collect()]
     assert len(sizes) == 16 and max(sizes) < 400
     assert ordered.running_sum(df, "o", F.lit(1), "s", 16).agg(F.max("s")).first()[0] == 4000
+
+
+def test_ranges_are_found_once_and_stand_in_the_plan(spark):
+    """Found anew in each branch of a join, approximate cut points may differ on a cluster, and so would the ranges joined by."""
+    df = spark.range(0, 5000, 1, 8).selectExpr("id * 3 AS o", "1 AS v")
+    cut = ordered.segmented(df, "o", 16)
+    assert "ubquery" not in cut._jdf.queryExecution().optimizedPlan().toString()
+    bounds = cut.groupBy("__segment").agg(F.min("o").alias("a"), F.max("o").alias("z")).orderBy("__segment").collect()
+    assert len(bounds) == 16 and all(x["z"] < y["a"] for x, y in zip(bounds, bounds[1:]))
+    assert ordered.segmented(df.limit(0), "o", 16).count() == 0
+    nulls = spark.createDataFrame([(None,), (1 << 60,), (3,)], "o bigint")
+    assert ordered.segmented(nulls, "o", 16).filter("__segment IS NULL").count() == 0
