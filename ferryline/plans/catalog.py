@@ -394,19 +394,24 @@ def cdc_fold_apply(spark, sf):
     return changes.fold(_customer(spark, sf), _fold_changes(spark, sf), ["c_custkey"])
 
 
-@query("""SELECT CASE WHEN c_custkey % 10 = 0 THEN c_custkey + 2000000 WHEN c_custkey % 10 = 1 THEN c_custkey + 3000000 ELSE c_custkey END AS c_custkey, c_name, CASE WHEN c_custkey % 10 = 0 THEN c_acctbal + 5 WHEN c_custkey % 10 = 1 THEN c_acctbal + 7 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 10 <> 2
+@query("""WITH w AS (SELECT 1000000 * (max(c_custkey) // 1000000 + 1) AS wide FROM customer)
+SELECT CASE WHEN c_custkey % 10 = 0 THEN c_custkey + 2 * wide WHEN c_custkey % 10 = 1 THEN c_custkey + 3 * wide ELSE c_custkey END AS c_custkey, c_name, CASE WHEN c_custkey % 10 = 0 THEN c_acctbal + 5 WHEN c_custkey % 10 = 1 THEN c_acctbal + 7 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer, w WHERE c_custkey % 10 <> 2
 UNION ALL SELECT c_custkey, 'again', 0.0, NULL FROM customer WHERE c_custkey % 10 = 0""")
 def cdc_keymove_apply(spark, sf):
-    """Keys that end in 0 move (and are inserted anew), those in 1 move twice, those in 2 are deleted."""
+    """Keys that end in 0 move (and are inserted anew), those in 1 move twice, those in 2 are deleted.
+
+    Keys move by whole millions that are more than the largest key, so that no row is in another's place at any time.
+    """
     c = _customer(spark, sf)
     k = F.col("c_custkey")
+    wide = c.agg(((F.call_function("div", F.max(k), F.lit(1_000_000)) + 1) * 1_000_000).alias("wide")).scalar()
     none, box = F.lit(None), lambda name, v: F.struct(v.alias(name)).alias(name)
-    record = lambda where, ord_, kind, key, old, name, bal, seg: c.filter(where).select((F.lit(ord_) * 10_000_000 + k).alias("ord"), F.lit(kind).alias("kind"), key.alias("c_custkey"), (F.struct(old.alias("c_custkey")) if old is not None else none.cast("struct<c_custkey:bigint>")).alias("old"), (box("c_name", name) if name is not None else none.cast("struct<c_name:string>").alias("c_name")), (box("c_acctbal", bal) if bal is not None else none.cast("struct<c_acctbal:double>").alias("c_acctbal")), (box("c_mktsegment", seg) if seg is not None else none.cast("struct<c_mktsegment:string>").alias("c_mktsegment")))
+    record = lambda where, ord_, kind, key, old, name, bal, seg: c.filter(where).select((wide * (10 * ord_) + k).alias("ord"), F.lit(kind).alias("kind"), key.alias("c_custkey"), (F.struct(old.alias("c_custkey")) if old is not None else none.cast("struct<c_custkey:bigint>")).alias("old"), (box("c_name", name) if name is not None else none.cast("struct<c_name:string>").alias("c_name")), (box("c_acctbal", bal) if bal is not None else none.cast("struct<c_acctbal:double>").alias("c_acctbal")), (box("c_mktsegment", seg) if seg is not None else none.cast("struct<c_mktsegment:string>").alias("c_mktsegment")))
     stream = (
-        record("c_custkey % 10 = 0", 1, "keymove", k + 2_000_000, k, None, F.col("c_acctbal") + 5, None)
+        record("c_custkey % 10 = 0", 1, "keymove", k + wide * 2, k, None, F.col("c_acctbal") + 5, None)
         .union(record("c_custkey % 10 = 0", 2, "full", k, None, F.lit("again"), F.lit(0.0), F.lit(None).cast("string")))
-        .union(record("c_custkey % 10 = 1", 3, "keymove", k + 2_500_000, k, None, None, None))
-        .union(record("c_custkey % 10 = 1", 4, "keymove", k + 3_000_000, k + 2_500_000, None, F.col("c_acctbal") + 7, None))
+        .union(record("c_custkey % 10 = 1", 3, "keymove", k + wide * 4, k, None, None, None))
+        .union(record("c_custkey % 10 = 1", 4, "keymove", k + wide * 3, k + wide * 4, None, F.col("c_acctbal") + 7, None))
         .union(record("c_custkey % 10 = 2", 5, "delete", k, None, None, None, None))
     )
     return changes.fold_with_moves(c, stream, ["c_custkey"])
