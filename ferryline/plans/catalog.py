@@ -475,7 +475,8 @@ def dead_letter_split(spark, sf):
 SELECT event_id, pos AS lsn, (SELECT max(pos) FROM p) - pos AS bytes_behind, log_pos AS binlog FROM p""")
 def lag_positions(spark, sf):
     e = table(spark, sf, "events")
-    text = F.concat_ws("/", F.upper(F.hex("user_id")), F.upper(F.hex(F.col("event_id") * 4096)))
+    low = F.col("event_id") * 4096  # what is past its 32 bits counts to the upper half
+    text = F.concat_ws("/", F.hex(F.col("user_id") + F.shiftright(low, 32)), F.hex(low.bitwiseAND(F.lit((1 << 32) - 1))))
     file = F.concat(F.lit("mysql-bin."), F.lpad((F.col("event_id") % 300).cast("string"), 6, "0"))
     p = e.select("event_id", render.lsn(text).alias("lsn"), render.binlog_position(file, F.col("event_id")).alias("binlog"))
     return p.withColumn("end", p.agg(F.max("lsn")).scalar()).select("event_id", "lsn", (F.col("end") - F.col("lsn")).cast("decimal(21,0)").alias("bytes_behind"), "binlog")

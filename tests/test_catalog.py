@@ -62,3 +62,9 @@ def test_moved_keys_take_no_other_rows_place(keys, spark, tmp_path):
     rows = [(k, f"c{k}", float(k % 97), "m") for k in keys]
     want, got = _differs(spark, tmp_path, "cdc_keymove_apply", "customer", rows, "c_custkey bigint, c_name string, c_acctbal double, c_mktsegment string")
     assert want == got and len(got) == sum(1 if k % 10 != 0 else 2 for k in keys if k % 10 != 2)
+
+
+def test_positions_carry_into_their_upper_half(spark, tmp_path):
+    rows = [(i, u) for u, i in enumerate([0, 5, (1 << 20) - 1, 1 << 20, (1 << 20) + 1, 36_000_000])]
+    want, got = _differs(spark, tmp_path, "lag_positions", "events", rows, "event_id bigint, user_id bigint")
+    assert want == got and not any("None" in r for r in got)
