@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from pyspark.sql import types as T
 from ..plans.ledger import FAILED, IN_PROGRESS, LOADED, PENDING, Ledger
 from .chunks import Chunk, chunk_number
 
+#: Chunks that are put in place at a time.
+MOVERS = 16
+
 
 def load_range(df: DataFrame, path: str, chunk: Column | str = "chunk_id", ids: Sequence[str] | None = None) -> dict[str, int]:
     """Replace chunks by the rows of ``df``, and no others; returns how many rows each got.
@@ -37,10 +41,17 @@ def load_range(df: DataFrame, path: str, chunk: Column | str = "chunk_id", ids:
     if ids is not None and not counts.keys() <= set(ids):
         fs.delete(at(staged), True)
         raise ValueError(f"rows of other chunks: {sorted(counts.keys() - set(ids))[:5]}")
-    for i in ids if ids is not None else counts:
-        fs.delete(at(f"{root}/{folder(i)}"), True)
-        if folder(i) in written and not fs.rename(at(f"{staged}/{folder(i)}"), at(f"{root}/{folder(i)}")):
+    there = {x.getPath().getName() for x in fs.listStatus(at(root))}
+
+    def put(i: str) -> None:
+        name = folder(i)
+        if name in there:
+            fs.delete(at(f"{root}/{name}"), True)
+        if name in written and not fs.rename(at(f"{staged}/{name}"), at(f"{root}/{name}")):
             raise OSError(f"chunk {i} can't be put in place")
+
+    with ThreadPoolExecutor(MOVERS) as pool:
+        list(pool.map(put, ids if ids is not None else counts))
     fs.delete(at(staged), True)
     return dict.fromkeys(ids or (), 0) | counts
 

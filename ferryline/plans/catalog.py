@@ -457,9 +457,9 @@ def chunk_reload(spark, sf):
     path = f"{shared_root(spark)}/ferryline-reload-{uuid.uuid4().hex[:12]}"
     rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.floor(F.col("o_orderkey") / 1000).cast("bigint").alias("no"))
     name = F.concat(F.lit("orders:"), F.col("no").cast("string"))
-    sinks.load_range(rows.drop("no").withColumn("chunk_id", F.concat(F.lit("orders:"), F.floor(F.col("o_orderkey") / 1000).cast("string"))).repartition(1), path)
+    sinks.load_range(rows.drop("no").withColumn("chunk_id", F.concat(F.lit("orders:"), F.floor(F.col("o_orderkey") / 1000).cast("string"))).repartition("chunk_id"), path)
     ids = [r[0] for r in rows.filter("no % 2 = 1").select(name).distinct().collect()]
-    left = rows.filter("no % 4 = 3 AND o_custkey % 2 = 1").withColumn("chunk_id", name).drop("no").repartition(1)
+    left = rows.filter("no % 4 = 3 AND o_custkey % 2 = 1").withColumn("chunk_id", name).drop("no").repartition("chunk_id")
     sinks.load_range(left, path, ids=ids)
     return spark.read.parquet(path).select(F.split("chunk_id", ":")[1].cast("bigint").alias("chunk_no"), "o_orderkey", "o_custkey")
 

@@ -68,3 +68,11 @@ def test_positions_carry_into_their_upper_half(spark, tmp_path):
     rows = [(i, u) for u, i in enumerate([0, 5, (1 << 20) - 1, 1 << 20, (1 << 20) + 1, 36_000_000])]
     want, got = _differs(spark, tmp_path, "lag_positions", "events", rows, "event_id bigint, user_id bigint")
     assert want == got and not any("None" in r for r in got)
+
+
+def test_chunks_are_written_by_more_than_one_task(spark, data, monkeypatch):
+    tasks = []
+    real = catalog.sinks.load_range
+    monkeypatch.setattr(catalog.sinks, "load_range", lambda df, *a, **k: tasks.append("SinglePartition" in df._jdf.queryExecution().executedPlan().toString()) or real(df, *a, **k))
+    catalog.QUERIES["chunk_reload"](spark, data)
+    assert tasks == [False, False]
