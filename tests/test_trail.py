@@ -227,3 +227,14 @@ def test_rows_that_can_not_be_told_raise():
         D.change_of("table public.t: UPDATE: old-key: other[integer]:1 new-tuple: id[integer]:2", {"T": ["id"]})
     got = D.change_of("table public.t: UPDATE: old-key: id[integer]:1 k[text]:'a' new-tuple: id[integer]:2 k[text]:unchanged-toast-datum", {"T": ["id", "k"]})
     assert got["key"] == {"id": 2, "k": "a"} and got["before_key"] == {"id": 1, "k": "a"}
+
+
+def test_a_limited_read_is_not_one_task(spark, tmp_path):
+    t = TR.Trail(spark, str(tmp_path / "limited"), rotate_bytes=300)
+    t.append([{"op": "I", "table": "t", "key": {"k": i}, "after": {"k": i}} for i in range(20)])
+    some = t.read(2, 5)
+    assert "Limit" not in some._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["seq"] for r in some.collect()) == [3, 4, 5, 6, 7]
+    t.purge(t.listed()[1].last)
+    first = t.listed()[0].first
+    assert sorted(r["seq"] for r in t.read(0, 3).collect()) == [first, first + 1, first + 2] and first > 1
