@@ -130,7 +130,9 @@ def decode(lines: DataFrame, keys: dict[str, list[str]]) -> DataFrame:
     from ..functions.render import lsn as position
 
     upper = {k.upper(): v for k, v in keys.items()}
-    parsed = cut(lines.select("ord", "lsn", "line").mapInPandas(_parse(upper), _PARSED))  # read several times below
+    spark = lines.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a recorded file is one
+    parsed = cut(lines.select("ord", "lsn", "line").repartition(tasks).mapInPandas(_parse(upper), _PARSED))  # read several times below
     opened = running_sum(parsed, "ord", F.col("is_begin").cast("int"), "n_begin")
     closed = cut(running_sum(opened, "ord", F.col("is_commit").cast("int"), "n_commit"))
     begins = closed.filter("is_begin").select(F.col("n_begin").alias("b"), "xid")

@@ -238,3 +238,12 @@ def test_a_limited_read_is_not_one_task(spark, tmp_path):
     t.purge(t.listed()[1].last)
     first = t.listed()[0].first
     assert sorted(r["seq"] for r in t.read(0, 3).collect()) == [first, first + 1, first + 2] and first > 1
+
+
+def test_lines_of_one_file_are_parsed_by_more_than_one_task(spark, monkeypatch):
+    parts = []
+    real = D.cut
+    monkeypatch.setattr(D, "cut", lambda df: parts.append(df.rdd.getNumPartitions()) or real(df))
+    lines = spark.createDataFrame([(0, "0/0", "BEGIN 1"), (1, "0/1", "table public.t: INSERT: id[integer]:1"), (2, "0/2", "COMMIT 1")], "ord bigint, lsn string, line string").coalesce(1)
+    (row,) = D.decode(lines, {"t": ["id"]}).collect()
+    assert parts[0] >= 4 and row["txn_id"] == 1 and row["txn_end"]
