@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 #: Reserved words of the PostgreSQL family, which must be quoted as identifiers.
 RESERVED = frozenset(
@@ -31,6 +32,7 @@ def quoted(name: str, dialect: str = "postgres") -> str:
     return f"{'[' if q == ']' else q}{name.replace(q, q + q)}{q}"
 
 
+@lru_cache(4096)
 def ident(name: str, preserve_case: bool = False, dialect: str = "postgres") -> str:
     """A name folded (Oracle's keep their case) and quoted."""
     return quoted(name if dialect == "oracle" else fold(name, preserve_case), dialect)

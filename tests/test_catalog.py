@@ -1,10 +1,11 @@
 """Every registered query against its DuckDB twin, and the driver's contract."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
-from ferryline.plans import catalog
+from ferryline.plans import catalog, metadata_catalog
 from ferryline.project import fresh_rows
 from ferryline.sources.tables import ParquetSource
 
@@ -47,6 +48,12 @@ def test_rows_of_a_small_file_are_spread_over_tasks(name, spark, data):
     assert catalog.QUERIES[name](spark, data).rdd.getNumPartitions() >= 4
 
 
+def test_a_task_holds_the_rows_of_a_few_customers():
+    given = pa.table({"customer": range(2500)} | {x: [str(i) for i in range(2500)] for x in metadata_catalog.VALUES}).to_batches()
+    out = list(metadata_catalog._maker(lambda v: [(v.k, v.customer), (None, None)], ["a", "b"], [False, True])([*given, given[0].slice(0, 0)]))
+    assert [b.num_rows for b in out] == [2000, 2000, 1000] and out[2].slice(998).to_pylist() == [{"customer": 2499, "a": "2499", "b": 2499}, {"customer": 2499, "a": None, "b": None}]
+
+
 def _differs(spark, folder, name, table, rows, columns):
     """Rows of a query over a table of its own that its twin has not, and the other way round."""
     spark.createDataFrame(rows, columns).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{table}.parquet")
