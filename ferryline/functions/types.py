@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import types as T
 
@@ -178,6 +179,7 @@ RULES: dict[str, tuple[Rule, ...]] = {
 }
 
 
+@lru_cache(4096)
 def parse_type(source_type: str, dialect: str, strict: bool = False) -> Kind:
     """The neutral type of a dialect's type name.
 

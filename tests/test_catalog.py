@@ -83,3 +83,8 @@ def test_chunks_are_written_by_more_than_one_task(spark, data, monkeypatch):
     monkeypatch.setattr(catalog.sinks, "load_range", lambda df, *a, **k: tasks.append("SinglePartition" in df._jdf.queryExecution().executedPlan().toString()) or real(df, *a, **k))
     catalog.QUERIES["chunk_reload"](spark, data)
     assert tasks == [False, False]
+
+
+def test_values_that_look_like_places_stay(spark, tmp_path):
+    want, got = _differs(spark, tmp_path, "column_defaults", "customer", [(7, "@seg@", 3, 1.0, "M")], "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
+    assert want == got

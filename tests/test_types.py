@@ -48,3 +48,8 @@ def test_identifiers():
     assert qualified("HR.ORDER") == 'hr."order"'
     assert unique_names([("a", "i"), ("b", "i"), ("b", "i"), ("c", "j")]) == ["i", "b_i", "b_i_2", "j"]
     assert effective_case(False, "oracle") and not effective_case(False, "postgres")
+
+
+def test_a_name_is_looked_up_once():
+    assert parse_type("NUMBER(12, 3)", "oracle") is parse_type("NUMBER(12, 3)", "oracle") == Kind("decimal", 12, 3)
+    assert parse_type("INT(11)", "mysql", strict=True).kind == "custom" and parse_type("INT(11)", "mysql").kind == "integer" and parse_type("DATE", "oracle") != parse_type("DATE", "mysql")
