@@ -14,11 +14,13 @@ from .model import Schema
 
 #: Days of work by object.
 DAYS = {"routines": 0.25, "triggers": 0.1, "materialized_views": 0.1, "partitioned_tables": 0.1}
+#: A routine's constructs as one pattern, a group for each: none begins inside another, so that one pass counts them all.
+_CONSTRUCTS = re.compile(r"\b(?:" + "|".join(f"({pattern.removeprefix(r'\b')})" for pattern, _ in ROUTINE_WEIGHTS) + ")", re.I)
 
 
 def score_routine(body: str | None) -> int:
     """Weighted count of the constructs in a routine's body (functions.render.routine_cost for a column)."""
-    return sum(weight * len(re.findall(pattern, body or "", re.I)) for pattern, weight in ROUTINE_WEIGHTS)
+    return sum(ROUTINE_WEIGHTS[m.lastindex - 1][1] for m in _CONSTRUCTS.finditer(body or ""))
 
 
 def inventory(schema: Schema) -> dict[str, int]:

@@ -1,3 +1,6 @@
+import re
+
+from ferryline.functions.render import ROUTINE_WEIGHTS
 from ferryline.functions.types import Kind, TypeRegistry
 from ferryline.plans import assess, ddl
 from ferryline.plans.model import Check, Column, ForeignKey, Index, Routine, Schema, Sequence, Table, Trigger, View
@@ -60,3 +63,10 @@ def test_assessment():
     assert [g.feature for g in r.gaps] == ["PL/SQL procedure", "trigger", "materialized view", "partitioned table"]
     assert "PROCEDURE: P" in assess.review_file(SCHEMA) and assess.review_file(Schema("x")) == ""
     assert '"days": 0.55' in r.json() and "<td>views</td><td>2</td>" in r.html() and "views: 2" in r.text()
+
+
+def test_a_routine_is_scored_in_one_pass(monkeypatch):
+    body = "x CURSOR cursor_ cursors dbms_cursor DBMS_x dbms_dbms_ Connect\n by connect by_ bulk  collect bulk collects FORALL forall exception pragma exception pragma autonomous_transaction execute immediate execute cur\u017for" * 2
+    want = sum(weight * len(re.findall(pattern, body, re.I)) for pattern, weight in ROUTINE_WEIGHTS)
+    monkeypatch.delattr(assess.re, "findall")
+    assert assess.score_routine(body) == want > 60 and assess.score_routine("") == assess.score_routine(None) == 0
