@@ -68,6 +68,17 @@ def with_hold(df: DataFrame, txn: str, end: str, order: str) -> DataFrame:
     return df.withColumn("__tail", tail).withColumn("held", hold).drop("__tail")
 
 
+def held_of(df: DataFrame, txn: str, end: str, order: str) -> Column:
+    """Whether a row is held, as with_hold says it, with what is known of the last transaction found at once."""
+    at, own = F.struct(F.col(order), F.col(txn).alias("t")), F.col(txn)
+    last = df.agg(F.max(at).alias("last")).first()["last"]
+    if last is None or last["t"] is None:
+        return F.lit(False)
+    mine = own == last["t"]
+    ended = df.filter(mine).agg(F.max(F.col(end).cast("int"))).first()[0]
+    return F.lit(False) if ended else F.coalesce(mine, F.lit(False))
+
+
 def with_open(df: DataFrame, txn: str, end: str) -> DataFrame:
     """Rows with held: their transaction lacks its end, whatever follows it.  For streams in which transactions interleave."""
     tagged = df.filter(F.col(txn).isNotNull())
@@ -180,7 +191,8 @@ def _linked_by_moves(stored: DataFrame, changes: DataFrame, keys: Sequence[str])
     s, c = tag(stored), tag(changes)
     kept = [f.name for f in stored.schema.fields]
     schema = stored.schema
-    bucket = F.pmod(F.xxhash64("root"), F.lit(4 * int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions")))).alias("bucket")
+    tasks = max(stored.sparkSession.sparkContext.defaultParallelism, int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bucket = F.pmod(F.xxhash64("root"), F.lit(16 * tasks)).cast("int").alias("bucket")
     moved_rows = s.filter("root IS NOT NULL").select(bucket, F.lit(-1).cast("bigint").alias("ord"), F.lit("stored").alias("kind"), F.struct(*keys).alias("key"), F.struct(*keys).alias("old"), *[F.struct(F.col(x)).alias(f"c_{x}") for x in rest])
     moved_changes = c.filter("root IS NOT NULL").select(bucket, "ord", "kind", F.struct(*keys).alias("key"), F.coalesce("old", F.struct(*keys)).alias("old"), *[F.col(x).alias(f"c_{x}") for x in rest])
 
@@ -195,7 +207,8 @@ def _linked_by_moves(stored: DataFrame, changes: DataFrame, keys: Sequence[str])
                 todo.append({"kind": r["kind"], "key": r["key"], "before_key": r["old"], "after": image})
         return pa.Table.from_pylist(list(replay(rows, todo, kept, keys).values()), pa.schema([(x, kinds[x]) for x in kept]))
 
-    return s, c, moved_rows.unionByName(moved_changes).groupBy("bucket").applyInArrow(one, schema)
+    dealt = moved_rows.unionByName(moved_changes).repartition(tasks, "bucket")  # few bytes, but much work: not to be put together
+    return s, c, dealt.groupBy("bucket").applyInArrow(one, schema)
 
 
 def fold_with_moves(stored: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-_SEG = "__segment"
+#: The column of a row's range.
+SEGMENT = _SEG = "__segment"
 
 
 def _segments(df: DataFrame, segments: int | None) -> int:
@@ -22,6 +23,12 @@ def _segments(df: DataFrame, segments: int | None) -> int:
     return segments or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def ranges_of(df: DataFrame, rows: tuple[int, int]) -> int:
+    """Ranges for a table: as many as are usual, but none of fewer rows or of many more than the two numbers."""
+    n = df.count()
+    return max(1, min(_segments(df, None), n // rows[0]), n // rows[1])
+
+
 def _place(cuts: Sequence, x: Column, kind: str) -> Column:
     """A number that grows with how many of the cut points lie below: the block that x is in, then its place there."""
     if not cuts:
@@ -79,6 +86,32 @@ def runs(df: DataFrame, order: str, values: Sequence[str], name: str = "run_id",
     return _summed(before.withColumn("__v", F.when(starts, 1).otherwise(0).cast("bigint")).drop("__previous"), order, name).drop(_SEG)
 
 
+def between(df: DataFrame, order: str, mark: Column, ahead: Column, names: tuple[str, str]) -> DataFrame:
+    """Segmented rows with the last ``mark`` that isn't null up to each of them, and with ``ahead`` of the row after, in order."""
+    rows = df.withColumns({"__m": mark, "__a": ahead})
+    firsts = rows.groupBy(_SEG).agg(F.min_by("__a", order).alias("__first"))
+    lasts = rows.filter(F.col("__m").isNotNull()).groupBy(_SEG).agg(F.max_by("__m", order).alias("__last"))
+    ranges, inside = Window.orderBy(_SEG), Window.partitionBy(_SEG).orderBy(order)
+    ends = firsts.join(lasts, _SEG, "left")
+    borders = ends.select(_SEG, F.last("__last", True).over(ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.lead("__first").over(ranges).alias("__after"))
+    seen = rows.withColumns({"__m": F.last("__m", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "__a": F.lead(F.struct("__a")).over(inside)})
+    found = {names[0]: F.coalesce("__m", "__before"), names[1]: F.when(F.col("__a").isNull(), F.col("__after")).otherwise(F.col("__a.__a"))}
+    return seen.join(F.broadcast(borders), _SEG).withColumns(found).drop("__m", "__a", "__before", "__after")
+
+
+def numbered(df: DataFrame, order: str, name: str, after: int = 0, segments: int | None = None) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """Segmented rows with their number in order, from the one after ``after``; and each range with its first and last number."""
+    cut = segmented(df, order, segments)
+    spans = []
+    for r in cut.groupBy(_SEG).count().orderBy(_SEG).collect():
+        spans.append((r[_SEG], after + 1, after + r["count"]))
+        after += r["count"]
+    starts = {s: a for s, a, _ in spans}
+    before = F.array(*[F.lit(starts.get(s, 1) - 1) for s in range(max(starts, default=0) + 1)]).cast("array<bigint>")
+    inside = F.row_number().over(Window.partitionBy(_SEG).orderBy(order))
+    return cut.withColumn(name, inside).withColumn(name, F.col(name) + F.get(before, F.col(_SEG))), spans
+
+
 def ordinal_within(df: DataFrame, base: str, order: str, name: str = "seq") -> DataFrame:
     """Rows with how many rows of the same base come before them."""
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(base).orderBy(order)) - 1).cast("bigint"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import sinks
 from ..operators.chunks import plan_chunks
 from ..operators.graph import shared_root
+from ..sources.decoding import tasks_of
+from ..sources.slot import Recording
 from ..sources.tables import table
 from ..sources.trail import Trail
 from ..streaming import replicate
@@ -144,24 +146,32 @@ def wide_key_chunks(spark, sf):
 
 
 def _recorded(spark, path: str, number: int, lines: DataFrame) -> None:
-    """Put lines (ord, data) into a recording as one peek, in their order; written by Spark, then renamed."""
+    """Put lines (ord, data) into a recording in their order, as peeks of whole transactions that as many tasks write; each file
+    is renamed into its place."""
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path
     fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
     lsn = F.concat(F.upper(F.hex(number * (1 << 16) + F.shiftright("ord", 32))), F.lit("/"), F.upper(F.hex(F.col("ord").bitwiseAND(F.lit((1 << 32) - 1)))))
-    rows = lines.select("ord", F.to_json(F.struct(lsn.alias("lsn"), "data")).alias("value")).coalesce(1).sortWithinPartitions("ord").select("value")
+    txn = F.call_function("div", F.col("ord"), F.lit(TXN))
+    rows = lines.repartitionByRange(tasks_of(spark), txn).sortWithinPartitions("ord").select(F.to_json(F.struct(lsn.alias("lsn"), "data")).alias("value"))
     rows.write.text(temp := f"{path}/.part-{number}")
-    (made,) = (x.getPath() for x in fs.listStatus(at(temp)) if x.getPath().getName().startswith("part-"))
-    fs.rename(made, at(f"{path}/changes-{number:010d}.jsonl"))
+    made = sorted((x.getPath().getName(), x.getPath()) for x in fs.listStatus(at(temp)) if x.getPath().getName().startswith("part-") and x.getLen())
+    done = max(Recording(path).numbers(), default=0)
+    for n, (_, file) in enumerate(made, done + 1):
+        fs.rename(file, at(f"{path}/changes-{n:010d}.jsonl"))
     fs.delete(at(temp), True)
 
 
+#: Places that a transaction takes in the order of a log.
+TXN = 200
+
+
 def _transactions(rows: DataFrame, change: Column) -> DataFrame:
     """(ord, data): a change for each row (k), in transactions of 50 keys, as logical decoding prints them."""
     txn = F.call_function("div", F.col("k"), F.lit(50))
     ids = rows.select(txn.alias("x")).distinct()
-    line = lambda at, text: ids.select((F.col("x") * 200 + at).alias("ord"), F.concat(F.lit(text), F.col("x").cast("string")).alias("data"))
-    return line(0, "BEGIN ").union(rows.select((F.col("k") * 4 + 1).alias("ord"), F.concat(F.lit("table public.orders: "), change).alias("data"))).union(line(199, "COMMIT "))
+    line = lambda at, text: ids.select((F.col("x") * TXN + at).alias("ord"), F.concat(F.lit(text), F.col("x").cast("string")).alias("data"))
+    return line(0, "BEGIN ").union(rows.select((F.col("k") * 4 + 1).alias("ord"), F.concat(F.lit("table public.orders: "), change).alias("data"))).union(line(TXN - 1, "COMMIT "))
 
 
 @query("""SELECT CASE WHEN o_orderkey % 9 = 0 THEN -o_orderkey - 1 ELSE o_orderkey END AS row_key, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS customer,

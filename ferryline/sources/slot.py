@@ -11,15 +11,17 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.json as pj
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 _FILE = re.compile(r"changes-(\d+)\.jsonl$")
-#: Lines of a file in the order of the whole recording.
-LINES = 1 << 32
-BATCH_LINES = 16_384
+#: Bytes of a file in the order of the whole recording, and bytes of a file to a task.
+BYTES, PIECE = 1 << 36, 16 << 20
 
 
 class Recording:
@@ -70,9 +72,13 @@ class Recording:
         self.files.move(temp, self.file(number))
 
 
-class _File(InputPartition):
-    def __init__(self, number: int):
-        super().__init__(number)
+@dataclass
+class _Piece(InputPartition):
+    """The lines of a file that begin in a range of its bytes."""
+
+    number: int
+    start: int = 0
+    end: int = 0
 
 
 class _SlotReader(DataSourceStreamReader):
@@ -87,39 +93,63 @@ class _SlotReader(DataSourceStreamReader):
         return {"file": max(at.numbers(), default=at.confirmed(self.slot))}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_File(n) for n in Recording(self.path).numbers() if start["file"] < n <= end["file"]] or [_File(-1)]
+        at = Recording(self.path)
+        sizes = {n: at.files.get_file_info(at.file(n)).size for n in at.numbers() if start["file"] < n <= end["file"]}
+        if max(sizes.values(), default=0) > BYTES:
+            raise ValueError(f"{self.path} has a file of more than {BYTES} bytes: the places of its lines can't be told")
+        return [_Piece(n, x, min(x + PIECE, size)) for n, size in sizes.items() for x in range(0, size, PIECE)] or [_Piece(-1)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        """The lines of one file, in batches."""
-        if partition.value < 0:
+        """The lines of a piece, in batches."""
+        if partition.number < 0:
             return
-        at = Recording(self.path)
-        rows: list[tuple] = []
-        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))], ["ord", "lsn", "line"])
-        with at.files.open_input_file(at.file(partition.value)) as f, pa.input_stream(f) as lines:
-            for n, text in enumerate(_lines(lines)):
-                found = json.loads(text)
-                rows.append((partition.value * LINES + n, found["lsn"], found["data"]))
-                if len(rows) >= BATCH_LINES:
-                    yield batch()
-                    rows = []
-        if rows:
-            yield batch()
+        at, first = Recording(self.path), partition.number * BYTES
+        with at.files.open_input_file(at.file(partition.number)) as f:
+            for places, text in _lines(f, partition.start, partition.end):
+                lsn, data = _fields(text, len(places))
+                yield pa.RecordBatch.from_arrays([pa.array(places + first, pa.int64()), lsn, data], ["ord", "lsn", "line"])
 
     def commit(self, end: dict) -> None:
         Recording(self.path).advance(self.slot, end["file"])
 
 
-def _lines(stream, size: int = 1 << 20) -> Iterator[bytes]:
-    """Whole lines of a stream of bytes, a block at a time; a last one that was cut off raises."""
-    left = b""
-    while block := stream.read(size):
-        *whole, left = (left + block).split(b"\n")
-        yield from whole
-    if left:
+def _lines(f, start: int, end: int, size: int = 1 << 20) -> Iterator[tuple[np.ndarray, bytes]]:
+    """The lines that begin in a range of a file's bytes, a block at a time: their places, and all their text.  A last one that was
+    cut off raises."""
+    at, left = max(0, start - 1), b""
+    before = start > 0  # what is read first is of a line that began before, if only its newline
+    f.seek(at)
+    while at < end and (block := f.read(size)):
+        text = left + block
+        ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 10) + 1
+        if not len(ends):
+            left = text
+            continue
+        begun = np.concatenate([[0], ends[:-1]])
+        first, last = int(before), int(np.searchsorted(begun, end - at))  # lines from the one to the other begin in the range
+        if first < last:
+            yield begun[first:last] + at, text[begun[first] : ends[last - 1] - 1]
+        at, left, before = at + int(ends[-1]), text[ends[-1] :], False
+    if at < end and left and not before:
         raise ValueError("a recorded file ends inside a line")
 
 
+_FIELDS = pa.schema([("lsn", pa.string()), ("data", pa.string())])
+
+
+def _fields(text: bytes, n: int) -> tuple[pa.Array, pa.Array]:
+    """lsn and data of n lines: all at once, or one by one where that can't be, which says what is wrong."""
+    try:
+        found = pj.read_json(pa.BufferReader(text), pj.ReadOptions(use_threads=False, block_size=len(text) + 1), pj.ParseOptions(explicit_schema=_FIELDS, unexpected_field_behavior="ignore"))
+        lsn, data = (found.column(c).combine_chunks() for c in ("lsn", "data"))
+        if len(lsn) == n and not lsn.null_count and not data.null_count:
+            return lsn, data
+    except pa.ArrowInvalid:
+        pass
+    rows = [json.loads(x) for x in text.split(b"\n")]
+    return pa.array([x["lsn"] for x in rows], pa.string()), pa.array([x["data"] for x in rows], pa.string())
+
+
 class SlotSource(DataSource):
     """spark.readStream.format("ferryline_slot").option("path", ...).option("slot", ...)"""
 

@@ -19,6 +19,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 
 class CorruptTrail(ValueError):
@@ -125,6 +126,10 @@ def position(p) -> tuple[int, int] | None:
 _SCHEMA = "seq bigint, op string, schema string, `table` string, key map<string,string>, after map<string,string>, before_key map<string,string>, scn bigint, commit_ts string, source_pos string, txn_id bigint, txn_end boolean, _corrupt string"
 
 
+#: Rows of a table to a segment: as few as are worth a file, and as many as one task should sort.
+SEGMENT_ROWS = (1 << 14, 1 << 18)
+
+
 def _file() -> Column:
     return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
 
@@ -238,23 +243,23 @@ class Trail:
     def append_frame(self, df: DataFrame, order: str) -> int:
         """Write a table of records (op, table, key, after and others of the schema) in the order of a whole number.
 
-        Numbering and writing stay distributed; each file that Spark writes becomes a segment.  The table is read once, into
-        a checkpoint, so that a source that changes meanwhile can't be numbered twice.  Returns how many.
+        Numbering and writing stay distributed: rows are counted by range of the order, and each range becomes a segment.  The
+        table is read once, into a copy, so that a source that changes meanwhile can't be numbered twice.  Returns how many.
         """
-        from ..operators.graph import cut
-        from ..operators.ordered import running_sum
+        from ..operators.graph import copied
+        from ..operators.ordered import SEGMENT, numbered, ranges_of
 
         temp, n = f"{self.path}/.frame", 0
-        with self.writing() as last:
-            rows = running_sum(cut(df), order, F.lit(1), "__n").withColumn("seq", F.col("__n") + last.last)
-            fields = [c for c in rows.columns if c not in (order, "__n")]
-            lines = rows.repartitionByRange("seq").sortWithinPartitions("seq").select(F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "true"}).alias("value"))
-            lines.write.mode("overwrite").text(temp)
-            seq = F.get_json_object("value", "$.seq").cast("bigint")
-            spans = self.spark.read.text(temp).select(_file().alias("file"), seq.alias("seq")).groupBy("file").agg(F.min("seq").alias("first"), F.max("seq").alias("last")).orderBy("first").collect()
-            for at, r in enumerate(spans, last.number + 1):
-                self._publish(f"{temp}/{r['file']}", Segment(at, r["first"], r["last"]))
-                n += r["last"] - r["first"] + 1
+        fields = [f.name for f in df.schema.fields if f.name != order and not isinstance(f.dataType, NullType)]
+        with self.writing() as last, copied(df.select(order, *fields)) as rows:
+            numbers, spans = numbered(rows, order, "seq", last.last, ranges_of(rows, SEGMENT_ROWS))
+            lines = numbers.sortWithinPartitions(SEGMENT, "seq").select(SEGMENT, F.to_json(F.struct(*sorted({*fields, "seq"})), {"ignoreNullFields": "true"}).alias("value"))
+            if spans:
+                lines.write.mode("overwrite").partitionBy(SEGMENT).text(temp)
+            for at, (part, first, end) in enumerate(spans, last.number + 1):
+                (made,) = (x.getPath() for x in self._fs.listStatus(self._path(f"{temp}/{SEGMENT}={part}")) if x.getPath().getName().startswith("part-"))
+                self._publish(made.toString(), Segment(at, first, end))
+                n += end - first + 1
             self._fs.delete(self._path(temp), True)
         return n
 
@@ -282,15 +287,34 @@ class Trail:
 
     def read(self, after: int = 0, limit: int | None = None) -> DataFrame:
         """Records past a sequence number, in a table; to be ordered by seq.  Only the segments needed are opened."""
+        return self._checked(self._parsed(after, limit), after, limit)
+
+    @contextmanager
+    def opened(self, after: int = 0, limit: int | None = None) -> Iterator[DataFrame]:
+        """What read gives, parsed once for as long as the block runs."""
+        parsed = self._parsed(after, limit).persist()
+        try:
+            yield self._checked(parsed, after, limit)
+        finally:
+            parsed.unpersist()
+
+    def _parsed(self, after: int, limit: int | None) -> DataFrame:
+        """The lines of the segments needed, with their files and those that can't be read."""
+        need = self.needed(after, limit)
+        if not need:
+            return self.spark.createDataFrame([], f"file string, {_SCHEMA}")
+        lines = self.spark.read.text([self._at(s) for s in need]).select("value", _file().alias("file"))
+        return lines.select("file", F.from_json("value", _SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("file", "r.*")
+
+    def _checked(self, parsed: DataFrame, after: int, limit: int | None) -> DataFrame:
+        """The records of parsed lines; one that is cut off is left out, and another that can't be read raises."""
         have, need = self.listed(), self.needed(after, limit)
         if not need:
-            return self.spark.createDataFrame([], _SCHEMA).drop("_corrupt")
+            return parsed.drop("_corrupt", "file")
         for s in need:
             if s != have[-1] and self._torn(self._at(s)):
                 raise CorruptTrail(f"{s.name} is closed but its last line is cut off")
         torn = need[-1] == have[-1] and self._torn(self._at(have[-1]))
-        lines = self.spark.read.text([self._at(s) for s in need]).select("value", _file().alias("file"))
-        parsed = lines.select("file", F.from_json("value", _SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("file", "r.*")
         bad = parsed.filter(F.col("_corrupt").isNotNull() | F.col("seq").isNull())
         if torn:
             name = have[-1].name

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.render import lsn
 from ..operators.changes import after_tail, check_epoch
-from ..operators.graph import cut
+from ..operators.graph import copied
 from ..sources.binlog import BinlogSource, LogFiles
-from ..sources.decoding import decode
+from ..sources.decoding import changes_of, parsed, tasks_of
 from ..sources.slot import Recording, SlotSource
 from ..sources.trail import Trail, tagged_text
 
@@ -42,9 +42,8 @@ def trail_tail(trail: Trail) -> tuple[int, int] | None:
     return None if found is None else tuple(int(x) for x in found.strip("[]").split(","))
 
 
-def append_changes(trail: Trail, changes: DataFrame) -> int:
+def append_changes(trail: Trail, changes: DataFrame, tail: tuple[int, int] | None) -> int:
     """Append what is past the trail's tail, in the stream's order; returns how many."""
-    tail = trail_tail(trail)
     kept = after_tail(changes, F.col("base"), F.col("seq"), None if tail is None else (Decimal(tail[0]), tail[1]))
     return trail.append_frame(records_of(kept), "ord")
 
@@ -104,7 +103,7 @@ def capture_binlog(spark: SparkSession, path: str, trail: Trail, keys: dict[str,
     read = spark.read.format("ferryline_binlog").option("path", path).option("keys", json.dumps(keys))
     if tail is not None:
         read = read.option("file", tail[0] >> 48).option("position", (tail[0] & (1 << 48) - 1) - 1)
-    append_changes(trail, read.load())
+    append_changes(trail, read.load(), tail)
     return found
 
 
@@ -125,7 +124,11 @@ def capture(spark: SparkSession, path: str, slot: str, trail: Trail, keys: dict[
     lines = spark.readStream.format("ferryline_slot").option("path", path).option("slot", slot).load()
 
     def append(batch: DataFrame, _: int) -> None:
-        append_changes(trail, decode(cut(batch), keys))
+        tail, tasks = trail_tail(trail), tasks_of(spark)
+        past = None if tail is None else tail[0]
+        spread = batch if batch.rdd.getNumPartitions() >= tasks else batch.repartition(tasks)
+        with copied(parsed(spread, keys, past)) as lines:
+            append_changes(trail, changes_of(lines, past), tail)
 
     # a run that takes up a batch that was cut short may end with it; the slot moves to where a run has come, no further
     while True:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.changes import dead_letters, fold, fold_with_moves, in_commit_order, interleave, kind_of, with_hold, with_open, without_moves
+from ..operators.changes import dead_letters, fold, fold_with_moves, held_of, in_commit_order, interleave, kind_of, with_hold, with_open, without_moves
 from ..sources.trail import _SCHEMA as TRAIL_SCHEMA
 from ..sources.trail import Trail, value_text
 from .versions import Applied, Fenced, Pointer, Replica, Stored, VersionedTable
@@ -193,8 +193,7 @@ def apply_tables(replica: Replica, records: DataFrame, tables: dict[str, Sequenc
             unseen = unseen | ((F.col("seq") > now.cursor) & F.col("txn_id").isin(*now.open))
         fresh = records.filter(unseen)
         mixed = whole and (mixed or now.mixed) or whole and bool(interleave(records.filter(F.col("seq") > now.cursor), "txn_id", "seq").limit(1).count())
-        held = with_open(fresh, "txn_id", "txn_end") if mixed else with_hold(fresh, "txn_id", "txn_end", "seq") if whole else fresh.withColumn("held", F.lit(False))
-        found = held.persist()
+        found = with_open(fresh, "txn_id", "txn_end").persist() if mixed else fresh.withColumn("held", held_of(fresh, "txn_id", "txn_end", "seq") if whole else F.lit(False))
         try:
             free, lower = ~F.col("held"), F.lower("table")
             mine = free if last_of is None else free & (lower == last_of.lower())
@@ -213,8 +212,13 @@ def apply_tables(replica: Replica, records: DataFrame, tables: dict[str, Sequenc
             for target, name, keys in work:
                 schema = target.schema()
                 why = reasons(schema, keys)
-                good, bad = dead_letters(ready.filter(lower == name.lower()), why.isNull(), most_parked)
+                own = ready.filter(lower == name.lower())
+                good, bad = dead_letters(own, why.isNull())
                 n_bad = bad.limit(most_parked + 1).count()
+                if n_bad > most_parked:
+                    raise ValueError(f"more than {most_parked} changes can't be applied ({n_bad} found): stopped before anything was written")
+                if not n_bad:
+                    good = own
                 if n_bad and park is None:
                     raise ValueError(f"{name} has changes that can't be applied, and there is no place to park them")
                 bad = bad.withColumn("reason", why)
@@ -238,7 +242,8 @@ def apply_tables(replica: Replica, records: DataFrame, tables: dict[str, Sequenc
             replica.publish(staged, batch, cursor, stream, place)
             return cursor
         finally:
-            found.unpersist()
+            if mixed:
+                found.unpersist()
 
 
 def _drained(trail: Trail, replica, tables: Iterable[VersionedTable], apply: Callable[[DataFrame, int], int], batch_records: int, stream: str) -> int:
@@ -249,7 +254,8 @@ def _drained(trail: Trail, replica, tables: Iterable[VersionedTable], apply: Cal
     while True:
         before, size = place(), max(batch_records, trail.last_seq()) if empty else batch_records
         while True:
-            reached = apply(trail.read(before.cursor, size + max(0, before.ahead - before.cursor)), before.batch + 1)
+            with trail.opened(before.cursor, size + max(0, before.ahead - before.cursor)) as records:
+                reached = apply(records, before.batch + 1)
             if place() != before or trail.last_seq() <= max(before.cursor, before.ahead) + size:
                 break
             size *= 2

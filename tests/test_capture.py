@@ -152,3 +152,49 @@ def test_how_far_versions_are_ahead(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out) == {"written": 2, "applied": 0, "behind": 2, "source": {"mode": "version", "rows_behind": 1, "tables": {"t": 1}}}
     p.config.source.path = str(tmp_path / "elsewhere")
     assert "SourceChanged" in p.source_lag("e")["error"]
+
+
+def test_a_file_is_read_by_more_than_one_task(spark, tmp_path, monkeypatch):
+    """Pieces of a file, cut anywhere, hold each of its lines once, in places that rise."""
+    at = S.Recording(str(tmp_path / "log"))
+    at.put(1, [(f"0/{n:X}", f"line {n} é") for n in range(50)])
+    at.put(2, txn(5, 99, "INSERT: id[integer]:1"))
+    for piece in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(S, "PIECE", piece)
+        reader = S._SlotReader({"path": at.root})
+        parts = reader.partitions({"file": -1}, {"file": 2})
+        rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+        assert [r["line"] for r in rows[:50]] == [f"line {n} é" for n in range(50)] and len(rows) == 53
+        assert [r["ord"] for r in rows] == sorted({r["ord"] for r in rows}) and (piece > 64 or len(parts) > 30)
+    monkeypatch.setattr(S, "PIECE", 10)
+    trail = Trail(spark, str(tmp_path / "trail"))
+    C.capture(spark, at.root, "main", trail, KEYS, str(tmp_path / "state"))
+    assert seen(trail) == [(1, "I", "1", 5, True)]
+
+
+def test_a_log_is_recorded_by_more_than_one_task(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from ferryline.plans import capture_catalog as Q
+
+    rows = spark.range(400).select(F.col("id").alias("k"))
+    for number in (1, 2):
+        Q._recorded(spark, f"file://{tmp_path}/log", number, Q._transactions(rows, F.concat(F.lit("DELETE: id[bigint]:"), F.col("k").cast("string"))))
+    found = S.Recording(str(tmp_path / "log"))
+    assert found.numbers() == [*range(1, len(found.numbers()) + 1)] and len(found.numbers()) > 4
+    lines = [[json.loads(x) for x in open(found.file(n))] for n in found.numbers()]
+    assert all(x[0]["data"].startswith("BEGIN") and x[-1]["data"].startswith("COMMIT") for x in lines)
+    text = [r["data"] for x in lines for r in x]
+    assert len(text) == 2 * (400 + 16) and text[: len(text) // 2] == text[len(text) // 2 :] and text[1:51] == [f"table public.orders: DELETE: id[bigint]:{k}" for k in range(50)]
+
+
+def test_what_the_trail_has_is_not_read_again(spark, tmp_path, recorded, monkeypatch):
+    """Of changes before the trail's tail no row is read, and they still end their transaction with those that follow."""
+    trail = Trail(spark, str(tmp_path / "trail"))
+    C.capture(spark, recorded.root, "a", trail, KEYS, str(tmp_path / "a"))
+    asked = []
+    real = C.parsed
+    monkeypatch.setattr(C, "parsed", lambda lines, keys, past: asked.append(past) or real(lines, keys, past))
+    recorded.put(3, txn(8, 128, "INSERT: id[integer]:3 v[text]:null"))
+    C.capture(spark, recorded.root, "b", trail, KEYS, str(tmp_path / "b"))
+    assert asked == [64 + 2] and seen(trail) == [*ALL, (6, "I", "3", 8, True)]

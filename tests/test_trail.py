@@ -247,3 +247,48 @@ def test_lines_of_one_file_are_parsed_by_more_than_one_task(spark, monkeypatch):
     lines = spark.createDataFrame([(0, "0/0", "BEGIN 1"), (1, "0/1", "table public.t: INSERT: id[integer]:1"), (2, "0/2", "COMMIT 1")], "ord bigint, lsn string, line string").coalesce(1)
     (row,) = D.decode(lines, {"t": ["id"]}).collect()
     assert parts[0] >= 4 and row["txn_id"] == 1 and row["txn_end"]
+
+
+def test_lines_of_one_shape_are_read_as_one_by_one(monkeypatch):
+    """A batch is taken apart by shape, and gives what its lines give one by one; few are left for that."""
+    import pyarrow as pa
+
+    values = ["1", "0", "-5", "007", "-0", "1.50", "0.0000001", "1e3", "null", "t", "'x'", "''", "'it''s'", "'1'", "'new-tuple: q'", "'a b[int]:3'", "unchanged-toast-datum", "NaN", "'2024-01-01 10:00:00+02'"]
+    lines = [f"table public.t: {op}: {old}id[integer]:{i % 3 + 1} v[{kind}]:{v}" for i, v in enumerate(values * 3) for op, old in (("INSERT", ""), ("UPDATE", "old-key: id[integer]:1 new-tuple: ")) for kind in ("text", "timestamp with time zone")]
+    lines += ["BEGIN 7", " COMMIT 7", "BEGIN", "", None, "table public.other: DELETE: id[integer]:3", 'table public."t": DELETE: id[integer]:3', "table public.t: DELETE: id[integer]:4"]
+    places = [("0/A", "10000/FF", "none", None)[i % 4] for i in range(len(lines))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lines))), pa.array(places, pa.string()), pa.array(lines, pa.string())], ["ord", "lsn", "line"])
+    alone, real = [], D._one_by_one
+    monkeypatch.setattr(D, "_one_by_one", lambda b, *more: alone.append(b.num_rows) or real(b, *more))
+    rows = lambda batches: sorted(([*r.values()] for b in batches for r in b.to_pylist()), key=lambda r: r[0])
+    for past in (None, (0, 11)):
+        together = rows(D._parse({"T": ["id"]}, past)(iter([batch])))
+        few = sum(alone)
+        monkeypatch.setattr(D.Shape, "of", classmethod(lambda cls, *a: None))
+        assert together == rows(D._parse({"T": ["id"]}, past)(iter([batch]))) and few < sum(alone) - few
+        monkeypatch.undo()
+        monkeypatch.setattr(D, "_one_by_one", lambda b, *more: alone.append(b.num_rows) or real(b, *more))
+        alone.clear()
+
+
+def test_a_batch_is_parsed_once(spark, tmp_path):
+    """What a batch is asked for comes from one reading of the trail's lines."""
+    t = TR.Trail(spark, str(tmp_path / "once"))
+    t.append([rec("I", i, V="v") for i in range(20)])
+    with t.opened(0, 30) as records:
+        plan = records.groupBy("op").count()._jdf.queryExecution().withCachedData().toString()
+        assert "InMemoryRelation" in plan and records.count() == 20
+    assert "InMemoryRelation" not in t.read().groupBy("op").count()._jdf.queryExecution().withCachedData().toString()
+
+
+def test_small_tables_are_one_segment_and_numbers_go_on(spark, tmp_path, monkeypatch):
+    t = TR.Trail(spark, str(tmp_path / "many"))
+    put = lambda n: t.append_frame(spark.range(n).selectExpr("id * 7 AS ord", "'I' AS op", "'t' AS table", "map('k', string(id)) AS key"), "ord")
+    assert put(40) == 40 and put(0) == 0 and [(s.first, s.last) for s in t.listed()] == [(1, 40)]
+    monkeypatch.setattr(TR, "SEGMENT_ROWS", (10, 20))
+    assert put(100) == 100
+    have = t.listed()
+    assert len(have) == 11 and have[0].last + 1 == have[1].first and all(a.last + 1 == b.first for a, b in zip(have, have[1:])) and t.last_seq() == 140
+    assert [int(r["key"]["k"]) for r in t.read(40).orderBy("seq").collect()] == [*range(100)]
+    for s in have[1:]:
+        assert [r["seq"] for r in t.read(s.first - 1, s.last - s.first + 1).collect()] == [*range(s.first, s.last + 1)]
