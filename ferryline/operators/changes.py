@@ -87,6 +87,20 @@ def with_open(df: DataFrame, txn: str, end: str) -> DataFrame:
     return rows.union(df.filter(F.col(txn).isNull()).withColumn("held", F.lit(False)))
 
 
+#: Open transactions that are told by their numbers.
+OPEN = 1000
+
+
+def with_open_found(df: DataFrame, txn: str, end: str) -> DataFrame:
+    """Rows with held, as with_open gives them, with the open transactions found at once: there are as many as are under way at a
+    time, and rows are not joined for them unless they are more than a few."""
+    ended = F.coalesce(F.max(F.col(end).cast("int")), F.lit(0)).alias("__ended")
+    found = [r[0] for r in df.filter(F.col(txn).isNotNull()).groupBy(txn).agg(ended).filter("__ended = 0").select(txn).limit(OPEN + 1).collect()]
+    if len(found) > OPEN:
+        return with_open(df, txn, end)
+    return df.withColumn("held", F.coalesce(F.col(txn).isin(found), F.lit(False)) if found else F.lit(False))
+
+
 def interleave(df: DataFrame, txn: str, order: str) -> DataFrame:
     """A row for each transaction with other rows between its own; ``order`` numbers the rows without gaps."""
     spans = df.filter(F.col(txn).isNotNull()).groupBy(txn).agg((F.max(order) - F.min(order) + 1).alias("__span"), F.count("*").alias("__n"))

@@ -86,16 +86,18 @@ def runs(df: DataFrame, order: str, values: Sequence[str], name: str = "run_id",
     return _summed(before.withColumn("__v", F.when(starts, 1).otherwise(0).cast("bigint")).drop("__previous"), order, name).drop(_SEG)
 
 
-def between(df: DataFrame, order: str, mark: Column, ahead: Column, names: tuple[str, str]) -> DataFrame:
-    """Segmented rows with the last ``mark`` that isn't null up to each of them, and with ``ahead`` of the row after, in order."""
-    rows = df.withColumns({"__m": mark, "__a": ahead})
-    firsts = rows.groupBy(_SEG).agg(F.min_by("__a", order).alias("__first"))
-    lasts = rows.filter(F.col("__m").isNotNull()).groupBy(_SEG).agg(F.max_by("__m", order).alias("__last"))
+def between(df: DataFrame, order: str, marks: Column, values: Sequence[str], ahead: str, names: tuple[str, str]) -> DataFrame:
+    """Segmented rows with a struct of the values of the last of the ``marks`` up to each of them, null before the first, and with
+    ``ahead`` of the row after, in order."""
+    at = F.when(marks, F.col(order))
+    lasts = [F.max_by(v, at).alias(v) for v in values]  # of plain columns, so that no range is sorted for it
+    ends = df.groupBy(_SEG).agg(F.min_by(ahead, order).alias("__first"), F.max(at).alias("__at"), *lasts)
     ranges, inside = Window.orderBy(_SEG), Window.partitionBy(_SEG).orderBy(order)
-    ends = firsts.join(lasts, _SEG, "left")
-    borders = ends.select(_SEG, F.last("__last", True).over(ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.lead("__first").over(ranges).alias("__after"))
-    seen = rows.withColumns({"__m": F.last("__m", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "__a": F.lead(F.struct("__a")).over(inside)})
-    found = {names[0]: F.coalesce("__m", "__before"), names[1]: F.when(F.col("__a").isNull(), F.col("__after")).otherwise(F.col("__a.__a"))}
+    last = F.when(F.col("__at").isNotNull(), F.struct(*values))
+    borders = ends.select(_SEG, F.last(last, True).over(ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.lead("__first").over(ranges).alias("__after"))
+    mine = F.last(F.when(marks, F.struct(*values)), True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    seen = df.withColumns({"__m": mine, "__a": F.lead(F.struct(F.col(ahead).alias("x"))).over(inside)})
+    found = {names[0]: F.coalesce("__m", "__before"), names[1]: F.when(F.col("__a").isNull(), F.col("__after")).otherwise(F.col("__a.x"))}
     return seen.join(F.broadcast(borders), _SEG).withColumns(found).drop("__m", "__a", "__before", "__after")
 
 

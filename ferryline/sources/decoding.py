@@ -302,11 +302,10 @@ def parsed(lines: DataFrame, keys: dict[str, list[str]], past: int | None = None
 
 
 def _apart(rows: DataFrame) -> bool:
-    """Whether no position of segmented rows is in two ranges."""
-    at = F.struct("hi", "lo")
-    ends = [(r["least"], r["most"]) for r in rows.groupBy(SEGMENT).agg(F.min(at).alias("least"), F.max(at).alias("most")).orderBy("least").collect()]
-    unknown = sum(least["hi"] is None for least, _ in ends)  # these come first
-    return unknown < 2 and all(a["hi"] is None or a < b for (_, a), (b, _) in zip(ends, ends[1:]))
+    """Whether no position (at) of segmented rows is in two ranges."""
+    ends = rows.groupBy(SEGMENT).agg(F.min("at").alias("least"), F.max("at").alias("most"), F.max(F.col("at").isNull()).alias("unknown")).collect()
+    spans = sorted((r["least"], r["most"]) for r in ends if r["least"] is not None)
+    return sum(r["unknown"] for r in ends) < 2 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
 
 
 def _place(hi: Column, lo: Column) -> Column:
@@ -320,17 +319,17 @@ def changes_of(lines: DataFrame, past: int | None = None) -> DataFrame:
     The lines are read several times.  A change is tagged with the xid of the BEGIN before it; untagged between COMMIT and BEGIN.
     The last change before a COMMIT carries txn_end.
     """
-    cut = segmented(lines, "ord")
-    mark = F.when(F.col("is_begin") | F.col("is_commit"), F.struct("is_begin", "xid"))
-    marked = between(cut, "ord", mark, F.col("is_commit"), ("begun", "ends"))
+    whole = (F.col("hi") - F.lit(1 << 31)) * F.lit(1 << 32) + F.col("lo")  # a position as one number of 64 bits, in the same order
+    cut = segmented(lines, "ord").withColumn("at", whole)
+    marked = between(cut, "ord", F.col("is_begin") | F.col("is_commit"), ("is_begin", "xid"), "is_commit", ("begun", "ends"))
     after, kept = _halves(past), F.col("op").isNotNull()
     if after is not None:
         kept = kept & (F.col("hi").isNull() | (F.col("hi") > after[0]) | ((F.col("hi") == after[0]) & (F.col("lo") >= after[1])))
     rows = marked.filter(kept)
     if _apart(cut.filter(kept)):  # then equal positions are counted where the rows are
-        rows = rows.withColumn("seq", (F.row_number().over(Window.partitionBy(SEGMENT, "hi", "lo").orderBy("ord")) - 1).cast("bigint"))
+        rows = rows.withColumn("seq", (F.row_number().over(Window.partitionBy(SEGMENT, "at").orderBy("ord")) - 1).cast("bigint"))
     else:
-        rows = ordinal_within(rows.withColumn("__at", F.struct("hi", "lo")), "__at", "ord")
+        rows = ordinal_within(rows, "at", "ord")
     txn = F.when(F.col("begun.is_begin"), F.col("begun.xid"))
     end = txn.isNotNull() & F.coalesce("ends", F.lit(False))
     return rows.select("ord", "op", "table_name", *_IMAGES, _place(F.col("hi"), F.col("lo")).alias("base"), "seq", txn.alias("txn_id"), end.alias("txn_end"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.changes import dead_letters, fold, fold_with_moves, held_of, in_commit_order, interleave, kind_of, with_hold, with_open, without_moves
+from ..operators.changes import dead_letters, fold, fold_with_moves, held_of, in_commit_order, interleave, kind_of, with_hold, with_open_found, without_moves
 from ..sources.trail import _SCHEMA as TRAIL_SCHEMA
 from ..sources.trail import Trail, value_text
 from .versions import Applied, Fenced, Pointer, Replica, Stored, VersionedTable
@@ -193,57 +193,56 @@ def apply_tables(replica: Replica, records: DataFrame, tables: dict[str, Sequenc
             unseen = unseen | ((F.col("seq") > now.cursor) & F.col("txn_id").isin(*now.open))
         fresh = records.filter(unseen)
         mixed = whole and (mixed or now.mixed) or whole and bool(interleave(records.filter(F.col("seq") > now.cursor), "txn_id", "seq").limit(1).count())
-        found = with_open(fresh, "txn_id", "txn_end").persist() if mixed else fresh.withColumn("held", held_of(fresh, "txn_id", "txn_end", "seq") if whole else F.lit(False))
-        try:
-            free, lower = ~F.col("held"), F.lower("table")
-            mine = free if last_of is None else free & (lower == last_of.lower())
-            got = found.agg(F.max(F.when(mine, F.col("seq"))).alias("last"), F.min(F.when(~free, F.col("seq"))).alias("held"), F.collect_set(F.when(~free, F.col("txn_id"))).alias("open")).first()
-            if got["last"] is None:
-                return now.cursor
-            reached = max(got["last"], now.ahead)
-            cursor = reached if got["held"] is None else max(now.cursor, min(reached, got["held"] - 1))
-            place = Applied(ahead=reached, open=tuple(sorted(got["open"])) if reached > cursor else (), mixed=mixed, trail=trail)
-            ready = found.filter(free).drop("held")
-            if mixed:
-                ready = in_commit_order(ready, "txn_id", "seq")
-            parked, staged = [], {}
-            present = {r[0] for r in ready.select(lower).distinct().collect()}
-            work = [(replica.table(name), name, keys) for name, keys in tables.items() if name.lower() in present]
-            for target, name, keys in work:
-                schema = target.schema()
-                why = reasons(schema, keys)
-                own = ready.filter(lower == name.lower())
-                good, bad = dead_letters(own, why.isNull())
-                n_bad = bad.limit(most_parked + 1).count()
-                if n_bad > most_parked:
-                    raise ValueError(f"more than {most_parked} changes can't be applied ({n_bad} found): stopped before anything was written")
-                if not n_bad:
-                    good = own
-                if n_bad and park is None:
-                    raise ValueError(f"{name} has changes that can't be applied, and there is no place to park them")
-                bad = bad.withColumn("reason", why)
-                make = lambda some, target=target, schema=schema, keys=keys: _staged(target, typed_changes(some, schema, keys), keys)
-                if attempts and park is not None:
-                    order = F.col("ord" if "ord" in good.columns else "seq")
-                    made, refused = isolated(make, good, order, most_parked - n_bad, attempts, answers)
-                    if refused:
-                        because = F.create_map(*[F.lit(x) for pair in refused.items() for x in pair])
-                        bad = bad.unionByName(good.filter(order.isin(list(refused))).withColumn("reason", because[order]))
-                else:
-                    made, refused = make(good), {}
-                if n_bad or refused:
-                    if bad.filter(_is_move()).limit(1).count():
-                        raise ValueError("a key move can't be applied, and is not parked")
-                    parked.append((name, bad))
-                if made is not None:
-                    staged[name] = made
-            for name, bad in parked:
-                park(name, bad)
-            replica.publish(staged, batch, cursor, stream, place)
-            return cursor
-        finally:
-            if mixed:
-                found.unpersist()
+        if mixed:
+            found = with_open_found(fresh, "txn_id", "txn_end")
+        else:
+            found = fresh.withColumn("held", held_of(fresh, "txn_id", "txn_end", "seq") if whole else F.lit(False))
+        free, lower = ~F.col("held"), F.lower("table")
+        mine = free if last_of is None else free & (lower == last_of.lower())
+        got = found.agg(F.max(F.when(mine, F.col("seq"))).alias("last"), F.min(F.when(~free, F.col("seq"))).alias("held"), F.collect_set(F.when(~free, F.col("txn_id"))).alias("open")).first()
+        if got["last"] is None:
+            return now.cursor
+        reached = max(got["last"], now.ahead)
+        cursor = reached if got["held"] is None else max(now.cursor, min(reached, got["held"] - 1))
+        place = Applied(ahead=reached, open=tuple(sorted(got["open"])) if reached > cursor else (), mixed=mixed, trail=trail)
+        ready = found.filter(free).drop("held")
+        if mixed:
+            ready = in_commit_order(ready, "txn_id", "seq")
+        parked, staged = [], {}
+        present = {r[0] for r in found.filter(free).select(lower).distinct().collect()}
+        work = [(replica.table(name), name, keys) for name, keys in tables.items() if name.lower() in present]
+        for target, name, keys in work:
+            schema = target.schema()
+            why = reasons(schema, keys)
+            own = ready.filter(lower == name.lower())
+            good, bad = dead_letters(own, why.isNull())
+            n_bad = dead_letters(found.filter(free & (lower == name.lower())), why.isNull())[1].limit(most_parked + 1).count()  # in any order
+            if n_bad > most_parked:
+                raise ValueError(f"more than {most_parked} changes can't be applied ({n_bad} found): stopped before anything was written")
+            if not n_bad:
+                good = own
+            if n_bad and park is None:
+                raise ValueError(f"{name} has changes that can't be applied, and there is no place to park them")
+            bad = bad.withColumn("reason", why)
+            make = lambda some, target=target, schema=schema, keys=keys: _staged(target, typed_changes(some, schema, keys), keys)
+            if attempts and park is not None:
+                order = F.col("ord" if "ord" in good.columns else "seq")
+                made, refused = isolated(make, good, order, most_parked - n_bad, attempts, answers)
+                if refused:
+                    because = F.create_map(*[F.lit(x) for pair in refused.items() for x in pair])
+                    bad = bad.unionByName(good.filter(order.isin(list(refused))).withColumn("reason", because[order]))
+            else:
+                made, refused = make(good), {}
+            if n_bad or refused:
+                if bad.filter(_is_move()).limit(1).count():
+                    raise ValueError("a key move can't be applied, and is not parked")
+                parked.append((name, bad))
+            if made is not None:
+                staged[name] = made
+        for name, bad in parked:
+            park(name, bad)
+        replica.publish(staged, batch, cursor, stream, place)
+        return cursor
 
 
 def _drained(trail: Trail, replica, tables: Iterable[VersionedTable], apply: Callable[[DataFrame, int], int], batch_records: int, stream: str) -> int:

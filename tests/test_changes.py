@@ -111,3 +111,18 @@ def test_ranges_are_found_once_and_stand_in_the_plan(spark):
     assert ordered.segmented(df.limit(0), "o", 16).count() == 0
     nulls = spark.createDataFrame([(None,), (1 << 60,), (3,)], "o bigint")
     assert ordered.segmented(nulls, "o", 16).filter("__segment IS NULL").count() == 0
+
+
+def test_open_transactions_are_found_at_once(spark, monkeypatch):
+    """Held rows are those that the joins find, few or many; what is held at the end of a stream too."""
+    rows = [(1, 5, None), (2, 6, None), (3, None, None), (4, 5, True), (5, 7, None), (6, 6, None)]
+    df = spark.createDataFrame(rows, "seq bigint, txn bigint, done boolean")
+    want = sorted(map(tuple, C.with_open(df, "txn", "done").collect()))
+    assert sorted(map(tuple, C.with_open_found(df, "txn", "done").collect())) == want and [r[0] for r in want if r[3]] == [2, 5, 6]
+    assert "Join" not in C.with_open_found(df, "txn", "done")._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(C, "OPEN", 1)
+    assert sorted(map(tuple, C.with_open_found(df, "txn", "done").collect())) == want
+    for n in range(len(rows) + 1):
+        some = df.filter(F.col("seq") <= n)
+        held = sorted(map(tuple, C.with_hold(some, "txn", "done", "seq").collect()))
+        assert sorted(map(tuple, some.withColumn("held", C.held_of(some, "txn", "done", "seq")).collect())) == held
